@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from . import fingerprints
+from . import fingerprints, quality
 
 
 def queries() -> dict:
-    return {"op1_fingerprints": fingerprints.op1_fingerprints}
+    return {
+        "op1_fingerprints": fingerprints.op1_fingerprints,
+        "op9_quality": quality.op9_quality,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
