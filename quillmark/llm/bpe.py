@@ -15,8 +15,10 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import struct
 import unicodedata
 from collections.abc import Iterator
+from functools import cache
 
 import ahocorasick
 import numpy as np
@@ -26,8 +28,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from . import textkit as tk
 
-#: Pieces that a task remembers; it starts anew beyond that.
-REMEMBERED = 200_000
+#: Chunks that a worker remembers in each of two generations; the older one is dropped when the newer is full.
+REMEMBERED = 250_000
 #: Stands for the end-of-word mark at the end of a piece.
 _END = "\n"
 _NEVER = 1 << 60
@@ -73,6 +75,7 @@ class Tokenizer:
                 self.automaton.add_word(token, token)
         self.automaton.make_automaton()
         self._known: dict[str, tuple[bytes, str]] = {}
+        self._older: dict[str, tuple[bytes, str]] = {}
 
     def _rules(self, spec: dict) -> None:
         """Normal form: NFC, runs of white space to one space, lower case; pieces by a pattern; then bytes."""
@@ -138,25 +141,29 @@ class Tokenizer:
     def _chunk(self, chunk: str) -> tuple[bytes, str]:
         """Packed ids and joined token strings of text without white space."""
         tokens = []
-        for piece in self._piece.findall(chunk):
+        seen = chunk if chunk.isascii() else chunk.translate(_unassigned())
+        for found in self._piece.finditer(seen):
+            piece = chunk[found.start() : found.end()]
             tokens += self.piece_tokens("".join(map(self._to_letters.__getitem__, piece.encode())) + _END)
         ids = [self.ids[t] for t in tokens]
-        return np.array(ids, "<u4").tobytes(), " ".join(self.names[i] for i in ids)
+        return struct.pack(f"<{len(ids)}I", *ids), " ".join(self.names[i] for i in ids)
 
     def _plain(self, text: str) -> list[tuple[bytes, str]]:
+        plain = text.isascii() and not _SEPARATORS.search(text)
         if not text.isascii():
             # letter by letter: no form of a letter depends on its place in the word
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
         known, out = self._known, []
-        for chunk in _WHITE.split(text.lower()) if not text.isascii() else text.lower().split():
+        for chunk in text.lower().split() if plain else _WHITE.split(text.lower()):
             if not chunk:
                 continue
             found = known.get(chunk)
             if found is None:
-                if len(known) > REMEMBERED:
-                    known.clear()
-                found = self._chunk(chunk)
+                found = self._older.get(chunk) or self._chunk(chunk)
                 if len(chunk) <= 64:
+                    if len(known) >= REMEMBERED:
+                        self._older, self._known = known, {}
+                        known = self._known
                     known[chunk] = found
             out.append(found)
         return out
@@ -178,6 +185,14 @@ class Tokenizer:
 
 #: White space of the pattern `\s` in the vocabulary's rules: Unicode's property, which leaves out 0x1C to 0x1F.
 _WHITE = regex.compile(r"\p{White_Space}+")
+_SEPARATORS = re.compile("[\x1c-\x1f]")
+
+
+@cache
+def _unassigned() -> dict[int, str]:
+    """Code points that Python's Unicode tables don't have yet, though regex may, to one that none will have."""
+    named = regex.compile(r"[\p{L}\p{N}]")
+    return {c: "\uffff" for c in range(0x80, 0x110000) if unicodedata.category(chr(c)) == "Cn" and named.match(chr(c))}
 
 
 def with_tokens(docs: DataFrame, vocabulary: str, text: str = "text", out: str = "tokens") -> DataFrame:

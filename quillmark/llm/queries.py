@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from . import fingerprints, quality
+from . import bpe, fingerprints, mixing, quality, secret_scan
 
 
 def queries() -> dict:
     return {
         "op1_fingerprints": fingerprints.op1_fingerprints,
+        "op4_secrets": secret_scan.op4_secrets,
+        "op8_bpe": bpe.op8_bpe,
         "op9_quality": quality.op9_quality,
+        "op10_mixing": mixing.op10_mixing,
     }
 
 
