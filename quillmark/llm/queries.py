@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import bpe, fingerprints, mixing, quality, secret_scan
+from . import bpe, fingerprints, jaccard_join, mixing, quality, secret_scan, substring_dedup
 
 
 def queries() -> dict:
     return {
         "op1_fingerprints": fingerprints.op1_fingerprints,
         "op4_secrets": secret_scan.op4_secrets,
+        "op5_substring_dedup": substring_dedup.op5_substring_dedup,
+        "op7_jaccard_join": jaccard_join.op7_jaccard_join,
         "op8_bpe": bpe.op8_bpe,
         "op9_quality": quality.op9_quality,
         "op10_mixing": mixing.op10_mixing,
