@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, fingerprints, jaccard_join, mixing, quality, secret_scan, substring_dedup
+from . import bpe, fingerprints, html_extract, jaccard_join, mixing, quality, secret_scan, substring_dedup
 
 
 def queries() -> dict:
     return {
         "op1_fingerprints": fingerprints.op1_fingerprints,
+        "op3_html": html_extract.op3_html,
         "op4_secrets": secret_scan.op4_secrets,
         "op5_substring_dedup": substring_dedup.op5_substring_dedup,
         "op7_jaccard_join": jaccard_join.op7_jaccard_join,
