@@ -48,7 +48,6 @@ _UNWANTED_ROLES = frozenset("navigation banner contentinfo complementary search
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)(?:>|$)|([^<]+|<)", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
-_SPACE = re.compile(r"[ \t\n\r\f\v ]+")
 
 
 class Node:
@@ -222,7 +221,7 @@ def extract(page: str | None, weights: Weights) -> str:
             blocks[-1].append(" " if value == "br" else "")
         elif kind == "break" or node.tag in _BLOCK:
             blocks.append([])
-    texts = (_SPACE.sub(" ", html.unescape("".join(x))).strip(" ") for x in blocks)
+    texts = (" ".join(html.unescape("".join(x)).split()) for x in blocks)
     return "\n\n".join(x for x in texts if x)
 
 

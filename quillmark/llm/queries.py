@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from . import bpe, fingerprints, html_extract, jaccard_join, mixing, quality, secret_scan, substring_dedup
+from . import bpe, fingerprints, html_extract, jaccard_join, licenses, mixing, quality, secret_scan, substring_dedup, url_filter
 
 
 def queries() -> dict:
     return {
         "op1_fingerprints": fingerprints.op1_fingerprints,
+        "op2_licenses": licenses.op2_licenses,
         "op3_html": html_extract.op3_html,
         "op4_secrets": secret_scan.op4_secrets,
         "op5_substring_dedup": substring_dedup.op5_substring_dedup,
+        "op6_urls": url_filter.op6_urls,
         "op7_jaccard_join": jaccard_join.op7_jaccard_join,
         "op8_bpe": bpe.op8_bpe,
         "op9_quality": quality.op9_quality,
@@ -19,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_licenses": licenses.op2_sql(), "op6_urls": url_filter.op6_sql()}
