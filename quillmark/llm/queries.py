@@ -5,8 +5,15 @@ from __future__ import annotations
 from . import bpe, fingerprints, html_extract, jaccard_join, licenses, mixing, quality, secret_scan, substring_dedup, url_filter
 
 
+def pipeline(spark, sf_dir: str):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict:
     return {
+        "pipeline": pipeline,
         "op1_fingerprints": fingerprints.op1_fingerprints,
         "op2_licenses": licenses.op2_licenses,
         "op3_html": html_extract.op3_html,
