@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillmark.plans import access_queries
+from quillmark.plans import access_queries, catalog_queries
 from quillmark.plans.fixtures import Tables, with_tables
 
-_MODULES = (access_queries,)
+_MODULES = (access_queries, catalog_queries)
 
 
 def _query(run: Callable[[Tables], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:

@@ -67,13 +67,13 @@ def group_closure(identities: DataFrame, edges: DataFrame, principals: DataFrame
     groups = principals.filter((F.col("principal_type") == "group") & is_live("lifecycle")).select("organization_id", "connector_id", F.col("id").alias("group_principal_id"))
     step = edges.join(groups, ["organization_id", "connector_id", "group_principal_id"]).select("organization_id", "connector_id", F.col("member_principal_id").alias("principal_id"), "group_principal_id")
     step = step.persist()
-    found, front = None, identities.select(keys)
+    found, front = None, identities.select(keys).persist()
     for level in range(1, depth + 1):
         new = front.join(step, ["organization_id", "connector_id", "principal_id"]).select("organization_id", "user_id", "connector_id", F.col("group_principal_id").alias("principal_id")).distinct()
         if found is not None:
             new = new.join(found.select(keys), keys, "left_anti")
         new = new.withColumn("depth", F.lit(level)).persist()
-        if new.isEmpty():
+        if not new.count():  # a count also fills the cache
             break
         found = new if found is None else found.unionByName(new)
         front = new.select(keys)
