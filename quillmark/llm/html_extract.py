@@ -179,7 +179,10 @@ class Weights:
 
 def train(pages: DataFrame, html_column: str = "html", sample: int = SAMPLE) -> Weights:
     """Weights from at most `sample` labelled pages, the same ones in every run."""
-    some = pages.filter(F.col(html_column).rlike(r"(?i)<(article|main)[\s>]")).select(F.xxhash64(html_column).alias("h"), html_column).orderBy("h").limit(sample).select(html_column)
+    hashed = pages.filter(F.col(html_column).rlike(r"(?i)<(article|main)[\s>]")).select(F.xxhash64(html_column).alias("h"), html_column)
+    # the hashes alone are ordered, so no page travels to be left out
+    bound = hashed.select("h").orderBy("h").limit(sample).agg(F.max("h")).first()[0]
+    some = hashed.filter(F.col("h") <= (bound if bound is not None else 0)).select(html_column)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         inside, outside = Counter(), Counter()
