@@ -61,23 +61,29 @@ def edges_at_generation(edges: DataFrame, directories: DataFrame) -> DataFrame:
 def group_closure(identities: DataFrame, edges: DataFrame, principals: DataFrame, depth: int = MAX_DEPTH) -> DataFrame:
     """(organization_id, user_id, connector_id, principal_id, depth): the groups that a user reaches, at the least depth.
 
-    A breadth-first join: each round meets only what the last one found anew, so cycles end it.
+    One recursive query, which Spark runs level by level; `path` ends cycles.  A directory's nesting is
+    shallow, so paths to a group are few.
     """
-    keys = ["organization_id", "user_id", "connector_id", "principal_id"]
     groups = principals.filter((F.col("principal_type") == "group") & is_live("lifecycle")).select("organization_id", "connector_id", F.col("id").alias("group_principal_id"))
-    step = edges.join(groups, ["organization_id", "connector_id", "group_principal_id"]).select("organization_id", "connector_id", F.col("member_principal_id").alias("principal_id"), "group_principal_id")
-    step = step.persist()
-    found, front = None, identities.select(keys).persist()
-    for level in range(1, depth + 1):
-        new = front.join(step, ["organization_id", "connector_id", "principal_id"]).select("organization_id", "user_id", "connector_id", F.col("group_principal_id").alias("principal_id")).distinct()
-        if found is not None:
-            new = new.join(found.select(keys), keys, "left_anti")
-        new = new.withColumn("depth", F.lit(level)).persist()
-        if not new.count():  # a count also fills the cache
-            break
-        found = new if found is None else found.unionByName(new)
-        front = new.select(keys)
-    return found if found is not None else identities.select(keys).withColumn("depth", F.lit(0)).limit(0)
+    step = edges.join(groups, ["organization_id", "connector_id", "group_principal_id"]).select("organization_id", "connector_id", "member_principal_id", "group_principal_id").persist()
+    own = identities.select("organization_id", "user_id", "connector_id", "principal_id")
+    spark = identities.sparkSession
+    spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")
+    walk = spark.sql(
+        """
+        WITH RECURSIVE walk(organization_id, user_id, connector_id, principal_id, depth, path) AS (
+          SELECT organization_id, user_id, connector_id, principal_id, 0, array(principal_id) FROM {own}
+          UNION ALL
+          SELECT w.organization_id, w.user_id, w.connector_id, s.group_principal_id, w.depth + 1, array_append(w.path, s.group_principal_id)
+          FROM walk w JOIN {step} s ON s.organization_id = w.organization_id AND s.connector_id = w.connector_id AND s.member_principal_id = w.principal_id
+          WHERE w.depth < {depth} AND NOT array_contains(w.path, s.group_principal_id))
+        SELECT organization_id, user_id, connector_id, principal_id, min(depth) AS depth FROM walk WHERE depth > 0 GROUP BY ALL
+        """,
+        own=own,
+        step=step,
+        depth=depth,
+    )
+    return walk
 
 
 def domain_principals(identities: DataFrame, principals: DataFrame) -> DataFrame:

@@ -118,6 +118,10 @@ DERIVED: dict[str, str] = {
 }
 
 
+#: Small tables that many others are derived from: built once.
+SHARED = frozenset(["connectors", "numbered_spaces", "teams"])
+
+
 class Tables:
     """The tables of one folder by name, built when asked for."""
 
@@ -126,7 +130,8 @@ class Tables:
 
     def __getitem__(self, name: str) -> DataFrame:
         if name not in self._known:
-            self._known[name] = self.sql(DERIVED[name]) if name in DERIVED else self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+            df = self.sql(DERIVED[name]) if name in DERIVED else self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+            self._known[name] = df.persist() if name in SHARED else df
         return self._known[name]
 
     def sql(self, query: str) -> DataFrame:
