@@ -99,7 +99,7 @@ def canonical(text: Column) -> Column:
 
 
 def _lines(form: Column) -> Column:
-    return F.filter(F.transform(F.split(form, "\n"), F.btrim), lambda x: x != "")
+    return F.filter(F.transform(F.split(form, "\n"), lambda x: F.btrim(x)), lambda x: x != "")
 
 
 def known_digests(spark, known=KNOWN) -> DataFrame:
