@@ -72,10 +72,10 @@ def profile_fingerprint(profile: dict) -> str:
     return hashlib.sha256(json.dumps(profile, sort_keys=True, separators=(",", ":")).encode()).hexdigest()
 
 
-@F.pandas_udf("string")
-def collision_key(name):
+def collision_key(name) -> Column:
     """Names that one file system can't tell apart have one key.  Spark has no NFC or case folding."""
-    return name.map(lambda x: None if x is None else unicodedata.normalize("NFC", x).casefold())
+    fold = F.pandas_udf(lambda s: s.map(lambda x: None if x is None else unicodedata.normalize("NFC", x).casefold()), "string")
+    return fold(name)
 
 
 def repo_item_key(repository: Column, path: Column) -> Column:

@@ -71,7 +71,7 @@ def page_sections(pages: DataFrame) -> DataFrame:
 
 def assemble_blocks(blocks: DataFrame) -> DataFrame:
     """(document_id, text, n_headings, n_tables) from ordered paragraphs and tables; a table's cells are given with bars between."""
-    cells = F.array_distinct(F.filter(F.transform(F.split("cells", r"\|"), F.btrim), lambda x: x != ""))
+    cells = F.array_distinct(F.filter(F.transform(F.split("cells", r"\|"), lambda x: F.btrim(x)), lambda x: x != ""))
     part = F.when(F.col("kind") == "table", F.array_join(cells, " | ")).otherwise(F.btrim("text"))
     rows = blocks.withColumn("_part", part)
     parts = F.array_sort(F.collect_list(F.when(F.col("_part") != "", F.struct("block_index", "_part"))))

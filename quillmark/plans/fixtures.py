@@ -114,7 +114,7 @@ DERIVED: dict[str, str] = {
         FROM {part} CROSS JOIN (SELECT count(*) AS total FROM {part}) t WHERE p_partkey > 0""",
     "batches": "SELECT l_orderkey AS run_id, l_linenumber AS batch, CAST(l_quantity AS BIGINT) AS entries, CAST(l_quantity / 5 AS BIGINT) AS files, CAST(l_extendedprice AS BIGINT) AS bytes, CAST(l_quantity AS BIGINT) * 3 AS chunks FROM {lineitem}",
     "conversation_pages": "SELECT conv_id AS document_id, turn + 1 AS page_number, CASE WHEN turn % 5 = 4 THEN '  ' ELSE replace(text, '. ', concat('.', chr(13), chr(10))) END AS text FROM {conversations}",
-    "conversation_blocks": "SELECT conv_id AS document_id, turn AS block_index, CASE WHEN turn % 3 = 2 THEN 'table' ELSE 'paragraph' END AS kind, CASE WHEN turn % 4 = 0 THEN 'Heading 1' ELSE 'Normal' END AS style, text, concat(role, '|', '|', substr(text, 1, 12)) AS cells FROM {conversations}",
+    "conversation_blocks": "SELECT conv_id AS document_id, turn AS block_index, CASE WHEN turn % 3 = 2 THEN 'table' ELSE 'paragraph' END AS kind, CASE WHEN turn % 4 = 0 THEN 'Heading 1' ELSE 'Normal' END AS style, text, concat(role, '|', '|', replace(substr(text, 1, 12), '|', '/')) AS cells FROM {conversations}",
 }
 
 
@@ -156,4 +156,8 @@ def with_tables(query: str, views: dict[str, str] | None = None) -> str:
     visit(query)
     plain = lambda q: re.sub(r"(?<!\{)\{(\w+)\}", r"\1", q).replace("{{", "{").replace("}}", "}")
     parts = [f"{n} AS ({plain(known[n])})" for n in order]
-    return f"WITH RECURSIVE {', '.join(parts)} {plain(query)}" if parts else plain(query)
+    body = plain(query).strip()
+    own = re.match(r"WITH (?=\w)", body)
+    if own:
+        return f"WITH RECURSIVE {', '.join([*parts, ''])}{body[own.end() :]}"
+    return f"WITH RECURSIVE {', '.join(parts)} {body}" if parts else body
