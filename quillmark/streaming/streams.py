@@ -15,7 +15,7 @@ from quillmark.operators.content import chunk_documents, read_text
 
 def ingest_stream(spark: SparkSession, root: str, checkpoint: str, sink: Callable[[DataFrame, int], None], pattern: str = "*.{txt,md}") -> StreamingQuery:
     """Chunks of each file that is new below root go to `sink`, batch by batch; the checkpoint makes restarts go on."""
-    files = spark.readStream.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(root)
+    files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(root)
 
     def step(batch: DataFrame, number: int) -> None:
         texts = read_text(batch).filter("rejected is null").withColumn("text", normalize_newlines(F.col("text")))
