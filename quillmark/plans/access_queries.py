@@ -8,7 +8,6 @@ from quillmark.functions import predicates as P
 from quillmark.operators import access as A, search as S
 from quillmark.plans.fixtures import AS_OF, Tables
 
-NOW = F.expr(AS_OF)
 DIMENSIONS, K = 64, 10
 _VALID = f"granted_at <= {AS_OF} AND (expires_at IS NULL OR expires_at > {AS_OF}) AND revoked_at IS NULL"
 _HELD = f"status = 'active' AND effective_from <= {AS_OF} AND (expires_at IS NULL OR expires_at > {AS_OF}) AND revoked_at IS NULL"
@@ -58,6 +57,10 @@ VIEWS = {
 }
 
 
+def now():
+    return F.expr(AS_OF)
+
+
 def _distance(a: str, b: str) -> str:
     return f"round(1.0 - list_cosine_similarity(CAST({a} AS DOUBLE[]), CAST({b} AS DOUBLE[])), 6)"
 
@@ -68,7 +71,7 @@ def _granted(t: Tables) -> DataFrame:
         {"organization": t["organization_grants"], "department": t["department_grants"], "team": t["team_grants"], "user": t["user_grants"]},
         {"department": t["department_memberships"], "team": t["team_memberships"]},
         {"department": t["departments"], "team": t["teams"]},
-        NOW,
+        now(),
     )
 
 
@@ -90,8 +93,8 @@ def _paths(t: Tables) -> DataFrame:
 
 def _authorized(t: Tables) -> DataFrame:
     who = _principals(t).persist()
-    allowed = A.acl_allowed(t["snapshots"], t["acl_entries"], who, NOW)
-    denied = A.acl_denied(t["snapshots"], t["acl_entries"], who, NOW)
+    allowed = A.acl_allowed(t["snapshots"], t["acl_entries"], who, now())
+    denied = A.acl_denied(t["snapshots"], t["acl_entries"], who, now())
     return A.authorized_paths(_paths(t), _granted(t), allowed, denied)
 
 
@@ -154,8 +157,8 @@ QUERIES = {
     "resolved_principals": (_principals, "SELECT * FROM {v_principals}"),
     "scope_paths": (_paths, "SELECT * FROM {v_paths}"),
     "optional_filters": (optional_filters, "SELECT source_item_id, connector_scope_id, source_item_type FROM {v_paths} WHERE organization_id = 1 AND source_item_type IN ('file', 'page')"),
-    "acl_allowed": (lambda t: A.acl_allowed(t["snapshots"], t["acl_entries"], _principals(t), NOW), "SELECT * FROM {v_allowed}"),
-    "acl_denied": (lambda t: A.acl_denied(t["snapshots"], t["acl_entries"], _principals(t), NOW), "SELECT * FROM {v_denied}"),
+    "acl_allowed": (lambda t: A.acl_allowed(t["snapshots"], t["acl_entries"], _principals(t), now()), "SELECT * FROM {v_allowed}"),
+    "acl_denied": (lambda t: A.acl_denied(t["snapshots"], t["acl_entries"], _principals(t), now()), "SELECT * FROM {v_denied}"),
     "authorized_paths": (lambda t: _authorized(t).select(_PATH), "SELECT * FROM {v_authorized}"),
     "first_path_per_item": (lambda t: A.first_path_per_item(_authorized(t)).select(_PATH), "SELECT * FROM {v_first}"),
     "indexable_content": (lambda t: _content(t).drop("embedding"), "SELECT * EXCLUDE (embedding) FROM {v_content}"),

@@ -10,9 +10,19 @@ from quillmark.plans.fixtures import AS_OF, RUN_START, Tables
 from quillmark.sources import files as S
 from quillmark.streaming import streams as ST
 
-NOW, BEGUN = F.expr(AS_OF), F.expr(RUN_START)
 _JOBS_AT = "DATE '2024-01-20'"
-JOBS_AT = F.expr(_JOBS_AT)
+
+
+def now():
+    return F.expr(AS_OF)
+
+
+def begun():
+    return F.expr(RUN_START)
+
+
+def jobs_at():
+    return F.expr(_JOBS_AT)
 
 
 def _text(*columns: str):
@@ -29,32 +39,32 @@ def _seen(t: Tables) -> DataFrame:
 
 
 def upsert_items(t: Tables) -> DataFrame:
-    out = M.upsert_items(t["manifest"], t["items"], NOW)
+    out = M.upsert_items(t["manifest"], t["items"], now())
     return out.select(*M.ITEM, "source_checksum", "size_bytes", "status", "restored", *_text("first_seen_at", "last_seen_at", "deleted_at"))
 
 
 def upsert_memberships(t: Tables) -> DataFrame:
-    return M.upsert_memberships(_seen(t), t["memberships"], NOW).select("organization_id", "source_item_id", "connector_scope_id", "status", *_text("removed_at", "first_discovered_at", "last_seen_at"))
+    return M.upsert_memberships(_seen(t), t["memberships"], now()).select("organization_id", "source_item_id", "connector_scope_id", "status", *_text("removed_at", "first_discovered_at", "last_seen_at"))
 
 
 def retire_missing_folder(t: Tables) -> DataFrame:
-    _, items = M.retire_missing_folder(t["memberships"], t["items"], BEGUN, NOW)
+    _, items = M.retire_missing_folder(t["memberships"], t["items"], begun(), now())
     return items.select("organization_id", "id", "status")
 
 
 def retired_memberships(t: Tables) -> DataFrame:
-    held, _ = M.retire_missing_folder(t["memberships"], t["items"], BEGUN, NOW)
+    held, _ = M.retire_missing_folder(t["memberships"], t["items"], begun(), now())
     return held.select("organization_id", "source_item_id", "connector_scope_id", "status", *_text("removed_at"))
 
 
 def _candidates(t: Tables) -> DataFrame:
-    return M.unseen_candidates(t["memberships"], t["items"], t["versions"], t["mappings"], t["docs"], BEGUN)
+    return M.unseen_candidates(t["memberships"], t["items"], t["versions"], t["mappings"], t["docs"], begun())
 
 
 def append_versions(t: Tables) -> DataFrame:
     new = t["manifest"].join(t["items"].select(*M.ITEM, "id", F.col("source_checksum").alias("_old")), M.ITEM).filter("source_checksum <> _old")
     changes = new.select("organization_id", F.col("id").alias("source_item_id"), F.col("source_checksum").alias("content_checksum"), F.lit("content_changed").alias("version_cause"), F.lit("available").alias("lifecycle"))
-    return M.append_versions(changes, t["versions"], NOW).select("organization_id", "source_item_id", "version_number", "version_cause", "lifecycle", "content_checksum", "is_current")
+    return M.append_versions(changes, t["versions"], now()).select("organization_id", "source_item_id", "version_number", "version_cause", "lifecycle", "content_checksum", "is_current")
 
 
 def tombstone_unindexable(t: Tables) -> DataFrame:
@@ -69,7 +79,7 @@ def remap_materialization(t: Tables) -> DataFrame:
 
 def upsert_documents(t: Tables) -> DataFrame:
     incoming = t["manifest"].select("organization_id", F.when(F.regexp_extract("source_item_key", r"^src(\d+)/", 1).cast("int") % 2 == 0, "local_folder").otherwise("github").alias("source_type"), F.col("source_item_key").alias("source_document_key"), F.col("source_item_key").alias("title"), F.col("source_checksum").alias("checksum_latest"))
-    return M.upsert_documents(incoming, t["docs"], NOW).select("organization_id", "source_type", "source_document_key", "title", "checksum_latest", "status", "outcome", *_text("deleted_at", "created_at"))
+    return M.upsert_documents(incoming, t["docs"], now()).select("organization_id", "source_type", "source_document_key", "title", "checksum_latest", "status", "outcome", *_text("deleted_at", "created_at"))
 
 
 _CHUNK = ["organization_id", "document_id", "id", "chunk_index", "chunk_text"]
@@ -306,12 +316,12 @@ QUERIES = {
     UNION ALL SELECT organization_id, connector_id, concat(p.p, external_scope_key), NULL, knowledge_space_id + CASE WHEN connector_id LIKE 'src2%' THEN 1 ELSE 0 END, NULL FROM {scopes} CROSS JOIN (SELECT '' AS p UNION ALL SELECT 'more-') p WHERE connector_id NOT LIKE 'src1%' AND id LIKE '%:a') GROUP BY 1, 2, 3))""",
     ),
     "set_status": (
-        lambda t: M.set_status(t["items"], "deleted", NOW).select("id", "status", *_text("deleted_at")),
+        lambda t: M.set_status(t["items"], "deleted", now()).select("id", "status", *_text("deleted_at")),
         f"SELECT id, 'deleted' AS status, CAST(coalesce(deleted_at, {AS_OF}) AS VARCHAR) AS deleted_at FROM {{items}}",
     ),
     "upsert_schedules": (upsert_schedules, "SELECT connector_scope_id, CASE WHEN connector_scope_id LIKE '%:b' THEN 'active' ELSE status END AS status, CASE WHEN connector_scope_id LIKE '%:b' THEN 1800 ELSE interval_seconds END AS interval_seconds, CAST(CASE WHEN connector_scope_id LIKE '%:b' THEN DATE '2024-02-01' ELSE next_run_at END AS VARCHAR) AS next_run_at FROM {schedules}"),
-    "purge_expired": (lambda t: M.purge_expired(t["user_grants"], "expires_at", NOW).select("organization_id", "user_id", "knowledge_space_id"), f"SELECT organization_id, user_id, knowledge_space_id FROM {{user_grants}} WHERE expires_at IS NULL OR expires_at > {AS_OF}"),
-    "expire_stale": (lambda t: M.expire_stale(t["jobs"], "lease_expires_at", JOBS_AT, 20).select("id"), f"SELECT id FROM {{jobs}} WHERE id NOT IN (SELECT id FROM {{jobs}} WHERE lease_expires_at <= {_JOBS_AT} ORDER BY lease_expires_at, id LIMIT 20)"),
+    "purge_expired": (lambda t: M.purge_expired(t["user_grants"], "expires_at", now()).select("organization_id", "user_id", "knowledge_space_id"), f"SELECT organization_id, user_id, knowledge_space_id FROM {{user_grants}} WHERE expires_at IS NULL OR expires_at > {AS_OF}"),
+    "expire_stale": (lambda t: M.expire_stale(t["jobs"], "lease_expires_at", jobs_at(), 20).select("id"), f"SELECT id FROM {{jobs}} WHERE id NOT IN (SELECT id FROM {{jobs}} WHERE lease_expires_at <= {_JOBS_AT} ORDER BY lease_expires_at, id LIMIT 20)"),
     "skip_finished": (skip_finished, "SELECT user_id AS run_id, event_id AS item_id FROM {events} e WHERE NOT EXISTS (SELECT 1 FROM {run_items} r WHERE r.run_id = e.user_id AND r.item_id = e.event_id AND r.status = 'succeeded')"),
     "reject_stale": (reject_stale, "SELECT m.organization_id, m.connector_id, m.source_item_key, m.source_checksum AS expected_checksum, i.id IS NULL OR i.source_checksum <> m.source_checksum AS is_stale FROM {manifest} m LEFT JOIN {items} i USING (organization_id, connector_id, source_item_key)"),
     "upsert_snapshot": (snapshot_upsert, "SELECT organization_id, id, CASE WHEN id % 2 = 0 THEN 'reviewed' ELSE status END AS status, normalized_email FROM {users}"),
@@ -343,10 +353,10 @@ QUERIES = {
     "job_history": (lambda t: H.job_history(t["jobs"], 1, 50, status="failed").select("id"), "SELECT id FROM {jobs} WHERE status = 'failed' ORDER BY created_at DESC, id DESC LIMIT 50"),
     "runs_of_job": (lambda t: H.runs_of_job(t["events"].select(F.col("event_id").alias("id"), F.col("user_id").alias("job_id"), F.col("ts").alias("started_at")), 5).select("id", "job_id", "place"), "SELECT event_id AS id, user_id AS job_id, place FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS place FROM {events}) WHERE place <= 5"),
     "eligible_jobs": (
-        lambda t: H.eligible_jobs(t["jobs"], t["connectors"], JOBS_AT).select(_JOB),
+        lambda t: H.eligible_jobs(t["jobs"], t["connectors"], jobs_at()).select(_JOB),
         f"SELECT {', '.join(_JOB)} FROM {{jobs}} j WHERE status IN ('queued', 'retry_wait') AND (next_attempt_at IS NULL OR next_attempt_at <= {_JOBS_AT}) AND cancel_requested_at IS NULL AND attempt_count < max_attempts AND EXISTS (SELECT 1 FROM {{connectors}} c WHERE c.id = j.connector_id AND c.organization_id = j.organization_id)",
     ),
-    "expired_leases": (lambda t: H.expired_leases(t["jobs"], JOBS_AT).select("id", "fate"), f"SELECT id, CASE WHEN cancel_requested_at IS NOT NULL THEN 'cancelled' WHEN attempt_count < max_attempts THEN 'retry_wait' ELSE 'failed' END AS fate FROM {{jobs}} WHERE status = 'running' AND lease_expires_at <= {_JOBS_AT}"),
+    "expired_leases": (lambda t: H.expired_leases(t["jobs"], jobs_at()).select("id", "fate"), f"SELECT id, CASE WHEN cancel_requested_at IS NOT NULL THEN 'cancelled' WHEN attempt_count < max_attempts THEN 'retry_wait' ELSE 'failed' END AS fate FROM {{jobs}} WHERE status = 'running' AND lease_expires_at <= {_JOBS_AT}"),
     "retry_decision": (
         retry_decision,
         "WITH kinds(kind, category, code, retryable) AS (VALUES " + ", ".join(f"('{a}', '{b}', '{c}', {str(d).lower()})" for a, b, c, d in H.FAILURE_KINDS) + """) SELECT id, kind, CASE WHEN stop THEN 'internal' ELSE category END AS category, CASE WHEN stop THEN 'execution_cancelled' ELSE code END AS code, decision,
@@ -363,7 +373,7 @@ QUERIES = {
   FROM {schedules} h JOIN {connectors} c ON c.id = h.connector_id JOIN {scopes} s ON s.id = h.connector_scope_id WHERE h.status = 'active' AND h.next_run_at <= DATE '2024-01-12')""",
     ),
     "attempt_runs": (lambda t: H.attempt_runs(t["jobs"]), "SELECT id, attempt_count, CASE WHEN attempt_count > 1 THEN 'retry' ELSE mode END AS mode, CASE WHEN attempt_count > 1 THEN 'retry' ELSE trigger_type END AS trigger_type FROM {jobs} WHERE attempt_count > 0"),
-    "index_backlog": (lambda t: H.index_backlog(t["index_states"], NOW, reason="new_version").select("id", "status"), f"SELECT id, status FROM {{index_states}} WHERE reason = 'new_version' AND (indexed_generation IS NULL OR indexed_generation < desired_generation) AND (next_retry_at IS NULL OR next_retry_at <= {AS_OF})"),
+    "index_backlog": (lambda t: H.index_backlog(t["index_states"], now(), reason="new_version").select("id", "status"), f"SELECT id, status FROM {{index_states}} WHERE reason = 'new_version' AND (indexed_generation IS NULL OR indexed_generation < desired_generation) AND (next_retry_at IS NULL OR next_retry_at <= {AS_OF})"),
     # predicates and scalars
     "valid_path": (paths, "SELECT page_id, path, octet_length(encode(path)) <= 1024 AND len(string_split(path, '/')) <= 64 AND NOT contains(path, '\\') AND len(list_filter(string_split(path, '/'), lambda x: x IN ('', '.', '..') OR strlen(x) > 255)) = 0 AS valid FROM (SELECT page_id, concat(regexp_replace(url, '^.*://', ''), CASE WHEN page_id % 7 = 0 THEN '/../x' WHEN page_id % 5 = 0 THEN '\\y' ELSE '' END) AS path FROM {pages})"),
     "skip_reason": (
