@@ -2,9 +2,9 @@
 
 Rules decide the urls that they fit.  For the others, hosts are judged: a host's trust and distrust
 start at the shares of its pages that rules allow and block.  Trust follows links (personalised
-PageRank from trusted hosts), distrust follows them backwards from blocked ones.  A host that has no
-links in a direction keeps its own there.  A host is blocked if its distrust is at least BLOCKED and
-above its trust; a wholly blocked host without links has 1.
+PageRank from trusted hosts), distrust follows them backwards from blocked ones; both are in units of
+the restart, so a wholly blocked host that nothing reaches has 1.  A host is blocked if its distrust
+is at least BLOCKED and above its trust.
 
 Everything is DataFrame functions.  Links are summed to host edges before they are shuffled.  A null
 url, or one without `://`, has an empty host and path; such pages count as one host that links nowhere.
@@ -61,13 +61,14 @@ def spread(seeds: DataFrame, links: DataFrame, rounds: int = ROUNDS, damping: fl
     into = links.groupBy(F.col("dst").alias("host")).agg(F.sum("n").alias("n_in"))
     forth = links.join(out.withColumnRenamed("host", "src"), "src").select(F.col("src").alias("from"), F.col("dst").alias("to"), (F.col("n") / F.col("n_out")).alias("wt"), F.lit(0.0).alias("wd"))
     back = links.join(into.withColumnRenamed("host", "dst"), "dst").select(F.col("dst").alias("from"), F.col("src").alias("to"), F.lit(0.0).alias("wt"), (F.col("n") / F.col("n_in")).alias("wd"))
-    own = hosts.join(out, "host", "left").join(into, "host", "left").select(F.col("host").alias("from"), F.col("host").alias("to"), F.when(F.col("n_out").isNull(), 1.0).otherwise(0.0).alias("wt"), F.when(F.col("n_in").isNull(), 1.0).otherwise(0.0).alias("wd"))
+    # every host gets a sum in each round, be it 0
+    own = hosts.select(F.col("host").alias("from"), F.col("host").alias("to"), F.lit(0.0).alias("wt"), F.lit(0.0).alias("wd"))
     edges = tk.cut(forth.unionByName(back).unionByName(own))
     base = tk.cut(hosts)
     score = base.select("host", F.col("trust0").alias("trust"), F.col("distrust0").alias("distrust"))
     for i in range(rounds if not links.isEmpty() else 0):
         given = edges.join(score, edges["from"] == score["host"]).groupBy("to").agg(F.sum(F.col("wt") * F.col("trust")).alias("t"), F.sum(F.col("wd") * F.col("distrust")).alias("d"))
-        score = base.join(given, base["host"] == given["to"]).select("host", ((1 - damping) * F.col("trust0") + damping * F.col("t")).alias("trust"), ((1 - damping) * F.col("distrust0") + damping * F.col("d")).alias("distrust"))
+        score = base.join(given, base["host"] == given["to"]).select("host", (F.col("trust0") + damping * F.col("t")).alias("trust"), (F.col("distrust0") + damping * F.col("d")).alias("distrust"))
         if i % 3 == 2:
             score = tk.cut(score)
     return score
@@ -104,11 +105,11 @@ hosts AS (SELECT host, sum(t0) AS t0, sum(d0) AS d0 FROM (SELECT * FROM seeds UN
 edges AS (
   SELECT src AS f, dst AS t, n / sum(n) OVER (PARTITION BY src) AS wt, 0.0 AS wd FROM links
   UNION ALL SELECT dst, src, 0.0, n / sum(n) OVER (PARTITION BY dst) FROM links
-  UNION ALL SELECT host, host, CASE WHEN host IN (SELECT src FROM links) THEN 0.0 ELSE 1.0 END, CASE WHEN host IN (SELECT dst FROM links) THEN 0.0 ELSE 1.0 END FROM hosts),
+  UNION ALL SELECT host, host, 0.0, 0.0 FROM hosts),
 score(i, host, trust, distrust) AS (
   SELECT 0, host, CAST(t0 AS DOUBLE), CAST(d0 AS DOUBLE) FROM hosts
   UNION ALL
-  SELECT s.i + 1, h.host, CAST({1 - DAMPING} * any_value(h.t0) + {DAMPING} * sum(e.wt * s.trust) AS DOUBLE), CAST({1 - DAMPING} * any_value(h.d0) + {DAMPING} * sum(e.wd * s.distrust) AS DOUBLE)
+  SELECT s.i + 1, h.host, CAST(any_value(h.t0) + {DAMPING} * sum(e.wt * s.trust) AS DOUBLE), CAST(any_value(h.d0) + {DAMPING} * sum(e.wd * s.distrust) AS DOUBLE)
   FROM score s JOIN edges e ON e.f = s.host JOIN hosts h ON h.host = e.t WHERE s.i < {ROUNDS} GROUP BY s.i, h.host)
 SELECT f.page_id, f.host, f.path, f.best.rule AS rule,
   coalesce(f.best.v, CASE WHEN s.distrust >= {BLOCKED} AND s.distrust > s.trust THEN 'block' ELSE 'allow' END) AS verdict
