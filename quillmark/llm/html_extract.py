@@ -29,7 +29,7 @@ from . import textkit as tk
 #: Pages from which weights are learned.
 SAMPLE = 2000
 #: Scores of tags of parts that are never content, and of tags that no labelled page has.
-UNWANTED_TAG, UNKNOWN_TAG = -0.5, -0.5
+UNWANTED_TAG, UNKNOWN_TAG = -0.05, -0.5
 
 # Elements by their part in a page.
 _NEVER = frozenset("script style noscript template head title svg math iframe object embed canvas audio video select option textarea button form input label nav footer aside menu dialog fieldset datalist".split())
@@ -170,7 +170,7 @@ class Weights:
     def score(self, kind: str, value: str, node: Node | None, words: int) -> float:
         if node is not None and node.unwanted:
             # left out of the text in any case, so a region may span it
-            return -0.05 * words if kind == "text" else UNWANTED_TAG
+            return -0.01 * words if kind == "text" else UNWANTED_TAG
         known = self.known.get(_feature(kind, value, node))
         if kind == "text":
             return words * (known if known is not None else 0.5)
