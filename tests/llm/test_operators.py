@@ -57,7 +57,7 @@ def test_fingerprints(spark):
         assert rows[k]["edited_sha256"] == hashlib.sha256((t[: len(t) - half] + after[:half]).encode()).hexdigest()
         assert 0 <= rows[k]["near_next"] <= 1
     assert rows[3]["fingerprint"] == rows[4]["fingerprint"] and rows[0]["fingerprint"] == ""
-    assert abs(rows[len(ODD)]["near_edited"] - 0.5) < 0.25
+    assert abs(rows[len(ODD) + 1]["near_edited"] - 0.5) < 0.25
     a, b = fingerprints.sketches(pa.array([prose(5, 500), prose(6, 500)]))
     (both,) = fingerprints.sketches(pa.array([prose(5, 500) + "\n" + prose(6, 500)]))
     assert fingerprints.containment(a, both) > 0.9 and len(np.setdiff1d(fingerprints.merge(a, b), both)) <= 0
@@ -81,12 +81,12 @@ PAGE = "<html><head><title>T</title></head><body><nav><ul><li><a href=x>menu</a>
 
 
 def test_html(spark):
-    pages = spark.createDataFrame([(1, PAGE), (2, None), (3, ""), (4, "plain words"), (5, "<p"), (6, PAGE.replace("</article>", "<aside>no</aside><p>Last</p></article><section class=comments><p>me too " + "x " * 300 + "</p></section>"))], "page_id long, html string")
+    pages = spark.createDataFrame([(1, PAGE), (2, None), (3, ""), (4, "plain words"), (5, "<p"), (6, PAGE.replace("</article>", "<aside>no</aside><p>Last words</p></article><section class=comments><p>me too " + "x " * 300 + "</p></section>"))], "page_id long, html string")
     weights = html_extract.train(pages)
     got = {r["page_id"]: r["text"] for r in html_extract.extract_text(pages, weights).collect()}
     assert got[1] == "Head\n\nSome & text more.\n\nBoldly"
     assert got[2] == got[3] == "" and got[4] == "plain words"
-    assert got[6] == "Head\n\nSome & text more.\n\nBoldly\n\nLast"
+    assert got[6] == "Head\n\nSome & text more.\n\nBoldly\n\nLast words"
     assert html_extract.extract_text(pages.limit(0), weights).count() == 0
 
 
@@ -116,7 +116,7 @@ def test_substring_dedup(spark):
 
 def test_urls(spark):
     urls = ["http://A.net/x?y", "https://b.example.net/en/1", "http://example.com/de/2", "x.org", None, "http://c.org/fr/", "http://d.org", "ftp://evil.net"]
-    html = ["", "", "", "", None, '<a href="http://d.org/1">', '<a href="//a.net/2"> <a href="http://EVIL.net">', ""]
+    html = ["", "", "", "", None, '<a href="/fr/x">', '<a href="//a.net/2"> <a href="http://EVIL.net">', ""]
     pages = spark.createDataFrame([(i, u, h) for i, (u, h) in enumerate(zip(urls, html, strict=True))], "page_id long, url string, html string")
     rows = {r["page_id"]: r for r in url_filter.judge_urls(pages).collect()}
     assert (rows[0]["host"], rows[0]["path"], rows[0]["rule"], rows[0]["verdict"]) == ("a.net", "/x", "net/", "block")
@@ -172,8 +172,7 @@ def test_bpe(spark):
     own = bpe.Tokenizer(json.loads(bpe._read(bpe.default_vocabulary())))
     texts = [t or "" for t in ODD] + ["<|endoftext|>Hi<|startoftext|>", "don't WE'LL aaaaaaaaaaaa!!!!!!!", "ΣΑΣ \x1c İ", "123 45,6"]
     for t, e in zip(texts, known.encode_batch(texts, add_special_tokens=False), strict=True):
-        packed, _ = own.encode(t)
-        ids = np.frombuffer(packed, "<u4")
+        ids = np.frombuffer(own.encode(t), "<u4")
         assert ids.tolist() == e.ids
         assert own.decode(ids) == known.decode(e.ids, skip_special_tokens=False)
     rows = {r["doc_id"]: r for r in bpe.token_digests(made(spark, texts), bpe.default_vocabulary()).collect()}
@@ -251,7 +250,8 @@ def test_fit_budget_against_brute_force():
             reached = {x + k * s for x in reached for k in range(c + 1)}
         take = mixing.fit_budget(size, count, budget, 3)
         assert (take <= count).all() and (take >= 0).all()
-        assert abs((take * size).sum() - budget) <= 30
+        budget = min(budget, int((size * count).sum()))
+        assert 0 <= budget - (take * size).sum() <= 30
 
 
 def test_pipeline(spark, tmp_path):
