@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, functions as F
 from . import textkit as tk
 
 #: Chunks that a worker remembers in each of two generations; the older one is dropped when the newer is full.
-REMEMBERED = 250_000
+REMEMBERED = 150_000
 #: Stands for the end-of-word mark at the end of a piece.
 _END = "\n"
 _NEVER = 1 << 60
@@ -52,9 +52,9 @@ class Tokenizer:
         self._rules(spec)
         own = lambda s: s[: -len(mark)] + _END if s.endswith(mark) else s
         self.ids = {own(k): v for k, v in model["vocab"].items()}
-        self.names = {v: k for k, v in model["vocab"].items()}
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
-        self.names |= {v: k for k, v in self.special.items()}
+        names = {v: k for k, v in (model["vocab"] | self.special).items()}
+        self.names = np.array([names.get(i, "") for i in range(max(names) + 1)], object)
         self._split_special = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
         letters = _byte_letters()
         self._to_letters = {b: letters[b] for b in range(256)}
@@ -74,8 +74,9 @@ class Tokenizer:
             if self._alone(token, parts):
                 self.automaton.add_word(token, token)
         self.automaton.make_automaton()
-        self._known: dict[str, tuple[bytes, str]] = {}
-        self._older: dict[str, tuple[bytes, str]] = {}
+        #: Packed ids of chunks met lately, in two generations.
+        self._known: dict[str, bytes] = {}
+        self._older: dict[str, bytes] = {}
 
     def _rules(self, spec: dict) -> None:
         """Normal form: NFC, runs of white space to one space, lower case; pieces by a pattern; then bytes."""
@@ -120,7 +121,7 @@ class Tokenizer:
         key = (left, right)
         fits = self._fits.get(key)
         if fits is None:
-            if len(self._fits) > 4 * REMEMBERED:
+            if len(self._fits) > 2 * REMEMBERED:
                 self._fits.clear()
             fits = self._fits[key] = self._apart(left, right, self._parts)
         return fits
@@ -128,59 +129,70 @@ class Tokenizer:
     def piece_tokens(self, piece: str) -> list[str]:
         """The tokens of one piece, given as byte letters and the end mark."""
         last: list[str | None] = [None] * len(piece)
+        known = self._fits.get
         for end, token in self.automaton.iter(piece):
+            if last[end] is not None:
+                continue
             before = end - len(token)
-            if last[end] is None and (before < 0 or last[before] is not None and self._compatible(last[before], token)):
+            if before < 0:
                 last[end] = token
+            elif (left := last[before]) is not None:
+                fits = known((left, token))
+                if fits is None:
+                    fits = self._compatible(left, token)
+                if fits:
+                    last[end] = token
         out, at = [], len(piece) - 1
         while at >= 0:
             out.append(last[at])
             at -= len(last[at])
         return out[::-1]
 
-    def _chunk(self, chunk: str) -> tuple[bytes, str]:
-        """Packed ids and joined token strings of text without white space."""
+    def _encoded(self, chunk: str) -> bytes:
+        """Packed ids of text without white space."""
         tokens = []
-        seen = chunk if chunk.isascii() else chunk.translate(_unassigned())
-        for found in self._piece.finditer(seen):
-            piece = chunk[found.start() : found.end()]
-            tokens += self.piece_tokens("".join(map(self._to_letters.__getitem__, piece.encode())) + _END)
-        ids = [self.ids[t] for t in tokens]
-        return struct.pack(f"<{len(ids)}I", *ids), " ".join(self.names[i] for i in ids)
-
-    def _plain(self, text: str) -> list[tuple[bytes, str]]:
+        if chunk.isalpha():
+            pieces = [chunk]
+        else:
+            seen = chunk if chunk.isascii() else chunk.translate(_unassigned())
+            pieces = [chunk[m.start() : m.end()] for m in self._piece.finditer(seen)]
+        for piece in pieces:
+            letters = piece if piece.isascii() and piece.isprintable() else "".join(map(self._to_letters.__getitem__, piece.encode()))
+            tokens += self.piece_tokens(letters + _END)
+        return struct.pack(f"<{len(tokens)}I", *map(self.ids.__getitem__, tokens))
+
+    def _chunk(self, chunk: str) -> bytes:
+        found = self._known.get(chunk)
+        if found is not None:
+            return found
+        if chunk[-1] in ".," and chunk[:-1].isalpha():  # two pieces, each met more often than both together
+            return self._chunk(chunk[:-1]) + self._chunk(chunk[-1])
+        found = self._older.get(chunk)
+        if found is None:
+            found = self._encoded(chunk)
+        if len(chunk) <= 64:
+            if len(self._known) >= REMEMBERED:
+                self._older, self._known = self._known, {}
+            self._known[chunk] = found
+        return found
+
+    def _plain(self, text: str) -> bytes:
         plain = text.isascii() and not _SEPARATORS.search(text)
         if not text.isascii():
             # letter by letter: no form of a letter depends on its place in the word
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
-        known, out = self._known, []
-        for chunk in text.lower().split() if plain else _WHITE.split(text.lower()):
-            if not chunk:
-                continue
-            found = known.get(chunk)
-            if found is None:
-                found = self._older.get(chunk) or self._chunk(chunk)
-                if len(chunk) <= 64:
-                    if len(known) >= REMEMBERED:
-                        self._older, self._known = known, {}
-                        known = self._known
-                    known[chunk] = found
-            out.append(found)
-        return out
-
-    def encode(self, text: str) -> tuple[bytes, str]:
-        """(ids, each in four little-endian bytes; token strings joined by spaces)."""
-        parts: list[tuple[bytes, str]] = []
-        special = self._split_special and "<|" in text
-        for i, part in enumerate(self._split_special.split(text) if special else [text]):
-            if i % 2:
-                parts.append((np.array([self.special[part]], "<u4").tobytes(), part))
-            else:
-                parts += self._plain(part)
-        return b"".join([x for x, _ in parts]), " ".join([y for _, y in parts if y])
+        chunks = text.lower().split() if plain else _WHITE.split(text.lower())
+        return b"".join([self._chunk(x) for x in chunks if x])
+
+    def encode(self, text: str) -> bytes:
+        """The ids, each in four little-endian bytes."""
+        if not (self._split_special and "<|" in text):
+            return self._plain(text)
+        parts = enumerate(self._split_special.split(text))
+        return b"".join([struct.pack("<I", self.special[part]) if i % 2 else self._plain(part) for i, part in parts])
 
     def decode(self, ids: np.ndarray) -> str:
-        return " ".join(map(self.names.__getitem__, ids.tolist()))
+        return " ".join(self.names[ids].tolist())
 
 
 #: White space of the pattern `\s` in the vocabulary's rules: Unicode's property, which leaves out 0x1C to 0x1F.
@@ -223,7 +235,7 @@ def _encoded(column: pa.Array, shared) -> tuple[list[bytes], list[str]]:
     tokenizer = _loaded[key]
     ids, decoded = [], []
     for x in column.to_pylist():
-        packed, _ = tokenizer.encode(x or "")
+        packed = tokenizer.encode(x or "")
         ids.append(packed)
         decoded.append(tokenizer.decode(np.frombuffer(packed, "<u4")))
     return ids, decoded
