@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 SHINGLE_WORDS = 5
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 #: Rows in one Arrow batch: long texts then come in batches of a few megabytes.
 BATCH_ROWS = 1000
 
