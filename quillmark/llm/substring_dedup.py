@@ -10,8 +10,10 @@ A task sends one span of each hash on, its first; its others can't be the first
 that a third of all documents share reaches the shuffle once a task.
 
 Null and empty texts have no sentences, and texts of fewer than RUN_WORDS words no spans: they stay as
-they are.  Repeated rows are copies like any others; rows alike in doc_id and text are cleaned alike,
-the first of them too if it has spans that earlier documents have.  A null doc_id comes last.
+they are.  Rows alike in doc_id and text are one group (null ids too): spans are searched as if it were
+one row, so the first of them loses only what earlier documents have or what it repeats itself; each
+other one is a copy, all of whose sentences that lie in a span are removed.  The first is chosen by the
+other columns.  The rows of a group meet in one task.  A null doc_id comes last.
 """
 
 from __future__ import annotations
@@ -70,7 +72,10 @@ _SPAN = "key long, sure boolean, doc_id long, text_hash long, a int, b int"
 
 
 def _task_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of a task's equal spans the first by its own key; the others by keys that no other row has, as sure repeats."""
+    """Of a task's equal spans the first by its own key; the others by keys that no other row has, as sure repeats.
+
+    The same span of a row alike in doc_id and text is left out.
+    """
     parts = []
     for batch in batches:
         doc, hashed = batch.column(0), batch.column(1).to_numpy()
@@ -83,8 +88,12 @@ def _task_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     value, ids, hashed, a, b = (np.concatenate(x) for x in zip(*parts, strict=True))
     del parts
     order = np.lexsort((a, hashed, ids, value))
+    value, ids, hashed, a, b = (x[order] for x in (value, ids, hashed, a, b))
+    new = np.ones(len(value), bool)
+    new[1:] = (value[1:] != value[:-1]) | (ids[1:] != ids[:-1]) | (hashed[1:] != hashed[:-1]) | (a[1:] != a[:-1])
+    value, ids, hashed, a, b = (x[new] for x in (value, ids, hashed, a, b))
     again = np.zeros(len(value), bool)
-    again[order[1:]] = value[order[1:]] == value[order[:-1]]
+    again[1:] = value[1:] == value[:-1]
     own = tk.mix(ids.view(np.uint64) * np.uint64(31) + hashed.view(np.uint64) + a.view(np.uint32).astype(np.uint64)).view(np.int64)
     value = np.where(again, own, value)
     for i in range(0, len(value), 50_000):
@@ -95,19 +104,23 @@ def _task_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """(doc_id, text_hash, a, b): the sentences a to b of a text repeat earlier ones; null ids are the largest long."""
     found = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), "text").mapInArrow(_task_spans, _SPAN)
-    place = F.row_number().over(Window.partitionBy("key", "sure").orderBy("doc_id", "text_hash", "a"))
+    # rows alike in doc_id and text tie for the first place, whichever tasks they come from
+    place = F.rank().over(Window.partitionBy("key", "sure").orderBy("doc_id", "text_hash", "a"))
     return found.withColumn("_place", place).filter(F.col("sure") | (F.col("_place") > 1)).select("doc_id", "text_hash", "a", "b")
 
 
 _OUT = pa.struct([("text", pa.string()), ("n_sentences", pa.int64()), ("n_removed", pa.int64()), ("removed", pa.string())])
 
 
-def _clean(text: str | None, runs: list | None) -> dict:
+def _clean(text: str | None, runs: list | None, copy: bool = False) -> dict:
     if not text:
         return {"text": text, "n_sentences": 0, "n_removed": 0, "removed": ""}
     raw = text.encode()
     w = tk.words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
     first, after = sentences(w)
+    if copy:
+        _, _, a, b = spans(w)
+        runs = [{"a": x, "b": y} for x, y in zip(a, b, strict=True)]
     if not runs:
         return {"text": text, "n_sentences": len(first), "n_removed": 0, "removed": ""}
     edge = np.zeros(len(first) + 1, np.int64)
@@ -138,11 +151,14 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     hits = hits.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "_runs")
 
     @F.arrow_udf("struct<text:string,n_sentences:long,n_removed:long,removed:string>")
-    def clean(column: pa.Array, runs: pa.Array) -> pa.Array:
-        return pa.array([_clean(x, r) for x, r in zip(column.to_pylist(), runs.to_pylist(), strict=True)], _OUT)
+    def clean(column: pa.Array, runs: pa.Array, copy: pa.Array) -> pa.Array:
+        return pa.array([_clean(*x) for x in zip(column.to_pylist(), runs.to_pylist(), copy.to_pylist(), strict=True)], _OUT)
 
     left = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1))).withColumn("_hash", F.xxhash64("text"))
-    done = left.join(hits, ["_id", "_hash"], "left").withColumn("_done", clean.asNondeterministic()(F.col("text"), F.col("_runs")))
+    others = [F.col(f.name) for f in docs.schema if f.name not in ("doc_id", "text") and "map<" not in f.dataType.simpleString()]
+    place = F.row_number().over(Window.partitionBy("_id", "_hash").orderBy(F.xxhash64(F.lit(0), *others)))
+    left = left.withColumn("_copy", place > 1)
+    done = left.join(hits, ["_id", "_hash"], "left").withColumn("_done", clean.asNondeterministic()(F.col("text"), F.col("_runs"), F.col("_copy")))
     new = [F.col("_done.n_sentences").alias("n_sentences"), F.col("_done.n_removed").alias("n_removed"), F.col("_done.removed").alias("removed")]
     return done.select(*[F.col("_done.text").alias("text") if c == "text" else F.col(c) for c in docs.columns if c not in ("n_sentences", "n_removed", "removed")], *new)
 

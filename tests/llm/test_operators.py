@@ -114,6 +114,23 @@ def test_substring_dedup(spark):
     assert substring_dedup.remove_repeats(made(spark, texts).limit(0)).count() == 0
 
 
+def test_substring_dedup_of_rows_alike_in_id_and_text(spark):
+    a, b, c, shared = prose(50, 60), prose(51, 60), prose(52, 60), prose(53, 30)
+    rows = [(3, a), (3, a), (3, a), (None, b), (None, b), (None, c), (4, "a few words"), (4, "a few words"), (1, shared + "."), (5, shared + ". " + a[:5]), (5, shared + ". " + a[:5])]
+    for parts in (1, 5):
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+        found = defaultdict(list)
+        for r in substring_dedup.remove_repeats(docs).collect():
+            found[r["doc_id"]].append(r["text"])
+        assert {k: sorted(v) for k, v in found.items()} == {
+            1: [shared + "."],
+            3: ["", "", a],
+            4: ["a few words"] * 2,
+            5: ["", a[:5]],
+            None: sorted(["", b, c]),
+        }
+
+
 def test_urls(spark):
     urls = ["http://A.net/x?y", "https://b.example.net/en/1", "http://example.com/de/2", "x.org", None, "http://c.org/fr/", "http://d.org", "ftp://evil.net"]
     html = ["", "", "", "", None, '<a href="/fr/x">', '<a href="//a.net/2"> <a href="http://EVIL.net">', ""]
