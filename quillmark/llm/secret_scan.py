@@ -1,7 +1,10 @@
 """Secret scans: fixed patterns, and a battery of randomness tests for strings of any other form.
 
-Candidates are runs of 20 or more letters, digits and `+/_=-` that are not one case of letters only.
-Their encoding is inferred from the letters used (hex, base 32, base 64 or its URL form).  Against
+Candidates are runs of LEAST_RANDOM or more letters, digits and `+/_=-`, cut where base spans are, and as
+alternatives to a whole run its pieces between each set of separators in SPLITS (so `key=...`, a part of a
+path, or what stands beside an access id is tested by itself).  Only runs of digits, of separators or of one
+character are left out.  A find that lies inside another find is not listed again.
+Their encoding is inferred from the letters used (the smallest of _ENCODINGS that has them all).  Against
 "random in this encoding" three tests are made: chi-squared of the alphabet's uniformity, runs above
 and below its middle, and serial correlation of neighbours; a candidate that any of them refutes at
 BATTERY_LEVEL (divided by the tests) is not random.  Against "a word or name of the corpus", the
@@ -15,9 +18,10 @@ Offsets count code points; ends are exclusive.
 
 from __future__ import annotations
 
-import hashlib
+import bisect
 import math
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +37,13 @@ KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 LEAST_ASSIGN, LEAST_ACCESS = 8, 16
 KINDS = ("assign", "access", "hex", "random")
 
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
-_ONE_KIND = re.compile(r"[a-z]+|[A-Z]+|[A-Z]?[a-z]+|[0-9]+|(.)\1*|[-_=+/]+")
+LEAST_RANDOM = 20
+CANDIDATE = re.compile(rf"[A-Za-z0-9+/_=-]{{{LEAST_RANDOM},}}")
+_ONE_KIND = re.compile(r"[0-9]+|(.)\1*|[-_=+/]+")
+#: Sets of separators that a run is split at, after those that are parts of them.
+SPLITS = ("=", "=/", "=+", "=-", "=_", "=/+", "=-_", "=/+-_")
+_PIECES = {x: re.compile(f"[^{re.escape(x)}]{{{LEAST_RANDOM},}}") for x in SPLITS}
+_COARSER = {x: [y for y in SPLITS if set(y) < set(x)] for x in SPLITS}
 #: The battery's level, and the share of false finds among all that are let through.
 BATTERY_LEVEL, FALSE_SHARE = 0.01, 0.001
 #: Bins of -log10(p) in the histogram for the control, and their width.
@@ -44,7 +53,12 @@ _DIGITS, _LOWER = "0123456789", "abcdefghijklmnopqrstuvwxyz"
 _ENCODINGS = (
     ("hex", _DIGITS + "abcdef"),
     ("hex", _DIGITS + "ABCDEF"),
+    ("letters", _LOWER),
+    ("letters", _LOWER.upper()),
+    ("base32", _LOWER + "234567"),
     ("base32", _LOWER.upper() + "234567"),
+    ("base36", _LOWER + _DIGITS),
+    ("base36", _LOWER.upper() + _DIGITS),
     ("alnum", _LOWER.upper() + _LOWER + _DIGITS),
     ("base64", _LOWER.upper() + _LOWER + _DIGITS + "+/"),
     ("base64url", _LOWER.upper() + _LOWER + _DIGITS + "-_"),
@@ -74,6 +88,8 @@ def _upper_chi(x: float, df: int) -> float:
 def judge(token: str) -> tuple[str, float, float]:
     """(encoding, p of the battery against random, p against running text)."""
     body = token.rstrip("=")
+    if len(body) < 2:
+        return "", 0.0, 1.0
     for name, alphabet in _ENCODINGS:
         at = {c: i for i, c in enumerate(alphabet)}
         if all(c in at for c in body):
@@ -118,31 +134,69 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out + [("hex", m.start(), m.end()) for m in HEX.finditer(text)]
 
 
-def random_spans(text: str, taken: list[tuple[str, int, int]]) -> list[tuple[int, int, float]]:
-    """(start, end, p against running text) of candidates that touch no taken span; p is 1 for those that the battery refutes."""
+def _alternatives(run: str) -> list[tuple[int, int, list[tuple[int, int]]]]:
+    """(start, end, alternatives around it) of a run without leading `=` and of its pieces; each place once."""
+    whole = (0, len(run))
+    out: dict[tuple[int, int], set[tuple[int, int]]] = {whole: set()}
+    core = run.rstrip("=")
+    pieces: dict[str, list[tuple[int, int]]] = {}
+    for split in SPLITS if any(c in core for c in SPLITS[-1]) else ():
+        # trailing `=` pads the last piece
+        pieces[split] = [(m.start(), len(run) if m.end() == len(core) else m.end()) for m in _PIECES[split].finditer(core)]
+        starts = {c: [s for s, _ in pieces[c]] for c in _COARSER[split]}
+        for piece in pieces[split]:
+            around = out.setdefault(piece, set())
+            around.add(whole)
+            for coarser in _COARSER[split]:
+                i = bisect.bisect_right(starts[coarser], piece[0]) - 1
+                if i >= 0 and pieces[coarser][i][1] >= piece[1]:
+                    around.add(pieces[coarser][i])
+            around.discard(piece)
+    return [(s, e, list(around)) for (s, e), around in sorted(out.items())]
+
+
+def random_spans(text: str, taken: list[tuple[str, int, int]]) -> list[tuple[int, int, float, float]]:
+    """(start, end, p against running text, least p of candidates around it) of candidates beside the taken spans.
+
+    p is 1 for those that the battery refutes; the last is above 1 where no candidate is around.
+    """
     out = []
     for m in CANDIDATE.finditer(text):
         a, b = m.span()
-        if _ONE_KIND.fullmatch(m[0]) or any(s < b and a < e for _, s, e in taken):
-            continue
-        _, battery, p = judge(m[0])
-        out.append((a, b, p if battery > BATTERY_LEVEL else 1.0))
+        at, free = a, []
+        for _, s, e in sorted((t for t in taken if t[1] < b and a < t[2]), key=lambda t: t[1]):
+            free.append((at, s))
+            at = max(at, e)
+        for start, end in (*free, (at, b)):
+            run = text[start:end].lstrip("=")
+            if len(run) < LEAST_RANDOM:
+                continue
+            start = end - len(run)
+            found: dict[tuple[int, int], float] = {}
+            alternatives = _alternatives(run)
+            for s, e, _ in alternatives:
+                if not _ONE_KIND.fullmatch(run, s, e):
+                    _, battery, p = judge(run[s:e])
+                    found[s, e] = p if battery > BATTERY_LEVEL else 1.0
+            for s, e, around in alternatives:
+                if (s, e) in found:
+                    out.append((start + s, start + e, found[s, e], min((found[x] for x in around if x in found), default=2.0)))
     return out
 
 
-_SPANS = "array<struct<kind:string,start:long,end:long,p:double>>"
-_SPAN_TYPE = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("p", pa.float64())]))
+_SPANS = "array<struct<kind:string,start:long,end:long,p:double,outer:double>>"
+_SPAN_TYPE = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("p", pa.float64()), ("outer", pa.float64())]))
 
 
 def with_spans(docs: DataFrame, text: str = "text", out: str = "spans") -> DataFrame:
-    """docs with all base spans (p is null) and all candidates with their p-values."""
+    """docs with all base spans (p is null) and all candidates with their p-values and the least of those around them."""
 
     @F.arrow_udf(_SPANS)
     def find(column: pa.Array) -> pa.Array:
         rows = []
         for x in column.to_pylist():
             base = base_spans(x) if x else []
-            rows.append([{"kind": k, "start": a, "end": b, "p": None} for k, a, b in base] + [{"kind": "random", "start": a, "end": b, "p": p} for a, b, p in (random_spans(x, base) if x else [])])
+            rows.append([{"kind": k, "start": a, "end": b, "p": None, "outer": None} for k, a, b in base] + [{"kind": "random", "start": a, "end": b, "p": p, "outer": o} for a, b, p, o in (random_spans(x, base) if x else [])])
         return pa.array(rows, _SPAN_TYPE)
 
     return docs.withColumn(out, find.asNondeterministic()(F.col(text)))
@@ -151,14 +205,23 @@ def with_spans(docs: DataFrame, text: str = "text", out: str = "spans") -> DataF
 def discovery_level(scanned: DataFrame, spans: str = "spans", share: float = FALSE_SHARE) -> float:
     """The p-value up to which candidates are let through: at most `share` of them false.
 
-    The histogram has BINS bins whatever the corpus; a bin's p-values count as its largest.
+    The histogram has BINS bins whatever the corpus; a bin's p-values count as its largest.  Every
+    alternative counts as a test, but one that lies inside another find is no find of its own.
     """
     p = F.explode(F.expr(f"filter({spans}, s -> s.kind = 'random')")).alias("s")
-    bin_ = F.least(F.lit(BINS), F.floor(-F.log10(F.greatest(F.col("s.p"), F.lit(1e-300))) / BIN)).alias("bin")
-    rows = dict(scanned.select(p).select(bin_).groupBy("bin").count().collect())
-    total, so_far, level = sum(rows.values()), 0, 0.0
-    for b in sorted(rows, reverse=True):
-        so_far += rows[b]
+    bin_ = lambda p: F.least(F.lit(BINS), F.floor(-F.log10(F.greatest(p, F.lit(1e-300))) / BIN))
+    # a find until the candidate around it is one
+    pairs = scanned.select(p).select(bin_(F.col("s.p")).alias("bin"), F.when(F.col("s.outer") <= 1, bin_(F.col("s.outer"))).alias("until"))
+    rows = pairs.groupBy("bin", "until").count().collect()
+    total, gains = sum(r["count"] for r in rows), Counter()
+    for r in rows:
+        if r["until"] is None or r["until"] < r["bin"]:
+            gains[r["bin"]] += r["count"]
+            if r["until"] is not None:
+                gains[r["until"]] -= r["count"]
+    so_far, level = 0, 0.0
+    for b in sorted(gains, reverse=True):
+        so_far += gains[b]
         most = 10 ** (-b * BIN)
         if most * total <= share * so_far:
             level = most
@@ -166,8 +229,8 @@ def discovery_level(scanned: DataFrame, spans: str = "spans", share: float = FAL
 
 
 def significant(level: float, spans: str = "spans"):
-    """Column: the base spans and the candidates under the level, by start and then by kind as listed."""
-    keep = F.filter(F.col(spans), lambda s: s["p"].isNull() | (s["p"] <= level))
+    """Column: the base spans and the outermost candidates under the level, by start and then by kind as listed."""
+    keep = F.filter(F.col(spans), lambda s: s["p"].isNull() | ((s["p"] <= level) & (s["outer"] > level)))
     order = F.transform(keep, lambda s: F.struct(s["start"].alias("start"), F.array_position(F.array(*map(F.lit, KINDS)), s["kind"]).alias("rank"), s["end"].alias("end"), s["kind"].alias("kind")))
     return F.array_sort(order)
 

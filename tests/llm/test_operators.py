@@ -102,6 +102,23 @@ def test_secrets(spark):
     assert clean[0] == '[secret]"' and clean[4] is None and clean[6] == "see [secret] here" and clean[7] == texts[7]
 
 
+def test_secrets_beside_other_parts_of_a_run(spark):
+    aws, key, url = "wJalrXUtnFEMI/K7MDENG/bPxRfiCYzQ3vT8uLs0", "Zk3vQ9xT7bLw2Rf8Yh5Nc1Mj6Pd4Gs0Au", "q7Rv-T2xK_b9LmZ4cWd8-YpN3sHf6_JgA"
+    access = "AKIA" + "Q7XB2M" * 3
+    letters = "".join(np.random.default_rng(5).choice(list("abcdefghijklmnopqrstuvwxyz"), 160))
+    texts = [
+        f"AWS_SECRET_ACCESS_KEY={aws}", f"client_key={key}", f"https://x.org/a?sig={key}&b", f"https://x.org/my-page_name/{url}/some-other-words", f"{access}={aws}",
+        f"the {letters} end", "some/long/path_with-words/and=more/of-the_same", "supercalifragilisticexpialidocious", "internationalization_and_localization-of-words", f"plain {key} alone", "a" + "=" * 30,
+    ]
+    scanned = secret_scan.with_spans(made(spark, texts))
+    level = secret_scan.discovery_level(scanned)
+    found = {r["doc_id"]: [(s["kind"], texts[r["doc_id"]][s["start"] : s["end"]]) for s in r["all"]] for r in scanned.select("doc_id", secret_scan.significant(level).alias("all")).collect()}
+    assert found == {
+        0: [("random", aws)], 1: [("random", key)], 2: [("random", key)], 3: [("random", url)], 4: [("access", access), ("random", aws)],
+        5: [("random", letters)], 6: [], 7: [], 8: [], 9: [("random", key)], 10: [],
+    }
+
+
 def test_substring_dedup(spark):
     passage = ". ".join(prose(9, 60).split(". "))
     texts = [f"Alpha beta.\n{passage}\nOmega.", f"Gamma.\n{passage}\nDelta psi.", passage, None, "", "short one.", "short one."]
