@@ -6,12 +6,16 @@ is the proven bound of what is broadcast (a few MB for real text).  Spark counts
 whole text, with the counts of a task summed before the shuffle; counts that other orders need follow
 from those.  A model is kept as sorted arrays, looked up by binary search.
 
-A text's log perplexity is judged against its language's band: the quartiles of all texts of that
-language that pass the base rules, widened by FENCE times their distance, and more for texts shorter than
-FULL_LENGTH, whose means vary more.
+The model is of each language's distinct texts that pass the base rules; copies count once.
 
-Null text counts as empty, null lang as a language of its own.  Texts without words fail the base
-rules.  Repeated rows count as often as they come.  Other columns are kept by `apply_rules`.
+A text's log perplexity is judged against its language's band: the shortest interval that holds half of
+these texts (so that junk of up to half can't set it), widened by FENCE times its length, and more for
+texts shorter than FULL_LENGTH, whose means vary more.  A source larger than its language's mean source
+counts as one of that size.  A language of fewer than LEAST_TEXTS distinct texts has no band.  All of it
+follows from integer counts, so reruns agree.
+
+Null text counts as empty, null lang as a language of its own, null source as a source.  Texts without
+words fail the base rules.  Other columns are kept by `apply_rules`.
 """
 
 from __future__ import annotations
@@ -20,14 +24,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from . import textkit as tk
 
 ORDER, BITS = 4, 6
 MIN_WORDS, WINDOW, MAX_REPEAT = 20, 8, 30
-#: Interquartile distances that the band reaches beyond the quartiles, and the least such distance.
+#: Lengths of the shortest half that the band reaches beyond it, and the least such length.
 FENCE, LEAST_SPREAD = 3.0, 0.02
+#: Steps of log perplexity that are counted, and the distinct texts from which a language has a band.
+STEP, LEAST_TEXTS = 0.002, 10
+#: The parts of a text that a capped source's counts are rounded to.
+PARTS = 1000
 #: Word characters from which a text's band is no wider than others'.
 FULL_LENGTH = 1000
 
@@ -75,8 +83,12 @@ def _summed(key: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return key[first], np.add.reduceat(count, first) if len(key) else count
 
 
+def _language(lang: str) -> Column:
+    return F.coalesce(F.col(lang).cast("string"), F.lit(""))
+
+
 def count_ngrams(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
-    """(lang, gram, n) over all texts."""
+    """(lang, gram, n) over the distinct texts of each language that pass the base rules."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names: dict[str, int] = {}
@@ -85,6 +97,9 @@ def count_ngrams(docs: DataFrame, text: str = "text", lang: str = "lang") -> Dat
             code = np.array([names.setdefault(x or "", len(names)) for x in batch.column(0).to_pylist()], np.int64)
             for at, data, offsets in tk.text_slices(batch.column(1)):
                 gram, row = grams(data, offsets)
+                w = tk.words(data, offsets)
+                good = ~((w.counts < MIN_WORDS) | (100 * _repeated(w, tk.word_hashes(w), len(offsets) - 1) > MAX_REPEAT * w.counts))[row]
+                gram, row = gram[good], row[good]
                 key, n = np.unique(gram | (code[at + row] << (ORDER * BITS)), return_counts=True)
                 held.append((key, n))
                 size += len(key)
@@ -98,7 +113,7 @@ def count_ngrams(docs: DataFrame, text: str = "text", lang: str = "lang") -> Dat
                 part = key[at : at + 100_000]
                 yield pa.RecordBatch.from_arrays([pa.array(values[part >> (ORDER * BITS)], pa.string()), pa.array((part & ((1 << (ORDER * BITS)) - 1)).astype(np.int32)), pa.array(n[at : at + 100_000].astype(np.int64))], names=["lang", "gram", "n"])
 
-    counted = docs.select(F.col(lang).cast("string"), F.col(text)).mapInArrow(run, "lang string, gram int, n long")
+    counted = docs.select(_language(lang).alias("lang"), F.col(text).alias("text")).distinct().mapInArrow(run, "lang string, gram int, n long")
     return counted.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
@@ -234,21 +249,46 @@ def base_failed(q: str = "quality"):
     return (F.col(f"{q}.n_words") < MIN_WORDS) | (100 * F.col(f"{q}.n_repeat_words") > MAX_REPEAT * F.col(f"{q}.n_words"))
 
 
-def bands(scored: DataFrame, lang: str = "lang") -> dict[str, tuple[float, float, float]]:
-    """For each language the quartiles of log perplexity of its texts that pass the base rules, and the reach of its band beyond them."""
-    q = F.percentile_approx("quality.log_perplexity", [0.25, 0.75], 10_000)
-    rows = scored.filter(~base_failed()).groupBy(F.coalesce(F.col(lang).cast("string"), F.lit("")).alias("lang")).agg(q.alias("q")).collect()
+def shortest_half(counts: dict[int, int]) -> tuple[int, int]:
+    """The ends of the shortest range of keys that has half of the counts: of those, the one that has most."""
+    keys = sorted(counts)
+    below = np.concatenate([[0], np.cumsum([counts[k] for k in keys])])
+    best = None
+    for i, low in enumerate(keys):
+        j = int(np.searchsorted(2 * (below - below[i]), below[-1]))  # keys[i] to keys[j - 1]
+        if j > len(keys):
+            break
+        found = (keys[j - 1] - low, -(below[j] - below[i]), low)
+        best = min(best, found) if best else found
+    return best[2], best[2] + best[0]
+
+
+def bands(scored: DataFrame, lang: str = "lang", text: str = "text", source: str = "source") -> dict[str, tuple[float, float, float]]:
+    """For each language the shortest half of log perplexity of its distinct texts that pass the base rules, and the reach of its band beyond.
+
+    `text` may be a column of hashes.  The driver gets a count for each language and STEP of log perplexity.
+    """
+    place = F.col(source).cast("string") if source in scored.columns else F.lit(None).cast("string")
+    rows = scored.filter(~base_failed()).select(_language(lang).alias("lang"), F.col(text).alias("text"), place.alias("source"), F.round(F.col("quality.log_perplexity") / STEP).cast("long").alias("step"))
+    texts = rows.groupBy("lang", "text").agg(F.min("source").alias("source"), F.min("step").alias("step"))
+    counted = tk.cut(texts.groupBy("lang", "source", "step").agg(F.count("*").alias("n")))
+    sources = counted.groupBy("lang", "source").agg(F.sum("n").alias("own"))
+    langs = sources.groupBy("lang").agg(F.sum("own").alias("all"), F.count("*").alias("sources"))
+    capped = sources.join(langs, "lang").select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), "all", F.least(F.lit(1.0), F.col("all") / F.col("sources") / F.col("own")).alias("share"))
+    shared = counted.join(capped, (F.col("lang") == F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source"))).filter(F.col("all") >= LEAST_TEXTS)
+    found: dict[str, dict[int, int]] = {}
+    for r in shared.groupBy("lang", "step").agg(F.sum(F.ceil(PARTS * F.col("n") * F.col("share"))).alias("n")).collect():
+        found.setdefault(r["lang"], {})[r["step"]] = r["n"]
     out = {}
-    for r in rows:
-        low, high = r["q"]
-        reach = FENCE * max(high - low, LEAST_SPREAD)
-        out[r["lang"]] = (low, high, reach)
+    for name, counts in sorted(found.items()):
+        low, high = shortest_half(counts)
+        out[name] = ((low - 0.5) * STEP, (high + 0.5) * STEP, FENCE * max((high - low + 1) * STEP, LEAST_SPREAD))
     return out
 
 
 def verdict(limits: dict[str, tuple[float, float, float]], lang: str = "lang"):
     """Column: not failed by the base rules, and inside the language's band."""
-    key = F.coalesce(F.col(lang).cast("string"), F.lit(""))
+    key = _language(lang)
     inside = F.lit(True)
     if limits:
         pairs = [x for k, v in limits.items() for x in (F.lit(k), F.array(*map(F.lit, v)))]
@@ -261,14 +301,14 @@ def verdict(limits: dict[str, tuple[float, float, float]], lang: str = "lang"):
 def apply_rules(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
     """The rows of docs that the rules keep."""
     scored = with_metrics(docs, train(docs, text, lang), text, lang)
-    limits = bands(scored, lang)
+    limits = bands(scored.withColumn("_text", F.xxhash64(text)), lang, "_text")
     return scored.filter(verdict(limits, lang)).select(*docs.columns)
 
 
 def op9_quality(spark, sf_dir: str) -> DataFrame:
     tk.small_batches(spark)
-    docs = tk.table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    scored = tk.cut(with_metrics(docs, train(docs)).drop("text"))
-    kept = verdict(bands(scored))
+    docs = tk.table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    scored = tk.cut(with_metrics(docs, train(docs)).withColumn("_text", F.xxhash64("text")).drop("text"))
+    kept = verdict(bands(scored, text="_text"))
     base = [F.col(f"quality.{x}").alias(x) for x in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
     return scored.select("doc_id", *base, base_failed().alias("base_failed"), kept.alias("kept"), F.exp("quality.log_perplexity").alias("perplexity"))

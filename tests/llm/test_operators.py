@@ -234,6 +234,26 @@ def test_quality(spark):
     assert quality.apply_rules(docs.limit(0)).count() == 0
 
 
+def test_quality_bands_with_a_third_of_junk(spark):
+    rng = np.random.default_rng(3)
+    clean, junk = rng.normal(2.0, 0.05, 660), rng.normal(3.5, 0.1, 340)
+    rows = [(i, f"t{i}", "en", f"s{i % 7}" if i < 660 else "hot", float(p)) for i, p in enumerate([*clean, *junk])]
+    # a copy counts once, however often it comes
+    rows += [(2000 + i, "copied", "en", "hot", 5.0) for i in range(1500)] + [(5000, "alone", "fr", None, 9.0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, p double")
+    scored = docs.withColumn("quality", F.struct(*[F.lit(v).cast("long").alias(k) for k, v in (("n_words", 300), ("word_chars", 1500), ("n_repeat_words", 0))], F.col("p").alias("log_perplexity")))
+    limits = quality.bands(scored)
+    assert limits == quality.bands(scored.repartition(7)) and set(limits) == {"en"}
+    kept = {r["doc_id"] for r in scored.filter(quality.verdict(limits)).select("doc_id").collect()}
+    assert kept == {*range(660), 5000}
+
+
+def test_quality_counts_distinct_texts_that_pass(spark):
+    texts = [prose(1, 60), prose(2, 60)]
+    once = {(r["gram"], r["n"]) for r in quality.count_ngrams(made(spark, texts)).collect()}
+    assert once == {(r["gram"], r["n"]) for r in quality.count_ngrams(made(spark, [*texts, *texts[:1] * 9, "again " * 300, "too few words", None])).collect()}
+
+
 def test_kneser_ney_sums_to_one():
     gram, _ = quality.grams(np.frombuffer((prose(3, 400) + "\n").encode(), np.uint8), np.array([0, len(prose(3, 400)) + 1]))
     model = quality.KneserNey(*np.unique(gram, return_counts=True))
