@@ -14,21 +14,24 @@ FAN = 16
 def components(edges: DataFrame) -> DataFrame:
     """(node, label) of every node of edges (a, b): the label is the least node that it can reach.
 
-    Each round takes the least label among neighbours; rounds end when no label changes.  Every round
-    is written to the checkpoint folder.
+    Each round takes the least label among neighbours and then the label of that label, so a chain of n
+    nodes takes about log n rounds.  Rounds end when no label changes; each is written to the checkpoint
+    folder.  Labels that many nodes share are looked up by `join_few`, not in one task.
     """
     pairs = edges.select("a", "b")
     both = tk.cut(pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label"))
-    seen = None
-    while True:
-        labels = tk.cut(labels)
-        state = labels.agg(*[F.sum(F.pmod(F.xxhash64(F.lit(s), "label"), F.lit(1 << 40))) for s in (1, 2)]).first()
-        if state == seen:
-            return labels
-        seen = state
-        near = both.join(labels.withColumnRenamed("node", "b"), "b").select(F.col("a").alias("node"), "label")
-        labels = near.unionByName(labels).groupBy("node").agg(F.min("label").alias("label"))
+    labels = tk.cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")))
+    while not labels.isEmpty():
+        near = both.join(labels.withColumnRenamed("node", "b"), "b").select(F.col("a").alias("node"), "label", F.lit(None).cast("binary").alias("old"))
+        own = labels.select("node", "label", F.col("label").alias("old"))
+        lower = tk.cut(near.unionByName(own).groupBy("node").agg(F.min("label").alias("label"), F.max("old").alias("old")))
+        if lower.filter("label <> old").isEmpty():
+            break
+        # only labels that aren't their own label lead on
+        on = lower.filter("label <> node").select(F.col("node").alias("label"), F.col("label").alias("next")).join(lower.select("label").distinct(), "label", "left_semi")
+        jumped = tk.join_few(lower.select("node", "label"), on, ["label"], "node", "left")
+        labels = tk.cut(jumped.select("node", F.coalesce("next", "label").alias("label")))
+    return labels
 
 
 def forest(near, n: int) -> list[np.ndarray]:

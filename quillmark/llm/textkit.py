@@ -14,12 +14,14 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 SHINGLE_WORDS = 5
 SLICE_BYTES = 1 << 19
 #: Rows in one Arrow batch: long texts then come in batches of a few megabytes.
 BATCH_ROWS = 1000
+#: The most rows of a side that is broadcast, and the parts that a key's rows are dealt into otherwise.
+BROADCAST_ROWS, SALTS = 50_000, 16
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -196,5 +198,31 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(place)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names like those wanted that no column of df has, whatever the case of its letters."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def join_few(left: DataFrame, right: DataFrame, keys: list[str], by: str, how: str = "inner") -> DataFrame:
+    """left joined with right, which has one row for each key, so that a key of many rows of left isn't one task's.
+
+    A right side of at most BROADCAST_ROWS rows is broadcast.  A larger one is repeated SALTS times, and left's
+    rows are dealt over the repetitions by a hash of its column `by`.  Keys must not be null.
+    """
+    right = cut(right)
+    if right.count() <= BROADCAST_ROWS:
+        return left.join(F.broadcast(right), keys, how)
+    (salt,) = fresh(left, "_salt")
+    spread = right.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return left.withColumn(salt, F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int")).join(spread, [*keys, salt], how).drop(salt)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
