@@ -1,12 +1,20 @@
 """Quality rules: repetition and length rules, then n-gram perplexity inside a band for each language.
 
-The language model is an interpolated modified Kneser-Ney model of symbol 4-grams for each value of
-`lang`.  Bytes are read as 64 symbols, so a model has at most 64**4 n-grams whatever the corpus: that
-is the proven bound of what is broadcast (a few MB for real text).  Spark counts the n-grams of every
-whole text, with the counts of a task summed before the shuffle; counts that other orders need follow
-from those.  A model is kept as sorted arrays, looked up by binary search.
-
-The model is of each language's distinct texts that pass the base rules; copies count once.
+The language model is an interpolated modified Kneser-Ney model of ORDER symbols for each value of `lang`.
+A code point below ESCAPE is one symbol, any other is two (its upper and its lower bits), so nothing is
+folded but kinds of white space, an n-gram is a whole number of 60 bits, and the model grows with the corpus.
+Spark counts in how many distinct texts each n-gram stands (the counts of a task summed before the shuffle),
+counts continuations of shorter ones from it, and makes discounts, back-off weights and probabilities by
+grouping and joining; no table of n-grams goes through the driver.  The discount of a count of 1 is 1, so
+what only one text has lends it no weight: a text isn't judged by itself.
+
+A model of at most SHARED_GRAMS n-grams is sent to all tasks as sorted arrays and looked up by binary search.
+A larger one stays a table: texts are packed into slices of one language and about SLICE_SYMBOLS symbols,
+each slice's distinct n-grams are joined to the model, and what is found comes back to the slice as such
+arrays.  Both ways give the same numbers.
+
+The model is of each language's distinct texts that pass the base rules; copies count once.  Texts that fail
+have no perplexity.
 
 A text's log perplexity is judged against its language's band: the shortest interval that holds half of
 these texts (so that junk of up to half can't set it), widened by FENCE times its length, and more for
@@ -14,8 +22,8 @@ texts shorter than FULL_LENGTH, whose means vary more.  A source larger than its
 counts as one of that size.  A language of fewer than LEAST_TEXTS distinct texts has no band.  All of it
 follows from integer counts, so reruns agree.
 
-Null text counts as empty, null lang as a language of its own, null source as a source.  Texts without
-words fail the base rules.  Other columns are kept by `apply_rules`.
+Null text counts as empty, null lang as the language with the empty name, null source as a source.  Texts
+without words fail the base rules.  Other columns are kept by `apply_rules`.
 """
 
 from __future__ import annotations
@@ -23,13 +31,18 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from . import textkit as tk
 
-ORDER, BITS = 4, 6
+ORDER, BITS = 5, 12
+#: Code points from here on are two symbols.
+ESCAPE = 0xE00
 MIN_WORDS, WINDOW, MAX_REPEAT = 20, 8, 30
+#: N-grams of a model that is sent to all tasks (12 bytes each), and symbols in a slice for a larger one.
+SHARED_GRAMS, SLICE_SYMBOLS = 8_000_000, 1 << 23
 #: Lengths of the shortest half that the band reaches beyond it, and the least such length.
 FENCE, LEAST_SPREAD = 3.0, 0.02
 #: Steps of log perplexity that are counted, and the distinct texts from which a language has a band.
@@ -39,41 +52,36 @@ PARTS = 1000
 #: Word characters from which a text's band is no wider than others'.
 FULL_LENGTH = 1000
 
-
-def _symbols() -> np.ndarray:
-    """Byte to symbol: white space 0, a-z, digits, kinds of punctuation, upper case, and bytes above ASCII."""
-    out = np.full(256, 33, np.int32)
-    for b in range(33, 127):
-        c = chr(b)
-        if "a" <= c <= "z":
-            out[b] = 1 + b - 97
-        elif "A" <= c <= "Z":
-            out[b] = 34 + (b & 7)
-        elif c.isdigit():
-            out[b] = 27
-        else:
-            out[b] = 28 if c == "." else 29 if c == "," else 30 if c in "!?;:" else 32 if c in "#*$%&|<>" else 31
-    out[[9, 10, 11, 12, 13, 32]] = 0
-    for b in range(128, 256):
-        out[b] = 42 + (b & 15) if b < 192 else 58 + (b >> 2) % 6
-    return out
+_WHITE = [9, 10, 11, 12, 13, 32]
 
 
-SYMBOL = _symbols()
+def symbols(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(symbol, row) of a slice of texts."""
+    point = np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32).astype(np.int64)
+    starts = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])[offsets]
+    row = np.repeat(np.arange(len(offsets) - 1), np.diff(starts))[: len(point)]
+    point[np.isin(point, _WHITE)] = 32
+    wide = point >= ESCAPE
+    if not wide.any():
+        return point, row
+    at = np.arange(len(point)) + np.concatenate([[0], np.cumsum(wide)[:-1]])
+    out = np.zeros(len(point) + int(wide.sum()), np.int64)
+    out[at] = np.where(wide, ESCAPE + (point >> BITS), point)
+    out[at[wide] + 1] = point[wide] & ((1 << BITS) - 1)
+    return out, np.repeat(row, 1 + wide)
 
 
 def grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(n-gram that ends at the byte, row) for every byte; a text follows white space."""
-    rows = len(offsets) - 1
-    row = np.repeat(np.arange(rows), np.diff(offsets))
-    pad = ORDER - 1
-    padded = np.zeros(len(data) + pad * rows, np.int32)
-    at = np.arange(len(data)) + pad * (row + 1)
-    padded[at] = SYMBOL[data]
-    out = np.zeros(len(data), np.int32)
+    """(n-gram that ends at the symbol, row) for every symbol; a text follows white space."""
+    symbol, row = symbols(data, offsets)
+    pad, rows = ORDER - 1, len(offsets) - 1
+    padded = np.full(len(symbol) + pad * rows, 32, np.int64)
+    at = np.arange(len(symbol)) + pad * (row + 1)
+    padded[at] = symbol
+    out = np.zeros(max(len(padded) - pad, 0), np.int64)
     for k in range(ORDER):
-        out = (out << BITS) | padded[at - (pad - k)]
-    return out, row
+        out = (out << BITS) | padded[k : k + len(out)]
+    return out[at - pad], row
 
 
 def _summed(key: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -83,101 +91,104 @@ def _summed(key: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return key[first], np.add.reduceat(count, first) if len(key) else count
 
 
+def _texts_of(gram: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(n-gram, in how many rows), of n-grams by row."""
+    order = np.argsort(gram, kind="stable")
+    gram, row = gram[order], row[order]
+    new = np.ones(len(gram), bool)
+    new[1:] = (gram[1:] != gram[:-1]) | (row[1:] != row[:-1])
+    gram = gram[new]
+    first = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]])) if len(gram) else np.zeros(0, int)
+    return gram[first], np.diff(np.append(first, len(gram)))
+
+
 def _language(lang: str) -> Column:
     return F.coalesce(F.col(lang).cast("string"), F.lit(""))
 
 
+def distinct_texts(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
+    """(lang, text), each once: only texts that have copies are shuffled, as long as hashes of these are few."""
+    rows = docs.select(_language(lang).alias("lang"), F.col(text).alias("text")).withColumn("hash", F.xxhash64("lang", "text"))
+    again = tk.cut(rows.groupBy("hash").agg(F.count("*").alias("n")).filter("n > 1"))
+    if again.count() > tk.BROADCAST_ROWS:
+        return rows.select("lang", "text").distinct()
+    copied = rows.join(F.broadcast(again), "hash", "left_semi").select("lang", "text").distinct()
+    return rows.join(F.broadcast(again), "hash", "left_anti").select("lang", "text").unionByName(copied)
+
+
 def count_ngrams(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
-    """(lang, gram, n) over the distinct texts of each language that pass the base rules."""
+    """(lang, gram, n): the distinct texts of a language, of those that pass the base rules, that have the n-gram."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names: dict[str, int] = {}
-        held, size = [], 0
+        held: dict[str, list] = {}
+        size = 0
         for batch in batches:
-            code = np.array([names.setdefault(x or "", len(names)) for x in batch.column(0).to_pylist()], np.int64)
+            langs = batch.column(0).to_pylist()
             for at, data, offsets in tk.text_slices(batch.column(1)):
-                gram, row = grams(data, offsets)
+                rows = len(offsets) - 1
                 w = tk.words(data, offsets)
-                good = ~((w.counts < MIN_WORDS) | (100 * _repeated(w, tk.word_hashes(w), len(offsets) - 1) > MAX_REPEAT * w.counts))[row]
-                gram, row = gram[good], row[good]
-                key, n = np.unique(gram | (code[at + row] << (ORDER * BITS)), return_counts=True)
-                held.append((key, n))
-                size += len(key)
-            if size > 1_000_000:
-                held = [_summed(np.concatenate([k for k, _ in held]), np.concatenate([n for _, n in held]))]
-                size = 0
-        if held:
-            key, n = _summed(np.concatenate([k for k, _ in held]), np.concatenate([n for _, n in held]))
-            values = np.array(list(names) or [""], object)
-            for at in range(0, len(key), 100_000):
-                part = key[at : at + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array(values[part >> (ORDER * BITS)], pa.string()), pa.array((part & ((1 << (ORDER * BITS)) - 1)).astype(np.int32)), pa.array(n[at : at + 100_000].astype(np.int64))], names=["lang", "gram", "n"])
-
-    counted = docs.select(_language(lang).alias("lang"), F.col(text).alias("text")).distinct().mapInArrow(run, "lang string, gram int, n long")
+                good = ~((w.counts < MIN_WORDS) | (100 * _repeated(w, tk.word_hashes(w), rows) > MAX_REPEAT * w.counts))
+                gram, row = grams(data, offsets)
+                names = np.array(langs[at : at + rows], object)
+                for name in dict.fromkeys(names.tolist()):
+                    some = (good & (names == name))[row]
+                    if some.any():
+                        found = _texts_of(gram[some], row[some])
+                        held.setdefault(name, []).append(found)
+                        size += len(found[0])
+            if size > 2_000_000:
+                held = {k: [_summed(*map(np.concatenate, zip(*v, strict=True)))] for k, v in held.items()}
+                size = sum(len(v[0][0]) for v in held.values())
+                if size > 2_000_000:  # what one task may hold
+                    yield from out(held)
+                    held, size = {}, 0
+        yield from out(held)
+
+    def out(held: dict[str, list]) -> Iterator[pa.RecordBatch]:
+        for name, parts in held.items():
+            gram, n = _summed(*map(np.concatenate, zip(*parts, strict=True)))
+            for i in range(0, len(gram), 100_000):
+                part = slice(i, i + 100_000)
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(gram[part]), pa.string()), pa.array(gram[part]), pa.array(n[part].astype(np.int64))], names=["lang", "gram", "n"])
+
+    counted = distinct_texts(docs, text, lang).mapInArrow(run, "lang string, gram long, n long")
     return counted.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
-class KneserNey:
-    """keys[k], logs[k]: n-grams of order k+1, sorted, and their log probabilities; contexts[k], backs[k]: their contexts and log weights of lower orders."""
-
-    def __init__(self, gram: np.ndarray, count: np.ndarray) -> None:
-        order = np.argsort(gram)
-        levels = [(gram[order].astype(np.int64), count[order].astype(np.float64))]
-        for k in range(ORDER - 1, 0, -1):  # how many different symbols stand before each shorter n-gram
-            key, n = np.unique(levels[0][0] & ((1 << (BITS * k)) - 1), return_counts=True)
-            levels.insert(0, (key, n.astype(np.float64)))
-        self.keys, self.logs, self.contexts, self.backs = [], [], [], []
-        below = np.zeros(0)
-        for k, (key, n) in enumerate(levels):
-            context = key >> BITS
-            first = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]]))
-            of = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(key))))
-            cut = np.array([0.0, *_discounts(n)])[np.minimum(n, 3).astype(int)]
-            total = np.add.reduceat(n, first)
-            back = np.add.reduceat(cut, first) / total
-            lower = below[np.searchsorted(levels[k - 1][0], key & ((1 << (BITS * k)) - 1))] if k else 1 / (1 << BITS)
-            below = (n - cut) / total[of] + back[of] * lower
-            self.keys.append(key.astype(np.int32))
-            self.logs.append(np.log(below).astype(np.float32))
-            self.contexts.append(context[first].astype(np.int32))
-            self.backs.append(np.log(back).astype(np.float32))
-
-    def log_probabilities(self, gram: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(gram), np.float32)
-        left = np.arange(len(gram))
-        for k in range(ORDER - 1, -1, -1):
-            part = gram[left] & ((1 << (BITS * (k + 1))) - 1)
-            at, found = _find(self.keys[k], part)
-            out[left[found]] += self.logs[k][at[found]]
-            left, part = left[~found], part[~found]
-            if not len(left):
-                return out
-            at, found = _find(self.contexts[k], part >> BITS)
-            out[left[found]] += self.backs[k][at[found]]
-        out[left] -= np.float32(np.log(1 << BITS))
-        return out
-
-
-def _discounts(n: np.ndarray) -> tuple[float, float, float]:
-    """Of counts 1, 2, and 3 or more."""
-    n1, n2, n3, n4 = (float(np.count_nonzero(n == x)) for x in (1, 2, 3, 4))
-    if not n1 or not n2 or not n3:
-        return 0.5, 0.5, 0.5
+def discounts(level: DataFrame) -> DataFrame:
+    """(lang, d2, d3, size): discounts of counts 2, and 3 or more; that of 1 is 1."""
+    n1, n2, n3, n4 = (F.count_if(F.col("n") == k) for k in (1, 2, 3, 4))
+    few = (n1 == 0) | (n2 == 0) | (n3 == 0)
     y = n1 / (n1 + 2 * n2)
-    return tuple(min(max(x, 0.1), 0.9 * k) for k, x in enumerate((1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3), 1))
-
-
-def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-    return at, keys[at] == wanted
-
-
-def train(docs: DataFrame, text: str = "text", lang: str = "lang") -> dict[str, KneserNey]:
-    """A model for each language.  The driver gets at most 64**4 counts a language, in columns."""
-    counts = count_ngrams(docs, text, lang).toArrow()
-    names = counts["lang"].combine_chunks().dictionary_encode()
-    code, gram, n = names.indices.to_numpy(), counts["gram"].to_numpy(), counts["n"].to_numpy()
-    return {x: KneserNey(gram[code == i], n[code == i]) for i, x in enumerate(names.dictionary.to_pylist())}
+    held = lambda x, k: F.when(few, 0.5).otherwise(F.least(F.greatest(x, F.lit(0.1)), F.lit(0.9 * k)))
+    one = lambda x: F.greatest(x, F.lit(1))
+    return level.groupBy("lang").agg(held(2 - 3 * y * n3 / one(n2), 2).alias("d2"), held(3 - 4 * y * n4 / one(n3), 3).alias("d3"), F.count("*").alias("size"))
+
+
+def train(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
+    """The model: (lang, gram, log), the log probability of each n-gram's last symbol after the others."""
+    return kneser_ney(count_ngrams(docs, text, lang))
+
+
+def kneser_ney(counts: DataFrame) -> DataFrame:
+    levels = [tk.cut(counts)]
+    for k in range(ORDER - 1, 0, -1):  # how many different symbols stand before each shorter n-gram
+        shorter = F.col("gram").bitwiseAND((1 << (BITS * k)) - 1).alias("gram")
+        levels.insert(0, tk.cut(levels[0].select("lang", shorter).groupBy("lang", "gram").agg(F.count("*").alias("n"))))
+    below = None
+    for k, level in enumerate(levels, 1):
+        rows = tk.join_few(level, discounts(level), ["lang"], "gram").withColumn("context", F.shiftright("gram", BITS))
+        off = F.when(F.col("n") == 1, 1.0).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
+        n1, n2 = F.count_if(F.col("n") == 1), F.count_if(F.col("n") == 2)
+        around = rows.groupBy("lang", "context").agg(F.sum("n").alias("total"), (n1 + n2 * F.first("d2") + (F.count("*") - n1 - n2) * F.first("d3")).alias("freed"))
+        rows = rows.withColumn("off", off).join(around, ["lang", "context"])
+        if below is None:
+            lower = 1 / F.col("size")
+        else:
+            rows = rows.withColumn("shorter", F.col("gram").bitwiseAND((1 << (BITS * (k - 1))) - 1)).join(below.select("lang", F.col("gram").alias("shorter"), F.col("p").alias("lower")), ["lang", "shorter"])
+            lower = F.col("lower")
+        below = tk.cut(rows.select("lang", "gram", ((F.col("n") - F.col("off")) / F.col("total") + F.col("freed") / F.col("total") * lower).alias("p")))
+    return below.select("lang", "gram", F.ln("p").cast("float").alias("log"))
 
 
 def _repeated(w: tk.Words, hashes: np.ndarray, rows: int) -> np.ndarray:
@@ -208,41 +219,112 @@ def _duplicate_lines(text: str | None) -> int:
 
 
 METRICS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, log_perplexity double"
+_STRUCT = f"struct<{METRICS.replace(' long', ':long').replace(' double', ':double')}>"
+
+#: A language's n-grams, sorted, and their log probabilities.
+Arrays = tuple[np.ndarray, np.ndarray]
 
 
-def metrics(column: pa.Array, lang: list[str | None], models: dict[str, KneserNey]) -> dict[str, np.ndarray]:
-    parts = {x.split()[0]: [] for x in METRICS.split(", ")}
+def _log_perplexity(gram: np.ndarray, arrays: Arrays | None) -> float | None:
+    if arrays is None or not len(gram):
+        return None
+    key, log = arrays
+    at = np.minimum(np.searchsorted(key, gram), len(key) - 1)
+    return -float(log[at].mean(dtype=np.float64)) if (key[at] == gram).all() else None
+
+
+def metrics(column: pa.Array, lang: list[str | None], models: dict[str, Arrays]) -> pa.StructArray:
+    parts: dict[str, list] = {x.split()[0]: [] for x in METRICS.split(", ")}
     for first, data, offsets in tk.text_slices(column):
         rows = len(offsets) - 1
         w = tk.words(data, offsets)
         by_row = np.repeat(np.arange(rows), np.diff(offsets))
         solid = ~tk._SPACE[data] & ((data & 0xC0) != 0x80)
+        repeated = _repeated(w, tk.word_hashes(w), rows)
         parts["n_words"].append(w.counts)
         parts["word_chars"].append(np.bincount(by_row[solid], minlength=rows))
         parts["n_symbols"].append(np.bincount(by_row[_SYMBOL_BYTES[data]], minlength=rows))
-        parts["n_repeat_words"].append(_repeated(w, tk.word_hashes(w), rows))
-        gram, _ = grams(data, offsets)
-        score = np.zeros(rows)
-        for r in range(rows):
-            a, b = offsets[r], offsets[r + 1]
-            model = models.get(lang[first + r] or "")
-            if b > a and model:
-                score[r] = -float(model.log_probabilities(gram[a:b]).mean(dtype=np.float64))
-        parts["log_perplexity"].append(score)
+        parts["n_repeat_words"].append(repeated)
+        gram, row = grams(data, offsets)
+        bounds = np.searchsorted(row, np.arange(rows + 1))
+        good = (w.counts >= MIN_WORDS) & (100 * repeated <= MAX_REPEAT * w.counts)
+        parts["log_perplexity"] += [_log_perplexity(gram[bounds[r] : bounds[r + 1]], models.get(lang[first + r] or "")) if good[r] else None for r in range(rows)]
     parts["n_dup_lines"].append(np.array([_duplicate_lines(x) for x in column.to_pylist()], np.int64))
-    return {k: np.concatenate(v) if v else np.zeros(0, np.int64) for k, v in parts.items()}
+    perplexity = pa.array(parts.pop("log_perplexity"), pa.float64())
+    arrays = {k: pa.array(np.concatenate(v) if v else np.zeros(0, np.int64), pa.int64()) for k, v in parts.items()} | {"log_perplexity": perplexity}
+    return pa.StructArray.from_arrays(list(arrays.values()), list(arrays))
+
+
+def with_metrics(docs: DataFrame, model: DataFrame, text: str = "text", lang: str = "lang", out: str = "quality", shared_grams: int = SHARED_GRAMS) -> DataFrame:
+    """docs with a struct `out` of the METRICS."""
+    model = tk.cut(model)
+    if model.count() > shared_grams:
+        return _by_slices(docs, model, text, lang, out)
+    rows = model.orderBy("lang", "gram").toArrow().combine_chunks()
+    names = rows["lang"].to_numpy(zero_copy_only=False)
+    edges = [0, *(np.flatnonzero(names[1:] != names[:-1]) + 1).tolist(), len(names)] if len(names) else [0]
+    key, log = rows["gram"].to_numpy(), rows["log"].to_numpy()
+    shared = docs.sparkSession.sparkContext.broadcast({names[a]: (key[a:b], log[a:b]) for a, b in zip(edges[:-1], edges[1:], strict=True)})
+
+    @F.arrow_udf(_STRUCT)
+    def measure(column: pa.Array, lang: pa.Array) -> pa.Array:
+        return metrics(column, lang.to_pylist(), shared.value)
 
+    return docs.withColumn(out, measure.asNondeterministic()(F.col(text), F.col(lang).cast("string")))
 
-def with_metrics(docs: DataFrame, models: dict[str, KneserNey], text: str = "text", lang: str = "lang") -> DataFrame:
-    """docs with a struct `quality` of the METRICS."""
-    shared = docs.sparkSession.sparkContext.broadcast(models)
 
-    @F.arrow_udf(f"struct<{METRICS.replace(' long', ':long').replace(' double', ':double')}>")
-    def measure(column: pa.Array, lang: pa.Array) -> pa.Array:
-        found = metrics(column, lang.to_pylist(), shared.value)
-        return pa.StructArray.from_arrays([pa.array(v, pa.float64() if k == "log_perplexity" else pa.int64()) for k, v in found.items()], list(found))
+def _by_slices(docs: DataFrame, model: DataFrame, text: str, lang: str, out: str) -> DataFrame:
+    """The same by joining each slice's distinct n-grams to the model."""
+    place, name = docs.columns.index(text), docs.columns.index(lang)
 
-    return docs.withColumn("quality", measure.asNondeterministic()(F.col(text), F.col(lang).cast("string")))
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        part, n = TaskContext.get().partitionId(), 0
+        held: dict[str, list] = {}
+        size = 0
+
+        def sliced() -> Iterator[pa.RecordBatch]:
+            nonlocal n
+            for own, tables in held.items():
+                rows = pa.Table.from_batches([t for t, _ in tables]).combine_chunks()
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+                    writer.write_table(rows)
+                wanted = np.unique(np.concatenate([g for _, g in tables]))
+                yield pa.RecordBatch.from_arrays([pa.array([(part << 32) + n]), pa.array([own]), pa.array([sink.getvalue().to_pybytes()], pa.binary()), pa.array([wanted], pa.list_(pa.int64()))], names=["slice", "lang", "rows", "grams"])
+                n += 1
+
+        for batch in batches:
+            own = np.array([x or "" for x in batch.column(name).cast(pa.string()).to_pylist()], object)
+            for key in dict.fromkeys(own.tolist()):
+                rows = batch.filter(pa.array(own == key))
+                found = [np.unique(grams(data, offsets)[0]) for _, data, offsets in tk.text_slices(rows.column(place))]
+                held.setdefault(key, []).append((rows, np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)))
+                size += rows.nbytes
+            if size > SLICE_SYMBOLS:
+                yield from sliced()
+                held, size = {}, 0
+        yield from sliced()
+
+    packed = tk.cut(docs.mapInArrow(pack, "slice long, lang string, rows binary, grams array<long>"))
+    wanted = packed.select("slice", "lang", F.explode("grams").alias("gram"))
+    found = wanted.join(model, ["lang", "gram"]).groupBy("slice").agg(F.collect_list(F.struct("gram", "log")).alias("found"))
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for own, raw, log in zip(*(batch.column(batch.schema.names.index(c)) for c in ("lang", "rows", "found")), strict=True):
+                known = {}
+                if log.is_valid and len(log.values):
+                    key, value = (log.values.field(c).to_numpy() for c in ("gram", "log"))
+                    order = np.argsort(key)
+                    known = {own.as_py(): (key[order], value[order])}
+                for rows in pa.ipc.open_stream(raw.as_buffer()):
+                    struct = metrics(rows.column(place), rows.column(name).cast(pa.string()).to_pylist(), known)
+                    yield pa.RecordBatch.from_arrays([*rows.columns, struct], names=[*rows.schema.names, out])
+
+    schema = docs.select("*", F.lit(None).cast(_STRUCT).alias(out)).schema
+    return packed.join(found, "slice", "left").select("lang", "rows", "found").mapInArrow(score, schema)
 
 
 def base_failed(q: str = "quality"):
@@ -263,52 +345,50 @@ def shortest_half(counts: dict[int, int]) -> tuple[int, int]:
     return best[2], best[2] + best[0]
 
 
-def bands(scored: DataFrame, lang: str = "lang", text: str = "text", source: str = "source") -> dict[str, tuple[float, float, float]]:
-    """For each language the shortest half of log perplexity of its distinct texts that pass the base rules, and the reach of its band beyond.
+_BAND = "lang string, low double, high double, reach double"
 
-    `text` may be a column of hashes.  The driver gets a count for each language and STEP of log perplexity.
-    """
+
+def bands(scored: DataFrame, lang: str = "lang", text: str = "text", source: str = "source", q: str = "quality") -> DataFrame:
+    """(lang, low, high, reach): for each language the shortest half of log perplexity of its distinct texts that
+    pass the base rules, and the reach of its band beyond.  `text` may be a column of hashes."""
     place = F.col(source).cast("string") if source in scored.columns else F.lit(None).cast("string")
-    rows = scored.filter(~base_failed()).select(_language(lang).alias("lang"), F.col(text).alias("text"), place.alias("source"), F.round(F.col("quality.log_perplexity") / STEP).cast("long").alias("step"))
+    rows = scored.filter(~base_failed(q) & F.col(f"{q}.log_perplexity").isNotNull()).select(_language(lang).alias("lang"), F.col(text).alias("text"), place.alias("source"), F.round(F.col(f"{q}.log_perplexity") / STEP).cast("long").alias("step"))
     texts = rows.groupBy("lang", "text").agg(F.min("source").alias("source"), F.min("step").alias("step"))
     counted = tk.cut(texts.groupBy("lang", "source", "step").agg(F.count("*").alias("n")))
     sources = counted.groupBy("lang", "source").agg(F.sum("n").alias("own"))
     langs = sources.groupBy("lang").agg(F.sum("own").alias("all"), F.count("*").alias("sources"))
     capped = sources.join(langs, "lang").select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), "all", F.least(F.lit(1.0), F.col("all") / F.col("sources") / F.col("own")).alias("share"))
     shared = counted.join(capped, (F.col("lang") == F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source"))).filter(F.col("all") >= LEAST_TEXTS)
-    found: dict[str, dict[int, int]] = {}
-    for r in shared.groupBy("lang", "step").agg(F.sum(F.ceil(PARTS * F.col("n") * F.col("share"))).alias("n")).collect():
-        found.setdefault(r["lang"], {})[r["step"]] = r["n"]
-    out = {}
-    for name, counts in sorted(found.items()):
-        low, high = shortest_half(counts)
-        out[name] = ((low - 0.5) * STEP, (high + 0.5) * STEP, FENCE * max((high - low + 1) * STEP, LEAST_SPREAD))
-    return out
-
-
-def verdict(limits: dict[str, tuple[float, float, float]], lang: str = "lang"):
-    """Column: not failed by the base rules, and inside the language's band."""
-    key = _language(lang)
-    inside = F.lit(True)
-    if limits:
-        pairs = [x for k, v in limits.items() for x in (F.lit(k), F.array(*map(F.lit, v)))]
-        band = F.try_element_at(F.create_map(*pairs), key)
-        p, reach = F.col("quality.log_perplexity"), band[2] * F.sqrt(F.greatest(F.lit(1.0), F.lit(FULL_LENGTH) / F.col("quality.word_chars")))
-        inside = F.coalesce((p >= band[0] - reach) & (p <= band[1] + reach), F.lit(True))
-    return ~base_failed() & inside
+    steps = shared.groupBy("lang", "step").agg(F.sum(F.ceil(PARTS * F.col("n") * F.col("share"))).alias("n"))
+
+    def half(rows: pd.DataFrame) -> pd.DataFrame:
+        # a row for each step of log perplexity, so their number is bounded
+        low, high = shortest_half(dict(zip(rows["step"].tolist(), rows["n"].tolist(), strict=True)))
+        return pd.DataFrame({"lang": rows["lang"].iloc[:1], "low": (low - 0.5) * STEP, "high": (high + 0.5) * STEP, "reach": FENCE * max((high - low + 1) * STEP, LEAST_SPREAD)})
+
+    return steps.groupBy("lang").applyInPandas(half, _BAND)
+
+
+def judged(scored: DataFrame, limits: DataFrame, by: str, lang: str = "lang", q: str = "quality", out: str = "kept") -> DataFrame:
+    """scored with a boolean `out`: not failed by the base rules, and inside the language's band.  `by` is a column that tells rows apart."""
+    key, low, high, reach = tk.fresh(scored, "_language", "_low", "_high", "_reach")
+    rows = tk.join_few(scored.withColumn(key, _language(lang)), limits.toDF(key, low, high, reach), [key], by, "left")
+    p, wide = F.col(f"{q}.log_perplexity"), F.col(reach) * F.sqrt(F.greatest(F.lit(1.0), F.lit(FULL_LENGTH) / F.greatest(F.col(f"{q}.word_chars"), F.lit(1))))
+    inside = F.coalesce((p >= F.col(low) - wide) & (p <= F.col(high) + wide), F.lit(True))
+    return rows.withColumn(out, ~base_failed(q) & inside).drop(key, low, high, reach)
 
 
 def apply_rules(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
     """The rows of docs that the rules keep."""
-    scored = with_metrics(docs, train(docs, text, lang), text, lang)
-    limits = bands(scored.withColumn("_text", F.xxhash64(text)), lang, "_text")
-    return scored.filter(verdict(limits, lang)).select(*docs.columns)
+    q, hashed, kept = tk.fresh(docs, "_quality", "_text_hash", "_keep")
+    scored = with_metrics(docs, train(docs, text, lang), text, lang, q).withColumn(hashed, F.xxhash64(text))
+    return judged(scored, bands(scored, lang, hashed, q=q), hashed, lang, q, kept).filter(kept).select(*docs.columns)
 
 
 def op9_quality(spark, sf_dir: str) -> DataFrame:
     tk.small_batches(spark)
     docs = tk.table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     scored = tk.cut(with_metrics(docs, train(docs)).withColumn("_text", F.xxhash64("text")).drop("text"))
-    kept = verdict(bands(scored, text="_text"))
     base = [F.col(f"quality.{x}").alias(x) for x in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
-    return scored.select("doc_id", *base, base_failed().alias("base_failed"), kept.alias("kept"), F.exp("quality.log_perplexity").alias("perplexity"))
+    done = judged(scored, bands(scored, text="_text"), "doc_id")
+    return done.select("doc_id", *base, base_failed().alias("base_failed"), "kept", F.exp("quality.log_perplexity").alias("perplexity"))
