@@ -1,15 +1,16 @@
 """Substring dedup by sliding sentence spans.
 
-A sentence ends at a word that ends in `.`, `!` or `?`, or at a line's end.  A span is a shortest run
-of consecutive sentences that has RUN_WORDS words, counted forwards from each sentence and backwards
-from each: so the ends of a repeated passage are covered as well as its middle.  Spans are hashed by
-their words, so white space doesn't matter.  Of equal spans in the whole corpus the first by doc_id,
-text hash and place stays; every sentence that another one covers is removed.
+A sentence ends at a word that ends in `.`, `!` or `?`, or at a line's end.  Spans are every run of SENTENCES
+consecutive sentences, and, so that passages of one or two long sentences are caught as well, every shortest
+run of sentences that has RUN_WORDS words, counted forwards from each sentence and backwards from each.  A run
+of SENTENCES sentences counts only if it has LEAST_WORDS words: below that, equal runs are no passages (dates,
+"Yes.", table cells).  Spans are hashed by their words, so white space doesn't matter.  Of equal spans in the
+whole corpus the first by doc_id, text hash and place stays; every sentence that another one covers is removed.
 
-A task sends one span of each hash on, its first; its others can't be the first of all.  So a passage
-that a third of all documents share reaches the shuffle once a task.
+A task sends one span of each hash on, its first among about SPANS spans; its others can't be the first of
+all.  So a passage that a third of all documents share reaches the shuffle a few times a task.
 
-Null and empty texts have no sentences, and texts of fewer than RUN_WORDS words no spans: they stay as
+Null and empty texts have no sentences, and texts of fewer than LEAST_WORDS words no spans: they stay as
 they are.  Rows alike in doc_id and text are one group (null ids too): spans are searched as if it were
 one row, so the first of them loses only what earlier documents have or what it repeats itself; each
 other one is a copy, all of whose sentences that lie in a span are removed.  The first is chosen by the
@@ -26,7 +27,9 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from . import textkit as tk
 
-RUN_WORDS = 25
+SENTENCES, LEAST_WORDS, RUN_WORDS = 3, 12, 25
+#: Spans that a task holds at once.
+SPANS = 1_000_000
 
 _STOP = np.zeros(256, bool)
 _STOP[[ord(c) for c in ".!?"]] = True
@@ -54,11 +57,11 @@ def spans(w: tk.Words, run_words: int = RUN_WORDS) -> tuple[np.ndarray, np.ndarr
     each = np.arange(len(first))
     forward = np.searchsorted(after, first + run_words)
     backward = np.searchsorted(first, after - run_words, "right") - 1
-    a = np.concatenate([each, backward])
-    b = np.concatenate([forward, each])
+    a = np.concatenate([each, backward, each])
+    b = np.concatenate([forward, each, each + SENTENCES - 1])
     ok = (a >= 0) & (b < len(first))
     a, b = a[ok], b[ok]
-    ok = row[a] == row[b]
+    ok = (row[a] == row[b]) & (after[b] - first[a] >= LEAST_WORDS)
     pair = np.unique(a[ok] * len(first) + b[ok])
     a, b = pair // len(first), pair % len(first)
     power, inverse = tk.powers(len(w.start) + 1)
@@ -72,22 +75,29 @@ _SPAN = "key long, sure boolean, doc_id long, text_hash long, a int, b int"
 
 
 def _task_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of a task's equal spans the first by its own key; the others by keys that no other row has, as sure repeats.
+    """Of equal spans held together the first by its own key; the others by keys that no other row has, as sure repeats.
 
     The same span of a row alike in doc_id and text is left out.
     """
-    parts = []
+    parts: list[tuple[np.ndarray, ...]] = []
+    held = 0
     for batch in batches:
         doc, hashed = batch.column(0), batch.column(1).to_numpy()
         ids = np.where(doc.is_null().to_numpy(False), np.iinfo(np.int64).max, doc.fill_null(0).to_numpy())
         for at, data, offsets in tk.text_slices(batch.column(2)):
             value, row, a, b = spans(tk.words(data, offsets))
             parts.append((value.view(np.int64), ids[at + row], hashed[at + row], a.astype(np.int32), b.astype(np.int32)))
-    if not parts:
-        return
+            held += len(value)
+            if held > SPANS:
+                yield from _firsts(parts)
+                parts, held = [], 0
+    if parts:
+        yield from _firsts(parts)
+
+
+def _firsts(parts: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
     value, ids, hashed, a, b = (np.concatenate(x) for x in zip(*parts, strict=True))
-    del parts
-    order = np.lexsort((a, hashed, ids, value))
+    order = np.lexsort((b, a, hashed, ids, value))
     value, ids, hashed, a, b = (x[order] for x in (value, ids, hashed, a, b))
     new = np.ones(len(value), bool)
     new[1:] = (value[1:] != value[:-1]) | (ids[1:] != ids[:-1]) | (hashed[1:] != hashed[:-1]) | (a[1:] != a[:-1])
@@ -146,21 +156,24 @@ def _clean(text: str | None, runs: list | None, copy: bool = False) -> dict:
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
-    """docs with repeated sentences taken out of `text`, and n_sentences, n_removed, and removed (start:end in the old text's code points)."""
-    hits = repeated_spans(docs).groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("a", "b")).alias("_runs"))
-    hits = hits.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "_runs")
+    """docs with repeated sentences taken out of `text`, and n_sentences, n_removed, and removed (start:end in the old
+    text's code points); columns of these names are replaced."""
+    id_, hash_, runs, copy, done_ = tk.fresh(docs, "_id", "_hash", "_runs", "_copy", "_done")
+    hits = repeated_spans(docs).groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("a", "b")).alias(runs))
+    hits = hits.select(F.col("doc_id").alias(id_), F.col("text_hash").alias(hash_), runs)
 
     @F.arrow_udf("struct<text:string,n_sentences:long,n_removed:long,removed:string>")
     def clean(column: pa.Array, runs: pa.Array, copy: pa.Array) -> pa.Array:
         return pa.array([_clean(*x) for x in zip(column.to_pylist(), runs.to_pylist(), copy.to_pylist(), strict=True)], _OUT)
 
-    left = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1))).withColumn("_hash", F.xxhash64("text"))
+    left = docs.withColumn(id_, F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1))).withColumn(hash_, F.xxhash64("text"))
     others = [F.col(f.name) for f in docs.schema if f.name not in ("doc_id", "text") and "map<" not in f.dataType.simpleString()]
-    place = F.row_number().over(Window.partitionBy("_id", "_hash").orderBy(F.xxhash64(F.lit(0), *others)))
-    left = left.withColumn("_copy", place > 1)
-    done = left.join(hits, ["_id", "_hash"], "left").withColumn("_done", clean.asNondeterministic()(F.col("text"), F.col("_runs"), F.col("_copy")))
-    new = [F.col("_done.n_sentences").alias("n_sentences"), F.col("_done.n_removed").alias("n_removed"), F.col("_done.removed").alias("removed")]
-    return done.select(*[F.col("_done.text").alias("text") if c == "text" else F.col(c) for c in docs.columns if c not in ("n_sentences", "n_removed", "removed")], *new)
+    place = F.row_number().over(Window.partitionBy(id_, hash_).orderBy(F.xxhash64(F.lit(0), *others)))
+    left = left.withColumn(copy, place > 1)
+    done = left.join(hits, [id_, hash_], "left").withColumn(done_, clean.asNondeterministic()(F.col("text"), F.col(runs), F.col(copy)))
+    added = ("n_sentences", "n_removed", "removed")
+    kept = [F.col(f"{done_}.text").alias("text") if c.lower() == "text" else F.col(c) for c in docs.columns if c.lower() not in added]
+    return done.select(*kept, *[F.col(f"{done_}.{c}").alias(c) for c in added])
 
 
 def op5_substring_dedup(spark, sf_dir: str) -> DataFrame:
