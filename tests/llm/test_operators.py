@@ -6,6 +6,7 @@ import hashlib
 import json
 import re
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -60,23 +61,68 @@ def test_fingerprints(spark):
     assert abs(rows[len(ODD) + 1]["near_edited"] - 0.5) < 0.25
     a, b = fingerprints.sketches(pa.array([prose(5, 500), prose(6, 500)]))
     (both,) = fingerprints.sketches(pa.array([prose(5, 500) + "\n" + prose(6, 500)]))
-    assert fingerprints.containment(a, both) > 0.9 and len(np.setdiff1d(fingerprints.merge(a, b), both)) <= 0
-    assert (fingerprints.decode(fingerprints.encode(a)) == a).all()
+    assert fingerprints.containment(a, both) > 0.95 and len(np.setdiff1d(fingerprints.merge(a, b).hashes, both.hashes)) == 0
+    for x in (a, both, *fingerprints.sketches(pa.array(["", "a b", prose(7, 30)]))):
+        again = fingerprints.decode(fingerprints.encode(x))
+        assert again.whole == x.whole and (again.hashes == x.hashes).all()
     assert fingerprints.edited_fingerprints(docs.limit(0)).count() == 0
     assert fingerprints.edited_fingerprints(docs.filter("doc_id = 3")).first()["near_next"] == 1.0
     assert fingerprints.fingerprint(docs).columns[-1] == "fingerprint"
 
 
+def test_fingerprints_estimate_containment_of_unequal_texts():
+    wide = prose(400, 3000)
+    w = wide.split(" ")
+    error, none = defaultdict(list), Counter()
+    (whole,) = fingerprints.sketches(pa.array([wide]))
+    for n in (8, 12, 20, 60, 300):
+        cut = [" ".join(w[i : i + n]) for i in range(0, 2600, 13)]
+        mixed = [" ".join([*w[i : i + n], *prose(i + 1, n).split(" ")]) for i in range(0, 2600, 13)]
+        for sure, part in zip(fingerprints.sketches(pa.array(cut)), cut, strict=True):
+            none[n] += fingerprints.likeness(sure, whole) == 0
+            # what is below the ceiling is all found
+            assert fingerprints.likeness(sure, whole) in (0.0, 1.0) and len(shingle_set(part)) == n - 4
+        for half, part in zip(fingerprints.sketches(pa.array(mixed)), mixed, strict=True):
+            own = shingle_set(part)
+            error[n].append(abs(fingerprints.containment(half, whole) - len(own & shingle_set(wide)) / len(own)))
+    assert none[8] <= 30 and none[12] <= 4 and none[20] == none[60] == none[300] == 0
+    assert np.mean(error[60]) < 0.08 and np.mean(error[300]) < 0.04
+    # short texts are compared exactly
+    a, b = prose(1, 40), prose(1, 20) + " " + prose(2, 20)
+    x, y = fingerprints.sketches(pa.array([a, b]))
+    assert fingerprints.containment(x, y) == len(shingle_set(a) & shingle_set(b)) / len(shingle_set(a))
+    joined = fingerprints.merge(*fingerprints.sketches(pa.array([prose(1, 10), prose(2, 10)])))
+    assert joined.whole and len(joined.hashes) == 12
+
+
 def test_licenses(spark):
-    mit = next(v for k, v in licenses.KNOWN if k == "MIT" and len(v) > 500)
-    texts = ["Copyright (c) 2020 Somebody\n" + mit.upper().replace(",", " ,"), "words\nReleased under the MIT licence.\nmore", None, "", "nothing", "Released under the MIT License"]
+    mit = next(x for k, _, x in licenses.TEXTS if k == "MIT")
+    commented = "\n".join(f" * {x}" for x in ["Portions copyright Example Corporation", "# Copyright: 2020 Somebody", "MIT License", *mit.split("\n")])
+    three = next(x for k, _, x in licenses.TEXTS if k == "BSD-3-Clause")
+    texts = ["Copyright (c) 2020 Somebody\n" + mit.upper().replace(",", " ,"), "words\nReleased under the MIT licence.\nmore", None, "", "nothing", "Released under the MIT License", commented, "Copyright 2019, X.\n" + three, mit + " x " * 30_000, "Copyright (c) 2020 only"]
     rows = {r["doc_id"]: r for r in licenses.scan_licenses(made(spark, texts)).collect()}
-    assert rows[0]["license"] == "MIT" and rows[5]["license"] == "MIT"
+    assert rows[0]["license"] == "MIT" and rows[5]["license"] == "MIT" and rows[6]["license"] == "MIT" and rows[7]["license"] == "BSD-3-Clause"
     assert (rows[1]["license"], rows[1]["n_notices"], rows[1]["notices"]) == (None, 1, "MIT")
-    assert all(rows[i]["n_notices"] == 0 and rows[i]["license"] is None for i in (2, 3, 4))
+    assert all(rows[i]["n_notices"] == 0 and rows[i]["license"] is None for i in (2, 3, 4, 8, 9))
     assert licenses.scan_licenses(made(spark, ["x"]).limit(0)).count() == 0
 
 
+def test_licenses_judge_each_row(spark):
+    rows = [(1, "nothing here", "a"), (1, "Released under the MIT License.", "b"), (None, "Released under the MIT License.", "c"), (None, "nothing", "d"), (2, "x\nReleased under CC0 1.0.\nReleased under CC0 1.0.", "e"), (2, "x\nReleased under CC0 1.0.\nReleased under CC0 1.0.", "e")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, digest string").withColumn("lines", F.lit(1)).withColumn("found", F.lit(2))
+    got = sorted(((r["doc_id"], r["n_notices"], r["notices"]) for r in licenses.scan_licenses(docs).collect()), key=repr)
+    assert got == sorted([(1, 0, ""), (1, 1, "MIT"), (None, 1, "MIT"), (None, 0, ""), (2, 2, "CC0-1.0"), (2, 2, "CC0-1.0")], key=repr)
+
+
+def test_licenses_against_published_texts(spark):
+    known = {"GPL-3": "GPL-3.0", "MPL-2.0": "MPL-2.0", "Apache-2.0": "Apache-2.0", "CC0-1.0": "CC0-1.0"}
+    place = Path("/usr/share/common-licenses")
+    if not place.is_dir():
+        pytest.skip("no published texts here")
+    docs = spark.createDataFrame([(k, (place / k).read_text()) for k in known], "doc_id string, text string")
+    assert {r["doc_id"]: r["license"] for r in licenses.scan_licenses(docs).collect()} == known
+
+
 PAGE = "<html><head><title>T</title></head><body><nav><ul><li><a href=x>menu</a></li></ul></nav><div class='ad'>buy</div><article><h1>Head</h1><p>Some &amp; text<br>more.</p><p><b>Bold</b>ly</p></article><footer>end</footer></body></html>"
 
 
@@ -148,6 +194,36 @@ def test_substring_dedup_of_rows_alike_in_id_and_text(spark):
         }
 
 
+def test_substring_dedup_against_brute_force(spark):
+    rng = np.random.default_rng(8)
+    pool = [" ".join(f"w{x}" for x in rng.integers(0, 50, int(n))) + "." for n in rng.integers(1, 14, 40)]
+    texts = ["\n".join(" ".join(pool[j] for j in (np.arange(4) + rng.integers(0, 36))) for _ in range(3)) + f" tail{i} of its own." for i in range(30)]
+    found = {}
+    for i, t in enumerate(texts):
+        parts = re.split(r"(?<=\.)\s+", t)
+        size = [len(x.split()) for x in parts]
+        runs = {(a, a + 2) for a in range(len(parts) - 2) if sum(size[a : a + 3]) >= substring_dedup.LEAST_WORDS}
+        for a in range(len(parts)):
+            runs |= {(a, b) for b in [next((b for b in range(a, len(parts)) if sum(size[a : b + 1]) >= 25), None)] if b is not None}
+            runs |= {(b, a) for b in [next((b for b in range(a, -1, -1) if sum(size[b : a + 1]) >= 25), None)] if b is not None}
+        for a, b in runs:
+            found.setdefault(" ".join(parts[a : b + 1]).split().__str__(), []).append((i, a, b))
+    hits = defaultdict(set)
+    # the first by document and text, then place
+    for places in found.values():
+        for i, a, b in sorted(places)[1:]:
+            hits[i] |= set(range(a, b + 1))
+    for parts in (1, 6):
+        got = {r["doc_id"]: r["n_removed"] for r in substring_dedup.remove_repeats(made(spark, texts).repartition(parts)).collect()}
+        assert got == {i: len(hits[i]) for i in range(len(texts))}
+
+
+def test_substring_dedup_keeps_columns_of_its_own_names(spark):
+    docs = made(spark, ["a b c."]).withColumn("_runs", F.lit(1)).withColumn("_id", F.lit(2)).withColumn("_hash", F.lit(3)).withColumn("_done", F.lit(4)).withColumn("_copy", F.lit(5))
+    got = substring_dedup.remove_repeats(docs)
+    assert got.columns == [*docs.columns, "n_sentences", "n_removed", "removed"] and [got.first()[c] for c in ("_runs", "_id", "_hash", "_done", "_copy")] == [1, 2, 3, 4, 5]
+
+
 def test_urls(spark):
     urls = ["http://A.net/x?y", "https://b.example.net/en/1", "http://example.com/de/2", "x.org", None, "http://c.org/fr/", "http://d.org", "ftp://evil.net"]
     html = ["", "", "", "", None, '<a href="/fr/x">', '<a href="//a.net/2"> <a href="http://EVIL.net">', ""]
@@ -188,6 +264,51 @@ def test_jaccard_join(spark):
     assert jaccard_join.near_classes(docs.limit(0)).count() == 0
 
 
+def test_jaccard_join_tells_rows_apart_by_id_and_text(spark):
+    a, b, c, d = prose(60, 50), prose(61, 50), prose(62, 50), prose(63, 50)
+    near = " ".join([*a.split(" ")[:-1], "other"])
+    rows = [(1, a, 1), (1, b, 2), (None, c, 3), (None, d, 4), (None, d, 5), (2, near, 6), (3, a, 7), (None, near, 8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _kept int").withColumn("_place", F.lit(0)).withColumn("_id", F.lit(0))
+    kept = jaccard_join.keep_one(docs)
+    got = kept.collect()
+    assert kept.columns == docs.columns and sorted(((r["doc_id"], r["text"]) for r in got), key=repr) == sorted([(1, a), (1, b), (None, c), (None, d)], key=repr)
+    named = {(r["doc_id"], r["class_id"], r["n_links"]) for r in jaccard_join.near_classes(docs).collect()}
+    assert named == {(1, 1, 3), (1, 1, 0), (2, 1, 3), (3, 1, 3), (None, 1, 3), (None, None, 0), (None, None, 1)}
+
+
+def test_forest_shortens_prefixes_adaptively():
+    rng = np.random.default_rng(5)
+    width = jaccard_join.TREES * jaccard_join.DEPTH
+    floor = jaccard_join.least_depth()
+    assert floor < jaccard_join.DEPTH and jaccard_join.met(0.8, floor) >= jaccard_join.RECALL > jaccard_join.met(0.8, floor + 1) and jaccard_join.missed() < 1e-6
+    own = rng.integers(0, 256, (1, width)).astype(np.uint8)
+    sketch = np.repeat(own, 4, axis=0)
+    sketch[3, ::5] ^= 1  # 0.8 alike; the others are equal
+    label = np.repeat(np.arange(jaccard_join.DEPTH)[None], 4, axis=0)
+    label[3, floor:] += 9  # shares the least prefix only
+    label = label[np.lexsort(label.T[::-1])]
+    size = np.full(4, 100)
+    # rows 0 to 2 meet each other at full length and stop there; row 3 has met none and shortens to the end
+    assert [sorted(x.tolist()) for x in jaccard_join.trie_components(label, sketch, size)] == [[0, 1, 2, 3]]
+    assert [sorted(x.tolist()) for x in jaccard_join.trie_components(label, sketch, np.array([100, 100, 100, 70]))] == [[0, 1, 2]]
+    sketch[3, ::2] ^= 2
+    assert [sorted(x.tolist()) for x in jaccard_join.trie_components(label, sketch, size)] == [[0, 1, 2]]
+
+
+def test_components_of_a_chain_take_few_rounds(spark, monkeypatch):
+    from quillmark.llm import components
+
+    rounds = Counter()
+    cut = textkit.cut
+    monkeypatch.setattr(components.tk, "cut", lambda df: rounds.update(n=1) or cut(df))
+    chain = spark.createDataFrame([(bytes([0, i]), bytes([0, i + 1])) for i in range(120)] + [(b"x", b"y")], "a binary, b binary")
+    got = {bytes(r["node"]): bytes(r["label"]) for r in components.components(chain).collect()}
+    assert set(got.values()) == {b"\0\0", b"x"} and len(got) == 123 and rounds["n"] <= 2 + 3 * 9
+    assert components.components(chain.limit(0)).count() == 0
+    monkeypatch.setattr(textkit, "BROADCAST_ROWS", 0)
+    assert {bytes(r["node"]): bytes(r["label"]) for r in components.components(chain).collect()} == got
+
+
 def test_jaccard_join_in_blocks(spark, monkeypatch):
     w = prose(30, 300).split(" ")
     texts = [" ".join([*w[:i], f"e{i}", *w[i + 1 :]]) for i in range(0, 120, 3)]
