@@ -8,7 +8,8 @@ allow it.  For each length so many documents are picked in the order of a seeded
 into blocks of about BLOCK documents, so a length that many documents share isn't ordered in one task.
 
 Null text has size 0, and a null source is a source of its own, the last.  Documents of size 0 are
-never taken.  Rows alike in all of these share picks in any order.  Reruns agree.
+never taken.  Rows are told apart by doc_id, text, source and size; rows alike in all of these share what is
+taken of them evenly.  A source or a length of a third of all rows is dealt over tasks.  Reruns agree.
 """
 
 from __future__ import annotations
@@ -116,55 +117,69 @@ def _knapsack(size: np.ndarray, count: np.ndarray, budget: int, seed: int) -> np
     return take
 
 
+def _key() -> Column:
+    """The source as a key that isn't null."""
+    return F.when(F.col("source").isNull(), "").otherwise(F.concat(F.lit("="), F.col("source").cast("string")))
+
+
 def _plan(counts: DataFrame, targets: DataFrame) -> DataFrame:
-    """(source, size, n, whole, extra): passes over all documents, and how many of n are taken once more."""
-    with_target = counts.join(F.broadcast(targets) if targets.count() <= 10_000 else targets, counts["source"].eqNullSafe(targets["source"])).select(counts["source"], "size", "n", "source_size", "target")
+    """(source_key, size, n, whole, extra): passes over all documents, and how many of n are taken once more."""
+    of = targets.select(_key().alias("source_key"), "source_size", "target")
+    with_target = tk.join_few(counts, of, ["source_key"], "size")
 
     def fit(group: pd.DataFrame) -> pd.DataFrame:
+        # a row for each length of a source
         total, target = int(group["source_size"].iloc[0]), float(group["target"].iloc[0])
         whole = int(target // total) if total else 0
         extra = fit_budget(group["size"].to_numpy(), group["n"].to_numpy(), round(target - whole * total), SEED)
-        return pd.DataFrame({"source": group["source"], "size": group["size"], "n": group["n"], "whole": whole, "extra": extra})
+        return pd.DataFrame({"source_key": group["source_key"], "size": group["size"], "n": group["n"], "whole": whole, "extra": extra})
 
-    return with_target.groupBy("source").applyInPandas(fit, "source string, size long, n long, whole int, extra long")
+    return with_target.groupBy("source_key").applyInPandas(fit, "source_key string, size long, n long, whole int, extra long")
 
 
 def copies(sized: DataFrame, plan: DataFrame) -> DataFrame:
     """sized with `copies`, how often the mix takes each row."""
-    h = F.xxhash64(F.lit(SEED), "doc_id")
-    blocks = F.ceil(F.col("n") / BLOCK)
-    rows = sized.join(plan, sized["source"].eqNullSafe(plan["source"]) & (sized["size"] == plan["size"])).select(sized["*"], "whole", "extra", h.alias("_h"), F.pmod(F.xxhash64(F.lit(SEED + 1), "doc_id"), blocks).alias("_block"))
-    rows = tk.cut(rows)
-    by_block = rows.groupBy("source", "size", "_block").agg(F.count("*").alias("_n"), F.first("extra").alias("_extra"))
-    before = F.coalesce(F.sum("_n").over(Window.partitionBy("source", "size").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    quota = by_block.select(F.col("source").alias("_source"), F.col("size").alias("_size"), F.col("_block").alias("_b"), F.least(F.greatest(F.col("_extra") - before, F.lit(0)), F.col("_n")).alias("_quota"))
-    joined = rows.join(quota, rows["source"].eqNullSafe(quota["_source"]) & (rows["size"] == quota["_size"]) & (rows["_block"] == quota["_b"]))
-    place = F.row_number().over(Window.partitionBy("source", "size", "_block").orderBy("_h", "doc_id"))
-    return joined.withColumn("copies", F.when(F.col("size") > 0, F.col("whole") + (place <= F.col("_quota")).cast("int")).otherwise(0)).select(*sized.columns, "copies")
+    own = ["doc_id", "text_hash"]
+    rows = tk.join_few(sized, plan, ["source_key", "size"], "text_hash").withColumn("block", F.pmod(F.xxhash64(F.lit(SEED + 1), *own), F.ceil(F.col("n") / BLOCK)))
+    rows = tk.cut(rows.withColumn("h", F.xxhash64(F.lit(SEED), *own)))
+    by_block = rows.groupBy("source_key", "size", "block").agg(F.count("*").alias("in_block"), F.first("extra").alias("all"))
+    before = F.coalesce(F.sum("in_block").over(Window.partitionBy("source_key", "size").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    quota = by_block.select("source_key", "size", "block", F.least(F.greatest(F.col("all") - before, F.lit(0)), F.col("in_block")).alias("quota"))
+    joined = rows.join(quota, ["source_key", "size", "block"])
+    place = F.row_number().over(Window.partitionBy("source_key", "size", "block").orderBy("h", *own))
+    return joined.withColumn("copies", F.when(F.col("size") > 0, F.col("whole") + (place <= F.col("quota")).cast("int")).otherwise(0)).select(*sized.columns, "copies")
 
 
 def plan_mix(docs: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(doc_id, source, size, copies) of every row, and the sources' targets."""
-    sized = tk.cut(docs.select("doc_id", F.col("source").cast("string").alias("source"), word_count(text).alias("size")))
+    """(doc_id, text_hash, source, source_key, size, copies) of every row, and the sources' targets."""
+    sized = tk.cut(docs.select("doc_id", F.xxhash64(text).alias("text_hash"), F.col("source").cast("string").alias("source"), _key().alias("source_key"), word_count(text).alias("size")))
     targets = source_targets(sized)
-    counts = sized.groupBy("source", "size").agg(F.count("*").alias("n"))
+    counts = sized.groupBy("source_key", "size").agg(F.count("*").alias("n"))
     return copies(sized, _plan(counts, targets)), targets
 
 
 def mix(docs: DataFrame, text: str = "text") -> DataFrame:
     """Each row of docs as often as the mix takes it."""
     taken, _ = plan_mix(docs, text)
-    keys = ["doc_id", "_source", "_size"]
-    picks = taken.groupBy("doc_id", F.col("source").alias("_source"), F.col("size").alias("_size")).agg(F.sort_array(F.collect_list("copies"), asc=False).alias("_copies"))
-    same = F.row_number().over(Window.partitionBy(*keys).orderBy(F.lit(1))) - 1
-    rows = docs.withColumn("_source", F.col("source").cast("string")).withColumn("_size", word_count(text)).withColumn("_same", same)
-    on = [rows[k].eqNullSafe(picks[k]) for k in keys]
-    joined = rows.join(picks, on[0] & on[1] & on[2]).withColumn("_times", F.get("_copies", F.col("_same")))
-    return joined.filter(F.col("_times") > 0).withColumn("_again", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*[rows[c] for c in docs.columns])
+    id_, hash_, key, size, all_, rows_, place, again = tk.fresh(docs, "_doc", "_text_hash", "_source_key", "_size", "_all", "_rows", "_same", "_again")
+    own = [id_, hash_, key, size]
+    picks = taken.groupBy("doc_id", "text_hash", "source_key", "size").agg(F.sum("copies").alias(all_), F.count("*").alias(rows_)).filter(F.col(all_) > 0)
+    picks = picks.select(F.col("doc_id").alias(id_), F.col("text_hash").alias(hash_), F.col("source_key").alias(key), F.col("size").alias(size), all_, rows_)
+    rows = docs.select("*", F.xxhash64(text).alias(f"{hash_}_"), _key().alias(f"{key}_"), word_count(text).alias(f"{size}_"))
+    on = rows["doc_id"].eqNullSafe(picks[id_])
+    for k in (hash_, key, size):
+        on &= rows[f"{k}_"] == picks[k]
+    found = rows.join(picks, on)
+    # rows alike share evenly; only what doesn't divide needs their order
+    uneven = F.col(all_) % F.col(rows_) != 0
+    order = F.row_number().over(Window.partitionBy(*own).orderBy(F.lit(1)))
+    even = found.filter(~uneven).withColumn(place, F.lit(0))
+    times = F.floor(F.col(all_) / F.col(rows_)).cast("int")
+    each = even.withColumn(again, times).unionByName(found.filter(uneven).withColumn(place, order).withColumn(again, times + (F.col(place) <= F.col(all_) % F.col(rows_)).cast("int")))
+    return each.filter(F.col(again) > 0).withColumn(again, F.explode(F.sequence(F.lit(1), F.col(again)))).select(*docs.columns)
 
 
 def op10_mixing(spark, sf_dir: str) -> DataFrame:
     taken, targets = plan_mix(tk.table(spark, sf_dir, "documents"))
-    targets = F.broadcast(targets) if targets.count() <= 10_000 else targets
-    out = taken.join(targets, taken["source"].eqNullSafe(targets["source"]))
+    out = tk.join_few(taken, targets.select(_key().alias("source_key"), "source_size", "target"), ["source_key"], "doc_id")
     return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).cast("long").alias("taken"))

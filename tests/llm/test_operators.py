@@ -464,6 +464,22 @@ def test_mixing(spark):
     assert mixing.mix(docs.limit(0)).count() == 0
 
 
+def test_mixing_keeps_columns_of_its_own_names_and_repeated_rows(spark, monkeypatch):
+    rows = [(None, "a b c", "x", i) for i in range(5)] + [(1, "a b c", "x", 5), (1, "d e f g", "x", 6), (1, "d e f g", None, 7), (2, None, "y", 8), (3, "", "y", 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, _copies int")
+    for c in ("_again", "_times", "_source", "_size", "_same", "_all", "size", "copies", "_text_hash"):
+        docs = docs.withColumn(c, F.lit(c))
+    for few in (textkit.BROADCAST_ROWS, 0):
+        monkeypatch.setattr(textkit, "BROADCAST_ROWS", few)
+        taken = {(r["doc_id"], r["source"], r["size"]): r["n"] for r in mixing.plan_mix(docs)[0].groupBy("doc_id", "source", "size").agg(F.sum("copies").alias("n")).collect()}
+        got = mixing.mix(docs)
+        assert got.columns == docs.columns
+        out = Counter((r["doc_id"], r["source"], len((r["text"] or "").split())) for r in got.collect())
+        assert out == Counter({k: v for k, v in taken.items() if v})
+        assert {r["_size"] for r in got.collect()} == {"_size"}
+        assert max(Counter(r["_copies"] for r in got.collect()).values()) <= mixing.REPEATS
+
+
 def test_fit_budget_against_brute_force():
     rng = np.random.default_rng(1)
     for _ in range(50):
