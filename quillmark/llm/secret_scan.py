@@ -7,10 +7,14 @@ character are left out.  A find that lies inside another find is not listed agai
 Their encoding is inferred from the letters used (the smallest of _ENCODINGS that has them all).  Against
 "random in this encoding" three tests are made: chi-squared of the alphabet's uniformity, runs above
 and below its middle, and serial correlation of neighbours; a candidate that any of them refutes at
-BATTERY_LEVEL (divided by the tests) is not random.  Against "a word or name of the corpus", the
-chi-squared statistic is held against what letters of running text would give at the candidate's
-length (so that short strings need more evidence), and the p-values of all candidates of the whole
-corpus are put under Benjamini-Hochberg control, from a histogram of fixed size.
+BATTERY_LEVEL (divided by the tests) is not random.
+
+Against "letters as the corpus writes them", a candidate's p-value is its probability under pairs of letters,
+counted by Spark in all runs too short to be candidates, over its probability as a random string of one of the
+encodings.  By Markov's inequality such a ratio is at most p with a probability of at most p if the corpus's
+pairs made the string, whatever its length: longer strings have more evidence, and short ones little.  The
+p-values of all candidates of the whole corpus are put under Benjamini-Hochberg control, from a histogram of
+fixed size; as they are inverse e-values, the control holds for alternatives that overlap, too.
 
 Null and empty texts have no spans.  Each row is judged by itself, so repeated rows repeat results.
 Offsets count code points; ends are exclusive.
@@ -22,6 +26,7 @@ import bisect
 import math
 import re
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -63,16 +68,73 @@ _ENCODINGS = (
     ("base64", _LOWER.upper() + _LOWER + _DIGITS + "+/"),
     ("base64url", _LOWER.upper() + _LOWER + _DIGITS + "-_"),
 )
-#: How unevenly running text uses the letters of an alphabet of n: the sum of (q - 1/n)**2 * n, with
-#: q falling as 1/rank over about 26 letters.
-_ZIPF = np.array([1 / (r + 2) for r in range(26)]) / sum(1 / (r + 2) for r in range(26))
-
+#: Letters that candidates are made of; any other byte is the last class.
+_LETTERS = "".join(sorted(_LOWER.upper() + _LOWER + _DIGITS + "+/_=-"))
+OTHER = len(_LETTERS)
+_CLASS = np.full(256, OTHER, np.int64)
+_CLASS[[ord(c) for c in _LETTERS]] = np.arange(OTHER)
+#: Pairs that stand for what is known before a corpus is counted.
+PRIOR = 200.0
+# Letters of running text from the most frequent on, and how often a kind of letter follows another.
+_FREQUENT = "etaoinshrdlucmfwypvbgkjqxz"
+_FOLLOWS = {"lower": (0.93, 0.01, 0.02, 0.04), "upper": (0.6, 0.33, 0.03, 0.04), "digit": (0.07, 0.05, 0.8, 0.08), "mark": (0.55, 0.2, 0.2, 0.05), "other": (0.7, 0.15, 0.1, 0.05)}
+
+
+def _prior() -> np.ndarray:
+    """The probability of each class but the last after each class."""
+    rank = {c: 1 / (i + 2) for i, c in enumerate(_FREQUENT)}
+    kind = ["lower" if c.islower() else "upper" if c.isupper() else "digit" if c.isdigit() else "mark" for c in _LETTERS]
+    own = np.array([rank.get(c.lower(), 1.0) for c in _LETTERS])
+    names = np.array(kind)
+    within = np.zeros(OTHER)
+    for k in set(kind):
+        within[names == k] = own[names == k] / own[names == k].sum()
+    share = {k: np.array([_FOLLOWS[k][("lower", "upper", "digit", "mark").index(x)] for x in kind]) for k in _FOLLOWS}
+    return np.array([share[k] * within for k in [*kind, "other"]])
+
+
+def letter_pairs(docs: DataFrame, text: str = "text") -> np.ndarray:
+    """log10 of the probability of each letter after each class, from all runs shorter than candidates.
+
+    The driver gets a count of each pair of classes of a task: a number that doesn't depend on the corpus.
+    """
 
-def _unevenness(n: int) -> float:
-    q = np.zeros(max(n, 26))
-    q[:26] = _ZIPF
-    q = q[:n] / q[:n].sum()
-    return float(((q - 1 / n) ** 2 * n).sum())
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((OTHER + 1) * OTHER, np.int64)
+        for batch in batches:
+            for _, data, offsets in tk.text_slices(batch.column(0)):
+                own = _CLASS[data]
+                inside = own < OTHER
+                before = np.full(len(own), OTHER, np.int64)
+                before[1:] = own[:-1]
+                before[offsets[:-1][offsets[:-1] < len(own)]] = OTHER
+                start = np.flatnonzero(inside & (before == OTHER))
+                place = np.cumsum(inside)
+                if not len(start):
+                    continue
+                length = np.diff(np.append(place[start] - 1, place[-1]))
+                short = np.repeat(length < LEAST_RANDOM, length)
+                total += np.bincount((before[inside] * OTHER + own[inside])[short], minlength=len(total))
+        pair = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(pair), pa.array(total[pair])], names=["pair", "n"])
+
+    rows = docs.select(text).mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect()
+    count = np.zeros((OTHER + 1) * OTHER)
+    count[[r["pair"] for r in rows]] = [r["n"] for r in rows]
+    count = count.reshape(OTHER + 1, OTHER)
+    return np.log10((count + PRIOR * _prior()) / (count.sum(axis=1, keepdims=True) + PRIOR))
+
+
+def against_text(token: str, pairs: np.ndarray) -> float:
+    """The p-value of a string against letters as the corpus writes them."""
+    own = _CLASS[np.frombuffer(token.encode(), np.uint8)]
+    plain = float(pairs[np.concatenate([[OTHER], own[:-1]]), own].sum())
+    fits = [len(alphabet) for _, alphabet in _ENCODINGS if set(token) <= set(alphabet)]
+    if not fits:
+        return 1.0
+    best = -len(token) * math.log10(min(fits))
+    random_ = best + math.log10(sum(10 ** (-len(token) * math.log10(x) - best) for x in fits) / len(_ENCODINGS))
+    return 10 ** min(0.0, max(plain - random_, -300.0))
 
 
 def _upper_normal(z: float) -> float:
@@ -85,17 +147,17 @@ def _upper_chi(x: float, df: int) -> float:
     return _upper_normal(((x / df) ** (1 / 3) - (1 - s)) / math.sqrt(s))
 
 
-def judge(token: str) -> tuple[str, float, float]:
-    """(encoding, p of the battery against random, p against running text)."""
+def judge(token: str) -> tuple[str, float]:
+    """(encoding, p of the battery against random)."""
     body = token.rstrip("=")
     if len(body) < 2:
-        return "", 0.0, 1.0
+        return "", 0.0
     for name, alphabet in _ENCODINGS:
         at = {c: i for i, c in enumerate(alphabet)}
         if all(c in at for c in body):
             break
     else:
-        return "", 0.0, 1.0
+        return "", 0.0
     size, n = len(alphabet), len(body)
     value = np.array([at[c] for c in body])
     counts = np.bincount(value, minlength=size)
@@ -114,15 +176,7 @@ def judge(token: str) -> tuple[str, float, float]:
     x = value - value.mean()
     serial = float((x[1:] * x[:-1]).sum() / max((x * x).sum(), 1e-9))
     serial_p = 2 * _upper_normal(abs(serial + 1 / n) * math.sqrt(n))
-    battery = min(1.0, 3 * min(uniform, run_p, serial_p))
-    # noncentral chi-squared by its mean and spread: what text of this length would give at least
-    shift = n * _unevenness(size)
-    text = _upper_normal((size - 1 + shift - chi) / math.sqrt(2 * (size - 1 + 2 * shift)))
-    # a random string also mixes the encoding's kinds of letters, which words don't
-    kinds = [sum(map(f, body)) for f in (str.islower, str.isupper, str.isdigit)]
-    mixed = sum(1 for k in kinds if k)
-    switches = sum(1 for p, q in zip(body, body[1:], strict=False) if (p.isdigit(), p.isupper()) != (q.isdigit(), q.isupper()))
-    return name, battery, text * (0.25**switches if mixed > 1 else 1.0)
+    return name, min(1.0, 3 * min(uniform, run_p, serial_p))
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
@@ -155,7 +209,7 @@ def _alternatives(run: str) -> list[tuple[int, int, list[tuple[int, int]]]]:
     return [(s, e, list(around)) for (s, e), around in sorted(out.items())]
 
 
-def random_spans(text: str, taken: list[tuple[str, int, int]]) -> list[tuple[int, int, float, float]]:
+def random_spans(text: str, taken: list[tuple[str, int, int]], pairs: np.ndarray) -> list[tuple[int, int, float, float]]:
     """(start, end, p against running text, least p of candidates around it) of candidates beside the taken spans.
 
     p is 1 for those that the battery refutes; the last is above 1 where no candidate is around.
@@ -176,8 +230,7 @@ def random_spans(text: str, taken: list[tuple[str, int, int]]) -> list[tuple[int
             alternatives = _alternatives(run)
             for s, e, _ in alternatives:
                 if not _ONE_KIND.fullmatch(run, s, e):
-                    _, battery, p = judge(run[s:e])
-                    found[s, e] = p if battery > BATTERY_LEVEL else 1.0
+                    found[s, e] = against_text(run[s:e].rstrip("="), pairs) if judge(run[s:e])[1] > BATTERY_LEVEL else 1.0
             for s, e, around in alternatives:
                 if (s, e) in found:
                     out.append((start + s, start + e, found[s, e], min((found[x] for x in around if x in found), default=2.0)))
@@ -190,13 +243,14 @@ _SPAN_TYPE = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), (
 
 def with_spans(docs: DataFrame, text: str = "text", out: str = "spans") -> DataFrame:
     """docs with all base spans (p is null) and all candidates with their p-values and the least of those around them."""
+    pairs = letter_pairs(docs, text)
 
     @F.arrow_udf(_SPANS)
     def find(column: pa.Array) -> pa.Array:
         rows = []
         for x in column.to_pylist():
             base = base_spans(x) if x else []
-            rows.append([{"kind": k, "start": a, "end": b, "p": None, "outer": None} for k, a, b in base] + [{"kind": "random", "start": a, "end": b, "p": p, "outer": o} for a, b, p, o in (random_spans(x, base) if x else [])])
+            rows.append([{"kind": k, "start": a, "end": b, "p": None, "outer": None} for k, a, b in base] + [{"kind": "random", "start": a, "end": b, "p": p, "outer": o} for a, b, p, o in (random_spans(x, base, pairs) if x else [])])
         return pa.array(rows, _SPAN_TYPE)
 
     return docs.withColumn(out, find.asNondeterministic()(F.col(text)))
@@ -244,8 +298,9 @@ def redact(docs: DataFrame, text: str = "text", mask: str = "[secret]") -> DataF
 
     A column n_chars follows the new text if docs has one.
     """
-    scanned = with_spans(docs, text, "_spans")
-    level = discovery_level(scanned.select("_spans"), "_spans")
+    (spans,) = tk.fresh(docs, "_spans")
+    scanned = with_spans(docs, text, spans)
+    level = discovery_level(scanned.select(spans), spans)
 
     @F.arrow_udf("string")
     def blot(column: pa.Array, spans: pa.Array) -> pa.Array:
@@ -261,7 +316,7 @@ def redact(docs: DataFrame, text: str = "text", mask: str = "[secret]") -> DataF
             out.append(x)
         return pa.array(out, pa.string())
 
-    done = scanned.withColumn(text, blot(F.col(text), significant(level, "_spans")))
+    done = scanned.withColumn(text, blot(F.col(text), significant(level, spans)))
     if "n_chars" in docs.columns:
         done = done.withColumn("n_chars", F.char_length(text).cast(docs.schema["n_chars"].dataType))
     return done.select(*docs.columns)

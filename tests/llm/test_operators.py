@@ -165,6 +165,64 @@ def test_secrets_beside_other_parts_of_a_run(spark):
     }
 
 
+def test_secrets_of_every_alphabet_and_no_names(spark):
+    rng = np.random.default_rng(11)
+    kinds = {"base32": "abcdefghijklmnopqrstuvwxyz234567", "upper32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "base36": "abcdefghijklmnopqrstuvwxyz0123456789", "alnum": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"}
+    tokens = [("".join(rng.choice(list(a), n)), k, n) for k, a in kinds.items() for n in (32, 40, 64) for _ in range(40)]
+    words = [w for i in range(30) for w in re.findall("[a-z]+", "the quick brown fox jumps over a lazy dog while internationalization of localization handlers keeps customers informed about deployments")]
+    names = ["".join(rng.choice(words, 4)) for _ in range(150)] + ["_".join(rng.choice(words, 5)) for _ in range(150)] + ["".join(w.capitalize() for w in rng.choice(words, 6)) for _ in range(150)]
+    texts = [f"see {t} now" for t, _, _ in tokens] + [f"call {n}" for n in names] + [" ".join(rng.choice(words, 200)) for _ in range(20)]
+    scanned = secret_scan.with_spans(made(spark, texts)).cache()
+    level = secret_scan.discovery_level(scanned)
+    got = {r["doc_id"]: [(s["start"], s["end"]) for s in r["all"]] for r in scanned.select("doc_id", secret_scan.significant(level).alias("all")).collect()}
+    caught = Counter()
+    for i, (t, k, n) in enumerate(tokens):
+        caught[k, n] += (4, 4 + len(t)) in got[i]
+    assert min(caught.values()) >= 36
+    assert sum(bool(got[i]) for i in range(len(tokens), len(texts))) <= 1
+
+
+def test_p_values_of_text_are_valid(spark):
+    rng = np.random.default_rng(12)
+    words = ["".join(rng.choice(list("etaoinshrdlu"), n)) for n in rng.integers(2, 15, 800)]
+    pairs = secret_scan.letter_pairs(made(spark, [" ".join(rng.choice(words, 400)) for _ in range(30)] + [None, "", "x" * 50_000]))
+    assert np.allclose((10**pairs).sum(axis=1), 1)
+    chance = 10**pairs
+    strings = []
+    for _ in range(2000):
+        at, out = secret_scan.OTHER, []
+        for _ in range(24):
+            at = int(rng.choice(secret_scan.OTHER, p=chance[at] / chance[at].sum()))
+            out.append(secret_scan._LETTERS[at])
+        strings.append("".join(out))
+    p = np.array([secret_scan.against_text(x, pairs) for x in strings])
+    for level in (0.3, 0.1, 0.01):
+        assert (p <= level).mean() <= level
+
+
+def test_false_discovery_control_against_brute_force(spark):
+    rng = np.random.default_rng(13)
+    p = np.concatenate([10.0 ** -rng.uniform(5, 14, 40), rng.uniform(0, 1, 400)])
+    spans = spark.createDataFrame([([("random", 0, 1, float(x), 2.0)],) for x in p], "spans " + secret_scan._SPANS)
+    binned = np.floor(-np.log10(p) / secret_scan.BIN)
+    ordered = sorted(10 ** (-binned * secret_scan.BIN))
+    best = max((k + 1 for k, x in enumerate(ordered) if x * len(p) <= secret_scan.FALSE_SHARE * (k + 1)), default=0)
+    assert int((p <= secret_scan.discovery_level(spans)).sum()) == best == 40
+
+
+def test_secrets_against_brute_force_patterns(spark):
+    rng = np.random.default_rng(14)
+    parts = ["password", "Secret", "api_key", "apikey", "TOKEN", '"', "'", " ", ":", "=", "AKIA", "ABCDEFGH12345678", "abcdef0123456789", "x", "\n", "\u00e9", "ſecret", "s3cr3t/+_.", "-"]
+    texts = ["".join(rng.choice(parts, 30)) for _ in range(300)] + [None, "", "token=" + "a" * 100_000]
+    found = {r["doc_id"]: [(s["kind"], s["start"], s["end"]) for s in r["spans"] if s["p"] is None] for r in secret_scan.with_spans(made(spark, texts)).collect()}
+    word = "[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy]"
+    for i, t in enumerate(texts):
+        want = []
+        for kind, pattern, group, least in (("assign", f"({word})[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", 2, 8), ("access", "AKIA[A-Z0-9]+", 0, 16), ("hex", "[0-9a-f]+", 0, 32)):
+            want += [(kind, m.start(), m.end()) for m in re.finditer(pattern, t or "") if len(m[group]) >= least]
+        assert found[i] == want
+
+
 def test_substring_dedup(spark):
     passage = ". ".join(prose(9, 60).split(". "))
     texts = [f"Alpha beta.\n{passage}\nOmega.", f"Gamma.\n{passage}\nDelta psi.", passage, None, "", "short one.", "short one."]
