@@ -1,9 +1,14 @@
 """HTML extraction by a maximum-scoring subsequence of words and tags.
 
 A page is a sequence of words and tags.  Words score positive and tags negative, each by the log odds
-of standing inside the content, learned from labelled pages; one linear scan finds the contiguous
-region with the largest sum.  What that region holds of parts that are never content (menus, forms,
-scripts, adverts and the like) is left out, and its blocks are written in page order.
+of standing inside the content, learned from labelled pages (a tag's first class name is part of the feature);
+one linear scan finds the contiguous region with the largest sum.  What that region holds of parts that are
+never content (menus, forms, scripts, adverts and the like) is left out, and its blocks are written in page order.
+
+Such parts are known by their element or role, or by a class or id name that as a whole says so: `sidebar`,
+`cookie-banner`, `related-posts`, but not `side-effects`, `social-science`, `has-sidebar` or `share-price`.
+Neither covers an element that an `article` or `main` stands in, and on pages without these names don't cover
+most of a page's words.
 
 Labels: pages whose markup names one content element (`article`, else `main`) label themselves.  At
 most SAMPLE of them, by a hash of the page, are used; their share of the corpus falls as it grows.
@@ -34,26 +39,41 @@ UNWANTED_TAG, UNKNOWN_TAG = -0.05, -0.5
 # Elements by their part in a page.
 _NEVER = frozenset("script style noscript template head title svg math iframe object embed canvas audio video select option textarea button form input label nav footer aside menu dialog fieldset datalist".split())
 _HEADER = frozenset(["header"])
+#: Elements that label content.
+_LABELS = ("article", "main")
 _RAW = frozenset(["script", "style", "textarea", "title"])
 _BLOCK = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _CLOSES_P = _BLOCK - {"body", "html"}
 _HEADINGS = frozenset(["h1", "h2", "h3", "h4", "h5", "h6"])
-_UNWANTED = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|advertising|banners?|sponsor(?:ed|s)?|promo(?:tion|s)?|sidebars?|side|comments?|commentlist|disqus|replies|respond|cookies?|consent|gdpr|notices?|alerts?|newsletters?|subscribe|signup|"
-    r"popups?|modals?|overlay|share|sharing|social|menus?|nav|navbar|navigation|breadcrumbs?|footer|masthead|related|recommended|widgets?|toolbar|paywall|login|skip|pagination|pager)(?:$|[\s_-])",
-    re.I,
+#: Names of parts that are no content, as a whole name or at the end of one; and what may follow them.
+_UNWANTED = frozenset(
+    "ad ads advert adverts advertisement advertisements advertising banner banners sponsor sponsored promo promos promotion sidebar sidebars comment comments commentlist disqus replies respond cookie cookies consent gdpr notice notices alert alerts newsletter newsletters subscribe signup "
+    "popup popups modal modals overlay sharing social menu menus nav navbar navigation breadcrumb breadcrumbs footer masthead related recommended widget widgets toolbar paywall login pagination pager".split()
 )
+_FOLLOWING = frozenset("area articles bar block box buttons container content feed form icons inner item items link links list panel posts row section slot stories thread unit wrap wrapper".split())
+_STATES = frozenset("has have with without no not is are open show shows hide hides".split())
 _UNWANTED_ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar alert dialog alertdialog".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)(?:>|$)|([^<]+|<)", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 
 
+def _says_unwanted(names: str) -> bool:
+    """Whether a class or id name as a whole names a part that is no content."""
+    for name in names.lower().split():
+        parts = [x for x in re.split(r"[-_\d]+", name) if x]
+        while len(parts) > 1 and parts[-1] in _FOLLOWING:
+            parts.pop()
+        if parts and parts[-1] in _UNWANTED and parts[0] not in _STATES:
+            return True
+    return False
+
+
 class Node:
-    """An open element: its tag, its name for the weights, and whether it or one around it is never content."""
+    """An element: its tag, its name for the weights, the block it is in, and whether it is never content."""
 
-    __slots__ = ("key", "outer", "tag", "unwanted")
+    __slots__ = ("block", "by_name", "holds", "key", "outer", "own", "started", "tag", "unwanted", "within", "words")
 
     def __init__(self, tag: str, attributes: str, outer: Node | None) -> None:
         self.tag, self.outer = tag, outer
@@ -61,80 +81,94 @@ class Node:
         names = f"{said.get('class', '')} {said.get('id', '')}".strip()
         first = names.split()[0].lower() if names else ""
         self.key = f"{tag}.{first}" if first else tag
-        own = tag in _NEVER or (tag in _HEADER and not (outer and outer.within("article"))) or said.get("role", "").lower() in _UNWANTED_ROLES or "hidden" in said or said.get("aria-hidden") == "true"
-        if names and tag not in ("body", "html", "article", "main"):
-            own = own or bool(_UNWANTED.search(names))
-        self.unwanted = own or bool(outer and outer.unwanted)
-
-    def within(self, tag: str) -> bool:
-        node = self
-        while node:
-            if node.tag == tag:
-                return True
-            node = node.outer
-        return False
-
-
-def tokens(page: str) -> Iterator[tuple[str, str, Node | None]]:
-    """(kind, value, element): kinds are text, open and close; the element is the one around it."""
+        around = outer.within if outer else frozenset()
+        self.within = around | {tag} if tag in _LABELS and tag not in around else around
+        self.block = self if tag in _BLOCK or outer is None else outer.block
+        self.own = tag in _NEVER or (tag in _HEADER and "article" not in around) or said.get("role", "").lower() in _UNWANTED_ROLES or "hidden" in said or said.get("aria-hidden") == "true"
+        self.by_name = tag not in ("body", "html", *_LABELS) and bool(names) and _says_unwanted(names)
+        self.holds, self.words, self.started, self.unwanted = False, 0, 0, False
+
+
+Token = tuple[str, str, "Node | None"]
+
+
+def tokens(page: str) -> list[Token]:
+    """(kind, value, element): kinds are text, open and close; the element is the one around it.
+
+    Every tag is looked at once and every element closed once, so the time is in proportion to the page.
+    """
+    out: list[Token] = []
+    nodes: list[Node] = []
+    open_: Counter = Counter()
     node: Node | None = None
+    words = 0
     at, n = 0, len(page)
+
+    def close(until: Node) -> None:
+        nonlocal node
+        while True:
+            last = node
+            last.words = words - last.started
+            out.append(("close", last.key, last))
+            open_[last.tag] -= 1
+            node = last.outer
+            if last is until:
+                return
+
     while at < n:
         m = _TOKEN.match(page, at)
         if m is None:
-            yield "text", page[at], node
+            out.append(("text", page[at], node))
             at += 1
             continue
         at = m.end()
         if m[4] is not None:
-            yield "text", m[4], node
+            out.append(("text", m[4], node))
+            words += _words(m[4])
         elif m[2] is not None:
             tag = m[2].lower()
             if m[1]:
-                up = node
-                while up and up.tag != tag:
-                    up = up.outer
-                if up:
-                    while node is not up:
-                        yield "close", node.key, node
-                        node = node.outer
-                    yield "close", node.key, node
-                    node = node.outer
-                elif tag in ("p", "br"):
-                    yield "break", tag, node
-            else:
-                if tag in _CLOSES_P:
+                if open_[tag] > 0:
                     up = node
-                    while up and up.tag not in _BLOCK:
+                    while up.tag != tag:
                         up = up.outer
-                    if up and (up.tag == "p" or (tag == "li" and up.tag == "li") or (tag in ("dt", "dd") and up.tag in ("dt", "dd")) or (tag in _HEADINGS and up.tag in _HEADINGS)):
-                        while node is not up:
-                            yield "close", node.key, node
-                            node = node.outer
-                        yield "close", node.key, node
-                        node = node.outer
-                new = Node(tag, m[3], node)
+                    close(up)
+                elif tag in ("p", "br"):
+                    out.append(("break", tag, node))
+            else:
+                if tag in _CLOSES_P and node and (up := node.block).tag in _BLOCK:
+                    if up.tag == "p" or (tag == "li" and up.tag == "li") or (tag in ("dt", "dd") and up.tag in ("dt", "dd")) or (tag in _HEADINGS and up.tag in _HEADINGS):
+                        close(up)
                 if tag in _VOID or m[3].endswith("/"):
-                    yield "break" if tag == "hr" else "gap", tag, node
+                    out.append(("break" if tag == "hr" else "gap", tag, node))
                     continue
-                yield "open", new.key, new
-                node = new
+                node = Node(tag, m[3], node)
+                node.started = words
+                nodes.append(node)
+                open_[tag] += 1
+                out.append(("open", node.key, node))
+                if tag in _LABELS:
+                    up = node.outer
+                    while up and not up.holds:
+                        up.holds = True
+                        up = up.outer
                 if tag in _RAW:
                     end = re.compile(rf"</{tag}\b", re.I).search(page, at)
                     if end is None or end.start() > at:
-                        yield "text", page[at : end.start() if end else n], node
+                        out.append(("text", page[at : end.start() if end else n], node))
                     at = end.start() if end else n
     while node:
-        yield "close", node.key, node
-        node = node.outer
+        close(node)
+    labelled = any(x.tag in _LABELS for x in nodes)
+    for x in nodes:
+        own = (x.own and (not x.holds or x.tag in _RAW)) or (x.by_name and not x.holds and (labelled or 2 * x.words <= words))
+        x.unwanted = own or bool(x.outer and x.outer.unwanted)
+    return out
 
 
 def _feature(kind: str, value: str, node: Node | None) -> str:
     if kind == "text":
-        up = node
-        while up and up.tag not in _BLOCK:
-            up = up.outer
-        return f"text {up.key if up else ''}"
+        return f"text {node.block.key if node and node.block.tag in _BLOCK else ''}"
     return f"{kind} {value}"
 
 
@@ -145,15 +179,15 @@ def _words(text: str) -> int:
 def count_features(page: str) -> tuple[Counter, Counter] | None:
     """How often each feature stands inside and outside the labelled content; None if the page has no label."""
     inside, outside = Counter(), Counter()
-    found = list(tokens(page))
-    label = next((x for x in ("article", "main") if sum(k == "open" and n.tag == x for k, _, n in found) == 1), None)
+    found = tokens(page)
+    label = next((x for x in _LABELS if sum(k == "open" and n.tag == x for k, _, n in found) == 1), None)
     if label is None:
         return None
     for kind, value, node in found:
         border = kind in ("open", "close") and node is not None and node.tag == label
         if node is not None and node.unwanted:
             continue
-        into = inside if node and node.within(label) and not border else outside
+        into = inside if node and label in node.within and not border else outside
         into[_feature(kind, value, node)] += _words(value) if kind == "text" else 1
     return inside, outside
 
@@ -199,22 +233,26 @@ def train(pages: DataFrame, html_column: str = "html", sample: int = SAMPLE) ->
     return Weights(Counter({r["feature"]: r["i"] for r in rows}), Counter({r["feature"]: r["o"] for r in rows}))
 
 
-def extract(page: str | None, weights: Weights) -> str:
-    if not page:
-        return ""
-    found = list(tokens(page))
-    # the scan: the sum so far, restarted where it is not above 0, and the best of all
+def best_region(scores: list[float]) -> tuple[int, int]:
+    """(start, end) of the contiguous part with the largest sum, the first and shortest of such; empty if none is above 0."""
     best = total = 0.0
     start = best_start = best_end = 0
-    for i, (kind, value, node) in enumerate(found):
-        words = _words(value) if kind == "text" else 0
-        if kind == "text" and not words:
-            continue
-        total += weights.score(kind, value, node, words)
+    for i, x in enumerate(scores):
+        total += x
         if total <= 0:
             total, start = 0.0, i + 1
         elif total > best:
             best, best_start, best_end = total, start, i + 1
+    return best_start, best_end
+
+
+def extract(page: str | None, weights: Weights) -> str:
+    if not page:
+        return ""
+    found = tokens(page)
+    counts = [_words(value) if kind == "text" else 0 for kind, value, _ in found]
+    scores = [0.0 if kind == "text" and not n else weights.score(kind, value, node, n) for (kind, value, node), n in zip(found, counts, strict=True)]
+    best_start, best_end = best_region(scores)
     blocks: list[list[str]] = [[]]
     for kind, value, node in found[best_start:best_end]:
         if kind == "text":

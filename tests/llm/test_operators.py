@@ -136,6 +136,55 @@ def test_html(spark):
     assert html_extract.extract_text(pages.limit(0), weights).count() == 0
 
 
+def test_best_region_against_all_pairs_of_ends():
+    rng = np.random.default_rng(2)
+    for _ in range(300):
+        scores = rng.integers(-4, 4, int(rng.integers(0, 25))).astype(float).tolist()
+        start, end = html_extract.best_region(scores)
+        best = max((sum(scores[a:b]) for a in range(len(scores)) for b in range(a, len(scores) + 1)), default=0.0)
+        assert sum(scores[start:end]) == max(best, 0.0) and (end > start) == (best > 0)
+
+
+def test_html_names_of_parts():
+    weights = html_extract.Weights(Counter(), Counter())
+    page = "<body><nav>menu</nav><div class='layout has-sidebar comments-open'><article><p>This is the body's first part.</p>{0}<p>And here are more words of it.</p></article></div><div class='cookie-banner'>we use cookies</div></body>"
+    ends = ["This is the body's first part.", "And here are more words of it."]
+    for part in ("<p class='side-effects'>", "<p class='social-science'>", "<section class='share-price'>", "<p class='notice-period'>", "<section id='related-work'>"):
+        assert html_extract.extract(page.format(part + "six words that must stay here"), weights).split("\n\n") == [ends[0], "six words that must stay here", ends[1]]
+    for part in ("<div class='ad'>buy</div>", "<aside>buy</aside>", "<div class='related-posts'>buy</div>", "<ul id='comments-list'><li>buy</ul>", "<form>buy</form>", "<div class='site-footer'>buy</div>", "<div role=navigation>buy</div>"):
+        assert html_extract.extract(page.format(part), weights).split("\n\n") == ends
+    # a name doesn't cover most of a page, and nothing covers an article
+    assert html_extract.extract("<body><div class=comments><p>" + "real text " * 20 + "</p></div><p>x</p></body>", weights).startswith("real text")
+    assert html_extract.extract("<body><form id=f class=modal><article><p>inside a form</p></article></form></body>", weights) == "inside a form"
+
+
+def test_html_learns_where_no_list_helps(spark):
+    body = lambda i: "".join(f"<p class=t>{prose(7 * i + k, 40)}</p>" for k in range(3))
+    extra = lambda i: "".join(f"<div class=zz><a href=x>{prose(900 + 5 * i + k, 6)}</a></div>" for k in range(8))
+    pages = [(i, f"<body>{extra(i)}<article>{body(i)}</article>{extra(i + 50)}</body>") for i in range(20)]
+    weights = html_extract.train(spark.createDataFrame(pages, "page_id long, html string"))
+    plain = f"<body>{extra(300)}<div>{body(300)}</div>{extra(301)}</body>"
+    want = "\n\n".join(prose(2100 + k, 40) for k in range(3))
+    assert html_extract.extract(plain, weights) == want
+    assert html_extract.extract(plain, html_extract.Weights(Counter(), Counter())) != want
+
+
+def test_html_takes_time_in_proportion(spark):
+    import time
+
+    weights = html_extract.Weights(Counter(), Counter())
+    took = []
+    for n in (20_000, 40_000):
+        for page in ("<b>x " * n, "<div><p>x</i></b></u>" * n, "<!-- " * n, "<a b='" * n, "<script>" * n):
+            began = time.perf_counter()
+            html_extract.extract(page, weights)
+            took.append(time.perf_counter() - began)
+    assert sum(took[5:]) < 4 * sum(took[:5]) + 0.5
+    pages = spark.createDataFrame([(1, PAGE, "a"), (1, PAGE, "b"), (None, PAGE, None)], "page_id long, html string, text string").withColumn("out", F.lit(1))
+    got = html_extract.extract_text(pages, weights).collect()
+    assert len(got) == 3 and len({r["text"] for r in got}) == 1 and {r["out"] for r in got} == {1}
+
+
 def test_secrets(spark):
     key = "Zk3vQ9xT7bLw2Rf8Yh5Nc1Mj6Pd4Gs0Au"
     texts = ['token = "abcdefgh12"', "SECRET:short", "AKIA" + "B" * 12, "0123456789abcdef" * 2, None, "", f"see {key} here", "plain words that are ordinary", "token=secret=abcdefgh"]
