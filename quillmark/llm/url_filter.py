@@ -3,10 +3,11 @@
 Rules decide the urls that they fit.  For the others, hosts are judged: a host's trust and distrust
 start at the shares of its pages that rules allow and block.  Trust follows links (personalised
 PageRank from trusted hosts), distrust follows them backwards from blocked ones; both are in units of
-the restart, so a wholly blocked host that nothing reaches has 1.  A host is blocked if its distrust
-is at least BLOCKED and above its trust.
+the restart, so a wholly blocked host gives 1.  A host is blocked if the distrust that its links bring
+it is at least BLOCKED and above its trust: what rules say of some of its pages says nothing of others.
 
-Everything is DataFrame functions.  Links are summed to host edges before they are shuffled.  A null
+Everything is DataFrame functions.  Links are summed to host edges before they are shuffled.  Only the
+blocked hosts are joined to the pages, so a host of a third of all pages isn't one task's.  A null
 url, or one without `://`, has an empty host and path; such pages count as one host that links nowhere.
 Null html has no links.  Repeated rows are judged alike and count as pages of their own.
 """
@@ -20,6 +21,8 @@ from . import textkit as tk
 # The rules that the query is specified by.
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
 DAMPING, ROUNDS, BLOCKED = 0.85, 12, 0.5
+#: Decimal places that scores are compared by, so that the order of a sum doesn't matter.
+PLACES = 9
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _LINK = r"""[hH][rR][eE][fF][ \t\r\n]*=[ \t\r\n]*["']?([a-zA-Z][a-zA-Z0-9+.-]*:)?//([^/?#"'<> \t\r\n]+)"""
 
@@ -55,7 +58,7 @@ def host_links(pages: DataFrame) -> DataFrame:
 
 
 def spread(seeds: DataFrame, links: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
-    """(host, trust, distrust) after the rounds.  seeds: host, trust0, distrust0; links: src, dst, n."""
+    """(host, trust, distrust, brought) after the rounds; brought is the distrust that links bring.  seeds: host, trust0, distrust0; links: src, dst, n."""
     hosts = seeds.unionByName(links.select(F.explode(F.array("src", "dst")).alias("host"), F.lit(0.0).alias("trust0"), F.lit(0.0).alias("distrust0"))).groupBy("host").agg(F.sum("trust0").alias("trust0"), F.sum("distrust0").alias("distrust0"))
     out = links.groupBy(F.col("src").alias("host")).agg(F.sum("n").alias("n_out"))
     into = links.groupBy(F.col("dst").alias("host")).agg(F.sum("n").alias("n_in"))
@@ -65,10 +68,10 @@ def spread(seeds: DataFrame, links: DataFrame, rounds: int = ROUNDS, damping: fl
     own = hosts.select(F.col("host").alias("from"), F.col("host").alias("to"), F.lit(0.0).alias("wt"), F.lit(0.0).alias("wd"))
     edges = tk.cut(forth.unionByName(back).unionByName(own))
     base = tk.cut(hosts)
-    score = base.select("host", F.col("trust0").alias("trust"), F.col("distrust0").alias("distrust"))
+    score = base.select("host", F.col("trust0").alias("trust"), F.col("distrust0").alias("distrust"), F.lit(0.0).alias("brought"))
     for i in range(rounds if not links.isEmpty() else 0):
         given = edges.join(score, edges["from"] == score["host"]).groupBy("to").agg(F.sum(F.col("wt") * F.col("trust")).alias("t"), F.sum(F.col("wd") * F.col("distrust")).alias("d"))
-        score = base.join(given, base["host"] == given["to"]).select("host", (F.col("trust0") + damping * F.col("t")).alias("trust"), (F.col("distrust0") + damping * F.col("d")).alias("distrust"))
+        score = base.join(given, base["host"] == given["to"]).select("host", (F.col("trust0") + damping * F.col("t")).alias("trust"), (F.col("distrust0") + damping * F.col("d")).alias("distrust"), (damping * F.col("d")).alias("brought"))
         if i % 3 == 2:
             score = tk.cut(score)
     return score
@@ -81,9 +84,8 @@ def judge_urls(pages: DataFrame, rules=RULES) -> DataFrame:
     share = lambda v: F.avg(F.when(F.col("best.verdict") == v, 1.0).otherwise(0.0))
     seeds = judged.groupBy("host").agg(share("allow").alias("trust0"), share("block").alias("distrust0"))
     links = tk.cut(host_links(pages))
-    scores = tk.cut(spread(seeds, links))
-    bad = (F.col("distrust") >= BLOCKED) & (F.col("distrust") > F.col("trust"))
-    return judged.join(scores, "host").select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.when(bad, "block").otherwise("allow")).alias("verdict"))
+    bad = spread(seeds, links).filter(F.round("brought", PLACES) >= BLOCKED).filter(F.round("brought", PLACES) > F.round("trust", PLACES)).select("host", F.lit("block").alias("by_links"))
+    return tk.join_few(judged, bad, ["host"], "page_id", "left").select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", "by_links", F.lit("allow")).alias("verdict"))
 
 
 def op6_urls(spark, sf_dir: str) -> DataFrame:
@@ -106,12 +108,12 @@ edges AS (
   SELECT src AS f, dst AS t, n / sum(n) OVER (PARTITION BY src) AS wt, 0.0 AS wd FROM links
   UNION ALL SELECT dst, src, 0.0, n / sum(n) OVER (PARTITION BY dst) FROM links
   UNION ALL SELECT host, host, 0.0, 0.0 FROM hosts),
-score(i, host, trust, distrust) AS (
-  SELECT 0, host, CAST(t0 AS DOUBLE), CAST(d0 AS DOUBLE) FROM hosts
+score(i, host, trust, distrust, brought) AS (
+  SELECT 0, host, CAST(t0 AS DOUBLE), CAST(d0 AS DOUBLE), CAST(0 AS DOUBLE) FROM hosts
   UNION ALL
-  SELECT s.i + 1, h.host, CAST(any_value(h.t0) + {DAMPING} * sum(e.wt * s.trust) AS DOUBLE), CAST(any_value(h.d0) + {DAMPING} * sum(e.wd * s.distrust) AS DOUBLE)
+  SELECT s.i + 1, h.host, CAST(any_value(h.t0) + {DAMPING} * sum(e.wt * s.trust) AS DOUBLE), CAST(any_value(h.d0) + {DAMPING} * sum(e.wd * s.distrust) AS DOUBLE), CAST({DAMPING} * sum(e.wd * s.distrust) AS DOUBLE)
   FROM score s JOIN edges e ON e.f = s.host JOIN hosts h ON h.host = e.t WHERE s.i < {ROUNDS} GROUP BY s.i, h.host)
 SELECT f.page_id, f.host, f.path, f.best.rule AS rule,
-  coalesce(f.best.v, CASE WHEN s.distrust >= {BLOCKED} AND s.distrust > s.trust THEN 'block' ELSE 'allow' END) AS verdict
+  coalesce(f.best.v, CASE WHEN round(s.brought, {PLACES}) >= {BLOCKED} AND round(s.brought, {PLACES}) > round(s.trust, {PLACES}) THEN 'block' ELSE 'allow' END) AS verdict
 FROM fit f JOIN score s ON s.host = f.host AND s.i = {ROUNDS}
 """

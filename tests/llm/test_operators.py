@@ -343,6 +343,73 @@ def test_urls(spark):
     assert url_filter.judge_urls(pages.limit(0)).count() == 0
 
 
+def brute_scores(pages, rules=url_filter.RULES):
+    """(trust, distrust brought by links) of each host, by plain loops."""
+
+    def place(url):
+        rest = url.split("://", 1)[1] if url and "://" in url else ""
+        host = re.split("[/?#]", rest)[0]
+        return "".join(c.lower() if "A" <= c <= "Z" else c for c in host), re.split("[?#]", rest[len(host) :])[0]
+
+    def verdict(host, path):
+        fit = [(len(h) + len(p), v) for h, p, v in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        return max(fit)[1] if fit else None
+
+    said, links = defaultdict(list), Counter()
+    for url, html in pages:
+        host, path = place(url)
+        said[host].append(verdict(host, path))
+        for to in re.findall(r"""href\s*=\s*["']?(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//([^/?#"'<> \t\r\n]+)""", html or "", re.I):
+            if host and to.lower() != host:
+                links[host, to.lower()] += 1
+    hosts = set(said) | {h for e in links for h in e}
+    start = {h: [sum(v == x for v in said[h]) / len(said[h]) if said[h] else 0.0 for x in ("allow", "block")] for h in hosts}
+    out, into = Counter(), Counter()
+    for (a, b), n in links.items():
+        out[a] += n
+        into[b] += n
+    now, brought = dict(start), {}
+    for _ in range(url_filter.ROUNDS):
+        t, d = Counter(), Counter()
+        for (a, b), n in links.items():
+            t[b] += n / out[a] * now[a][0]
+            d[a] += n / into[b] * now[b][1]
+        brought = {h: 0.85 * d[h] for h in hosts}
+        now = {h: [start[h][0] + 0.85 * t[h], start[h][1] + brought[h]] for h in hosts}
+    return {h: (now[h][0], brought[h]) for h in hosts}, place, verdict
+
+
+def test_urls_of_linked_pages_against_brute_force_and_sql(spark, tmp_path, monkeypatch):
+    import duckdb
+
+    rng = np.random.default_rng(6)
+    hosts = [f"h{i}.{x}" for i in range(12) for x in ("com", "net", "org", "de")] + ["a.example.net", "example.com", "m.example.com"]
+    rows = []
+    for i in range(400):
+        src = hosts[int(rng.integers(len(hosts)) ** 2 // len(hosts))]
+        to = [f'<a href="{rng.choice(["http://", "//", "HTTPS://"])}{rng.choice(hosts).upper()}/x">' for _ in range(int(rng.integers(0, 4)))]
+        rows.append((i // 2 if i % 9 else None, f"http://{src}{rng.choice(['/', '/de/', '/fr/a?x', '/en/'])}", " ".join(to)))
+    rows += [(900, None, None), (901, "nothing", "<a href=//h1.net>"), (902, "http://half.example.com/de/", ""), (903, "http://half.example.com/en/", "")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("host", F.lit("x")).withColumn("best", F.lit(1)).withColumn("by_links", F.lit(2))
+    scores, place, verdict = brute_scores([(u, h) for _, u, h in rows])
+    want = Counter()
+    for page_id, url, _ in rows:
+        host, path = place(url)
+        trust, brought = scores[host]
+        want[page_id, host, path, verdict(host, path) or ("block" if brought >= 0.5 and brought > trust else "allow")] += 1
+    for few in (textkit.BROADCAST_ROWS, 0):
+        monkeypatch.setattr(textkit, "BROADCAST_ROWS", few)
+        assert Counter((r["page_id"], r["host"], r["path"], r["verdict"]) for r in url_filter.judge_urls(pages).collect()) == want
+    by_links = {k for k in want if k[3] == "block" and not verdict(k[1], k[2])}
+    assert by_links and not any("half" in k[1] for k in by_links)
+    pages.select("page_id", "url", "html").write.parquet(str(tmp_path / "pages"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages/*.parquet'")
+    found = con.execute(f"SELECT page_id, host, path, verdict FROM ({url_filter.op6_sql()})").fetchall()
+    # the SQL names pages by page_id alone
+    assert {x for x in found if x[0] is not None} == {k for k in want if k[0] is not None}
+
+
 def test_jaccard_join(spark):
     base = prose(20, 300)
     w = base.split(" ")
