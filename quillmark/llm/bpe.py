@@ -6,7 +6,9 @@ itself and is compatible with the last token of the prefix before it.  Two token
 no merge joins them across their border.  Following the last tokens back from the end gives the ids.
 
 The vocabulary file's own rules are read, not assumed, as far as they are of the kinds used in
-`Normal form` below; other kinds are refused.  Texts are taken whole.  Null text counts as empty;
+`Normal form` below; other kinds are refused.  Scripts whose letters and normal forms haven't changed for many
+versions of Unicode are normalised and cut into pieces here; texts with any other code point (`_UNUSUAL`) by the
+vocabulary's own normalizer and pre-tokenizer, whose Unicode tables differ from Python's.  Texts are taken whole.  Null text counts as empty;
 empty text has no ids.  Special strings of the vocabulary that stand in a text become their ids.
 """
 
@@ -18,7 +20,6 @@ import re
 import struct
 import unicodedata
 from collections.abc import Iterator
-from functools import cache
 
 import ahocorasick
 import numpy as np
@@ -76,8 +77,36 @@ class Tokenizer:
         self.automaton.make_automaton()
         #: Packed ids of chunks met lately, in two generations.
         self._known: dict[str, bytes] = {}
+        self._text, self._own_rules = json.dumps(spec), None
         self._older: dict[str, bytes] = {}
 
+    def _pieces_by_rules(self, text: str) -> list[str]:
+        """The pieces of a text in byte letters, by the vocabulary's own rules."""
+        if self._own_rules is None:
+            import tokenizers
+
+            self._own_rules = tokenizers.Tokenizer.from_str(self._text)
+        rules = self._own_rules
+        return [piece for piece, _ in rules.pre_tokenizer.pre_tokenize_str(rules.normalizer.normalize_str(text))]
+
+    def _by_rules(self, text: str) -> bytes:
+        out = []
+        for piece in self._pieces_by_rules(text):
+            key = _END + piece  # no chunk has this letter
+            found = self._known.get(key)
+            if found is None:
+                tokens = self.piece_tokens(piece + _END)
+                found = struct.pack(f"<{len(tokens)}I", *map(self.ids.__getitem__, tokens))
+                self._remember(key, found)
+            out.append(found)
+        return b"".join(out)
+
+    def _remember(self, key: str, found: bytes) -> None:
+        if len(key) <= 64:
+            if len(self._known) >= REMEMBERED:
+                self._older, self._known = self._known, {}
+            self._known[key] = found
+
     def _rules(self, spec: dict) -> None:
         """Normal form: NFC, runs of white space to one space, lower case; pieces by a pattern; then bytes."""
         steps = [x["type"] for x in spec["normalizer"]["normalizers"]]
@@ -154,8 +183,7 @@ class Tokenizer:
         if chunk.isalpha():
             pieces = [chunk]
         else:
-            seen = chunk if chunk.isascii() else chunk.translate(_unassigned())
-            pieces = [chunk[m.start() : m.end()] for m in self._piece.finditer(seen)]
+            pieces = self._piece.findall(chunk)
         for piece in pieces:
             letters = piece if piece.isascii() and piece.isprintable() else "".join(map(self._to_letters.__getitem__, piece.encode()))
             tokens += self.piece_tokens(letters + _END)
@@ -170,13 +198,12 @@ class Tokenizer:
         found = self._older.get(chunk)
         if found is None:
             found = self._encoded(chunk)
-        if len(chunk) <= 64:
-            if len(self._known) >= REMEMBERED:
-                self._older, self._known = self._known, {}
-            self._known[chunk] = found
+        self._remember(chunk, found)
         return found
 
     def _plain(self, text: str) -> bytes:
+        if not text.isascii() and _UNUSUAL.search(text):
+            return self._by_rules(text)
         plain = text.isascii() and not _SEPARATORS.search(text)
         if not text.isascii():
             # letter by letter: no form of a letter depends on its place in the word
@@ -200,11 +227,9 @@ _WHITE = regex.compile(r"\p{White_Space}+")
 _SEPARATORS = re.compile("[\x1c-\x1f]")
 
 
-@cache
-def _unassigned() -> dict[int, str]:
-    """Code points that Python's Unicode tables don't have yet, though regex may, to one that none will have."""
-    named = regex.compile(r"[\p{L}\p{N}]")
-    return {c: "\uffff" for c in range(0x80, 0x110000) if unicodedata.category(chr(c)) == "Cn" and named.match(chr(c))}
+#: Code points outside the scripts whose tables all versions agree on: Latin, Greek, Cyrillic, general punctuation,
+#: currency signs, kana, the first CJK block and Hangul syllables.
+_UNUSUAL = re.compile("[^\x00-\u024f\u0300-\u036f\u0391-\u03c9\u0400-\u045f\u2010-\u2027\u2030-\u203a\u20a0-\u20bf\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3]")
 
 
 def with_tokens(docs: DataFrame, vocabulary: str, text: str = "text", out: str = "tokens") -> DataFrame:

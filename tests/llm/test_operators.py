@@ -509,6 +509,21 @@ def test_bpe(spark):
     assert bpe.with_tokens(made(spark, texts), bpe.default_vocabulary()).select("tokens.n_tokens").first()[0] == 0
 
 
+def test_bpe_of_every_code_point():
+    from tokenizers import Tokenizer
+
+    known = Tokenizer.from_file(bpe.default_vocabulary())
+    own = bpe.Tokenizer(json.loads(bpe._read(bpe.default_vocabulary())))
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000 and (c < 0x3400 or c % 7 == 0 or 0x10000 <= c < 0x1F000)]
+    rng = np.random.default_rng(9)
+    marks = [chr(c) for c in (*range(0x300, 0x370), *range(0x591, 0x5C8), *range(0x890, 0x8A0), *range(0x1DC0, 0x1E00), 0x61, 0x65, 0xE9, 0x3B1, 0x20, 0x41)]
+    texts = [f"a{c}b {c} {c}1" for c in points] + ["".join(rng.choice(marks, 9)) for _ in range(20_000)]
+    for at in range(0, len(texts), 5000):
+        part = texts[at : at + 5000]
+        for t, e in zip(part, known.encode_batch(part, add_special_tokens=False), strict=True):
+            assert np.frombuffer(own.encode(t), "<u4").tolist() == e.ids, ascii(t)
+
+
 def test_quality(spark):
     clean = [prose(i, 120) for i in range(60)]
     texts = [*ODD, *clean, "\n".join(["same line of words here"] * 30), "#$%&" * 40 + " " + " ".join("ZQXJ" * 3 for _ in range(40)) + " " + " ".join(f"{i}{i * 7}!!" for i in range(60))]
