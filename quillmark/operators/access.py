@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from quillmark.functions.predicates import is_effective, is_live
 from quillmark.functions.scalars import email_domain
+from quillmark.storage import cut, few
 
 MAX_DEPTH = 16
 
@@ -58,32 +59,41 @@ def edges_at_generation(edges: DataFrame, directories: DataFrame) -> DataFrame:
     return live.join(directories, ["organization_id", "connector_id"]).filter(at).select("organization_id", "connector_id", "group_principal_id", "member_principal_id")
 
 
+def group_ancestors(step: DataFrame, depth: int = MAX_DEPTH) -> DataFrame:
+    """(organization_id, connector_id, group_principal_id, ancestor_id, distance): the groups above each group.
+
+    step: organization_id, connector_id, member_principal_id, group_principal_id.  A level is a join of the
+    pairs found last; pairs known before are dropped, so cycles end and a group reached in many ways counts once.
+    """
+    at = ["organization_id", "connector_id"]
+    named = step.select(*at, F.col("group_principal_id").alias("member_principal_id")).distinct()
+    up = few(step.join(named, [*at, "member_principal_id"], "left_semi"))
+    pair = [*at, "group_principal_id", "ancestor_id"]
+    last = cut(up.select(*at, F.col("member_principal_id").alias("group_principal_id"), F.col("group_principal_id").alias("ancestor_id")).distinct().withColumn("distance", F.lit(1)))
+    known = last
+    for d in range(2, depth):
+        above = up.select(*at, F.col("member_principal_id").alias("ancestor_id"), F.col("group_principal_id").alias("_above"))
+        found = last.join(above, [*at, "ancestor_id"]).select(*at, "group_principal_id", F.col("_above").alias("ancestor_id")).distinct()
+        last = cut(found.join(known, pair, "left_anti").withColumn("distance", F.lit(d)))
+        if last.isEmpty():
+            break
+        known = cut(known.unionByName(last))
+    return known
+
+
 def group_closure(identities: DataFrame, edges: DataFrame, principals: DataFrame, depth: int = MAX_DEPTH) -> DataFrame:
     """(organization_id, user_id, connector_id, principal_id, depth): the groups that a user reaches, at the least depth.
 
-    One recursive query, which Spark runs level by level; `path` ends cycles.  A directory's nesting is
-    shallow, so paths to a group are few.
+    Groups are closed once, whatever the number of users; users then take what is above their own groups.
     """
-    groups = principals.filter((F.col("principal_type") == "group") & is_live("lifecycle")).select("organization_id", "connector_id", F.col("id").alias("group_principal_id"))
-    step = edges.join(groups, ["organization_id", "connector_id", "group_principal_id"]).select("organization_id", "connector_id", "member_principal_id", "group_principal_id").persist()
-    own = identities.select("organization_id", "user_id", "connector_id", "principal_id")
-    spark = identities.sparkSession
-    spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")
-    walk = spark.sql(
-        """
-        WITH RECURSIVE walk(organization_id, user_id, connector_id, principal_id, depth, path) AS (
-          SELECT organization_id, user_id, connector_id, principal_id, 0, array(principal_id) FROM {own}
-          UNION ALL
-          SELECT w.organization_id, w.user_id, w.connector_id, s.group_principal_id, w.depth + 1, array_append(w.path, s.group_principal_id)
-          FROM walk w JOIN {step} s ON s.organization_id = w.organization_id AND s.connector_id = w.connector_id AND s.member_principal_id = w.principal_id
-          WHERE w.depth < {depth} AND NOT array_contains(w.path, s.group_principal_id))
-        SELECT organization_id, user_id, connector_id, principal_id, min(depth) AS depth FROM walk WHERE depth > 0 GROUP BY ALL
-        """,
-        own=own,
-        step=step,
-        depth=depth,
-    )
-    return walk
+    at = ["organization_id", "connector_id"]
+    groups = principals.filter((F.col("principal_type") == "group") & is_live("lifecycle")).select(*at, F.col("id").alias("group_principal_id"))
+    step = cut(edges.join(groups, [*at, "group_principal_id"]).select(*at, "member_principal_id", "group_principal_id").distinct())
+    own = identities.select("organization_id", "user_id", "connector_id", F.col("principal_id").alias("member_principal_id"))
+    direct = own.join(step, [*at, "member_principal_id"]).select("organization_id", "user_id", "connector_id", "group_principal_id").distinct()
+    higher = direct.join(few(group_ancestors(step, depth)), [*at, "group_principal_id"])
+    walk = direct.select("organization_id", "user_id", "connector_id", F.col("group_principal_id").alias("principal_id"), F.lit(1).alias("depth")).unionByName(higher.select("organization_id", "user_id", "connector_id", F.col("ancestor_id").alias("principal_id"), (F.col("distance") + 1).alias("depth")))
+    return walk.groupBy("organization_id", "user_id", "connector_id", "principal_id").agg(F.min("depth").alias("depth"))
 
 
 def domain_principals(identities: DataFrame, principals: DataFrame) -> DataFrame:

@@ -98,9 +98,15 @@ def first_batch(df: DataFrame, files: int = 10, total_bytes: int = 25 * 1024 * 1
 
 
 def provider_batches(chunks: DataFrame, size: int = 128) -> DataFrame:
-    """Chunks of each tenant in order, `size` to a batch."""
-    place = F.row_number().over(Window.partitionBy("organization_id").orderBy("document_id", "chunk_index", "id"))
-    return chunks.withColumn("batch", F.floor((place - 1) / size).cast("long"))
+    """Chunks of each tenant in order, `size` to a batch.
+
+    Documents are counted first and only the counts are summed along a tenant; chunks are numbered inside their document.
+    """
+    own = ["organization_id", "document_id"]
+    counts = chunks.groupBy(*own).agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy("organization_id").orderBy("document_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    place = F.row_number().over(Window.partitionBy(*own).orderBy("chunk_index", "id"))
+    return chunks.withColumn("_place", place).join(counts.select(*own, before.alias("_before")), own).withColumn("batch", F.floor((F.col("_before") + F.col("_place") - 1) / size).cast("long")).drop("_place", "_before")
 
 
 def coalesce_jobs(jobs: DataFrame) -> DataFrame:

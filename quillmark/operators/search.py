@@ -2,10 +2,19 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, Window, functions as F
 
 from quillmark.functions.predicates import check_limit
 from quillmark.functions.scalars import cosine_distance
+from quillmark.storage import few
+
+#: Vectors of a tenant's chunks and of its requests that meet in one matrix product.
+CHUNK_BLOCK, REQUEST_BLOCK = 8192, 1024
+#: Distances this near the k-th are computed again, row by row, so that equal vectors tie exactly.
+TIE = 1e-9
 
 
 def vector_topk(chunks: DataFrame, query: list[float], k: int, vector: str = "embedding", key: str = "id") -> DataFrame:
@@ -15,18 +24,94 @@ def vector_topk(chunks: DataFrame, query: list[float], k: int, vector: str = "em
     return chunks.withColumn("distance", cosine_distance(F.col(vector), q)).withColumn("similarity", 1.0 - F.col("distance")).orderBy(F.asc_nulls_last("distance"), key).limit(k)
 
 
+def _nearest(rows: DataFrame, by: list[str], k: int, key: str) -> DataFrame:
+    place = F.row_number().over(Window.partitionBy(*by).orderBy(F.asc_nulls_last("distance"), key))
+    return rows.withColumn("rank", place).filter(F.col("rank") <= k).withColumn("similarity", 1.0 - F.col("distance"))
+
+
+def _matrix(vectors: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The vectors of this width as rows of length 1, and which they are; others and those without a length are 0."""
+    lists = vectors.combine_chunks() if isinstance(vectors, pa.ChunkedArray) else vectors
+    fits = lists.value_lengths().fill_null(-1).to_numpy(zero_copy_only=False) == width
+    out = np.zeros((len(lists), width))
+    some = lists.filter(pa.array(fits))
+    out[fits] = some.flatten().fill_null(np.nan).to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, width)
+    norm = np.sqrt((out * out).sum(axis=1))
+    good = fits & (norm > 0) & np.isfinite(norm)
+    out[good] /= norm[good, None]
+    out[~good] = 0
+    return out, good
+
+
+def _pair_distance(a: pa.Array, b: pa.Array) -> pa.Array:
+    """cosine_distance of each row's two vectors, by batches; null where one has no length or their lengths differ."""
+    lengths = a.value_lengths().fill_null(-1).to_numpy(zero_copy_only=False)
+    out, known = np.zeros(len(a)), np.zeros(len(a), bool)
+    for width in np.unique(lengths[lengths > 0]):
+        x, good = _matrix(a, int(width))
+        y, also = _matrix(b, int(width))
+        both = good & also
+        out[both], known[both] = 1.0 - (x[both] * y[both]).sum(axis=1), True
+    return pa.array(out, mask=~known)
+
+
 def rank_by_distance(pairs: DataFrame, by: list[str], k: int, key: str = "chunk_id") -> DataFrame:
     """Of rows that hold a query and an embedding, the k nearest of each group; neither vector is kept."""
     check_limit(k, 1, 100)
-    near = pairs.withColumn("distance", cosine_distance(F.col("embedding"), F.col("query"))).drop("embedding", "query")
-    place = F.row_number().over(Window.partitionBy(*by).orderBy(F.asc_nulls_last("distance"), key))
-    return near.withColumn("rank", place).filter(F.col("rank") <= k).withColumn("similarity", 1.0 - F.col("distance"))
+    near = pairs.withColumn("distance", F.arrow_udf(_pair_distance, "double")("embedding", "query")).drop("embedding", "query")
+    return _nearest(near, by, k, key)
+
+
+def _blocks(rows: DataFrame, sizes: DataFrame, own: str, other: str, key: str) -> DataFrame:
+    """rows once for each block of the other side, with its own block by a hash of its key."""
+    joined = rows.join(sizes, ["organization_id", "embedding_model"])
+    return joined.withColumn(own, F.pmod(F.xxhash64(key), f"n_{own}").cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), (F.col(f"n_{other}") - 1).cast("int")))).drop(f"n_{own}", f"n_{other}")
 
 
 def vector_topk_batch(chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """The k nearest of the tenant's chunks for each request.  queries: organization_id, user_id, query, embedding_model."""
-    own = chunks.filter(F.col("embedding").isNotNull()).select("organization_id", F.col("id").alias("chunk_id"), "embedding", "embedding_model")
-    return rank_by_distance(own.join(queries, ["organization_id", "embedding_model"]), ["organization_id", "user_id"], k)
+    """The k nearest of the tenant's chunks for each request.  queries: organization_id, user_id, query, embedding_model.
+
+    Every request meets every chunk of its tenant, as exact search must; they meet in blocks, whose distances are
+    one matrix product, and only each block's k nearest leave it.  A large tenant has many blocks, so it isn't one
+    task's.  Sizes are a row for each tenant and model, broadcast if they are few.
+    """
+    check_limit(k, 1, 100)
+    keys = ["organization_id", "embedding_model"]
+    own = chunks.filter(F.col("embedding").isNotNull()).select(*keys, F.col("id").alias("chunk_id"), "embedding")
+    asked = queries.select(*keys, "user_id", "query")
+    count = lambda df, block, name: df.groupBy(*keys).agg(F.ceil(F.count("*") / block).alias(name))
+    sizes = few(count(own, CHUNK_BLOCK, "n_cb").join(count(asked, REQUEST_BLOCK, "n_rb"), keys))
+    ids = {c: chunks.schema["id"].dataType if c == "chunk_id" else queries.schema[c].dataType for c in ("organization_id", "user_id", "chunk_id")}
+
+    def product(left: pa.Table, right: pa.Table) -> pa.Table:
+        rows, columns, distances = [], [], []
+        queries_, embeddings = right["query"].combine_chunks(), left["embedding"].combine_chunks()
+        order = pa.compute.rank(left["chunk_id"].combine_chunks(), tiebreaker="first").to_numpy()
+        for width in np.unique(queries_.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)):
+            q, asks = _matrix(queries_, int(width))
+            c, has = _matrix(embeddings, int(width))
+            mine = np.flatnonzero(queries_.value_lengths().fill_null(0).to_numpy(zero_copy_only=False) == width)
+            all_ = 1.0 - q[mine] @ c.T
+            all_[:, ~has] = np.inf
+            all_[~asks[mine]] = np.inf
+            for i, d in zip(mine, all_, strict=True):
+                near = np.arange(len(d))
+                if len(d) > k:
+                    limit = np.partition(d, k - 1)[k - 1]
+                    near = np.flatnonzero(d <= limit + TIE) if np.isfinite(limit) else near
+                sure = np.where(np.isfinite(d[near]), 1.0 - (c[near] * q[i]).sum(axis=1), np.inf)
+                best = np.lexsort((order[near], sure))[:k]
+                rows.append(np.full(len(best), i))
+                columns.append(near[best])
+                distances.append(sure[best])
+        at, of, d = (np.concatenate(x) if x else np.zeros(0) for x in (rows, columns, distances))
+        at, of = pa.array(at.astype(np.int64)), pa.array(of.astype(np.int64))
+        return pa.table({"organization_id": right["organization_id"].take(at), "user_id": right["user_id"].take(at), "chunk_id": left["chunk_id"].take(of), "embedding_model": right["embedding_model"].take(at), "distance": pa.array(d, pa.float64(), mask=~np.isfinite(d))})
+
+    at = [*keys, "cb", "rb"]
+    schema = ", ".join(f"{c} {t.simpleString()}" for c, t in ids.items()) + ", embedding_model string, distance double"
+    met = _blocks(own, sizes, "cb", "rb", "chunk_id").groupBy(*at).cogroup(_blocks(asked, sizes, "rb", "cb", "user_id").groupBy(*at)).applyInArrow(product, schema)
+    return _nearest(met, ["organization_id", "user_id"], k, "chunk_id")
 
 
 def indexable_content(versions: DataFrame, mappings: DataFrame, documents: DataFrame, chunks: DataFrame, model: str | None = None) -> DataFrame:

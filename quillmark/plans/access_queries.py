@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from quillmark.functions import predicates as P
 from quillmark.operators import access as A, search as S
 from quillmark.plans.fixtures import AS_OF, Tables
+from quillmark.storage import cut
 
 DIMENSIONS, K = 64, 10
 _VALID = f"granted_at <= {AS_OF} AND (expires_at IS NULL OR expires_at > {AS_OF}) AND revoked_at IS NULL"
@@ -92,7 +93,7 @@ def _paths(t: Tables) -> DataFrame:
 
 
 def _authorized(t: Tables) -> DataFrame:
-    who = _principals(t).persist()
+    who = cut(_principals(t))
     allowed = A.acl_allowed(t["snapshots"], t["acl_entries"], who, now())
     denied = A.acl_denied(t["snapshots"], t["acl_entries"], who, now())
     return A.authorized_paths(_paths(t), _granted(t), allowed, denied)
