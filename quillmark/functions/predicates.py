@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 KEY_LENGTH, PATH_BYTES, PATH_SEGMENTS, SEGMENT_BYTES = 1024, 1024, 64, 255
 BLOB_BYTES = 10 * 1024 * 1024
 SUPPORTED = (".txt", ".md", ".markdown", ".docx", ".pdf")
+#: Ids from which a list is joined and not written into the plan.
+LONG_LIST = 1000
 LFS_SIGNATURE = "version https://git-lfs.github.com/spec/v1"
 
 
@@ -32,15 +34,21 @@ def only_ids(df: DataFrame, column: str, ids: Sequence | None = None) -> DataFra
         return df
     if not ids:
         raise ValueError(f"an empty list of {column} selects nothing")
+    if len(ids) > LONG_LIST:
+        listed = df.sparkSession.createDataFrame([(x,) for x in set(ids)], [column]).select(F.col(column).cast(df.schema[column].dataType))
+        return df.join(listed, column, "left_semi")
     return df.filter(F.col(column).isin(list(ids)))
 
 
-def skip_reason(entry_type: str, path: str, size: str, limit: int = BLOB_BYTES) -> Column:
-    """Why a tree entry can't be indexed; null if it can."""
+def skip_reason(entry_type: str, path: str, size: str, limit: int = BLOB_BYTES, key: str | None = None) -> Column:
+    """Why a tree entry can't be indexed; null if it can.  `dropped` entries, whose key is too long, leave no trace; a
+    blob of a known format without a size is `size_unavailable`, a mistake of its source."""
     suffix = F.lower(F.regexp_extract(path, r"(\.[^./]+)$", 1))
     return (
-        F.when(~F.col(entry_type).isin("blob", "executable"), "unsupported_object_type")
+        F.when(F.char_length(F.col(key or path)) > KEY_LENGTH, "dropped")
+        .when(~F.coalesce(F.col(entry_type).isin("blob", "executable"), F.lit(False)), "unsupported_object_type")
         .when(~suffix.isin(*SUPPORTED), "unsupported_format")
+        .when(F.col(size).isNull(), "size_unavailable")
         .when(F.col(size) > limit, "oversized")
     )
 

@@ -10,7 +10,8 @@ from pyspark.sql import Column, functions as F
 
 MIME_TYPES = {".txt": "text/plain", ".md": "text/markdown", ".markdown": "text/markdown", ".pdf": "application/pdf", ".docx": "application/vnd.openxmlformats-officedocument.wordprocessingml.document"}
 BASE_DELAY, DELAY_CAP, RATE_CAP = 30.0, 900.0, 3600.0
-PATTERNS = {"code": "^[a-z][a-z0-9_]{0,63}$", "slug": "^[a-z0-9]+(-[a-z0-9]+)*$", "object_id": "^([0-9a-f]{40}|[0-9a-f]{64})$", "worker": "^[A-Za-z0-9._:-]{1,128}$", "profile": "^[A-Za-z0-9._-]{1,128}$"}
+# Forms of codes and names.
+PATTERNS = {"code": "^[a-z][a-z0-9_]*$", "slug": "^[a-z0-9]+(-[a-z0-9]+)*$", "object_id": "^([0-9a-f]{40}|[0-9a-f]{64})$", "worker": "^[A-Za-z0-9][A-Za-z0-9._:-]{0,254}$", "profile": "^[a-z0-9][a-z0-9._:/-]*$"}
 
 
 def cosine_distance(a: Column, b: Column) -> Column:
@@ -31,6 +32,7 @@ def normalize_newlines(s: Column) -> Column:
 
 
 def trim_unicode(s: Column) -> Column:
+    """Without white space at the ends, as Unicode has it."""
     return F.regexp_replace(s, r"(?U)^\s+|\s+$", "")
 
 
@@ -90,6 +92,16 @@ def json_field(column: Column, name: str) -> Column:
     return F.get_json_object(column, f"$.{name}")
 
 
+def json_time(column: Column, name: str) -> Column:
+    """A field that holds an ISO time, as a timestamp; null if it holds none."""
+    return F.try_to_timestamp(json_field(column, name))
+
+
+def numeric_id(*keys: Column) -> Column:
+    """An id of 60 bits that depends on the keys only."""
+    return F.conv(F.substring(F.sha2(F.concat_ws("|", *[k.cast("string") for k in keys]), 256), 1, 15), 16, 10).cast("long")
+
+
 def row_id(*keys: Column) -> Column:
     """An id that depends on the keys only, so reruns agree."""
     return F.sha2(F.concat_ws("|", *[F.concat(F.octet_length(k.cast("string")).cast("string"), F.lit(":"), k.cast("string")) for k in keys]), 256)

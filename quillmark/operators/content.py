@@ -40,10 +40,16 @@ section_ids = markdown_lines
 
 
 def markdown_sections(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, section_index, heading, text): bodies under headings, empty ones left out; fences aren't special."""
+    """(key, section_index, heading, text): bodies under headings, empty ones left out; fences aren't special.
+
+    A text of nothing but headings is one section, the whole of it; a blank one has none."""
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("level").isNull(), F.struct("line_number", "line")))), lambda x: x["line"]), "\n")
-    found = markdown_lines(docs, key, text).groupBy(key, "section").agg(F.max("heading").alias("heading"), _trim(body).alias("text")).filter("text <> ''")
-    return found.withColumn("section_index", F.row_number().over(Window.partitionBy(key).orderBy("section")) - 1).select(key, "section_index", "heading", "text")
+    each = markdown_lines(docs, key, text).groupBy(key, "section").agg(F.max("heading").alias("heading"), _trim(body).alias("text"))
+    found = each.filter("text <> ''")
+    numbered = found.withColumn("section_index", F.row_number().over(Window.partitionBy(key).orderBy("section")) - 1).select(key, "section_index", "heading", "text")
+    bare = each.groupBy(key).agg(F.max("text").alias("_longest")).filter("_longest = ''").select(key)
+    whole = docs.select(key, _trim(normalize_newlines(F.col(text))).alias("text")).join(bare, key, "left_semi").filter("text <> ''")
+    return numbered.unionByName(whole.select(key, F.lit(0).alias("section_index"), F.lit(None).cast("string").alias("heading"), "text"))
 
 
 def markdown_titles(docs: DataFrame, key: str = "doc_id", text: str = "text", name: str = "stem") -> DataFrame:
@@ -70,13 +76,19 @@ def page_sections(pages: DataFrame) -> DataFrame:
 
 
 def assemble_blocks(blocks: DataFrame) -> DataFrame:
-    """(document_id, text, n_headings, n_tables) from ordered paragraphs and tables; a table's cells are given with bars between."""
-    cells = F.array_distinct(F.filter(F.transform(F.split("cells", r"\|"), lambda x: F.btrim(x)), lambda x: x != ""))
-    part = F.when(F.col("kind") == "table", F.array_join(cells, " | ")).otherwise(F.btrim("text"))
-    rows = blocks.withColumn("_part", part)
+    """(document_id, text, n_headings, n_tables) from ordered paragraphs and tables.
+
+    A table's cells are an array of structs (row, cell, text): a merged cell stands in several places under one
+    `cell` and counts once in its row; blank cells, and tables of nothing else, are left out."""
+    clean = F.filter(F.transform("cells", lambda c: F.struct(c["row"].alias("row"), c["cell"].alias("cell"), F.btrim(normalize_newlines(c["text"]), F.lit(" \t\n")).alias("text"))), lambda c: c["text"] != "")
+    first = lambda c, i: F.size(F.filter(F.slice("_cells", F.lit(1), i), lambda x: (x["row"] == c["row"]) & (x["cell"] == c["cell"]))) == 0
+    rows = blocks.withColumn("_cells", clean).withColumn("_cells", F.filter("_cells", first))
+    lines = F.transform(F.array_distinct(F.transform("_cells", lambda c: c["row"])), lambda r: F.array_join(F.transform(F.filter("_cells", lambda c: c["row"] == r), lambda c: c["text"]), " | "))
+    part = F.when(F.col("kind") == "table", F.array_join(lines, "\n")).otherwise(F.btrim("text"))
+    rows = rows.withColumn("_part", part)
     parts = F.array_sort(F.collect_list(F.when(F.col("_part") != "", F.struct("block_index", "_part"))))
     heading = (F.col("kind") == "paragraph") & F.lower("style").startswith("heading") & (F.col("_part") != "")
-    return rows.groupBy("document_id").agg(F.array_join(F.transform(parts, lambda x: x["_part"]), "\n\n").alias("text"), F.count_if(heading).alias("n_headings"), F.count_if(F.col("kind") == "table").alias("n_tables"))
+    return rows.groupBy("document_id").agg(F.array_join(F.transform(parts, lambda x: x["_part"]), "\n\n").alias("text"), F.count_if(heading).alias("n_headings"), F.count_if((F.col("kind") == "table") & (F.col("_part") != "")).alias("n_tables"))
 
 
 _BREAKS = (re.compile(r"\n[^\S\n]*\n\s*"), re.compile(r"\n"), re.compile(r"[.!?]+(?=\s)"), re.compile(r"\s"))
@@ -144,11 +156,14 @@ def embedding_backlog(chunks: DataFrame, model: str) -> DataFrame:
 
 
 def hash_embedder(dimensions: int) -> Callable[[list[str]], list[list[float]]]:
-    """A deterministic stand-in for an embedding service."""
+    """A deterministic stand-in for an embedding service: the bytes of the text's digests, from -1 to 1."""
     import hashlib
 
+    def digests(text: str) -> bytes:
+        return b"".join(hashlib.md5(f"{i}:{text}".encode()).digest() for i in range((dimensions + 15) // 16))[:dimensions]
+
     def embed(texts: list[str]) -> list[list[float]]:
-        return [[b / 127.5 - 1 for b in hashlib.shake_128(x.encode()).digest(dimensions)] for x in texts]
+        return [[b / 127.5 - 1 for b in digests(x)] for x in texts]
 
     return embed
 
@@ -183,6 +198,8 @@ def clear_embedding(chunks: DataFrame, ids: DataFrame) -> DataFrame:
     return joined.withColumn("embedding", F.when(kept, F.col("embedding"))).withColumn("embedding_model", F.when(kept, F.col("embedding_model"))).drop("_gone")
 
 
-def within_chunk_ceiling(chunks: DataFrame, limit: int = CHUNK_CEILING) -> DataFrame:
-    """(document_id, n_chunks, accepted)."""
-    return chunks.groupBy("document_id").agg(F.count("*").alias("n_chunks")).withColumn("accepted", F.col("n_chunks") <= limit)
+def within_chunk_ceiling(documents: DataFrame, chunks: DataFrame, limit: int = CHUNK_CEILING) -> DataFrame:
+    """(document_id, n_chunks, accepted) of every document: those without chunks, or with more than the limit, are rejected."""
+    n = chunks.groupBy("document_id").agg(F.count("*").alias("n_chunks"))
+    rows = documents.select(F.col("id").alias("document_id")).join(n, "document_id", "left").fillna(0, ["n_chunks"])
+    return rows.withColumn("accepted", F.col("n_chunks").between(1, limit))

@@ -51,15 +51,24 @@ def run_totals(batches: DataFrame, ceilings: dict[str, int] = CEILINGS) -> DataF
 
 
 def ingest_summary(documents: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Each document with its number of chunks; those without any have 0."""
+    """Each document with its status, its outcome if ingestion told one, and its number of chunks; those without any have 0."""
     n = chunks.groupBy("organization_id", "document_id").agg(F.count("*").alias("n_chunks"))
-    named = documents.select("organization_id", F.col("id").alias("document_id"), "status")
+    told = ["outcome"] if "outcome" in documents.columns else []
+    named = documents.select("organization_id", F.col("id").alias("document_id"), "status", *told)
     return named.join(n, ["organization_id", "document_id"], "left").fillna(0, ["n_chunks"])
 
 
-def embedding_summary(chunks: DataFrame, model: str) -> DataFrame:
-    done = F.col("embedding").isNotNull() & (F.col("embedding_model") == model)
-    return chunks.groupBy("organization_id").agg(F.count("*").alias("total"), F.count_if(done).alias("skipped"), F.count_if(~F.coalesce(done, F.lit(False))).alias("to_embed"))
+def embedding_summary(chunks: DataFrame, model: str, embedded: DataFrame | None = None, batch: int = 128) -> DataFrame:
+    """Chunks of each tenant: all, those that have a vector of the model, those that need one, the batches that takes, and
+    how many of these are `embedded` (id, embedding_model) by now."""
+    done = F.coalesce(F.col("embedding").isNotNull() & (F.col("embedding_model") == model), F.lit(False))
+    rows = chunks.select("organization_id", "id", done.alias("_done"))
+    if embedded is not None:
+        rows = rows.join(embedded.filter(F.col("embedding_model") == model).select("id", F.lit(1).alias("_new")).distinct(), "id", "left")
+    else:
+        rows = rows.withColumn("_new", F.lit(None).cast("int"))
+    counts = rows.groupBy("organization_id").agg(F.count("*").alias("total"), F.count_if("_done").alias("skipped"), F.count_if(~F.col("_done")).alias("to_embed"), F.count_if(~F.col("_done") & F.col("_new").isNotNull()).alias("embedded"))
+    return counts.withColumn("batches", F.ceil(F.col("to_embed") / batch))
 
 
 def page_totals(pages: DataFrame) -> DataFrame:
@@ -72,22 +81,29 @@ def duplicate_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def budget_batches(df: DataFrame, files: int = 10, total_bytes: int = 25 * 1024 * 1024, chunks: int = 500) -> DataFrame:
-    """df (run_id, place, bytes, chunks, skipped) with `batch`: the longest ordered prefix within the
-    limits, then the next.  A cut depends on all cuts before it, so each run is one ordered group; runs
-    have a ceiling of entries.  A file that is alone over a limit makes a batch of its own."""
+    """df (run_id, place, bytes, chunks, skipped) with `batch`: the longest ordered prefix within the limits, then the next.
+
+    A cut depends on all cuts before it, so each run is one ordered group; runs have a ceiling of entries.  A
+    file that is alone over a limit is refused, and the run ends there: it and what follows have no batch."""
 
     def cut(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("place")
-        out, batch, n, weight, parts = [], 0, 0, 0, 0
+        out, refused, batch, n, weight, parts = [], [], 0, 0, 0, 0
         for b, c, skipped in zip(group["bytes"], group["chunks"], group["skipped"], strict=True):
             own = 0 if skipped else int(b)
+            alone = own > total_bytes or int(c) > chunks
+            if alone or (refused and refused[-1] is not None):
+                refused.append("over_limit" if alone and not (refused and refused[-1]) else "after_refusal")
+                out.append(None)
+                continue
             if n and (n + 1 > files or weight + own > total_bytes or parts + c > chunks):
                 batch, n, weight, parts = batch + 1, 0, 0, 0
             n, weight, parts = n + 1, weight + own, parts + int(c)
             out.append(batch)
-        return group.assign(batch=out)[["run_id", "place", "batch"]]
+            refused.append(None)
+        return pd.DataFrame({"run_id": group["run_id"], "place": group["place"], "batch": pd.array(out, "Int32"), "refused": refused})
 
-    return df.groupBy("run_id").applyInPandas(cut, "run_id long, place long, batch int")
+    return df.groupBy("run_id").applyInPandas(cut, "run_id long, place long, batch int, refused string")
 
 
 def first_batch(df: DataFrame, files: int = 10, total_bytes: int = 25 * 1024 * 1024, chunks: int = 500) -> DataFrame:
@@ -182,10 +198,13 @@ def eligible_jobs(jobs: DataFrame, connectors: DataFrame, as_of: Column) -> Data
     return jobs.filter(due).join(connectors.select("organization_id", F.col("id").alias("connector_id")), ["organization_id", "connector_id"], "left_semi")
 
 
-def expired_leases(jobs: DataFrame, as_of: Column) -> DataFrame:
-    """Running jobs whose lease is over, and what becomes of them."""
+def expired_leases(jobs: DataFrame, as_of: Column, jitter: Column | None = None) -> DataFrame:
+    """Running jobs whose lease is over, what becomes of them, and when those that try again may do so."""
     fate = F.when(F.col("cancel_requested_at").isNotNull(), "cancelled").when(F.col("attempt_count") < F.col("max_attempts"), "retry_wait").otherwise("failed")
-    return jobs.filter((F.col("status") == "running") & (F.col("lease_expires_at") <= as_of)).withColumn("fate", fate)
+    wait = retry_delay(F.lit("unknown_internal"), F.col("attempt_count"), F.lit(None).cast("double"), F.lit(1.0) if jitter is None else jitter)
+    over = jobs.filter((F.col("status") == "running") & (F.col("lease_expires_at") <= as_of)).withColumn("fate", fate)
+    at = F.timestamp_micros(F.unix_micros(as_of.cast("timestamp")) + (wait * 1_000_000).cast("long"))
+    return over.withColumn("retry_at", F.when(F.col("fate") == "retry_wait", at))
 
 
 def retry_decision(failures: DataFrame) -> DataFrame:
@@ -203,27 +222,32 @@ def retry_decision(failures: DataFrame) -> DataFrame:
 SCOPE_TYPES = {"local_folder": "folder", "github": "repository"}
 
 
+def _fits() -> Column:
+    """Whether the scope's type is one of its connector's."""
+    fits = F.lit(False)
+    for kind, scope in SCOPE_TYPES.items():
+        fits = fits | ((F.col("connector_type") == kind) & (F.col("scope_type") == scope))
+    return F.coalesce(fits, F.lit(False))
+
+
 def syncable_scopes(connectors: DataFrame, scopes: DataFrame, spaces: DataFrame) -> DataFrame:
     """Each scope with the reason why it may not sync now; null if it may."""
     c = connectors.select("organization_id", F.col("id").alias("connector_id"), "connector_type", F.col("status").alias("_c"))
     s = spaces.select("organization_id", F.col("id").alias("knowledge_space_id"), F.col("status").alias("_s"))
     joined = scopes.join(c, ["organization_id", "connector_id"], "left").join(s, ["organization_id", "knowledge_space_id"], "left")
-    fits = F.lit(False)
-    for kind, scope in SCOPE_TYPES.items():
-        fits = fits | ((F.col("connector_type") == kind) & (F.col("scope_type") == scope))
     live = lambda name: F.coalesce(F.col(name) == "active", F.lit(False))
-    reason = F.when(~live("_c"), "connector_inactive").when(~live("status"), "scope_inactive").when(~live("_s"), "space_inactive").when(~fits, "type_mismatch")
+    reason = F.when(~live("_c"), "connector_inactive").when(~live("status"), "scope_inactive").when(~live("_s"), "space_inactive").when(~_fits(), "type_mismatch")
     return joined.select("organization_id", F.col("id").alias("connector_scope_id"), "connector_id", reason.alias("reason"))
 
 
 def due_schedules(schedules: DataFrame, connectors: DataFrame, scopes: DataFrame, as_of: Column) -> DataFrame:
-    """Active schedules that are due: why they pause, or when they run next."""
-    c = connectors.select("organization_id", F.col("id").alias("connector_id"), F.col("status").alias("_c"))
-    s = scopes.select("organization_id", F.col("id").alias("connector_scope_id"), F.col("status").alias("_s"))
+    """Active schedules that are due: why they pause, or when they run next.  Scopes of a wrong type pause, too."""
+    c = connectors.select("organization_id", F.col("id").alias("connector_id"), F.col("status").alias("_c"), "connector_type")
+    s = scopes.select("organization_id", F.col("id").alias("connector_scope_id"), F.col("status").alias("_s"), "scope_type")
     due = schedules.filter((F.col("status") == "active") & (F.col("next_run_at") <= as_of)).join(c, ["organization_id", "connector_id"], "left").join(s, ["organization_id", "connector_scope_id"], "left")
     live = lambda name: F.coalesce(F.col(name) == "active", F.lit(False))
-    reason = F.when(~live("_c"), "connector_inactive").when(~live("_s"), "scope_inactive")
-    return due.withColumn("paused_reason", reason).withColumn("runs_next", F.when(F.col("paused_reason").isNull(), next_run(F.col("next_run_at"), F.col("interval_seconds"), as_of))).drop("_c", "_s")
+    reason = F.when(~live("_c"), "connector_inactive").when(~live("_s"), "scope_inactive").when(~_fits(), "type_mismatch")
+    return due.withColumn("paused_reason", reason).withColumn("runs_next", F.when(F.col("paused_reason").isNull(), next_run(F.col("next_run_at"), F.col("interval_seconds"), as_of))).drop("_c", "_s", "connector_type", "scope_type")
 
 
 def attempt_runs(jobs: DataFrame) -> DataFrame:

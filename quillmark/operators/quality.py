@@ -11,8 +11,9 @@ from quillmark.functions.scalars import collision_key
 TREE_ENTRIES = 1000
 # Keys and shapes that must not stand in stored metadata.
 FORBIDDEN_KEYS = ("content", "raw_content", "chunk", "chunks", "chunk_text", "vector", "vectors", "embedding", "embeddings", "credential", "credentials", "token", "access_token", "refresh_token", "secret", "password", "path", "file_path", "traceback", "provider_response", "provider_payload")
-_KEYS = r'(?i)(^|[^\\])"(' + "|".join(FORBIDDEN_KEYS) + r')"\s*:'
-_VALUES = r'(?i)bearer |password=|secret=|api_key=|-----begin |traceback \(most recent call last\)|"[a-z]:[\\/]|:\s*"/'
+_KEYS = r'(?:^|[^\\])"((?i:' + "|".join(FORBIDDEN_KEYS) + r'))"\s*:'
+#: Shapes in any case, shapes as they are written, and strings that begin as absolute paths.
+_VALUES = r'(?i:bearer |password=|secret=|api_key=)|-----BEGIN |Traceback \(most recent call last\)|[:\[,{]"(/|[A-Za-z]:(\\\\|/))|^"(/|[A-Za-z]:(\\\\|/))'
 
 
 def check_rows(df: DataFrame, rules: dict[str, str]) -> DataFrame:
@@ -57,8 +58,11 @@ def check_embedding_results(requests: DataFrame, results: DataFrame, dimensions:
 
 
 def scan_unsafe_json(df: DataFrame, column: str) -> DataFrame:
-    """df with `unsafe`: its JSON has a forbidden key at any depth, or a string of a forbidden shape."""
-    c = F.coalesce(F.col(column), F.lit(""))
+    """df with `unsafe`: its JSON has a forbidden key at any depth, or a string of a forbidden shape.
+
+    The JSON is parsed and written again first, so blanks and escaped letters don't hide anything.  What isn't JSON is
+    scanned as it stands."""
+    c = F.coalesce(F.to_json(F.try_parse_json(F.col(column))), F.col(column), F.lit(""))
     return df.withColumn("unsafe", c.rlike(_KEYS) | c.rlike(_VALUES))
 
 

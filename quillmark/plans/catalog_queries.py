@@ -40,7 +40,7 @@ def _seen(t: Tables) -> DataFrame:
 
 def upsert_items(t: Tables) -> DataFrame:
     out = M.upsert_items(t["manifest"], t["items"], now())
-    return out.select(*M.ITEM, "source_checksum", "size_bytes", "status", "restored", *_text("first_seen_at", "last_seen_at", "deleted_at"))
+    return out.select("id", *M.ITEM, "source_item_type", "source_metadata", "source_checksum", "size_bytes", "status", "restored", *_text("first_seen_at", "last_seen_at", "deleted_at"))
 
 
 def upsert_memberships(t: Tables) -> DataFrame:
@@ -48,12 +48,12 @@ def upsert_memberships(t: Tables) -> DataFrame:
 
 
 def retire_missing_folder(t: Tables) -> DataFrame:
-    _, items = M.retire_missing_folder(t["memberships"], t["items"], begun(), now())
+    _, items, _ = M.retire_missing_folder(t["memberships"], t["items"], begun(), now())
     return items.select("organization_id", "id", "status")
 
 
 def retired_memberships(t: Tables) -> DataFrame:
-    held, _ = M.retire_missing_folder(t["memberships"], t["items"], begun(), now())
+    held, _, _ = M.retire_missing_folder(t["memberships"], t["items"], begun(), now())
     return held.select("organization_id", "source_item_id", "connector_scope_id", "status", *_text("removed_at"))
 
 
@@ -61,25 +61,82 @@ def _candidates(t: Tables) -> DataFrame:
     return M.unseen_candidates(t["memberships"], t["items"], t["versions"], t["mappings"], t["docs"], begun())
 
 
-def append_versions(t: Tables) -> DataFrame:
+def folder_deletions(t: Tables) -> DataFrame:
+    return M.retire_missing_folder(t["memberships"], t["items"], begun(), now())[2]
+
+
+def _retired(t: Tables) -> dict[str, DataFrame]:
+    return M.retire_missing_repo(_candidates(t), t["memberships"], t["items"], t["versions"], t["docs"], now())
+
+
+_VERSION = ["id", "organization_id", "source_item_id", "version_number", "version_cause", "lifecycle", "content_checksum", "provider_version_id", "version_metadata", "is_current"]
+
+
+def repo_memberships(t: Tables) -> DataFrame:
+    return _retired(t)["memberships"].select("organization_id", "source_item_id", "connector_scope_id", "status", *_text("removed_at"))
+
+
+def repo_items(t: Tables) -> DataFrame:
+    return _retired(t)["items"].select("id", "organization_id", "source_item_key", "status", *_text("deleted_at"))
+
+
+def repo_versions(t: Tables) -> DataFrame:
+    return _numbered(_retired(t)["versions"])
+
+
+def repo_documents(t: Tables) -> DataFrame:
+    return _retired(t)["documents"].select("id", "organization_id", "title", "status", *_text("deleted_at"))
+
+
+def _numbered(versions: DataFrame) -> DataFrame:
+    return versions.select(*_VERSION, *_text("discovered_at")).withColumn("version_number", F.col("version_number").cast("long"))
+
+
+def _version_changes(t: Tables) -> DataFrame:
     new = t["manifest"].join(t["items"].select(*M.ITEM, "id", F.col("source_checksum").alias("_old")), M.ITEM).filter("source_checksum <> _old")
-    changes = new.select("organization_id", F.col("id").alias("source_item_id"), F.col("source_checksum").alias("content_checksum"), F.lit("content_changed").alias("version_cause"), F.lit("available").alias("lifecycle"))
-    return M.append_versions(changes, t["versions"], now()).select("organization_id", "source_item_id", "version_number", "version_cause", "lifecycle", "content_checksum", "is_current")
+    once = new.select("organization_id", F.col("id").alias("source_item_id"), F.col("source_checksum").alias("content_checksum"), F.col("source_checksum").alias("provider_version_id"), F.lit("content_changed").alias("version_cause"), F.lit("available").alias("lifecycle"), F.lit(1).alias("change_order"))
+    # some items change twice
+    return once.unionByName(once.filter("source_item_id % 2 = 0").withColumn("content_checksum", F.lit("again")).withColumn("change_order", F.lit(2)))
+
+
+def append_versions(t: Tables) -> DataFrame:
+    return _numbered(M.append_versions(_version_changes(t), t["versions"], now()))
+
+
+def _unindexable(t: Tables) -> DataFrame:
+    v = t["versions"].filter("is_current and source_item_id % 2 = 0")
+    blob = F.when(F.col("source_item_id") % 3 == 0, F.concat(F.lit("new-"), "provider_version_id")).otherwise(F.col("provider_version_id"))
+    return v.select("organization_id", "source_item_id", blob.alias("provider_version_id"), F.lit("oversized").alias("reason"))
+
+
+def _tombstones(t: Tables) -> dict[str, DataFrame]:
+    return M.tombstone_unindexable(_unindexable(t), t["versions"], t["mappings"], t["docs"], t["items"], now())
 
 
 def tombstone_unindexable(t: Tables) -> DataFrame:
-    bad = t["versions"].filter("is_current").select("organization_id", "source_item_id", F.when(F.col("source_item_id") % 3 == 0, F.col("content_checksum")).otherwise("x").alias("blob"), F.lit("discovered").alias("reason"))
-    return M.tombstone_unindexable(bad, t["versions"])
+    return _numbered(_tombstones(t)["versions"])
+
+
+def unindexable_documents(t: Tables) -> DataFrame:
+    return _tombstones(t)["documents"].select("id", *_text("deleted_at"))
+
+
+def unindexable_items(t: Tables) -> DataFrame:
+    return _tombstones(t)["items"].select("id", "status")
+
+
+def unindexable_errors(t: Tables) -> DataFrame:
+    return _tombstones(t)["errors"].select("organization_id", "source_item_id", "category", "code", "retryable", "attempt", *_text("occurred_at"))
 
 
 def remap_materialization(t: Tables) -> DataFrame:
-    new = t["mappings"].filter("document_id % 5 = 2").select("organization_id", (F.col("document_version_id") + 5).alias("document_version_id"), "document_id")
-    return M.remap_materialization(new, t["mappings"])
+    new = t["versions"].filter("is_current and source_item_id % 5 = 2").select("organization_id", F.col("id").alias("document_version_id"), (F.col("source_item_id") + F.when(F.col("source_item_id") % 10 == 2, 3).otherwise(2_000_000)).alias("document_id"))
+    return M.remap_materialization(new, t["all_mappings"], t["versions"])
 
 
 def upsert_documents(t: Tables) -> DataFrame:
     incoming = t["manifest"].select("organization_id", F.when(F.regexp_extract("source_item_key", r"^src(\d+)/", 1).cast("int") % 2 == 0, "local_folder").otherwise("github").alias("source_type"), F.col("source_item_key").alias("source_document_key"), F.col("source_item_key").alias("title"), F.col("source_checksum").alias("checksum_latest"))
-    return M.upsert_documents(incoming, t["docs"], now()).select("organization_id", "source_type", "source_document_key", "title", "checksum_latest", "status", "outcome", *_text("deleted_at", "created_at"))
+    return M.upsert_documents(incoming, t["docs"], now()).select("id", "organization_id", "source_type", "source_document_key", "title", "checksum_latest", "status", "outcome", *_text("deleted_at", "created_at"))
 
 
 _CHUNK = ["organization_id", "document_id", "id", "chunk_index", "chunk_text"]
@@ -113,9 +170,48 @@ def upsert_scopes(t: Tables) -> DataFrame:
     return M.upsert_scopes(incoming.unionByName(more), s)
 
 
+_SCHEDULE = ["connector_scope_id", "status", "interval_seconds", "pause_reason_code", "last_job_id"]
+_SCHEDULE_TIMES = ["next_run_at", "paused_at", "last_due_at", "last_enqueued_at"]
+
+
 def upsert_schedules(t: Tables) -> DataFrame:
     wanted = t["scopes"].filter("id like '%:b'").select(F.col("id").alias("connector_scope_id"), F.lit(1800).alias("interval_seconds"), F.expr("DATE '2024-02-01'").alias("next_run_at"))
-    return M.upsert_schedules(wanted, t["schedules"]).select("connector_scope_id", "status", "interval_seconds", *_text("next_run_at"))
+    return M.upsert_schedules(wanted, t["schedules"]).select(*_SCHEDULE, *_text(*_SCHEDULE_TIMES))
+
+
+def pause_schedules(t: Tables) -> DataFrame:
+    paused = t["scopes"].filter("id like 'src2%'").select(F.col("id").alias("connector_scope_id"), F.lit("scope_inactive").alias("reason_code"))
+    return M.pause_schedules(t["schedules"], paused, F.expr(_JOBS_AT)).select(*_SCHEDULE, *_text(*_SCHEDULE_TIMES))
+
+
+def resume_schedules(t: Tables) -> DataFrame:
+    resumed = t["scopes"].filter("id like 'src1%:a'").select(F.col("id").alias("connector_scope_id"), F.expr("DATE '2024-03-01'").alias("next_run_at"))
+    return M.resume_schedules(t["schedules"], resumed).select(*_SCHEDULE, *_text(*_SCHEDULE_TIMES))
+
+
+def record_due(t: Tables) -> DataFrame:
+    due = t["schedules"].select("connector_scope_id", F.when(F.col("connector_scope_id").like("%3%"), F.expr("DATE '2020-01-01'")).otherwise(F.col("next_run_at")).alias("due_at"), F.expr(_JOBS_AT).alias("enqueued_at"), F.lit(77).cast("long").alias("job_id"), F.expr("DATE '2024-04-01'").alias("next_run_at"))
+    return M.record_due(t["schedules"], due.filter("connector_scope_id like '%:a'")).select(*_SCHEDULE, "missed", *_text(*_SCHEDULE_TIMES))
+
+
+def _started(t: Tables) -> tuple[DataFrame, DataFrame]:
+    asked = t["index_states"].filter("id % 3 = 0").select("id", F.lit("retry").alias("trigger_type"), F.expr(AS_OF).alias("started_at"))
+    return M.start_attempts(t["index_states"], t["attempts"], asked)
+
+
+def start_attempts(t: Tables) -> DataFrame:
+    return _started(t)[1].select("id", "indexing_state_id", "attempt_number", "trigger_type", "status", *_text("started_at"))
+
+
+def started_states(t: Tables) -> DataFrame:
+    return _started(t)[0].select("id", "status", "attempt_count", *_text("next_retry_at"))
+
+
+def complete_attempts(t: Tables) -> DataFrame:
+    kind = F.col("indexing_state_id") % 7
+    error = F.when(kind.isin(1, 2, 3), "embedding")
+    results = t["attempts"].filter("indexing_state_id % 2 = 0").select("id", F.when(kind < 2, "succeeded").when(kind < 5, "failed").otherwise("cancelled").alias("status"), F.when(kind == 6, F.expr("DATE '1990-01-01'")).otherwise(F.expr("DATE '1998-05-01'")).alias("completed_at"), error.alias("error_category"), F.when(kind != 2, F.when(error.isNotNull(), "timeout")).alias("error_code"))
+    return M.complete_attempts(t["attempts"], results).select("id", "status", "error_category", "error_code", "rejected", *_text("completed_at"))
 
 
 def snapshot_upsert(t: Tables) -> DataFrame:
@@ -124,8 +220,8 @@ def snapshot_upsert(t: Tables) -> DataFrame:
 
 
 def skip_finished(t: Tables) -> DataFrame:
-    plan = t["events"].select(F.col("user_id").alias("run_id"), F.col("event_id").alias("item_id"))
-    return M.skip_finished(plan, t["run_items"])
+    plan = t["events"].select(F.col("user_id").alias("run_id"), F.col("event_id").alias("item_id"), F.md5(F.when(F.col("event_id") % 4 == 0, F.lit("other")).otherwise((F.col("event_id") % 900).cast("string")).cast("binary")).alias("checksum"))
+    return M.skip_finished(plan, t["run_items"]).select("run_id", "item_id", "is_stale")
 
 
 def reject_stale(t: Tables) -> DataFrame:
@@ -152,7 +248,8 @@ _JOB = ["id", "organization_id", "connector_scope_id", "status", "priority", "at
 
 
 def due_schedules(t: Tables) -> DataFrame:
-    out = H.due_schedules(t["schedules"], t["connectors"], t["scopes"], F.expr("DATE '2024-01-12'"))
+    odd = t["scopes"].withColumn("scope_type", F.when(F.col("id").like("%4:a"), "other").otherwise(F.col("scope_type")))
+    out = H.due_schedules(t["schedules"], t["connectors"], odd, F.expr("DATE '2024-01-12'"))
     return out.select("connector_scope_id", "paused_reason", F.unix_seconds("runs_next").alias("runs_next_s"), F.unix_seconds(F.col("next_run_at").cast("timestamp")).alias("anchor_s")).select("connector_scope_id", "paused_reason", (F.col("runs_next_s") - F.col("anchor_s")).alias("after_anchor_s"))
 
 
@@ -167,17 +264,19 @@ def paths(t: Tables) -> DataFrame:
 
 def entries(t: Tables) -> DataFrame:
     kind = t["tree"].withColumn("entry_type", P.entry_type("mode", "object_type")).withColumn("path", F.concat("name", F.when(F.col("object_id") % 2 == 0, ".md").otherwise(".bin")))
-    return kind.select("object_id", "entry_type", "path", P.skip_reason("entry_type", "path", "size_bytes").alias("skip_reason"))
+    kind = kind.withColumn("key", F.concat("path", F.repeat(F.lit("k"), F.when(F.col("object_id") % 17 == 0, 1100).otherwise(0)))).withColumn("size_bytes", F.when(F.col("object_id") % 10 != 4, F.col("size_bytes")))
+    return kind.select("object_id", "entry_type", "path", P.skip_reason("entry_type", "path", "size_bytes", key="key").alias("skip_reason"))
 
 
 def scalar_names(t: Tables) -> DataFrame:
     i = t["items"]
     key = F.col("source_item_key")
-    return i.select("id", X.suffix(key).alias("suffix"), X.stem(key).alias("stem"), X.mime_of(X.suffix(key)).alias("mime"), X.normalize_ext(F.lit(" MD ")).alias("ext"), X.repo_item_key(F.col("organization_id"), key).alias("item_key"), X.sha256_hex(key).alias("key_sha256"), X.json_field(F.col("source_metadata"), "provider").alias("provider"), P.json_equals("source_metadata", "provider", "github").alias("is_github"), P.key_has_prefix("source_item_key", "src1").alias("has_prefix"), X.matches(F.col("connector_id"), "slug").alias("is_slug"))
+    return i.select("id", X.suffix(key).alias("suffix"), X.stem(key).alias("stem"), X.mime_of(X.suffix(key)).alias("mime"), X.normalize_ext(F.concat(F.lit(" "), F.when(F.col("id") % 2 == 0, ".").otherwise(""), F.upper("source_item_type"), F.lit(" "))).alias("ext"), X.repo_item_key(F.col("organization_id"), key).alias("item_key"), X.sha256_hex(key).alias("key_sha256"), X.json_field(F.col("source_metadata"), "provider").alias("provider"), P.json_equals("source_metadata", "provider", "github").alias("is_github"), P.key_has_prefix("source_item_key", "src1").alias("has_prefix"), X.matches(F.col("connector_id"), "slug").alias("is_slug"))
 
 
 def newlines(t: Tables) -> DataFrame:
-    return t["conversation_pages"].select("document_id", "page_number", X.normalize_newlines(F.col("text")).alias("text"), P.is_lfs_pointer("text").alias("is_pointer"))
+    marked = t["conversation_pages"].withColumn("text", F.when(F.col("page_number") % 5 == 3, F.concat(F.lit(P.LFS_SIGNATURE + "\r\n"), "text")).otherwise(F.col("text")))
+    return marked.select("document_id", "page_number", X.normalize_newlines(F.col("text")).alias("text"), P.is_lfs_pointer("text").alias("is_pointer"))
 
 
 def domains(t: Tables) -> DataFrame:
@@ -215,7 +314,8 @@ def embedding_results(t: Tables) -> DataFrame:
 
 
 def unsafe_json(t: Tables) -> DataFrame:
-    odd = t["events"].select("event_id", F.when(F.col("event_id") % 6 == 0, F.concat(F.lit('{"a": {"Token" : 1}, "b": '), "props", F.lit("}"))).when(F.col("event_id") % 10 == 1, F.lit('{"note": "uses password=x"}')).when(F.col("event_id") % 10 == 3, F.lit('{"where": "/etc/hosts"}')).otherwise(F.col("props")).alias("props"))
+    n = F.col("event_id")
+    odd = t["events"].select("event_id", F.when(n % 6 == 0, F.concat(F.lit('{"a": {"Token" : 1}, "b": '), "props", F.lit("}"))).when(n % 10 == 1, F.lit('{"note": "uses password=x"}')).when(n % 10 == 3, F.lit('{"where": ["x", "/etc/hosts"]}')).when(n % 10 == 5, F.lit('{"tok\\u0065n": 1}')).when(n % 10 == 7, F.lit('{"note": "no traceback (most recent call last) here, nor -----begin "}')).when(n % 10 == 9, F.lit('["C:\\\\x"]')).otherwise(F.col("props")).alias("props"))
     return Q.scan_unsafe_json(odd, "props").select("event_id", "unsafe")
 
 
@@ -224,13 +324,83 @@ def heartbeats(t: Tables) -> DataFrame:
     return ST.silence_gaps(beats, 6 * 3600).groupBy("worker").agg(F.count("*").alias("n_silences"))
 
 
+def backlog(t: Tables) -> DataFrame:
+    half = t["chunks"].withColumn("embedding_model", F.when(F.col("id") % 7 != 0, F.col("embedding_model")))
+    return C.embedding_backlog(half, "m1").select("id", "broken")
+
+
+def blocks(t: Tables) -> DataFrame:
+    """Tables of two rows: three cells, of which the second is blank; and a merged cell in two places before an equal one."""
+    part = lambda i: F.split_part("cells", F.lit("|"), F.lit(i))
+    cell = lambda row, number, text: F.struct(F.lit(row).alias("row"), F.lit(number).alias("cell"), text.alias("text"))
+    full = F.array(cell(0, 0, part(1)), cell(0, 1, part(2)), cell(0, 2, part(3)), cell(1, 3, part(1)), cell(1, 3, part(1)), cell(1, 4, part(1)))
+    made = t["conversation_blocks"].withColumn("cells", F.when(F.col("block_index") % 6 == 5, F.array(cell(0, 0, F.lit(" ")))).otherwise(full))
+    return C.assemble_blocks(made)
+
+
+def markdown_texts(t: Tables) -> DataFrame:
+    bare = t["markdown"].withColumn("text", F.when(F.col("doc_id") % 6 == 1, F.concat(F.lit("# Only "), F.col("doc_id").cast("string"), F.lit("\n\n## Heads "))).when(F.col("doc_id") % 6 == 2, F.lit(" \n")).otherwise(F.col("text")))
+    return C.markdown_sections(bare)
+
+
+def embedding_summary(t: Tables) -> DataFrame:
+    return H.embedding_summary(t["chunks"], "m1", t["chunks"].filter("id % 2 = 0").select("id", F.lit("m1").alias("embedding_model")), 16)
+
+
+def ingest_summary(t: Tables) -> DataFrame:
+    told = t["docs"].withColumn("outcome", F.when(F.col("id") % 3 == 0, "created").otherwise("unchanged"))
+    return H.ingest_summary(told, t["chunks"])
+
+
+def expired_leases(t: Tables) -> DataFrame:
+    out = H.expired_leases(t["jobs"], jobs_at(), (F.col("id") % 11) / 10.0)
+    return out.select("id", "fate", (F.unix_seconds("retry_at") - F.unix_seconds(jobs_at().cast("timestamp"))).alias("wait_s"))
+
+
+def work_order(t: Tables) -> DataFrame:
+    """The order itself, as numbers."""
+    ordered = H.work_order(t["jobs"].filter("status = 'queued'")).limit(500)
+    return ordered.select("id", "priority", (F.monotonically_increasing_id() + 1).alias("place"))
+
+
+def references(t: Tables) -> DataFrame:
+    jobs = t["jobs"].select("id", "organization_id", F.when(F.col("id") % 9 == 4, F.concat("connector_id", F.lit("x"))).when(F.col("id") % 9 != 5, F.col("connector_id")).alias("connector_id"))
+    return Q.check_references(jobs, t["connectors"], {"organization_id": "organization_id", "connector_id": "id"})
+
+
+def chunk_faults(t: Tables) -> DataFrame:
+    n = F.col("doc_id")
+    made = t["documents"].select(F.col("doc_id").alias("document_id"), F.lit(0).alias("chunk_index"), F.when(n % 5 == 0, "  ").otherwise(F.substring("text", 1, 20)).alias("content"), F.lit(0).alias("start_offset"), F.lit(20).alias("end_offset"), F.when(n % 7 == 0, 19).otherwise(20).alias("character_count"))
+    return Q.check_chunks(made.unionByName(made.filter("document_id % 11 = 0"))).select("document_id", "fault")
+
+
+def fingerprints(t: Tables) -> DataFrame:
+    profile = {"chunk_size": 2000, "embedding_model": "m1", "overlap": 200}
+    return t["index_states"].select("id", (F.col("profile_fingerprint") == "profile-1").alias("is_one"), F.lit(X.profile_fingerprint(profile)).alias("fingerprint"))
+
+
+def trimmed(t: Tables) -> DataFrame:
+    odd = t["events"].select("event_id", F.concat(F.when(F.col("event_id") % 2 == 0, "\u00a0 ").otherwise("\t"), "event_type", F.lit("\u2003\n")).alias("raw"))
+    return odd.select("event_id", X.trim_unicode(F.col("raw")).alias("trimmed"))
+
+
+def scanned_rows(t: Tables) -> DataFrame:
+    """Files of the driver's folder as a catalogue table: all of a tenant's rows, by keyset."""
+    P.check_limit(50, 1, 100)
+    return S.scan_files_after(t["items"].select(F.col("source_item_key").alias("key"), "organization_id", "size_bytes"), "src5").filter("organization_id = 2")
+
+
 def chunk_documents(t: Tables) -> DataFrame:
     return C.chunk_documents(t["documents"])
 
 
 def embed(t: Tables) -> DataFrame:
     done = C.embed(C.embedding_backlog(t["chunks"], "m1"), C.hash_embedder(64), 64, "m1")
-    return C.set_embedding(t["chunks"], done).select("id", "embedding_model", F.size("embedding").alias("dimensions"))
+    own = C.set_embedding(t["chunks"], done)
+    # the bytes that a vector was made of, weighed by place
+    was = F.aggregate(F.zip_with("embedding", F.sequence(F.lit(1), F.lit(64)), lambda x, i: F.round((x.cast("double") + 1) * 127.5).cast("long") * i), F.lit(0).cast("long"), lambda a, x: a + x)
+    backlog = C.embedding_backlog(t["chunks"], "m1").select("id", F.lit(True).alias("fresh"))
+    return own.join(backlog, "id", "left").select("id", "embedding_model", F.size("embedding").alias("dimensions"), F.when(F.col("fresh"), was).alias("weighed_bytes"))
 
 
 def clear_embedding(t: Tables) -> DataFrame:
@@ -249,6 +419,9 @@ VIEWS = {
   FROM {items} i LEFT JOIN {versions} v ON v.source_item_id = i.id AND v.organization_id = i.organization_id AND v.is_current LEFT JOIN {index_states} s ON s.document_version_id = v.id AND s.organization_id = i.organization_id""",
     "w_candidates": f"""SELECT m.organization_id, m.source_item_id, m.connector_scope_id, v.id AS document_version_id, v.version_number, d.id AS document_id FROM {{memberships}} m JOIN {{items}} i ON i.id = m.source_item_id AND i.status = 'active' JOIN {{versions}} v ON v.source_item_id = m.source_item_id AND v.is_current AND v.lifecycle = 'available'
   JOIN {{mappings}} p ON p.document_version_id = v.id JOIN {{docs}} d ON d.id = p.document_id AND d.deleted_at IS NULL WHERE m.status = 'active' AND m.removed_at IS NULL AND m.last_seen_at < {RUN_START}""",
+    "w_retired": """SELECT c.*, NOT EXISTS (SELECT 1 FROM {memberships} m WHERE m.source_item_id = c.source_item_id AND m.status = 'active' AND m.removed_at IS NULL AND NOT EXISTS (SELECT 1 FROM {w_candidates} o WHERE o.source_item_id = m.source_item_id AND o.connector_scope_id = m.connector_scope_id)) AS last FROM {w_candidates} c""",
+    "w_gone": "SELECT DISTINCT organization_id, source_item_id, document_id FROM {w_retired} WHERE last",
+    "w_unindexable": """SELECT organization_id, source_item_id, CASE WHEN source_item_id % 3 = 0 THEN concat('new-', provider_version_id) ELSE provider_version_id END AS blob, NOT coalesce(lifecycle = 'unavailable' AND source_item_id % 3 <> 0 AND json_extract_string(version_metadata, '$.reason') = 'oversized', false) AS fresh FROM {versions} WHERE is_current AND source_item_id % 2 = 0""",
     "w_live_jobs": "SELECT *, first_value(id) OVER (PARTITION BY organization_id, connector_scope_id ORDER BY created_at, id) AS job_id FROM {jobs} WHERE status NOT IN ('succeeded', 'failed', 'cancelled')",
 }
 
@@ -263,11 +436,15 @@ QUERIES = {
     CASE WHEN m.source_item_key IS NULL THEN 'deleted' WHEN s.source_item_key IS NULL THEN 'new' WHEN m.unsupported THEN 'changed' WHEN s.source_checksum = m.source_checksum AND s.content_checksum = m.source_checksum AND s.index_status = 'indexed' AND s.indexed_generation = s.desired_generation AND s.item_status = 'active' THEN 'unchanged' ELSE 'changed' END AS change_type
   FROM {manifest} m FULL JOIN {w_state} s ON s.organization_id = m.organization_id AND s.connector_id = m.connector_id AND s.source_item_key = m.source_item_key)""",
     ),
-    "upsert_items": (
-        upsert_items,
-        f"""SELECT organization_id, connector_id, source_item_key, CASE WHEN seen THEN new_sum ELSE source_checksum END AS source_checksum, CASE WHEN seen THEN new_size ELSE size_bytes END AS size_bytes, CASE WHEN seen THEN 'active' ELSE status END AS status, seen AND known AND status <> 'active' AS restored,
-  CAST(coalesce(first_seen_at, {AS_OF}) AS VARCHAR) AS first_seen_at, CAST(CASE WHEN seen THEN {AS_OF} ELSE last_seen_at END AS VARCHAR) AS last_seen_at, CAST(CASE WHEN NOT seen THEN deleted_at END AS VARCHAR) AS deleted_at FROM ({_ITEMS_AFTER})""",
+    "classify_run": (
+        lambda t: M.classify_changes(t["manifest"], M.item_state(t["items"], t["versions"], t["index_states"], None, t["folder_run"])),
+        """SELECT organization_id, connector_id, source_item_key, change_type, CASE WHEN change_type = 'deleted' THEN 'retired' WHEN unsupported THEN 'unsupported' WHEN done THEN 'already_complete' WHEN change_type = 'unchanged' THEN 'unchanged' ELSE 'indexed' END AS outcome FROM (
+  SELECT coalesce(m.organization_id, s.organization_id) AS organization_id, coalesce(m.connector_id, s.connector_id) AS connector_id, coalesce(m.source_item_key, s.source_item_key) AS source_item_key, m.unsupported, EXISTS (SELECT 1 FROM {folder_run} r WHERE r.source_item_id = s.source_item_id AND r.status <> 'failed' AND r.current_checksum = m.source_checksum) AS done,
+    CASE WHEN m.source_item_key IS NULL THEN 'deleted' WHEN s.source_item_key IS NULL THEN 'new' WHEN m.unsupported THEN 'changed' WHEN s.source_checksum = m.source_checksum AND s.content_checksum = m.source_checksum AND s.index_status = 'indexed' AND s.indexed_generation = s.desired_generation AND s.item_status = 'active' THEN 'unchanged' ELSE 'changed' END AS change_type
+  FROM {manifest} m FULL JOIN {w_state} s ON s.organization_id = m.organization_id AND s.connector_id = m.connector_id AND s.source_item_key = m.source_item_key)""",
     ),
+    "upsert_items": (upsert_items, f"""SELECT coalesce(id, CAST('0x' || substr(sha256(concat_ws('|', organization_id, connector_id, source_item_key)), 1, 15) AS BIGINT)) AS id, organization_id, connector_id, source_item_key, source_item_type, source_metadata, CASE WHEN seen THEN new_sum ELSE source_checksum END AS source_checksum, CASE WHEN seen THEN new_size ELSE size_bytes END AS size_bytes, CASE WHEN seen THEN 'active' ELSE status END AS status, coalesce(seen AND known AND status <> 'active', false) AS restored,
+  CAST(coalesce(first_seen_at, {AS_OF}) AS VARCHAR) AS first_seen_at, CAST(CASE WHEN seen THEN {AS_OF} ELSE last_seen_at END AS VARCHAR) AS last_seen_at, CAST(CASE WHEN NOT seen THEN deleted_at END AS VARCHAR) AS deleted_at FROM ({_ITEMS_AFTER})"""),
     "upsert_memberships": (
         upsert_memberships,
         f"""SELECT organization_id, source_item_id, connector_scope_id, CASE WHEN source_item_id % 3 = 0 THEN 'active' ELSE status END AS status, CAST(CASE WHEN source_item_id % 3 <> 0 THEN removed_at END AS VARCHAR) AS removed_at, CAST(first_discovered_at AS VARCHAR) AS first_discovered_at,
@@ -280,25 +457,72 @@ QUERIES = {
         retire_missing_folder,
         f"SELECT organization_id, id, CASE WHEN EXISTS (SELECT 1 FROM {{memberships}} m WHERE m.source_item_id = i.id AND {_STALE.replace('status', 'm.status')}) AND NOT EXISTS (SELECT 1 FROM {{memberships}} m WHERE m.source_item_id = i.id AND m.status = 'active' AND m.removed_at IS NULL AND m.last_seen_at >= {RUN_START}) THEN 'unavailable' ELSE status END AS status FROM {{items}} i".replace("removed_at IS NULL AND last_seen_at", "m.removed_at IS NULL AND m.last_seen_at"),
     ),
+    "folder_deletions": (
+        folder_deletions,
+        f"""SELECT organization_id, source_item_id, connector_scope_id, 'deleted' AS change_type, 'succeeded' AS status FROM {{memberships}} WHERE {_STALE}""",
+    ),
     "unseen_candidates": (lambda t: _candidates(t).select("organization_id", "source_item_id", "connector_scope_id", "document_version_id", "version_number", "document_id"), "SELECT * FROM {w_candidates}"),
     "retire_missing_repo": (
-        lambda t: M.retire_missing_repo(_candidates(t), t["memberships"]),
-        """SELECT organization_id, source_item_id, connector_scope_id, document_id, last AS deletes_item, CASE WHEN last THEN version_number + 1 END AS tombstone_version FROM (SELECT c.*, NOT EXISTS (SELECT 1 FROM {memberships} m WHERE m.source_item_id = c.source_item_id AND m.status = 'active' AND m.removed_at IS NULL
-  AND NOT EXISTS (SELECT 1 FROM {w_candidates} o WHERE o.source_item_id = m.source_item_id AND o.connector_scope_id = m.connector_scope_id)) AS last FROM {w_candidates} c)""",
+        lambda t: M.repo_retirements(_candidates(t), t["memberships"]),
+        """SELECT organization_id, source_item_id, connector_scope_id, document_id, last AS deletes_item, CASE WHEN last THEN version_number + 1 END AS tombstone_version FROM {w_retired}""",
+    ),
+    "repo_deletions": (
+        lambda t: _retired(t)["run_items"],
+        """SELECT c.organization_id, c.source_item_id, c.connector_scope_id, 'deleted' AS change_type, 'succeeded' AS status, i.source_checksum AS previous_checksum FROM {w_candidates} c JOIN {items} i ON i.id = c.source_item_id""",
+    ),
+    "repo_memberships": (
+        repo_memberships,
+        f"""SELECT organization_id, source_item_id, connector_scope_id, CASE WHEN c THEN 'removed' ELSE status END AS status, CAST(CASE WHEN c THEN {AS_OF} ELSE removed_at END AS VARCHAR) AS removed_at FROM (SELECT *, EXISTS (SELECT 1 FROM {{w_candidates}} c WHERE c.source_item_id = m.source_item_id AND c.connector_scope_id = m.connector_scope_id) AS c FROM {{memberships}} m)""",
+    ),
+    "repo_documents": (
+        repo_documents,
+        f"""SELECT id, organization_id, title, status, CAST(CASE WHEN id IN (SELECT document_id FROM {{w_gone}}) THEN coalesce(deleted_at, {AS_OF}) ELSE deleted_at END AS VARCHAR) AS deleted_at FROM {{docs}}""",
+    ),
+    "repo_items": (
+        repo_items,
+        f"""SELECT id, organization_id, source_item_key, CASE WHEN g THEN 'deleted' ELSE status END AS status, CAST(CASE WHEN g THEN {AS_OF} ELSE deleted_at END AS VARCHAR) AS deleted_at FROM (SELECT *, id IN (SELECT source_item_id FROM {{w_gone}}) AS g FROM {{items}})""",
+    ),
+    "repo_versions": (
+        repo_versions,
+        f"""SELECT *, row_number() OVER (PARTITION BY organization_id, source_item_id ORDER BY version_number DESC) = 1 AS is_current FROM (SELECT id, organization_id, source_item_id, CAST(version_number AS BIGINT) AS version_number, version_cause, lifecycle, content_checksum, provider_version_id, version_metadata, CAST(discovered_at AS VARCHAR) AS discovered_at FROM {{versions}}
+  UNION ALL SELECT CAST('0x' || substr(sha256(concat_ws('|', n.source_item_id, n.k)), 1, 15) AS BIGINT), organization_id, n.source_item_id, n.k, 'tombstone', 'deleted', NULL, v.provider_version_id, '{{{{"reason":"provider_deleted"}}}}', CAST({AS_OF} AS VARCHAR) FROM (SELECT g.*, (SELECT max(version_number) + 1 FROM {{versions}} v WHERE v.source_item_id = g.source_item_id) AS k FROM (SELECT DISTINCT organization_id, source_item_id FROM {{w_gone}}) g) n
+  JOIN (SELECT source_item_id, provider_version_id FROM {{versions}} WHERE is_current) v USING (source_item_id))""",
     ),
     "append_versions": (
         append_versions,
-        """SELECT *, row_number() OVER (PARTITION BY organization_id, source_item_id ORDER BY version_number DESC) = 1 AS is_current FROM (SELECT organization_id, source_item_id, CAST(version_number AS BIGINT) AS version_number, version_cause, lifecycle, content_checksum FROM {versions}
-  UNION ALL SELECT i.organization_id, i.id, (SELECT max(version_number) + 1 FROM {versions} v WHERE v.source_item_id = i.id), 'content_changed', 'available', m.source_checksum FROM {items} i JOIN {manifest} m USING (organization_id, connector_id, source_item_key) WHERE m.source_checksum <> i.source_checksum)""",
+        f"""SELECT *, row_number() OVER (PARTITION BY organization_id, source_item_id ORDER BY version_number DESC) = 1 AS is_current FROM (SELECT id, organization_id, source_item_id, CAST(version_number AS BIGINT) AS version_number, version_cause, lifecycle, content_checksum, provider_version_id, version_metadata, CAST(discovered_at AS VARCHAR) AS discovered_at FROM {{versions}}
+  UNION ALL SELECT CAST('0x' || substr(sha256(concat_ws('|', sid, k)), 1, 15) AS BIGINT), organization_id, sid, k, 'content_changed', 'available', CASE WHEN n.n = 1 THEN new_sum ELSE 'again' END, new_sum, NULL, CAST({AS_OF} AS VARCHAR) FROM (SELECT c.*, n.n, (SELECT max(version_number) FROM {{versions}} v WHERE v.source_item_id = c.sid) + n.n AS k
+    FROM (SELECT i.organization_id, i.id AS sid, m.source_checksum AS new_sum FROM {{items}} i JOIN {{manifest}} m USING (organization_id, connector_id, source_item_key) WHERE m.source_checksum <> i.source_checksum) c JOIN (SELECT 1 AS n UNION ALL SELECT 2 AS n) n ON n.n = 1 OR c.sid % 2 = 0) n)""",
     ),
     "next_version": (lambda t: M.next_version(t["versions"]), "SELECT organization_id, source_item_id, max(version_number) + 1 AS next_version FROM {versions} GROUP BY 1, 2"),
-    "tombstone_unindexable": (tombstone_unindexable, "SELECT organization_id, source_item_id, CASE WHEN source_item_id % 3 = 0 THEN content_checksum ELSE 'x' END AS blob, 'discovered' AS reason FROM {versions} WHERE is_current AND NOT (source_item_id % 3 = 0 AND version_cause = 'discovered')"),
-    "remap_materialization": (remap_materialization, "SELECT organization_id, document_version_id + CASE WHEN document_id % 5 = 2 THEN 5 ELSE 0 END AS document_version_id, document_id FROM {mappings}"),
+    "tombstone_unindexable": (
+        tombstone_unindexable,
+        f"""SELECT *, row_number() OVER (PARTITION BY organization_id, source_item_id ORDER BY version_number DESC) = 1 AS is_current FROM (SELECT id, organization_id, source_item_id, CAST(version_number AS BIGINT) AS version_number, version_cause, lifecycle, content_checksum, provider_version_id, version_metadata, CAST(discovered_at AS VARCHAR) AS discovered_at FROM {{versions}}
+  UNION ALL SELECT CAST('0x' || substr(sha256(concat_ws('|', source_item_id, k)), 1, 15) AS BIGINT), organization_id, source_item_id, k, 'tombstone', 'unavailable', NULL, blob, '{{{{"reason":"oversized"}}}}', CAST({AS_OF} AS VARCHAR) FROM (SELECT u.*, (SELECT max(version_number) + 1 FROM {{versions}} v WHERE v.source_item_id = u.source_item_id) AS k FROM {{w_unindexable}} u WHERE fresh))""",
+    ),
+    "unindexable_errors": (
+        unindexable_errors,
+        f"""SELECT organization_id, source_item_id, 'extraction' AS category, 'oversized' AS code, false AS retryable, 1 AS attempt, CAST({AS_OF} AS VARCHAR) AS occurred_at FROM {{w_unindexable}}""",
+    ),
+    "unindexable_items": (
+        unindexable_items,
+        """SELECT id, CASE WHEN id % 2 = 0 THEN 'unavailable' ELSE status END AS status FROM {items}""",
+    ),
+    "unindexable_documents": (
+        unindexable_documents,
+        f"""SELECT id, CAST(CASE WHEN id IN (SELECT m.document_id FROM {{mappings}} m JOIN {{versions}} v ON v.id = m.document_version_id WHERE v.is_current AND v.source_item_id % 2 = 0) THEN coalesce(deleted_at, {AS_OF}) ELSE deleted_at END AS VARCHAR) AS deleted_at FROM {{docs}}""",
+    ),
+    "remap_materialization": (
+        remap_materialization,
+        """WITH fresh AS (SELECT organization_id, id AS document_version_id, source_item_id + CASE WHEN source_item_id % 10 = 2 THEN 3 ELSE 2000000 END AS document_id, source_item_id FROM {versions} WHERE is_current AND source_item_id % 5 = 2)
+SELECT organization_id, document_version_id, document_id FROM fresh UNION ALL SELECT m.organization_id, m.document_version_id, m.document_id FROM {all_mappings} m JOIN {versions} v ON v.id = m.document_version_id
+WHERE m.document_version_id NOT IN (SELECT document_version_id FROM fresh) AND NOT EXISTS (SELECT 1 FROM fresh f WHERE f.organization_id = m.organization_id AND f.document_id = m.document_id) AND v.source_item_id NOT IN (SELECT source_item_id FROM fresh)""",
+    ),
     "current_materialization": (lambda t: M.current_materialization(t["versions"], t["mappings"]), "SELECT v.organization_id, v.source_item_id, v.id AS document_version_id, m.document_id FROM {versions} v JOIN {mappings} m ON m.document_version_id = v.id WHERE v.is_current"),
     "upsert_documents": (
         upsert_documents,
-        f"""SELECT organization_id, source_type, source_document_key, coalesce(nt, title) AS title, coalesce(ns, checksum_latest) AS checksum_latest, CASE WHEN seen THEN 'ready' ELSE status END AS status, CASE WHEN NOT seen THEN NULL WHEN NOT known THEN 'created' WHEN deleted_at IS NOT NULL THEN 'restored' WHEN checksum_latest = ns THEN 'unchanged' ELSE 'updated' END AS outcome,
-  CAST(CASE WHEN NOT seen THEN deleted_at END AS VARCHAR) AS deleted_at, CAST(coalesce(created_at, {AS_OF}) AS VARCHAR) AS created_at FROM (SELECT coalesce(d.organization_id, m.organization_id) AS organization_id, coalesce(d.source_type, m.source_type) AS source_type, coalesce(d.source_document_key, m.k) AS source_document_key, d.title, d.checksum_latest, d.status, d.deleted_at, d.created_at, d.id IS NOT NULL AS known, m.k IS NOT NULL AS seen, m.k AS nt, m.ns
+        f"""SELECT coalesce(id, CAST('0x' || substr(sha256(concat_ws('|', organization_id, source_type, source_document_key)), 1, 15) AS BIGINT)) AS id, organization_id, source_type, source_document_key, coalesce(nt, title) AS title, coalesce(ns, checksum_latest) AS checksum_latest, CASE WHEN seen THEN 'ready' ELSE status END AS status, CASE WHEN NOT seen THEN NULL WHEN NOT known THEN 'created' WHEN deleted_at IS NOT NULL THEN 'restored' WHEN checksum_latest = ns THEN 'unchanged' ELSE 'updated' END AS outcome,
+  CAST(CASE WHEN NOT seen THEN deleted_at END AS VARCHAR) AS deleted_at, CAST(coalesce(created_at, {AS_OF}) AS VARCHAR) AS created_at FROM (SELECT coalesce(d.organization_id, m.organization_id) AS organization_id, coalesce(d.source_type, m.source_type) AS source_type, coalesce(d.source_document_key, m.k) AS source_document_key, d.title, d.checksum_latest, d.status, d.deleted_at, d.created_at, d.id, d.id IS NOT NULL AS known, m.k IS NOT NULL AS seen, m.k AS nt, m.ns
   FROM {{docs}} d FULL JOIN (SELECT organization_id, source_item_key AS k, source_checksum AS ns, CASE WHEN CAST(regexp_extract(source_item_key, '^src(\\d+)/', 1) AS INT) % 2 = 0 THEN 'local_folder' ELSE 'github' END AS source_type FROM {{manifest}}) m ON m.organization_id = d.organization_id AND m.source_type = d.source_type AND m.k = d.source_document_key)""",
     ),
     "replace_chunks": (replace_chunks, "SELECT organization_id, document_id, id, chunk_index, CASE WHEN document_id % 4 = 0 THEN concat('new ', chunk_text) ELSE chunk_text END AS chunk_text FROM {chunks} WHERE document_id % 4 <> 0 OR chunk_index = 0"),
@@ -307,6 +531,21 @@ QUERIES = {
         "SELECT organization_id, id AS document_version_id, 'profile-1' AS profile_fingerprint, 1 AS desired_generation, 'pending' AS status, 0 AS attempt_count FROM {versions} v WHERE is_current AND NOT EXISTS (SELECT 1 FROM {index_states} s WHERE s.document_version_id = v.id AND s.profile_fingerprint = 'profile-1')",
     ),
     "advance_index_state": (advance_index_state, "SELECT id, CAST(greatest(desired_generation, id % 4) AS BIGINT) AS desired_generation, CASE WHEN id % 4 > desired_generation THEN 'pending' ELSE status END AS status, CASE WHEN id % 4 > desired_generation THEN 0 ELSE attempt_count END AS attempt_count, CAST(CASE WHEN id % 4 <= desired_generation THEN next_retry_at END AS VARCHAR) AS next_retry_at FROM {index_states}"),
+    "complete_attempts": (
+        complete_attempts,
+        """SELECT id, CASE WHEN taken THEN ns ELSE status END AS status, CASE WHEN taken THEN ec ELSE error_category END AS error_category, CASE WHEN taken THEN CASE WHEN k <> 2 AND ec IS NOT NULL THEN 'timeout' END ELSE error_code END AS error_code, reason AS rejected, CAST(CASE WHEN taken THEN DATE '1998-05-01' ELSE completed_at END AS VARCHAR) AS completed_at
+  FROM (SELECT *, met AND reason IS NULL AS taken FROM (SELECT *, CASE WHEN NOT met THEN NULL WHEN status <> 'running' THEN 'not_running' WHEN k = 6 THEN 'before_start' WHEN k = 2 THEN 'half_an_error' WHEN ns = 'succeeded' AND ec IS NOT NULL THEN 'error_of_success' WHEN ns = 'failed' AND ec IS NULL THEN 'failure_without_error' END AS reason
+    FROM (SELECT *, indexing_state_id % 2 = 0 AS met, indexing_state_id % 7 AS k, CASE WHEN indexing_state_id % 7 < 2 THEN 'succeeded' WHEN indexing_state_id % 7 < 5 THEN 'failed' ELSE 'cancelled' END AS ns, CASE WHEN indexing_state_id % 7 IN (1, 2, 3) THEN 'embedding' END AS ec FROM {attempts})))""",
+    ),
+    "started_states": (
+        started_states,
+        """SELECT id, CASE WHEN id % 3 = 0 THEN 'processing' ELSE status END AS status, CAST(attempt_count + CASE WHEN id % 3 = 0 THEN 1 ELSE 0 END AS INT) AS attempt_count, CAST(CASE WHEN id % 3 <> 0 THEN next_retry_at END AS VARCHAR) AS next_retry_at FROM {index_states}""",
+    ),
+    "start_attempts": (
+        start_attempts,
+        f"""SELECT id, indexing_state_id, attempt_number, trigger_type, status, CAST(started_at AS VARCHAR) AS started_at FROM {{attempts}}
+  UNION ALL SELECT CAST('0x' || substr(sha256(concat_ws('|', id, k)), 1, 15) AS BIGINT), id, CAST(k AS INT), 'retry', 'running', CAST({AS_OF} AS VARCHAR) FROM (SELECT s.id, coalesce((SELECT max(attempt_number) FROM {{attempts}} a WHERE a.indexing_state_id = s.id), 0) + 1 AS k FROM {{index_states}} s WHERE s.id % 3 = 0)""",
+    ),
     "mark_indexed": (mark_indexed, "SELECT id, CASE WHEN status = 'retry_wait' THEN 'indexed' ELSE status END AS status, CAST(CASE WHEN status = 'retry_wait' THEN desired_generation ELSE indexed_generation END AS BIGINT) AS indexed_generation FROM {index_states}"),
     "log_errors": (log_errors, "SELECT doc_id, length(text) <= 1000 AND length(text) - length(replace(text, chr(10), '')) <= 3 AND NOT contains(text, 'Traceback (most recent call last)') AND trim(text) <> '' AS accepted FROM {documents}"),
     "upsert_scopes": (
@@ -319,10 +558,28 @@ QUERIES = {
         lambda t: M.set_status(t["items"], "deleted", now()).select("id", "status", *_text("deleted_at")),
         f"SELECT id, 'deleted' AS status, CAST(coalesce(deleted_at, {AS_OF}) AS VARCHAR) AS deleted_at FROM {{items}}",
     ),
-    "upsert_schedules": (upsert_schedules, "SELECT connector_scope_id, CASE WHEN connector_scope_id LIKE '%:b' THEN 'active' ELSE status END AS status, CASE WHEN connector_scope_id LIKE '%:b' THEN 1800 ELSE interval_seconds END AS interval_seconds, CAST(CASE WHEN connector_scope_id LIKE '%:b' THEN DATE '2024-02-01' ELSE next_run_at END AS VARCHAR) AS next_run_at FROM {schedules}"),
+    "upsert_schedules": (
+        upsert_schedules,
+        """SELECT connector_scope_id, CASE WHEN connector_scope_id LIKE '%:b' THEN 'active' ELSE status END AS status, CASE WHEN connector_scope_id LIKE '%:b' THEN 1800 ELSE interval_seconds END AS interval_seconds, CASE WHEN connector_scope_id LIKE '%:b' THEN NULL ELSE pause_reason_code END AS pause_reason_code, CASE WHEN connector_scope_id LIKE '%:b' THEN NULL ELSE last_job_id END AS last_job_id, CAST(CASE WHEN connector_scope_id LIKE '%:b' THEN DATE '2024-02-01' ELSE next_run_at END AS VARCHAR) AS next_run_at, CAST(CASE WHEN connector_scope_id LIKE '%:b' THEN NULL ELSE paused_at END AS VARCHAR) AS paused_at, CAST(CASE WHEN connector_scope_id LIKE '%:b' THEN NULL ELSE last_due_at END AS VARCHAR) AS last_due_at, CAST(CASE WHEN connector_scope_id LIKE '%:b' THEN NULL ELSE last_enqueued_at END AS VARCHAR) AS last_enqueued_at FROM {schedules}""",
+    ),
+    "record_due": (
+        record_due,
+        """SELECT connector_scope_id, status AS status, interval_seconds AS interval_seconds, pause_reason_code AS pause_reason_code, CASE WHEN connector_scope_id LIKE '%:a' AND status = 'active' AND connector_scope_id NOT LIKE '%3%' THEN 77 ELSE last_job_id END AS last_job_id, CAST(CASE WHEN connector_scope_id LIKE '%:a' AND status = 'active' AND connector_scope_id NOT LIKE '%3%' THEN DATE '2024-04-01' ELSE next_run_at END AS VARCHAR) AS next_run_at, CAST(paused_at AS VARCHAR) AS paused_at, CAST(CASE WHEN connector_scope_id LIKE '%:a' AND status = 'active' AND connector_scope_id NOT LIKE '%3%' THEN next_run_at ELSE last_due_at END AS VARCHAR) AS last_due_at, CAST(CASE WHEN connector_scope_id LIKE '%:a' AND status = 'active' AND connector_scope_id NOT LIKE '%3%' THEN DATE '2024-01-20' ELSE last_enqueued_at END AS VARCHAR) AS last_enqueued_at, connector_scope_id LIKE '%:a' AND NOT (connector_scope_id LIKE '%:a' AND status = 'active' AND connector_scope_id NOT LIKE '%3%') AS missed FROM {schedules}""",
+    ),
+    "resume_schedules": (
+        resume_schedules,
+        """SELECT connector_scope_id, CASE WHEN connector_scope_id LIKE 'src1%:a' THEN 'active' ELSE status END AS status, interval_seconds AS interval_seconds, CASE WHEN connector_scope_id LIKE 'src1%:a' THEN NULL ELSE pause_reason_code END AS pause_reason_code, last_job_id AS last_job_id, CAST(CASE WHEN connector_scope_id LIKE 'src1%:a' THEN DATE '2024-03-01' ELSE next_run_at END AS VARCHAR) AS next_run_at, CAST(CASE WHEN connector_scope_id LIKE 'src1%:a' THEN NULL ELSE paused_at END AS VARCHAR) AS paused_at, CAST(last_due_at AS VARCHAR) AS last_due_at, CAST(last_enqueued_at AS VARCHAR) AS last_enqueued_at FROM {schedules}""",
+    ),
+    "pause_schedules": (
+        pause_schedules,
+        """SELECT connector_scope_id, CASE WHEN connector_scope_id LIKE 'src2%' THEN 'paused' ELSE status END AS status, interval_seconds AS interval_seconds, CASE WHEN connector_scope_id LIKE 'src2%' THEN 'scope_inactive' ELSE pause_reason_code END AS pause_reason_code, last_job_id AS last_job_id, CAST(next_run_at AS VARCHAR) AS next_run_at, CAST(CASE WHEN connector_scope_id LIKE 'src2%' THEN DATE '2024-01-20' ELSE paused_at END AS VARCHAR) AS paused_at, CAST(last_due_at AS VARCHAR) AS last_due_at, CAST(last_enqueued_at AS VARCHAR) AS last_enqueued_at FROM {schedules}""",
+    ),
     "purge_expired": (lambda t: M.purge_expired(t["user_grants"], "expires_at", now()).select("organization_id", "user_id", "knowledge_space_id"), f"SELECT organization_id, user_id, knowledge_space_id FROM {{user_grants}} WHERE expires_at IS NULL OR expires_at > {AS_OF}"),
     "expire_stale": (lambda t: M.expire_stale(t["jobs"], "lease_expires_at", jobs_at(), 20).select("id"), f"SELECT id FROM {{jobs}} WHERE id NOT IN (SELECT id FROM {{jobs}} WHERE lease_expires_at <= {_JOBS_AT} ORDER BY lease_expires_at, id LIMIT 20)"),
-    "skip_finished": (skip_finished, "SELECT user_id AS run_id, event_id AS item_id FROM {events} e WHERE NOT EXISTS (SELECT 1 FROM {run_items} r WHERE r.run_id = e.user_id AND r.item_id = e.event_id AND r.status = 'succeeded')"),
+    "skip_finished": (
+        skip_finished,
+        """SELECT run_id, item_id, coalesce(done, false) AND current_checksum <> checksum AS is_stale FROM (SELECT e.user_id AS run_id, e.event_id AS item_id, md5(CASE WHEN e.event_id % 4 = 0 THEN 'other' ELSE CAST(e.event_id % 900 AS VARCHAR) END) AS checksum, r.status = 'succeeded' AS done, r.current_checksum FROM {events} e JOIN {run_items} r ON r.run_id = e.user_id AND r.item_id = e.event_id) WHERE NOT done OR current_checksum <> checksum""",
+    ),
     "reject_stale": (reject_stale, "SELECT m.organization_id, m.connector_id, m.source_item_key, m.source_checksum AS expected_checksum, i.id IS NULL OR i.source_checksum <> m.source_checksum AS is_stale FROM {manifest} m LEFT JOIN {items} i USING (organization_id, connector_id, source_item_key)"),
     "upsert_snapshot": (snapshot_upsert, "SELECT organization_id, id, CASE WHEN id % 2 = 0 THEN 'reviewed' ELSE status END AS status, normalized_email FROM {users}"),
     # aggregates and windows
@@ -332,8 +589,14 @@ QUERIES = {
     ),
     "next_attempt": (lambda t: H.next_attempt(t["jobs"], "connector_scope_id", "attempt_count"), "SELECT connector_scope_id, max(attempt_count) + 1 AS next_attempt FROM {jobs} GROUP BY 1"),
     "run_totals": (lambda t: H.run_totals(t["batches"], {"entries": 200, "files": 30, "bytes": 400_000, "chunks": 500}), "SELECT *, concat_ws(',', CASE WHEN entries > 200 THEN 'entries' END, CASE WHEN files > 30 THEN 'files' END, CASE WHEN bytes > 400000 THEN 'bytes' END, CASE WHEN chunks > 500 THEN 'chunks' END) AS over FROM (SELECT l_orderkey AS run_id, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS entries, CAST(sum(CAST(trunc(l_quantity / 5) AS BIGINT)) AS BIGINT) AS files, CAST(sum(CAST(trunc(l_extendedprice) AS BIGINT)) AS BIGINT) AS bytes, CAST(sum(CAST(l_quantity AS BIGINT) * 3) AS BIGINT) AS chunks FROM {lineitem} GROUP BY 1)"),
-    "ingest_summary": (lambda t: H.ingest_summary(t["docs"], t["chunks"]), "SELECT d.organization_id, d.id AS document_id, d.status, count(c.id) AS n_chunks FROM {docs} d LEFT JOIN {chunks} c ON c.document_id = d.id AND c.organization_id = d.organization_id GROUP BY ALL"),
-    "embedding_summary": (lambda t: H.embedding_summary(t["chunks"], "m1"), "SELECT organization_id, count(*) AS total, count(*) FILTER (embedding IS NOT NULL AND embedding_model = 'm1') AS skipped, count(*) FILTER (embedding IS NULL OR embedding_model <> 'm1') AS to_embed FROM {chunks} GROUP BY 1"),
+    "ingest_summary": (
+        ingest_summary,
+        """SELECT d.organization_id, d.id AS document_id, d.status, CASE WHEN d.id % 3 = 0 THEN 'created' ELSE 'unchanged' END AS outcome, count(c.id) AS n_chunks FROM {docs} d LEFT JOIN {chunks} c ON c.document_id = d.id AND c.organization_id = d.organization_id GROUP BY ALL""",
+    ),
+    "embedding_summary": (
+        embedding_summary,
+        """SELECT *, CAST(ceil(to_embed / 16) AS BIGINT) AS batches FROM (SELECT organization_id, count(*) AS total, count(*) FILTER (embedding IS NOT NULL AND embedding_model = 'm1') AS skipped, count(*) FILTER (embedding IS NULL OR embedding_model <> 'm1') AS to_embed, count(*) FILTER ((embedding IS NULL OR embedding_model <> 'm1') AND id % 2 = 0) AS embedded FROM {chunks} GROUP BY 1)""",
+    ),
     "page_totals": (lambda t: H.page_totals(t["conversation_pages"]), "SELECT document_id, count(*) AS n_pages, count(*) FILTER (x <> '') AS n_text_pages, CAST(sum(length(x)) AS BIGINT) AS n_characters FROM (SELECT document_id, trim(replace(text, concat(chr(13), chr(10)), chr(10))) AS x FROM {conversation_pages}) GROUP BY 1"),
     "duplicate_keys": (lambda t: H.duplicate_keys(t["documents"].select("text", "lang"), ["text", "lang"]), "SELECT text, lang, count(*) AS n FROM {documents} GROUP BY 1, 2 HAVING count(*) > 1"),
     "first_batch": (first_batch, f"SELECT run_id, place FROM (SELECT *, count(*) OVER w AS n, sum(CASE WHEN skipped THEN 0 ELSE bytes END) OVER w AS b, sum(chunks) OVER w AS c FROM {_PLACED} WINDOW w AS (PARTITION BY run_id ORDER BY place ROWS UNBOUNDED PRECEDING)) WHERE n <= 3 AND b <= 60000 AND c <= 60"),
@@ -349,14 +612,20 @@ QUERIES = {
     "history_page": (lambda t: H.history_page(t["cursors"].select("scope_id", "cursor_version", "phase"), ["scope_id", "cursor_version"], (5, 3), 100, phase="complete"), "SELECT scope_id, cursor_version, phase FROM {cursors} WHERE phase = 'complete' AND (scope_id > 5 OR (scope_id = 5 AND cursor_version > 3)) ORDER BY 1, 2 LIMIT 101"),
     "offset_page": (lambda t: H.offset_page(t["jobs"], [F.desc("created_at"), F.desc("id")], 3, 25).select("id"), "SELECT id FROM {jobs} ORDER BY created_at DESC, id DESC LIMIT 25 OFFSET 50"),
     "newest": (lambda t: H.newest(t["docs"], [F.desc("created_at"), F.desc("id")], 500, 100).select("id", "title"), "SELECT id, title FROM {docs} ORDER BY created_at DESC, id DESC LIMIT 100"),
-    "work_order": (lambda t: H.work_order(t["jobs"].filter("status = 'queued'")).select("id", "priority"), "SELECT id, priority FROM {jobs} WHERE status = 'queued'"),
+    "work_order": (
+        work_order,
+        """SELECT id, priority, row_number() OVER (ORDER BY priority, next_attempt_at NULLS FIRST, created_at, id) AS place FROM {jobs} WHERE status = 'queued' ORDER BY place LIMIT 500""",
+    ),
     "job_history": (lambda t: H.job_history(t["jobs"], 1, 50, status="failed").select("id"), "SELECT id FROM {jobs} WHERE status = 'failed' ORDER BY created_at DESC, id DESC LIMIT 50"),
     "runs_of_job": (lambda t: H.runs_of_job(t["events"].select(F.col("event_id").alias("id"), F.col("user_id").alias("job_id"), F.col("ts").alias("started_at")), 5).select("id", "job_id", "place"), "SELECT event_id AS id, user_id AS job_id, place FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS place FROM {events}) WHERE place <= 5"),
     "eligible_jobs": (
         lambda t: H.eligible_jobs(t["jobs"], t["connectors"], jobs_at()).select(_JOB),
         f"SELECT {', '.join(_JOB)} FROM {{jobs}} j WHERE status IN ('queued', 'retry_wait') AND (next_attempt_at IS NULL OR next_attempt_at <= {_JOBS_AT}) AND cancel_requested_at IS NULL AND attempt_count < max_attempts AND EXISTS (SELECT 1 FROM {{connectors}} c WHERE c.id = j.connector_id AND c.organization_id = j.organization_id)",
     ),
-    "expired_leases": (lambda t: H.expired_leases(t["jobs"], jobs_at()).select("id", "fate"), f"SELECT id, CASE WHEN cancel_requested_at IS NOT NULL THEN 'cancelled' WHEN attempt_count < max_attempts THEN 'retry_wait' ELSE 'failed' END AS fate FROM {{jobs}} WHERE status = 'running' AND lease_expires_at <= {_JOBS_AT}"),
+    "expired_leases": (
+        expired_leases,
+        f"""SELECT id, fate, CASE WHEN fate = 'retry_wait' THEN CAST(floor((id % 11) / 10.0 * least(30 * pow(2, attempt_count - 1), 900)) AS BIGINT) END AS wait_s FROM (SELECT *, CASE WHEN cancel_requested_at IS NOT NULL THEN 'cancelled' WHEN attempt_count < max_attempts THEN 'retry_wait' ELSE 'failed' END AS fate FROM {{jobs}} WHERE status = 'running' AND lease_expires_at <= {_JOBS_AT})""",
+    ),
     "retry_decision": (
         retry_decision,
         "WITH kinds(kind, category, code, retryable) AS (VALUES " + ", ".join(f"('{a}', '{b}', '{c}', {str(d).lower()})" for a, b, c, d in H.FAILURE_KINDS) + """) SELECT id, kind, CASE WHEN stop THEN 'internal' ELSE category END AS category, CASE WHEN stop THEN 'execution_cancelled' ELSE code END AS code, decision,
@@ -369,8 +638,8 @@ QUERIES = {
     ),
     "due_schedules": (
         due_schedules,
-        """SELECT connector_scope_id, reason AS paused_reason, CASE WHEN reason IS NULL THEN CAST(interval_seconds AS BIGINT) * (CAST(floor((DATE '2024-01-12' - next_run_at) * 86400 / interval_seconds) AS BIGINT) + 1) END AS after_anchor_s FROM (SELECT h.*, CASE WHEN c.status <> 'active' THEN 'connector_inactive' WHEN s.status <> 'active' THEN 'scope_inactive' END AS reason
-  FROM {schedules} h JOIN {connectors} c ON c.id = h.connector_id JOIN {scopes} s ON s.id = h.connector_scope_id WHERE h.status = 'active' AND h.next_run_at <= DATE '2024-01-12')""",
+        """SELECT connector_scope_id, reason AS paused_reason, CASE WHEN reason IS NULL THEN CAST(interval_seconds AS BIGINT) * (CAST(floor((DATE '2024-01-12' - next_run_at) * 86400 / interval_seconds) AS BIGINT) + 1) END AS after_anchor_s FROM (SELECT h.*, CASE WHEN c.status <> 'active' THEN 'connector_inactive' WHEN s.status <> 'active' THEN 'scope_inactive' WHEN NOT ((c.connector_type = 'local_folder' AND s.scope_type = 'folder') OR (c.connector_type = 'github' AND s.scope_type = 'repository')) THEN 'type_mismatch' END AS reason
+  FROM {schedules} h JOIN {connectors} c ON c.id = h.connector_id JOIN (SELECT id, status, CASE WHEN id LIKE '%4:a' THEN 'other' ELSE scope_type END AS scope_type FROM {scopes}) s ON s.id = h.connector_scope_id WHERE h.status = 'active' AND h.next_run_at <= DATE '2024-01-12')""",
     ),
     "attempt_runs": (lambda t: H.attempt_runs(t["jobs"]), "SELECT id, attempt_count, CASE WHEN attempt_count > 1 THEN 'retry' ELSE mode END AS mode, CASE WHEN attempt_count > 1 THEN 'retry' ELSE trigger_type END AS trigger_type FROM {jobs} WHERE attempt_count > 0"),
     "index_backlog": (lambda t: H.index_backlog(t["index_states"], now(), reason="new_version").select("id", "status"), f"SELECT id, status FROM {{index_states}} WHERE reason = 'new_version' AND (indexed_generation IS NULL OR indexed_generation < desired_generation) AND (next_retry_at IS NULL OR next_retry_at <= {AS_OF})"),
@@ -378,33 +647,56 @@ QUERIES = {
     "valid_path": (paths, "SELECT page_id, path, octet_length(encode(path)) <= 1024 AND len(string_split(path, '/')) <= 64 AND NOT contains(path, '\\') AND len(list_filter(string_split(path, '/'), lambda x: x IN ('', '.', '..') OR strlen(x) > 255)) = 0 AS valid FROM (SELECT page_id, concat(regexp_replace(url, '^.*://', ''), CASE WHEN page_id % 7 = 0 THEN '/../x' WHEN page_id % 5 = 0 THEN '\\y' ELSE '' END) AS path FROM {pages})"),
     "skip_reason": (
         entries,
-        """SELECT object_id, entry_type, path, CASE WHEN entry_type IS NULL THEN CASE WHEN path LIKE '%.md' THEN CASE WHEN size_bytes > 10485760 THEN 'oversized' END ELSE 'unsupported_format' END WHEN entry_type NOT IN ('blob', 'executable') THEN 'unsupported_object_type' WHEN path NOT LIKE '%.md' THEN 'unsupported_format' WHEN size_bytes > 10485760 THEN 'oversized' END AS skip_reason FROM (SELECT *, concat(name, CASE WHEN object_id % 2 = 0 THEN '.md' ELSE '.bin' END) AS path,
+        """SELECT object_id, entry_type, path, CASE WHEN object_id % 17 = 0 THEN 'dropped' WHEN entry_type IS NULL OR entry_type NOT IN ('blob', 'executable') THEN 'unsupported_object_type' WHEN path NOT LIKE '%.md' THEN 'unsupported_format' WHEN size_bytes IS NULL OR object_id % 10 = 4 THEN 'size_unavailable' WHEN size_bytes > 10485760 THEN 'oversized' END AS skip_reason FROM (SELECT *, concat(name, CASE WHEN object_id % 2 = 0 THEN '.md' ELSE '.bin' END) AS path,
   CASE WHEN mode = '040000' AND object_type = 'tree' THEN 'tree' WHEN mode = '100644' AND object_type = 'blob' THEN 'blob' WHEN mode = '100755' AND object_type = 'blob' THEN 'executable' WHEN mode = '120000' AND object_type = 'blob' THEN 'symlink' WHEN mode = '160000' AND object_type = 'commit' THEN 'submodule' END AS entry_type FROM {tree})""",
     ),
     "scalar_names": (
         scalar_names,
-        "SELECT id, '.md' AS suffix, concat('doc-', CAST(id AS VARCHAR)) AS stem, 'text/markdown' AS mime, '.md' AS ext, concat('github:repository:', CAST(organization_id AS VARCHAR), ':path:', source_item_key) AS item_key, sha256(source_item_key) AS key_sha256, json_extract_string(source_metadata, '$.provider') AS provider, json_extract_string(source_metadata, '$.provider') = 'github' AS is_github, starts_with(source_item_key, 'src1') AS has_prefix, regexp_matches(connector_id, '^[a-z0-9]+(-[a-z0-9]+)*$') AS is_slug FROM {items}",
+        "SELECT id, '.md' AS suffix, concat('doc-', CAST(id AS VARCHAR)) AS stem, 'text/markdown' AS mime, concat('.', source_item_type) AS ext, concat('github:repository:', CAST(organization_id AS VARCHAR), ':path:', source_item_key) AS item_key, sha256(source_item_key) AS key_sha256, json_extract_string(source_metadata, '$.provider') AS provider, json_extract_string(source_metadata, '$.provider') = 'github' AS is_github, starts_with(source_item_key, 'src1') AS has_prefix, regexp_matches(connector_id, '^[a-z0-9]+(-[a-z0-9]+)*$') AS is_slug FROM {items}",
     ),
-    "normalize_newlines": (newlines, "SELECT document_id, page_number, replace(replace(text, concat(chr(13), chr(10)), chr(10)), chr(13), chr(10)) AS text, starts_with(text, 'version https://git-lfs') AS is_pointer FROM {conversation_pages}"),
+    "normalize_newlines": (newlines, "SELECT document_id, page_number, replace(replace(text, concat(chr(13), chr(10)), chr(10)), chr(13), chr(10)) AS text, page_number % 5 = 3 AS is_pointer FROM (SELECT document_id, page_number, CASE WHEN page_number % 5 = 3 THEN concat('version https://git-lfs.github.com/spec/v1', chr(13), chr(10), text) ELSE text END AS text FROM {conversation_pages})"),
     "email_domain": (domains, "SELECT id, split_part(normalized_email, '@', 2) AS domain FROM {users}"),
     "row_id": (lambda t: t["items"].select("id", X.row_id(F.col("organization_id"), F.col("source_item_key")).alias("row_id")), "SELECT id, sha256(concat('1:', CAST(organization_id AS VARCHAR), '|', CAST(strlen(source_item_key) AS VARCHAR), ':', source_item_key)) AS row_id FROM {items}"),
+    "scan_after": (
+        scanned_rows,
+        """SELECT source_item_key AS key, organization_id, size_bytes FROM {items} WHERE source_item_key > 'src5' AND organization_id = 2""",
+    ),
+    "trim_unicode": (
+        trimmed,
+        """SELECT event_id, event_type AS trimmed FROM {events}""",
+    ),
+    "profile_fingerprint": (
+        fingerprints,
+        """SELECT id, profile_fingerprint = 'profile-1' AS is_one, sha256('{{"chunk_size":2000,"embedding_model":"m1","overlap":200}}') AS fingerprint FROM {index_states}""",
+    ),
     # content
     "markdown_sections": (
-        lambda t: C.markdown_sections(t["markdown"]),
-        f"WITH {_MD} SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY section) - 1 AS section_index, heading, text FROM (SELECT doc_id, section, max(CASE WHEN level IS NOT NULL THEN heading END) AS heading, regexp_replace(string_agg(CASE WHEN level IS NULL THEN line END, chr(10) ORDER BY n), '^\\s+|\\s+$', '', 'g') AS text FROM parts GROUP BY 1, 2) WHERE text <> ''",
+        markdown_texts,
+        f"""WITH texts AS (SELECT doc_id, CASE WHEN doc_id % 6 = 1 THEN concat('# Only ', CAST(doc_id AS VARCHAR), chr(10), chr(10), '## Heads ') WHEN doc_id % 6 = 2 THEN concat(' ', chr(10)) ELSE text END AS text FROM {{markdown}}), {_MD.replace("{markdown}", "texts")}
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY section) - 1 AS section_index, heading, text FROM (SELECT doc_id, section, max(CASE WHEN level IS NOT NULL THEN heading END) AS heading, regexp_replace(string_agg(CASE WHEN level IS NULL THEN line END, chr(10) ORDER BY n), '^\\s+|\\s+$', '', 'g') AS text FROM parts GROUP BY 1, 2) WHERE text <> ''
+UNION ALL SELECT doc_id, 0, NULL, regexp_replace(text, '\\s+$', '') FROM texts WHERE doc_id % 6 = 1""",
     ),
     "markdown_titles": (lambda t: C.markdown_titles(t["markdown"]), "SELECT doc_id, concat('Title ', CAST(doc_id AS VARCHAR)) AS title, 3 AS heading_count FROM {markdown}"),
     "assemble_pages": (lambda t: C.assemble_pages(t["conversation_pages"]).select("document_id", "text", F.col("n_sections").cast("long").alias("n_sections"), "rejected"), "SELECT document_id, CASE WHEN count(x) > 0 THEN string_agg(x, concat(chr(10), chr(10)) ORDER BY page_number) END AS text, count(x) AS n_sections, CASE WHEN count(x) = 0 THEN 'no_text' END AS rejected FROM (SELECT *, nullif(trim(replace(text, concat(chr(13), chr(10)), chr(10)), concat(' ', chr(9), chr(10))), '') AS x FROM {conversation_pages}) GROUP BY 1"),
     "page_sections": (lambda t: C.page_sections(t["conversation_pages"]), "SELECT document_id, row_number() OVER (PARTITION BY document_id ORDER BY page_number) - 1 AS section_index, concat('Page ', CAST(page_number AS VARCHAR)) AS heading, x AS text FROM (SELECT *, trim(replace(text, concat(chr(13), chr(10)), chr(10)), concat(' ', chr(9), chr(10))) AS x FROM {conversation_pages}) WHERE x <> ''"),
     "assemble_blocks": (
-        lambda t: C.assemble_blocks(t["conversation_blocks"]),
-        "SELECT document_id, coalesce(string_agg(nullif(part, ''), concat(chr(10), chr(10)) ORDER BY block_index), '') AS text, count(*) FILTER (kind = 'paragraph' AND style LIKE 'Heading%' AND part <> '') AS n_headings, count(*) FILTER (kind = 'table') AS n_tables FROM (SELECT *, CASE WHEN kind = 'table' THEN concat_ws(' | ', nullif(trim(split_part(cells, '|', 1)), ''), nullif(trim(split_part(cells, '|', 3)), '')) ELSE trim(text) END AS part FROM {conversation_blocks}) GROUP BY 1",
+        blocks,
+        """SELECT document_id, coalesce(string_agg(nullif(part, ''), concat(chr(10), chr(10)) ORDER BY block_index), '') AS text, count(*) FILTER (kind = 'paragraph' AND style LIKE 'Heading%' AND part <> '') AS n_headings, count(*) FILTER (kind = 'table' AND part <> '') AS n_tables FROM (SELECT *, CASE WHEN kind <> 'table' THEN trim(text) WHEN block_index % 6 = 5 THEN '' ELSE concat(concat_ws(' | ', nullif(trim(split_part(cells, '|', 1)), ''), nullif(trim(split_part(cells, '|', 3), concat(' ', chr(9), chr(10))), '')), chr(10), role, ' | ', role) END AS part FROM (SELECT *, trim(split_part(cells, '|', 1)) AS role FROM {conversation_blocks})) GROUP BY 1""",
     ),
     "route_extractor": (lambda t: C.route_extractor(t["items"].select("id", F.concat("source_item_key", F.when(F.col("id") % 3 == 0, ".TXT").when(F.col("id") % 3 == 1, ".exe").otherwise("")).alias("path"))).select("id", "extractor", "rejected"), "SELECT id, CASE id % 3 WHEN 0 THEN 'text' WHEN 2 THEN 'markdown' END AS extractor, CASE id % 3 WHEN 1 THEN 'unsupported_format' END AS rejected FROM {items}"),
-    "embedding_backlog": (lambda t: C.embedding_backlog(t["chunks"], "m1").select("id", "broken"), "SELECT id, false AS broken FROM {chunks} WHERE embedding IS NULL OR embedding_model <> 'm1'"),
+    "embedding_backlog": (
+        backlog,
+        """SELECT id, (embedding IS NULL) <> (embedding_model IS NULL OR id % 7 = 0) AS broken FROM {chunks} WHERE embedding IS NULL OR embedding_model <> 'm1' OR id % 7 = 0""",
+    ),
     "chunk_documents": (chunk_documents, None),
-    "within_chunk_ceiling": (lambda t: C.within_chunk_ceiling(t["chunks"].union(t["chunks"]), 3), "SELECT document_id, 2 * count(*) AS n_chunks, 2 * count(*) <= 3 AS accepted FROM {chunks} GROUP BY 1"),
-    "embed": (embed, "SELECT id, 'm1' AS embedding_model, 64 AS dimensions FROM {chunks}"),
+    "within_chunk_ceiling": (
+        lambda t: C.within_chunk_ceiling(t["docs"], t["chunks"].union(t["chunks"].filter("id % 3 = 0")), 1),
+        """SELECT d.id AS document_id, count(c.id) AS n_chunks, count(c.id) = 1 AS accepted FROM {docs} d LEFT JOIN (SELECT id, document_id FROM {chunks} UNION ALL SELECT id, document_id FROM {chunks} WHERE id % 3 = 0) c ON c.document_id = d.id GROUP BY 1""",
+    ),
+    "embed": (
+        embed,
+        """SELECT id, 'm1' AS embedding_model, 64 AS dimensions, CASE WHEN embedding IS NULL OR embedding_model <> 'm1' THEN CAST(list_sum(list_transform(range(64), lambda i: (i + 1) * CAST('0x' || substr(md5(concat(CAST(i // 16 AS VARCHAR), ':', chunk_text)), CAST(2 * (i % 16) + 1 AS INT), 2) AS BIGINT))) AS BIGINT) END AS weighed_bytes FROM {chunks}""",
+    ),
     "clear_embedding": (clear_embedding, "SELECT id, CASE WHEN id % 3 <> 0 THEN embedding_model END AS embedding_model, id % 3 = 0 OR embedding IS NULL AS is_empty FROM {chunks}"),
     # sources and streams
     "expand_tree": (
@@ -415,11 +707,24 @@ QUERIES = {
     # quality
     "check_rows": (check_rows, "SELECT rule, n AS n_rows, f AS n_failed FROM (SELECT count(*) AS n, " + ", ".join(f"count(*) FILTER (NOT coalesce({r}, true)) AS f{i}" for i, r in enumerate(_RULES.values())) + " FROM {items}) CROSS JOIN LATERAL (VALUES " + ", ".join(f"('{k}', f{i})" for i, k in enumerate(_RULES)) + ") AS v(rule, f)"),
     "check_unique": (lambda t: Q.check_unique(t["acl_entries"], ["organization_id", "source_item_id"], "effect <> 'none'"), "SELECT organization_id, source_item_id, count(*) AS n FROM {acl_entries} GROUP BY 1, 2 HAVING count(*) > 1"),
-    "check_references": (lambda t: Q.check_references(t["jobs"].select("id", "organization_id", "connector_id"), t["connectors"], {"organization_id": "organization_id", "connector_id": "id"}), "SELECT id, organization_id, connector_id FROM {jobs} j WHERE NOT EXISTS (SELECT 1 FROM {connectors} c WHERE c.id = j.connector_id AND c.organization_id = j.organization_id)"),
+    "check_references": (
+        references,
+        """SELECT id, organization_id, connector_id FROM (SELECT id, organization_id, CASE WHEN id % 9 = 4 THEN concat(connector_id, 'x') WHEN id % 9 <> 5 THEN connector_id END AS connector_id FROM {jobs}) j WHERE connector_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM {connectors} c WHERE c.id = j.connector_id AND c.organization_id = j.organization_id)""",
+    ),
     "check_vectors": (check_vectors, "SELECT vec_id, CASE WHEN vec_id % 5 = 0 THEN 'wrong_dimension' WHEN vec_id % 7 = 0 THEN 'not_finite' END AS fault FROM {embeddings}"),
     "check_embedding_results": (embedding_results, "SELECT vec_id AS input_index, CASE WHEN vec_id % 9 = 0 THEN 'missing' WHEN vec_id % 10 = 3 THEN 'repeated' WHEN vec_id % 8 = 1 THEN 'wrong_dimension' ELSE 'wrong_model' END AS fault FROM {embeddings} WHERE vec_id % 9 = 0 OR vec_id % 10 = 3 OR vec_id % 8 = 1 OR vec_id % 11 = 0"),
-    "scan_unsafe_json": (unsafe_json, "SELECT event_id, event_id % 6 = 0 OR event_id % 10 IN (1, 3) AS unsafe FROM {events}"),
-    "check_tree": (lambda t: Q.check_tree(t["tree"]), "SELECT parent_tree_id, count(*) AS n_entries, CAST(0 AS BIGINT) AS n_duplicates, CAST(0 AS BIGINT) AS n_collisions, true AS accepted FROM {tree} GROUP BY 1"),
+    "scan_unsafe_json": (
+        unsafe_json,
+        """SELECT event_id, event_id % 6 = 0 OR event_id % 10 IN (1, 3, 5, 9) AS unsafe FROM {events}""",
+    ),
+    "check_tree": (
+        lambda t: Q.check_tree(t["tree_names"]),
+        """SELECT parent_tree_id, CAST(sum(n) AS BIGINT) AS n_entries, CAST(sum(n - d) AS BIGINT) AS n_duplicates, CAST(sum(d - 1) AS BIGINT) AS n_collisions, sum(n - d) = 0 AND sum(d - 1) = 0 AND sum(n) <= 1000 AS accepted FROM (SELECT parent_tree_id, lower(name) AS k, count(*) AS n, count(DISTINCT name) AS d FROM {tree_names} GROUP BY 1, 2) GROUP BY 1""",
+    ),
+    "check_chunks": (
+        chunk_faults,
+        """SELECT doc_id AS document_id, CASE WHEN doc_id % 5 = 0 OR trim(substr(text, 1, 20)) = '' THEN 'blank' WHEN doc_id % 7 = 0 THEN 'wrong_length' WHEN doc_id % 11 = 0 THEN 'repeated_index' END AS fault FROM {documents} CROSS JOIN (SELECT 1 AS k UNION ALL SELECT 2 AS k) k WHERE k.k = 1 OR doc_id % 11 = 0""",
+    ),
     "check_cursor_history": (
         lambda t: Q.check_cursor_history(t["cursors"]).select("id", "fault"),
         "SELECT id, CASE WHEN cursor_version <= v THEN 'version' WHEN r < pr THEN 'phase' WHEN total < pt THEN 'total' END AS fault FROM (SELECT *, lag(cursor_version) OVER w AS v, lag(r) OVER w AS pr, lag(total) OVER w AS pt FROM (SELECT *, CASE phase WHEN 'traversal' THEN 1 WHEN 'reconciliation' THEN 2 ELSE 3 END AS r FROM {cursors}) WINDOW w AS (PARTITION BY scope_id ORDER BY id))",

@@ -59,11 +59,19 @@ DERIVED: dict[str, str] = {
         FROM {items} CROSS JOIN (SELECT 'a' AS k, 0 AS shift UNION ALL SELECT 'b' AS k, 90 AS shift) k WHERE k.k = 'a' OR id % 4 = 0""",
     "versions": """SELECT id * 10 + v.v AS id, organization_id, id AS source_item_id, v.v AS version_number, v.v = 1 + id % 2 AS is_current, CASE WHEN v.v = 1 THEN 'discovered' ELSE 'content_changed' END AS version_cause,
         CASE WHEN id % 29 = 0 THEN 'unavailable' ELSE 'available' END AS lifecycle, CASE WHEN v.v = 1 + id % 2 THEN source_checksum ELSE md5(source_checksum) END AS content_checksum,
-        DATE '1996-01-01' + CAST(id % 300 + 200 * v.v AS INT) AS discovered_at FROM {items} CROSS JOIN (SELECT 1 AS v UNION ALL SELECT 2 AS v) v WHERE v.v <= 1 + id % 2""",
+        DATE '1996-01-01' + CAST(id % 300 + 200 * v.v AS INT) AS discovered_at, CASE WHEN v.v = 1 + id % 2 THEN source_checksum ELSE md5(source_checksum) END AS provider_version_id,
+        CASE WHEN id % 29 = 0 THEN concat('{{"reason":"', CASE WHEN id % 58 = 0 THEN 'oversized' ELSE 'unsupported_format' END, '"}}') END AS version_metadata FROM {items} CROSS JOIN (SELECT 1 AS v UNION ALL SELECT 2 AS v) v WHERE v.v <= 1 + id % 2""",
     "docs": """SELECT doc_id AS id, organization_id, CASE WHEN n % 2 = 0 THEN 'local_folder' ELSE 'github' END AS source_type, concat(source, '/doc-', CAST(doc_id AS STRING), '.md') AS source_document_key,
         concat('Document ', CAST(doc_id AS STRING)) AS title, md5(text) AS checksum_latest, CASE WHEN doc_id % 31 = 0 THEN 'failed' ELSE 'ready' END AS status,
         CASE WHEN doc_id % 37 = 0 THEN DATE '1998-01-15' END AS deleted_at, DATE '1996-06-01' + CAST(doc_id % 700 AS INT) AS created_at FROM {placed_documents}""",
     "mappings": "SELECT v.organization_id, v.id AS document_version_id, v.source_item_id AS document_id FROM {versions} v WHERE v.is_current",
+    "all_mappings": "SELECT organization_id, id AS document_version_id, CASE WHEN is_current THEN source_item_id ELSE source_item_id + 1000000 END AS document_id FROM {versions}",
+    "attempts": """SELECT s.id * 10 + k.k AS id, s.organization_id, s.id AS indexing_state_id, CAST(k.k AS INT) AS attempt_number, 'sync' AS trigger_type, CASE WHEN k.k = s.attempt_count THEN 'running' ELSE 'failed' END AS status, DATE '1998-03-01' + CAST(k.k AS INT) AS started_at,
+        CASE WHEN k.k < s.attempt_count THEN DATE '1998-03-02' + CAST(k.k AS INT) END AS completed_at, CASE WHEN k.k < s.attempt_count THEN 'embedding' END AS error_category, CASE WHEN k.k < s.attempt_count THEN 'timeout' END AS error_code
+        FROM {index_states} s CROSS JOIN (SELECT 1 AS k UNION ALL SELECT 2 AS k UNION ALL SELECT 3 AS k) k WHERE k.k <= s.attempt_count""",
+    "folder_run": """SELECT organization_id, id AS source_item_id, CASE WHEN id % 4 = 0 THEN 'succeeded' WHEN id % 4 = 2 THEN 'skipped' ELSE 'failed' END AS status, CASE WHEN id % 14 = 0 THEN md5(concat(source_checksum, '!')) ELSE source_checksum END AS current_checksum
+        FROM {items} WHERE id % 6 = 0 OR id % 5 = 1""",
+    "tree_names": "SELECT parent_tree_id, name FROM {tree} UNION ALL SELECT parent_tree_id, upper(name) FROM {tree} WHERE object_id % 11 = 0 UNION ALL SELECT parent_tree_id, name FROM {tree} WHERE object_id % 13 = 0",
     "index_states": """SELECT id AS id, organization_id, id AS document_version_id, concat('profile-', CAST(source_item_id % 2 AS STRING)) AS profile_fingerprint, CASE WHEN source_item_id % 43 = 0 THEN 'm0' ELSE 'm1' END AS embedding_model,
         64 AS embedding_dimensions, 1 + source_item_id % 2 AS desired_generation, CASE WHEN source_item_id % 13 = 0 THEN source_item_id % 2 ELSE 1 + source_item_id % 2 END AS indexed_generation,
         CASE WHEN source_item_id % 13 = 0 THEN 'retry_wait' WHEN source_item_id % 47 = 0 THEN 'failed' ELSE 'indexed' END AS status, CASE WHEN source_item_id % 2 = 0 THEN 'new_version' ELSE 'profile_changed' END AS reason,
@@ -100,10 +108,11 @@ DERIVED: dict[str, str] = {
         CASE WHEN event_id % 5 < 3 THEN DATE '2024-01-02' + CAST(event_id % 40 AS INT) END AS next_attempt_at, CASE WHEN event_type = 'purchase' THEN DATE '2024-01-01' + CAST(event_id % 35 AS INT) END AS lease_expires_at,
         CASE WHEN event_id % 9 = 0 THEN DATE '2024-01-05' END AS cancel_requested_at, CAST(ts AS DATE) AS created_at, 'incremental' AS mode, 'scheduled' AS trigger_type FROM {events}""",
     "run_items": """SELECT user_id AS run_id, event_id AS item_id, CASE event_type WHEN 'signup' THEN 'new' WHEN 'click' THEN 'changed' WHEN 'view' THEN 'unchanged' WHEN 'purchase' THEN 'deleted' ELSE 'skipped' END AS change_type,
-        CASE WHEN event_id % 6 = 5 THEN 'failed' ELSE 'succeeded' END AS status FROM {events}""",
+        CASE WHEN event_id % 6 = 5 THEN 'failed' ELSE 'succeeded' END AS status, md5(CAST(event_id % 900 AS STRING)) AS current_checksum FROM {events}""",
     "cursors": """SELECT event_id AS id, user_id AS scope_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS cursor_version, CAST(ts AS DATE) AS activated_at,
         CASE WHEN event_id % 3 = 0 THEN 'traversal' WHEN event_id % 3 = 1 THEN 'reconciliation' ELSE 'complete' END AS phase, CAST(event_id % 100 AS BIGINT) AS total FROM {events}""",
-    "schedules": """SELECT id AS connector_scope_id, organization_id, connector_id, CASE WHEN id LIKE 'src1%' THEN 'paused' ELSE 'active' END AS status, 900 + 60 * CAST(length(id) AS INT) AS interval_seconds, DATE '2024-01-01' + CAST(length(id) AS INT) AS next_run_at FROM {scopes}""",
+    "schedules": """SELECT id AS connector_scope_id, organization_id, connector_id, CASE WHEN id LIKE 'src1%' THEN 'paused' ELSE 'active' END AS status, 900 + 60 * CAST(length(id) AS INT) AS interval_seconds, DATE '2024-01-01' + CAST(length(id) AS INT) AS next_run_at,
+        CASE WHEN id LIKE 'src1%' THEN 'manual' END AS pause_reason_code, CASE WHEN id LIKE 'src1%' THEN DATE '2024-01-03' END AS paused_at, CASE WHEN id LIKE '%:a' THEN DATE '2023-12-31' END AS last_due_at, CASE WHEN id LIKE '%:a' THEN DATE '2024-01-01' END AS last_enqueued_at, CASE WHEN id LIKE '%:a' THEN CAST(length(id) AS BIGINT) END AS last_job_id FROM {scopes}""",
     "failures": """SELECT event_id AS id, CASE event_id % 13 WHEN 0 THEN 'retryable_provider' WHEN 1 THEN 'rate_limited' WHEN 2 THEN 'transient_network' WHEN 3 THEN 'transient_persistence' WHEN 4 THEN 'authentication' WHEN 5 THEN 'authorization' WHEN 6 THEN 'configuration'
         WHEN 7 THEN 'validation' WHEN 8 THEN 'unsupported_content' WHEN 9 THEN 'permanent_provider' WHEN 10 THEN 'cancelled' WHEN 11 THEN 'programming_error' ELSE 'unknown_internal' END AS kind,
         CAST(1 + event_id % 5 AS INT) AS attempt_count, 5 AS max_attempts, event_id % 29 = 0 AS cancellation_requested, CASE WHEN event_id % 13 = 1 AND event_id % 2 = 0 THEN CAST(event_id % 5000 AS DOUBLE) END AS retry_after_seconds,

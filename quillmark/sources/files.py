@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quillmark.functions.scalars import suffix
+from quillmark.storage import cut
 
 MAX_TREE_DEPTH = 64
 
@@ -34,14 +35,13 @@ def expand_tree(entries: DataFrame, roots: DataFrame, depth: int = MAX_TREE_DEPT
     columns = ["root_tree_id", "path", "depth", "object_id", "mode", "object_type", "size_bytes"]
     front = roots.select("root_tree_id", F.col("root_tree_id").alias("parent_tree_id"), F.lit("").alias("_prefix"))
     out = None
-    entries = entries.persist()
     for level in range(1, depth + 1):
-        found = front.join(entries, "parent_tree_id").select("root_tree_id", F.concat("_prefix", "name").alias("path"), F.lit(level).alias("depth"), "object_id", "mode", "object_type", "size_bytes").persist()
-        if not found.count():  # a count also fills the cache
-            break
+        found = cut(front.join(entries, "parent_tree_id").select("root_tree_id", F.concat("_prefix", "name").alias("path"), F.lit(level).alias("depth"), "object_id", "mode", "object_type", "size_bytes"))
         out = found if out is None else out.unionByName(found)
         front = found.filter("object_type = 'tree'").select("root_tree_id", F.col("object_id").alias("parent_tree_id"), F.concat("path", F.lit("/")).alias("_prefix"))
-    return out.select(columns) if out is not None else found.select(columns)
+        if front.isEmpty():
+            break
+    return out.select(columns)
 
 
 def load_table(spark: SparkSession, place: str, name: str, organization_id=None) -> DataFrame:

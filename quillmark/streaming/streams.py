@@ -5,42 +5,81 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from quillmark.functions.scalars import normalize_newlines
+from quillmark.functions.scalars import normalize_newlines, numeric_id
+from quillmark.operators.changes import replace_chunks, upsert_documents
 from quillmark.operators.content import chunk_documents, read_text
 
 
 def ingest_stream(spark: SparkSession, root: str, checkpoint: str, sink: Callable[[DataFrame, int], None], pattern: str = "*.{txt,md}") -> StreamingQuery:
-    """Chunks of each file that is new below root go to `sink`, batch by batch; the checkpoint makes restarts go on."""
+    """Chunks of each file that is new below root go to `sink`, batch by batch, with the file's title and checksum; the
+    checkpoint makes restarts go on."""
     files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(root)
 
     def step(batch: DataFrame, number: int) -> None:
         texts = read_text(batch).filter("rejected is null").withColumn("text", normalize_newlines(F.col("text")))
-        sink(chunk_documents(texts, key="path"), number)
+        named = texts.select("path", "title", F.sha2("text", 256).alias("checksum"))
+        sink(chunk_documents(texts, key="path").join(named, "path"), number)
 
     return files.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+_DOCUMENTS = "id long, organization_id int, source_type string, source_document_key string, title string, checksum_latest string, status string, deleted_at timestamp, created_at timestamp"
+_CHUNKS = "id long, organization_id int, document_id long, chunk_index int, chunk_text string"
+
+
+def catalog_sink(place: str, organization_id: int, source_type: str, now: Column) -> Callable[[DataFrame, int], None]:
+    """A sink for `ingest_stream` that brings the catalogue's documents and chunks up to date.
+
+    Batch n reads the snapshot of batch n - 1 and writes its own, place/documents/n and place/chunks/n; a batch
+    that is run again writes the same snapshot again."""
+
+    def sink(found: DataFrame, number: int) -> None:
+        spark = found.sparkSession
+
+        def before(name: str, schema: str) -> DataFrame:
+            return spark.read.schema(schema).parquet(f"{place}/{name}/{number - 1}") if number else spark.createDataFrame([], schema)
+
+        documents, chunks = before("documents", _DOCUMENTS), before("chunks", _CHUNKS)
+        of_file = [F.lit(organization_id).alias("organization_id"), F.lit(source_type).alias("source_type"), F.col("path").alias("source_document_key")]
+        incoming = found.select(*of_file, "title", F.col("checksum").alias("checksum_latest")).distinct()
+        after = upsert_documents(incoming, documents, now)
+        after.drop("outcome").write.mode("overwrite").parquet(f"{place}/documents/{number}")
+        known = spark.read.schema(_DOCUMENTS).parquet(f"{place}/documents/{number}").select(F.col("id").alias("document_id"), "organization_id", F.col("source_document_key").alias("path"))
+        new = found.join(known, "path").select(numeric_id(F.col("document_id"), F.col("chunk_index")).alias("id"), "organization_id", "document_id", "chunk_index", F.col("content").alias("chunk_text"))
+        replace_chunks(chunks, new).write.mode("overwrite").parquet(f"{place}/chunks/{number}")
+
+    return sink
+
+
 def silent_workers(heartbeats: DataFrame, ttl_seconds: int, delay: str = "1 minute") -> DataFrame:
     """(worker, last_seen, silent_from) of every stretch in which a worker sent nothing for the time to live.
 
-    heartbeats: worker, ts.  State is one time for each worker."""
+    heartbeats: worker, ts.  State is one time for each worker.  A stretch is told when the watermark has passed it,
+    or when the worker's next heartbeat comes before that."""
+
+    def silences(worker: int, times: list[int]) -> pd.DataFrame:
+        seen = pd.to_datetime(pd.Series(times, dtype="int64"), unit="ms")
+        return pd.DataFrame({"worker": [worker] * len(times), "last_seen": seen, "silent_from": seen + pd.Timedelta(seconds=ttl_seconds)})
 
     def watch(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        ttl = ttl_seconds * 1000
         if state.hasTimedOut:
             (last,) = state.get
             state.remove()
-            seen = pd.Timestamp(last, unit="ms")
-            yield pd.DataFrame({"worker": [key[0]], "last_seen": [seen], "silent_from": [seen + pd.Timedelta(seconds=ttl_seconds)]})
+            yield silences(key[0], [last])
             return
-        last = state.get[0] if state.exists else 0
-        for pdf in batches:
-            last = max(last, int(pdf["ts"].max().timestamp() * 1000))
-        state.update((last,))
-        state.setTimeoutTimestamp(max(last + ttl_seconds * 1000, state.getCurrentWatermarkMs() + 1))
+        times = sorted(int(x.timestamp() * 1000) for pdf in batches for x in pdf["ts"])
+        if state.exists:
+            times = [state.get[0], *[x for x in times if x > state.get[0]]]
+        over = [a for a, b in zip(times[:-1], times[1:], strict=True) if b - a > ttl]
+        if over:
+            yield silences(key[0], over)
+        state.update((times[-1],))
+        state.setTimeoutTimestamp(max(times[-1] + ttl, state.getCurrentWatermarkMs() + 1))
 
     marked = heartbeats.select("worker", F.col("ts").cast("timestamp").alias("ts")).withWatermark("ts", delay)
     return marked.groupBy("worker").applyInPandasWithState(watch, "worker long, last_seen timestamp, silent_from timestamp", "last long", "append", GroupStateTimeout.EventTimeTimeout)
