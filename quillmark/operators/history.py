@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from quillmark.functions.predicates import check_limit
@@ -83,27 +83,32 @@ def duplicate_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 def budget_batches(df: DataFrame, files: int = 10, total_bytes: int = 25 * 1024 * 1024, chunks: int = 500) -> DataFrame:
     """df (run_id, place, bytes, chunks, skipped) with `batch`: the longest ordered prefix within the limits, then the next.
 
-    A cut depends on all cuts before it, so each run is one ordered group; runs have a ceiling of entries.  A
+    A cut depends on all cuts before it, so a run's rows are read in order, as a stream with a few numbers of state.  A
     file that is alone over a limit is refused, and the run ends there: it and what follows have no batch."""
 
-    def cut(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("place")
-        out, refused, batch, n, weight, parts = [], [], 0, 0, 0, 0
-        for b, c, skipped in zip(group["bytes"], group["chunks"], group["skipped"], strict=True):
-            own = 0 if skipped else int(b)
-            alone = own > total_bytes or int(c) > chunks
-            if alone or (refused and refused[-1] is not None):
-                refused.append("over_limit" if alone and not (refused and refused[-1]) else "after_refusal")
-                out.append(None)
-                continue
-            if n and (n + 1 > files or weight + own > total_bytes or parts + c > chunks):
-                batch, n, weight, parts = batch + 1, 0, 0, 0
-            n, weight, parts = n + 1, weight + own, parts + int(c)
-            out.append(batch)
-            refused.append(None)
-        return pd.DataFrame({"run_id": group["run_id"], "place": group["place"], "batch": pd.array(out, "Int32"), "refused": refused})
-
-    return df.groupBy("run_id").applyInPandas(cut, "run_id long, place long, batch int, refused string")
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        run, batch, n, weight, parts, ended = None, 0, 0, 0, 0, False
+        for rows in batches:
+            out, refused = [], []
+            for own_run, size, c, skipped in zip(*(rows.column(i).to_pylist() for i in (0, 2, 3, 4)), strict=True):
+                if own_run != run:
+                    run, batch, n, weight, parts, ended = own_run, 0, 0, 0, 0, False
+                own = 0 if skipped else size
+                alone = own > total_bytes or c > chunks
+                if ended or alone:
+                    out.append(None)
+                    refused.append("after_refusal" if ended else "over_limit")
+                    ended = True
+                    continue
+                if n and (n + 1 > files or weight + own > total_bytes or parts + c > chunks):
+                    batch, n, weight, parts = batch + 1, 0, 0, 0
+                n, weight, parts = n + 1, weight + own, parts + c
+                out.append(batch)
+                refused.append(None)
+            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(out, pa.int32()), pa.array(refused, pa.string())], names=["run_id", "place", "batch", "refused"])
+
+    rows = df.select(F.col("run_id").cast("long"), F.col("place").cast("long"), F.col("bytes").cast("long"), F.col("chunks").cast("long"), "skipped")
+    return rows.repartition("run_id").sortWithinPartitions("run_id", "place").mapInArrow(cut, "run_id long, place long, batch int, refused string")
 
 
 def first_batch(df: DataFrame, files: int = 10, total_bytes: int = 25 * 1024 * 1024, chunks: int = 500) -> DataFrame:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, functions as F
 
 from quillmark.functions import predicates as P, scalars as X
-from quillmark.operators import changes as M, content as C, history as H, quality as Q
+from quillmark.operators import changes as M, content as C, history as H, quality as Q, rules as R
 from quillmark.plans.fixtures import AS_OF, RUN_START, Tables
 from quillmark.sources import files as S
 from quillmark.streaming import streams as ST
@@ -301,6 +303,38 @@ def check_rows(t: Tables) -> DataFrame:
     return Q.check_rows(t["items"], _RULES)
 
 
+#: Columns of the derived tables that row rules are held against.
+_RULED = {
+    "items": ["source_item_key", "source_item_type", "source_checksum", "size_bytes", "status", "deleted_at", "first_seen_at", "last_seen_at"],
+    "memberships": ["status", "removed_at", "first_discovered_at", "last_seen_at"],
+    "schedules": ["status", "interval_seconds", "pause_reason_code", "paused_at", "last_due_at", "last_enqueued_at"],
+    "jobs": ["status", "attempt_count", "max_attempts", "next_attempt_at", "lease_expires_at", "cancel_requested_at", "created_at"],
+    "versions": ["version_number", "version_cause", "lifecycle", "content_checksum", "provider_version_id"],
+    "index_states": ["profile_fingerprint", "embedding_model", "embedding_dimensions", "desired_generation", "indexed_generation", "status", "reason", "attempt_count", "next_retry_at"],
+    "attempts": ["attempt_number", "trigger_type", "status", "started_at", "completed_at", "error_category", "error_code"],
+    "acl_entries": ["effect", "permission_level", "grants_read"],
+    "edges": ["lifecycle", "first_seen_generation", "last_seen_generation", "group_principal_id", "member_principal_id"],
+    "docs": ["title", "source_type", "source_document_key", "checksum_latest", "status", "deleted_at", "created_at"],
+    "chunks": ["chunk_index", "chunk_text", "embedding", "embedding_model"],
+}
+
+
+def check_tables(t: Tables) -> DataFrame:
+    found = [R.check_table(t[name].select(columns), name) for name, columns in _RULED.items()]
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def _rules_sql() -> str:
+    parts = []
+    for name, columns in _RULED.items():
+        for rule, condition in R.rules_of(name, columns).items():
+            parts.append(f"SELECT '{name}' AS \"table\", '{rule}' AS rule, count(*) AS n_rows, count(*) FILTER (NOT coalesce({re.sub("([a-z_]+) rlike ('[^']*')", r'regexp_matches(\1, \2)', condition)}, true)) AS n_failed FROM {{{name}}}")
+    return " UNION ALL ".join(x.replace("{0,", "{{0,").replace("254}", "254}}") for x in parts)
+
+
 def check_vectors(t: Tables) -> DataFrame:
     odd = t["embeddings"].select("vec_id", F.when(F.col("vec_id") % 5 == 0, F.slice("embedding", 1, 63)).when(F.col("vec_id") % 7 == 0, F.concat(F.slice("embedding", 1, 63), F.array(F.lit(float("nan")).cast("float")))).otherwise(F.col("embedding")).alias("embedding"))
     return Q.check_vectors(odd, "embedding", 64).select("vec_id", "fault")
@@ -706,6 +740,7 @@ UNION ALL SELECT doc_id, 0, NULL, regexp_replace(text, '\\s+$', '') FROM texts W
     "silence_gaps": (heartbeats, "SELECT worker, count(*) AS n_silences FROM (SELECT user_id AS worker, lead(ts) OVER (PARTITION BY user_id ORDER BY ts) AS after, ts FROM {events}) WHERE after IS NULL OR epoch_us(after) - epoch_us(ts) > 21600000000 GROUP BY 1"),
     # quality
     "check_rows": (check_rows, "SELECT rule, n AS n_rows, f AS n_failed FROM (SELECT count(*) AS n, " + ", ".join(f"count(*) FILTER (NOT coalesce({r}, true)) AS f{i}" for i, r in enumerate(_RULES.values())) + " FROM {items}) CROSS JOIN LATERAL (VALUES " + ", ".join(f"('{k}', f{i})" for i, k in enumerate(_RULES)) + ") AS v(rule, f)"),
+    "check_tables": (check_tables, _rules_sql()),
     "check_unique": (lambda t: Q.check_unique(t["acl_entries"], ["organization_id", "source_item_id"], "effect <> 'none'"), "SELECT organization_id, source_item_id, count(*) AS n FROM {acl_entries} GROUP BY 1, 2 HAVING count(*) > 1"),
     "check_references": (
         references,
