@@ -7,7 +7,6 @@ a very long one makes a slice by itself.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -16,6 +15,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from quillmark.storage import cut as written, shared_folder  # noqa: F401
+
 SHINGLE_WORDS = 5
 SLICE_BYTES = 1 << 19
 #: Rows in one Arrow batch: long texts then come in batches of a few megabytes.
@@ -170,34 +171,12 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def _shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or in local mode a new one."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        shared = context.getConf().get("spark.checkpoint.dir")
-        if shared is None:
-            if not context.master.startswith("local[") and context.master != "local":
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            import tempfile
-
-            shared = tempfile.mkdtemp(prefix="quillmark-")
-        context.setCheckpointDir(shared)
-    return context.getCheckpointDir()
-
-
 def cut(df: DataFrame) -> DataFrame:
     """Cut lineage through the shared folder."""
-    _shared_folder(df.sparkSession)
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
-def written(df: DataFrame) -> DataFrame:
-    """df written as Parquet in the shared folder and read again."""
-    place = f"{_shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
-    df.write.parquet(place)
-    return df.sparkSession.read.parquet(place)
-
-
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Names like those wanted that no column of df has, whatever the case of its letters."""
     taken = {c.lower() for c in df.columns}
