@@ -42,7 +42,7 @@ ORDER, BITS = 5, 12
 ESCAPE = 0xE00
 MIN_WORDS, WINDOW, MAX_REPEAT = 20, 8, 30
 #: N-grams of a model that is sent to all tasks (12 bytes each), and symbols in a slice for a larger one.
-SHARED_GRAMS, SLICE_SYMBOLS = 8_000_000, 1 << 23
+SHARED_GRAMS, SLICE_SYMBOLS = 4_000_000, 1 << 23
 #: Lengths of the shortest half that the band reaches beyond it, and the least such length.
 FENCE, LEAST_SPREAD = 3.0, 0.02
 #: Steps of log perplexity that are counted, and the distinct texts from which a language has a band.
