@@ -16,13 +16,16 @@ from __future__ import annotations
 
 import random
 from collections.abc import Iterator
+from typing import TYPE_CHECKING
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from . import textkit as tk
 
+if TYPE_CHECKING:  # workers that don't need it don't load it
+    import pandas as pd
+
 #: Weights of sources in the order of their names, repeating, and the most times a source may be taken.
 WEIGHTS = (1, 2, 3)
 REPEATS = 3
@@ -128,6 +131,8 @@ def _plan(counts: DataFrame, targets: DataFrame) -> DataFrame:
     with_target = tk.join_few(counts, of, ["source_key"], "size")
 
     def fit(group: pd.DataFrame) -> pd.DataFrame:
+        import pandas as pd
+
         # a row for each length of a source
         total, target = int(group["source_size"].iloc[0]), float(group["target"].iloc[0])
         whole = int(target // total) if total else 0

@@ -29,14 +29,17 @@ without words fail the base rules.  Other columns are kept by `apply_rules`.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import TYPE_CHECKING
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from . import textkit as tk
 
+if TYPE_CHECKING:  # workers that don't need it don't load it
+    import pandas as pd
+
 ORDER, BITS = 5, 12
 #: Code points from here on are two symbols.
 ESCAPE = 0xE00
@@ -362,6 +365,8 @@ def bands(scored: DataFrame, lang: str = "lang", text: str = "text", source: str
     steps = shared.groupBy("lang", "step").agg(F.sum(F.ceil(PARTS * F.col("n") * F.col("share"))).alias("n"))
 
     def half(rows: pd.DataFrame) -> pd.DataFrame:
+        import pandas as pd
+
         # a row for each step of log perplexity, so their number is bounded
         low, high = shortest_half(dict(zip(rows["step"].tolist(), rows["n"].tolist(), strict=True)))
         return pd.DataFrame({"lang": rows["lang"].iloc[:1], "low": (low - 0.5) * STEP, "high": (high + 0.5) * STEP, "reach": FENCE * max((high - low + 1) * STEP, LEAST_SPREAD)})

@@ -241,17 +241,20 @@ _SPANS = "array<struct<kind:string,start:long,end:long,p:double,outer:double>>"
 _SPAN_TYPE = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("p", pa.float64()), ("outer", pa.float64())]))
 
 
-def with_spans(docs: DataFrame, text: str = "text", out: str = "spans") -> DataFrame:
-    """docs with all base spans (p is null) and all candidates with their p-values and the least of those around them."""
-    pairs = letter_pairs(docs, text)
+def _spans_of(text: str | None, pairs: np.ndarray) -> list[dict]:
+    """All base spans (p is null) and all candidates with their p-values and the least of those around them."""
+    base = base_spans(text) if text else []
+    out = [{"kind": k, "start": a, "end": b, "p": None, "outer": None} for k, a, b in base]
+    return out + [{"kind": "random", "start": a, "end": b, "p": p, "outer": o} for a, b, p, o in (random_spans(text, base, pairs) if text else [])]
+
+
+def with_spans(docs: DataFrame, text: str = "text", out: str = "spans", pairs: np.ndarray | None = None) -> DataFrame:
+    """docs with the spans of each text, base ones and candidates; pairs: see `letter_pairs`."""
+    pairs = letter_pairs(docs, text) if pairs is None else pairs
 
     @F.arrow_udf(_SPANS)
     def find(column: pa.Array) -> pa.Array:
-        rows = []
-        for x in column.to_pylist():
-            base = base_spans(x) if x else []
-            rows.append([{"kind": k, "start": a, "end": b, "p": None, "outer": None} for k, a, b in base] + [{"kind": "random", "start": a, "end": b, "p": p, "outer": o} for a, b, p, o in (random_spans(x, base, pairs) if x else [])])
-        return pa.array(rows, _SPAN_TYPE)
+        return pa.array([_spans_of(x, pairs) for x in column.to_pylist()], _SPAN_TYPE)
 
     return docs.withColumn(out, find.asNondeterministic()(F.col(text)))
 
@@ -296,27 +299,28 @@ def _joined(spans):
 def redact(docs: DataFrame, text: str = "text", mask: str = "[secret]") -> DataFrame:
     """docs with every found span replaced by the mask; overlapping spans count as one.
 
-    A column n_chars follows the new text if docs has one.
-    """
+    A column n_chars follows the new text if docs has one.  Spans are found again when they are masked, in one
+    Python function, so a task has one worker."""
+    pairs = letter_pairs(docs, text)
     (spans,) = tk.fresh(docs, "_spans")
-    scanned = with_spans(docs, text, spans)
-    level = discovery_level(scanned.select(spans), spans)
+    level = discovery_level(with_spans(docs, text, spans, pairs).select(spans), spans)
 
     @F.arrow_udf("string")
-    def blot(column: pa.Array, spans: pa.Array) -> pa.Array:
+    def blot(column: pa.Array) -> pa.Array:
         out = []
-        for x, found in zip(column.to_pylist(), spans.to_pylist(), strict=True):
+        for x in column.to_pylist():
+            found = sorted((s["start"], s["end"]) for s in _spans_of(x, pairs) if s["p"] is None or (s["p"] <= level < s["outer"]))
             if found:
                 parts, at = [], 0
-                for s in found:
-                    if s["start"] >= at:
-                        parts += [x[at : s["start"]], mask]
-                    at = max(at, s["end"])
+                for start, end in found:
+                    if start >= at:
+                        parts += [x[at:start], mask]
+                    at = max(at, end)
                 x = "".join([*parts, x[at:]])
             out.append(x)
         return pa.array(out, pa.string())
 
-    done = scanned.withColumn(text, blot(F.col(text), significant(level, spans)))
+    done = docs.withColumn(text, blot.asNondeterministic()(F.col(text)))
     if "n_chars" in docs.columns:
         done = done.withColumn("n_chars", F.char_length(text).cast(docs.schema["n_chars"].dataType))
     return done.select(*docs.columns)
