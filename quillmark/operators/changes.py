@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from quillmark.functions.scalars import json_field, numeric_id
+from quillmark.functions.scalars import json_field, matches, numeric_id
 
 ITEM = ["organization_id", "connector_id", "source_item_key"]
 
@@ -304,10 +304,16 @@ def mark_indexed(states: DataFrame, finished: DataFrame) -> DataFrame:
     return states.join(done, "id", "left").withColumn("indexed_generation", F.when(hit, F.col("desired_generation")).otherwise(F.col("indexed_generation"))).withColumn("status", F.when(hit, "indexed").otherwise(F.col("status"))).drop("_done")
 
 
+# Kinds of errors.
+ERROR_CATEGORIES = ("configuration", "authentication", "authorization", "rate_limit", "source_read", "extraction", "persistence", "embedding", "permission", "internal")
+
+
 def log_errors(failures: DataFrame) -> DataFrame:
-    """failures with `accepted`: messages of at most 1000 characters and 3 line ends, without a traceback."""
+    """failures (message, category, code) with `accepted`: messages of at most 1000 characters and 3 line ends, without a
+    traceback, of a known category and with a code of the right form.  Accepted ones go to `append_history`."""
     m = F.col("message")
     good = (F.char_length(m) <= 1000) & (F.char_length(m) - F.char_length(F.replace(m, F.lit("\n"), F.lit(""))) <= 3) & ~F.contains(m, F.lit("Traceback (most recent call last)")) & (F.btrim(m) != "")
+    good &= F.col("category").isin(*ERROR_CATEGORIES) & matches(F.col("code"), "code")
     return failures.withColumn("accepted", F.coalesce(good, F.lit(False)))
 
 

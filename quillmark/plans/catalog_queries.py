@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -10,6 +11,7 @@ from quillmark.functions import predicates as P, scalars as X
 from quillmark.operators import changes as M, content as C, history as H, quality as Q, rules as R
 from quillmark.plans.fixtures import AS_OF, RUN_START, Tables
 from quillmark.sources import files as S
+from quillmark.storage import shared_folder
 from quillmark.streaming import streams as ST
 
 _JOBS_AT = "DATE '2024-01-20'"
@@ -162,7 +164,9 @@ def mark_indexed(t: Tables) -> DataFrame:
 
 
 def log_errors(t: Tables) -> DataFrame:
-    return M.log_errors(t["documents"].select("doc_id", F.col("text").alias("message"))).select("doc_id", "accepted")
+    n = F.col("doc_id")
+    told = t["documents"].select("doc_id", F.col("text").alias("message"), F.when(n % 4 == 2, "other").when(n % 4 == 1, "internal").otherwise("extraction").alias("category"), F.when(n % 3 == 0, "Not a code").otherwise("a_code").alias("code"))
+    return M.log_errors(told).select("doc_id", "accepted")
 
 
 def upsert_scopes(t: Tables) -> DataFrame:
@@ -424,6 +428,14 @@ def scanned_rows(t: Tables) -> DataFrame:
     return S.scan_files_after(t["items"].select(F.col("source_item_key").alias("key"), "organization_id", "size_bytes"), "src5").filter("organization_id = 2")
 
 
+def append_history(t: Tables) -> DataFrame:
+    """A history of two writes, in a folder of its own."""
+    place = f"{shared_folder(t.spark)}/{uuid.uuid4().hex}"
+    for n in (1, 2):
+        S.append_history(t["run_items"].select("run_id", "item_id", "status", F.lit(n).alias("n")), place)
+    return t.spark.read.parquet(place)
+
+
 def chunk_documents(t: Tables) -> DataFrame:
     return C.chunk_documents(t["documents"])
 
@@ -581,7 +593,10 @@ WHERE m.document_version_id NOT IN (SELECT document_version_id FROM fresh) AND N
   UNION ALL SELECT CAST('0x' || substr(sha256(concat_ws('|', id, k)), 1, 15) AS BIGINT), id, CAST(k AS INT), 'retry', 'running', CAST({AS_OF} AS VARCHAR) FROM (SELECT s.id, coalesce((SELECT max(attempt_number) FROM {{attempts}} a WHERE a.indexing_state_id = s.id), 0) + 1 AS k FROM {{index_states}} s WHERE s.id % 3 = 0)""",
     ),
     "mark_indexed": (mark_indexed, "SELECT id, CASE WHEN status = 'retry_wait' THEN 'indexed' ELSE status END AS status, CAST(CASE WHEN status = 'retry_wait' THEN desired_generation ELSE indexed_generation END AS BIGINT) AS indexed_generation FROM {index_states}"),
-    "log_errors": (log_errors, "SELECT doc_id, length(text) <= 1000 AND length(text) - length(replace(text, chr(10), '')) <= 3 AND NOT contains(text, 'Traceback (most recent call last)') AND trim(text) <> '' AS accepted FROM {documents}"),
+    "log_errors": (
+        log_errors,
+        """SELECT doc_id, length(text) <= 1000 AND length(text) - length(replace(text, chr(10), '')) <= 3 AND NOT contains(text, 'Traceback (most recent call last)') AND trim(text) <> '' AND doc_id % 4 <> 2 AND doc_id % 3 <> 0 AS accepted FROM {documents}""",
+    ),
     "upsert_scopes": (
         upsert_scopes,
         """SELECT organization_id, connector_id, external_scope_key, coalesce(os, ns) AS knowledge_space_id, CASE WHEN outcome IN ('created', 'restored', 'kept') THEN 'active' WHEN outcome = 'removed' THEN 'removed' ELSE status END AS status, outcome FROM (SELECT *, CASE WHEN os IS NULL THEN 'created' WHEN ns IS NULL AND connector_id LIKE 'src1%' THEN 'untouched' WHEN ns IS NULL THEN CASE WHEN status = 'active' THEN 'removed' ELSE 'untouched' END WHEN ns <> os THEN 'conflict' WHEN status <> 'active' THEN 'restored' ELSE 'kept' END AS outcome
@@ -634,7 +649,14 @@ WHERE m.document_version_id NOT IN (SELECT document_version_id FROM fresh) AND N
     "page_totals": (lambda t: H.page_totals(t["conversation_pages"]), "SELECT document_id, count(*) AS n_pages, count(*) FILTER (x <> '') AS n_text_pages, CAST(sum(length(x)) AS BIGINT) AS n_characters FROM (SELECT document_id, trim(replace(text, concat(chr(13), chr(10)), chr(10))) AS x FROM {conversation_pages}) GROUP BY 1"),
     "duplicate_keys": (lambda t: H.duplicate_keys(t["documents"].select("text", "lang"), ["text", "lang"]), "SELECT text, lang, count(*) AS n FROM {documents} GROUP BY 1, 2 HAVING count(*) > 1"),
     "first_batch": (first_batch, f"SELECT run_id, place FROM (SELECT *, count(*) OVER w AS n, sum(CASE WHEN skipped THEN 0 ELSE bytes END) OVER w AS b, sum(chunks) OVER w AS c FROM {_PLACED} WINDOW w AS (PARTITION BY run_id ORDER BY place ROWS UNBOUNDED PRECEDING)) WHERE n <= 3 AND b <= 60000 AND c <= 60"),
-    "budget_batches": (budget_batches, None),
+    "budget_batches": (
+        budget_batches,
+        f"""WITH p AS (SELECT *, CASE WHEN skipped THEN 0 ELSE bytes END AS own, row_number() OVER (PARTITION BY run_id ORDER BY place) AS rn FROM {_PLACED}),
+w AS (SELECT run_id, place, rn, 0 AS nth, 1 AS n, own AS weight, chunks AS parts, CASE WHEN own > 60000 OR chunks > 60 THEN 'over_limit' END AS refused FROM p WHERE rn = 1
+  UNION ALL SELECT run_id, place, rn, nth + CASE WHEN fresh THEN 1 ELSE 0 END, CASE WHEN fresh THEN 1 ELSE n + 1 END, CASE WHEN fresh THEN own ELSE weight + own END, CASE WHEN fresh THEN chunks ELSE parts + chunks END, CASE WHEN refused IS NOT NULL THEN 'after_refusal' WHEN own > 60000 OR chunks > 60 THEN 'over_limit' END
+  FROM (SELECT p.run_id, p.place, p.rn, p.own, p.chunks, w.nth, w.n, w.weight, w.parts, w.refused, w.n + 1 > 3 OR w.weight + p.own > 60000 OR w.parts + p.chunks > 60 AS fresh FROM w JOIN p ON p.run_id = w.run_id AND p.rn = w.rn + 1))
+SELECT run_id, place, CASE WHEN refused IS NULL THEN CAST(nth AS INT) END AS batch, refused FROM w""",
+    ),
     "provider_batches": (lambda t: H.provider_batches(t["chunks"]).select("id", "batch"), "SELECT id, CAST(floor((row_number() OVER (PARTITION BY organization_id ORDER BY document_id, chunk_index, id) - 1) / 128) AS BIGINT) AS batch FROM {chunks}"),
     "coalesce_jobs": (lambda t: H.coalesce_jobs(t["jobs"]).select("id", "job_id", "is_duplicate"), "SELECT id, job_id, id <> job_id AS is_duplicate FROM {w_live_jobs}"),
     "current_job": (lambda t: H.current_job(t["jobs"]).select(_JOB), f"SELECT {', '.join(_JOB)} FROM {{w_live_jobs}} WHERE id = job_id"),
@@ -737,6 +759,15 @@ UNION ALL SELECT doc_id, 0, NULL, regexp_replace(text, '\\s+$', '') FROM texts W
         expand_tree,
         "WITH walk(path, depth, object_id, object_type) AS (SELECT name, 1, object_id, object_type FROM {tree} WHERE parent_tree_id = 0 UNION ALL SELECT concat(w.path, '/', t.name), w.depth + 1, t.object_id, t.object_type FROM walk w JOIN {tree} t ON t.parent_tree_id = w.object_id WHERE w.object_type = 'tree') SELECT path, CAST(depth AS BIGINT) AS depth, object_id, object_type FROM walk",
     ),
+    "scan_files": (lambda t: S.scan_files(t.spark, t.sf_dir, [".PARQUET"]).select("key", "size_bytes"), None),
+    "append_history": (
+        append_history,
+        """SELECT run_id, item_id, status, n FROM {run_items} CROSS JOIN (SELECT 1 AS n UNION ALL SELECT 2 AS n)""",
+    ),
+    "load_table": (
+        lambda t: S.load_table(t.spark, t.sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey"),
+        """SELECT n_nationkey, n_name, n_regionkey FROM {nation}""",
+    ),
     "silence_gaps": (heartbeats, "SELECT worker, count(*) AS n_silences FROM (SELECT user_id AS worker, lead(ts) OVER (PARTITION BY user_id ORDER BY ts) AS after, ts FROM {events}) WHERE after IS NULL OR epoch_us(after) - epoch_us(ts) > 21600000000 GROUP BY 1"),
     # quality
     "check_rows": (check_rows, "SELECT rule, n AS n_rows, f AS n_failed FROM (SELECT count(*) AS n, " + ", ".join(f"count(*) FILTER (NOT coalesce({r}, true)) AS f{i}" for i, r in enumerate(_RULES.values())) + " FROM {items}) CROSS JOIN LATERAL (VALUES " + ", ".join(f"('{k}', f{i})" for i, k in enumerate(_RULES)) + ") AS v(rule, f)"),
