@@ -9,7 +9,7 @@ many stand for give the recall so far.  A class stops at the length where that i
 has met none goes on to `least_depth`, where pairs just at the threshold are met with that recall.
 
 Classes met are candidates unless their sizes alone rule them out, or their estimate is MARGIN below the
-threshold: of 10 million pairs at the threshold, TREES * DEPTH min-hashes put about 2 there (`missed`).
+threshold: of 10 million pairs at the threshold, TREES * DEPTH min-hashes put about 7 there (`missed`).
 Candidates that hang together form a group; each group's shingle sets then meet once, in blocks, and every
 pair of a group is verified exactly; links are counted, not listed, and a tree of them goes on to the
 components.
