@@ -46,6 +46,8 @@ ESCAPE = 0xE00
 MIN_WORDS, WINDOW, MAX_REPEAT = 20, 8, 30
 #: N-grams of a model that is sent to all tasks (12 bytes each), and symbols in a slice for a larger one.
 SHARED_GRAMS, SLICE_SYMBOLS = 4_000_000, 1 << 23
+#: N-grams that a task holds while it counts; beyond that it sends on what it has.
+HELD_GRAMS = 1_000_000
 #: Lengths of the shortest half that the band reaches beyond it, and the least such length.
 FENCE, LEAST_SPREAD = 3.0, 0.02
 #: Steps of log perplexity that are counted, and the distinct texts from which a language has a band.
@@ -139,10 +141,10 @@ def count_ngrams(docs: DataFrame, text: str = "text", lang: str = "lang") -> Dat
                         found = _texts_of(gram[some], row[some])
                         held.setdefault(name, []).append(found)
                         size += len(found[0])
-            if size > 2_000_000:
+            if size > HELD_GRAMS:
                 held = {k: [_summed(*map(np.concatenate, zip(*v, strict=True)))] for k, v in held.items()}
                 size = sum(len(v[0][0]) for v in held.values())
-                if size > 2_000_000:  # what one task may hold
+                if size > HELD_GRAMS:  # what one task may hold
                     yield from out(held)
                     held, size = {}, 0
         yield from out(held)

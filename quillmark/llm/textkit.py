@@ -56,7 +56,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    return _powers(max(1 << 21, 1 << (n - 1).bit_length()) if n else 1 << 21)
+    return _powers(max(1 << 20, 1 << (n - 1).bit_length()) if n else 1 << 20)
 
 
 @dataclass
