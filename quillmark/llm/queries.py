@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, fingerprints, html_extract, jaccard_join, licenses, mixing, quality, secret_scan, substring_dedup, url_filter
+from . import bpe, collocations, fingerprints, html_extract, jaccard_join, language_id, licenses, mixing, quality, secret_scan, substring_dedup, url_filter, vector_codes
 
 
 def pipeline(spark, sf_dir: str):
@@ -24,8 +24,11 @@ def queries() -> dict:
         "op8_bpe": bpe.op8_bpe,
         "op9_quality": quality.op9_quality,
         "op10_mixing": mixing.op10_mixing,
+        "op11_vector_codes": vector_codes.op11_vector_codes,
+        "op12_language_id": language_id.op12_language_id,
+        "op13_collocations": collocations.op13_collocations,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_licenses": licenses.op2_sql(), "op6_urls": url_filter.op6_sql()}
+    return {"op2_licenses": licenses.op2_sql(), "op6_urls": url_filter.op6_sql(), "op11_vector_codes": vector_codes.op11_sql(), "op13_collocations": collocations.op13_sql()}
