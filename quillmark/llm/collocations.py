@@ -10,7 +10,8 @@ phrases one word shorter are frequent somewhere.  What is frequent is kept as a
 phrase and at most MAX_BITS: it lets some phrases through that aren't frequent, and never drops one that is.
 Shards are counted together, by their number in the key; a shard is many tasks' work.
 
-The candidates of all shards are then counted in all texts exactly, as strings, and those below SUPPORT dropped.
+A phrase that can't reach SUPPORT with the counts of the shards where it is frequent, and the most that the others may
+hide, is no candidate.  The candidates of all shards are then counted in all texts exactly, as strings, and those below SUPPORT dropped.
 
 Null texts are empty, a null language is `und`.  Ties are broken by the phrase.  Copies count as often as they occur.
 """
@@ -93,7 +94,7 @@ class Words:
 def cut_texts(column: pa.Array) -> Iterator[tuple[int, np.ndarray, Words]]:
     """(first row, lower-case bytes, words) of slices of whole texts."""
     for first, data, offsets in tk.text_slices(column, PIECE_BYTES):
-        data = _LOWER[data]
+        data, offsets = _single_blanks(_LOWER[data], offsets)
         yield first, data, Words(data, offsets)
 
 
@@ -181,45 +182,69 @@ def _out(counts: tuple[np.ndarray, np.ndarray]) -> Iterator[pa.RecordBatch]:
 
 
 def locally_frequent(texts: DataFrame, size: int, bitmaps: list[Broadcast], support: int = SUPPORT) -> DataFrame:
-    """(key): hashes of the phrases that are frequent in some shard, at the support lowered in proportion."""
-    found = local_counts(texts, size, bitmaps).filter(F.col("n") * SHARDS >= support)
-    return tk.written(found.select(F.col("key").bitwiseAND(~(SHARDS - 1)).alias("key")).distinct())
+    """(key): hashes of the phrases that are frequent in some shard, at the support lowered in proportion.
+
+    In a shard where a phrase isn't frequent it has fewer occurrences than the lowered support; a phrase that can't
+    reach the support even so is left out."""
+    local = -(-support // SHARDS)
+    found = local_counts(texts, size, bitmaps).filter(F.col("n") >= local)
+    united = found.groupBy(F.col("key").bitwiseAND(~(SHARDS - 1)).alias("key")).agg(F.sum("n").alias("n"), F.count("*").alias("shards"))
+    return tk.written(united.filter(F.col("n") + (SHARDS - F.col("shards")) * (local - 1) >= support).select("key"))
+
+
+def _single_blanks(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A slice with one space in place of each run of blanks, so that a phrase is a run of bytes."""
+    blank = _BLANK[data]
+    keep = np.ones(len(data), bool)
+    keep[1:] = ~(blank[1:] & blank[:-1])
+    return np.where(blank, np.uint8(0x20), data)[keep], np.concatenate([[0], np.cumsum(keep)])[offsets]
+
+
+def _strings(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Array:
+    """The bytes from each start to its end as strings."""
+    sizes = end - start
+    offsets = np.concatenate([[0], np.cumsum(sizes)])
+    place = np.arange(offsets[-1]) + np.repeat(start - offsets[:-1], sizes)
+    return pa.StringArray.from_buffers(len(start), pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(data[place]))
 
 
 def exact_counts(texts: DataFrame, bitmaps: list[Broadcast]) -> DataFrame:
     """(lang, size, phrase, n): occurrences in all texts of phrases in the bitmaps; size 0 has all words of a language."""
     shared = list(bitmaps)
+    schema = pa.schema([("lang", pa.string()), ("size", pa.int32()), ("phrase", pa.string()), ("n", pa.int64())])
+
+    def summed(held: list[pa.Table]) -> pa.Table:
+        found = pa.concat_tables(held).group_by(["lang", "size", "phrase"]).aggregate([("n", "sum")])
+        return found.rename_columns({"n_sum": "n"}).select(schema.names)
+
+    def rows(langs: np.ndarray, size: int, phrases: pa.Array, n: np.ndarray) -> pa.Table:
+        return pa.table([pa.array(langs, pa.string()), pa.array(np.full(len(n), size, np.int32)), phrases, pa.array(n.astype(np.int64))], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[str, int, bytes], int] = {}
+        held, size_held = [], 0
         for batch in batches:
-            langs = batch.column(1).to_pylist()
-            seeds = _seeds(langs)
+            langs = np.array(batch.column(1).to_pylist(), object)
+            seeds = _seeds(langs.tolist())
             for first, data, words in cut_texts(batch.column(0)):
                 if not len(words.row):
                     continue
-                own = langs[first : first + int(words.row[-1]) + 1]
-                for row, n in zip(*np.unique(words.row, return_counts=True), strict=True):
-                    held[own[row], 0, b""] = held.get((own[row], 0, b""), 0) + int(n)
+                own = slice(first, first + int(words.row[-1]) + 1)
+                row, n = np.unique(words.row, return_counts=True)
+                held.append(rows(langs[own][row], 0, pa.array([""] * len(row)), n))
                 for size, bitmap in enumerate(shared, 1):
-                    value, at = _kept(words, size, seeds[first : first + len(own)], [b.value for b in shared])
-                    good = _has(bitmap.value, value)
-                    # one string for each hash of a slice
-                    _, place, n = np.unique(value[good], return_index=True, return_counts=True)
-                    for i, count in zip(at[good][place].tolist(), n.tolist(), strict=True):
-                        phrase = b" ".join(data[words.start[k] : words.end[k]].tobytes() for k in range(i, i + size))
-                        key = own[words.row[i]], size, phrase
-                        held[key] = held.get(key, 0) + count
-                if len(held) > HELD // 4:
-                    yield from out(held)
-                    held = {}
-        yield from out(held)
-
-    def out(held: dict[tuple[str, int, bytes], int]) -> Iterator[pa.RecordBatch]:
-        rows = list(held.items())
-        for i in range(0, len(rows), 50_000):
-            part = rows[i : i + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k, _ in part]), pa.array([k[1] for k, _ in part], pa.int32()), pa.array([k[2].decode() for k, _ in part]), pa.array([n for _, n in part], pa.int64())], names=["lang", "size", "phrase", "n"])
+                    value, at = _kept(words, size, seeds[own], [b.value for b in shared])
+                    at = at[_has(bitmap.value, value)]
+                    ones = rows(langs[own][words.row[at]], size, _strings(data, words.start[at], words.end[at + size - 1]), np.ones(len(at), np.int64))
+                    held.append(summed([ones]))
+                    size_held += len(held[-1])
+            if size_held > HELD:
+                held = [summed(held)]
+                size_held = len(held[0])
+                if size_held > HELD // 2:
+                    yield from held[0].to_batches(100_000)
+                    held, size_held = [], 0
+        if held:
+            yield from summed(held).to_batches(100_000)
 
     return texts.mapInArrow(run, "lang string, size int, phrase string, n long").groupBy("lang", "size", "phrase").agg(F.sum("n").alias("n"))
 
@@ -240,14 +265,14 @@ def _cut(phrase: str, k: int, size: int) -> tuple[Column, Column]:
 def scored(frequent: DataFrame, max_words: int = MAX_WORDS) -> DataFrame:
     """(lang, size, phrase, a, l, r, score): candidates of two words or more by their lowest-scoring cut.
 
-    A part of a phrase may be part of very many, so parts are looked up by `join_few`, and each cut is a row.
+    Each cut is a row; a word that is part of very many phrases makes a large key, which Spark's skew join splits.
     """
     phrases = frequent.filter("size >= 2").select("lang", "size", "phrase", F.col("n").alias("a"))
     known = tk.written(frequent.filter(f"size between 1 and {max_words - 1}").select("lang", F.col("phrase").alias("part"), F.col("n").alias("f")))
     cuts = F.array(*[F.struct(F.lit(size).alias("of"), F.lit(k).alias("k"), left.alias("left"), right.alias("right")) for size in range(2, max_words + 1) for k in range(1, size) for left, right in [_cut("phrase", k, size)]])
     rows = phrases.select("*", F.explode(F.filter(cuts, lambda c: c["of"] == F.col("size"))).alias("cut")).select("lang", "size", "phrase", "a", "cut.k", "cut.left", "cut.right")
     for name, side in (("l", "left"), ("r", "right")):
-        rows = tk.join_few(rows.withColumnRenamed(side, "part"), known, ["lang", "part"], "phrase").withColumnRenamed("f", name).drop("part")
+        rows = rows.withColumnRenamed(side, "part").join(known, ["lang", "part"]).withColumnRenamed("f", name).drop("part")
     wide = lambda c: F.col(c).cast("decimal(15,0)")
     rows = rows.withColumn("above", wide("a") * wide("a") * F.lit(SCALE).cast("decimal(7,0)")).withColumn("below", wide("l") * wide("r"))
     rows = rows.withColumn("score", F.expr("above div below"))

@@ -156,7 +156,7 @@ def _means(prepared: DataFrame, ints: str, pivots: str, books: Codebooks) -> Cod
         for batch in batches:
             _, values = _rows(batch.column(0), books.width)
             _, near = _rows(batch.column(1), PARTS * len(books.pivots[0]))
-            index, _, _ = assign(values, near.reshape(len(values), PARTS, -1), books)
+            index, _, _ = assign(values, near.reshape(len(values), PARTS, len(books.pivots[0])), books)
             for p, (lo, hi) in enumerate(zip(books.edges[:-1], books.edges[1:], strict=True)):
                 for k in range(lo, hi):  # sums of a batch are below 2**53
                     total[p, :, k - lo] += np.bincount(index[:, p], values[:, k], minlength=ENTRIES).astype(np.int64)
@@ -184,7 +184,7 @@ def compress(vectors: DataFrame, id: str = "vec_id", vector: str = "embedding")
     others = [c for c in vectors.columns if c != vector]
     books = start(vectors, id, vector)
     if books is None:
-        return vectors.filter(F.lit(False)).select(*others, F.lit("").alias(code), F.lit(0).cast("long").alias(error)), None
+        return vectors.filter(F.lit(False)).select(*others, F.lit(None).cast("string").alias(code), F.lit(None).cast("long").alias(error)), None
     rows = vectors.filter(is_finite(vector)).select(*others, F.col(vector).cast("array<double>").alias(ints))
     first = books
 
@@ -192,7 +192,7 @@ def compress(vectors: DataFrame, id: str = "vec_id", vector: str = "embedding")
         for batch in batches:
             fits, values = _rows(batch.column(len(others)), first.width)
             values = integers(values)
-            near = pivot_distances(values, first).reshape(len(values), -1)
+            near = pivot_distances(values, first).reshape(len(values), PARTS * len(first.pivots[0]))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], _lists(values, fits, pa.int32()), _lists(near, fits, pa.float32())], names=[*others, ints, pivots])
 
     wide = rows.select(*others, F.lit(None).cast("array<int>").alias(ints), F.lit(None).cast("array<float>").alias(pivots))
@@ -205,14 +205,14 @@ def compress(vectors: DataFrame, id: str = "vec_id", vector: str = "embedding")
         for batch in batches:
             fits, values = _rows(batch.column(len(others)), last.width)
             _, near = _rows(batch.column(len(others) + 1), PARTS * len(last.pivots[0]))
-            index, squared, _ = assign(values, near.reshape(len(values), PARTS, -1), last)
+            index, squared, _ = assign(values, near.reshape(len(values), PARTS, len(last.pivots[0])), last)
             digits = index.astype(np.uint8).tobytes().hex()
             codes, errors = np.full(len(fits), None, object), np.zeros(len(fits), np.int64)
             codes[fits] = [digits[i : i + 2 * PARTS] for i in range(0, len(digits), 2 * PARTS)]
             errors[fits] = squared.sum(axis=1)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(codes, pa.string()), pa.array(errors, mask=~fits)], names=[*others, code, error])
 
-    coded = prepared.select(*others, F.lit("").alias(code), F.lit(0).cast("long").alias(error))
+    coded = prepared.select(*others, F.lit(None).cast("string").alias(code), F.lit(None).cast("long").alias(error))
     return prepared.mapInArrow(encode, coded.schema), books
 
 
