@@ -29,15 +29,15 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from . import textkit as tk
 
 MAX_WORDS, SUPPORT, TOP = 3, 10, 2000
-#: Shards, a power of 2: the local support is SUPPORT / SHARDS, rounded up.
-SHARDS = 4
+#: Shards, a power of 2: the local support is SUPPORT / SHARDS, rounded up, so the fewer shards, the fewer candidates.
+SHARDS = 2
 #: A candidate goes if a longer one that holds it has this percentage of its occurrences.
 COVERED = 50
 SCALE = 1_000_000
 #: Bits of a bitmap: 16 for each phrase, and at most 32 MB.
 BITS_A_PHRASE, LEAST_BITS, MAX_BITS = 16, 1 << 16, 1 << 28
-#: Phrases that a task holds while it counts; beyond that it sends on what it has.
-HELD = 1_000_000
+#: Different phrases that a task holds while it counts; beyond that it sends on what it has.
+HELD = 1_500_000
 #: Bytes of texts that are cut into words at a time.
 PIECE_BYTES = 1 << 20
 
@@ -155,10 +155,10 @@ def local_counts(texts: DataFrame, size: int, bitmaps: list[Broadcast]) -> DataF
                 key = (value & ~np.uint64(SHARDS - 1)) | shards[rows].astype(np.uint64)[words.row[at]]
                 held.append(np.unique(key, return_counts=True))
                 size_held += len(held[-1][0])
-                if size_held > HELD:
+                if size_held > 2 * HELD:
                     held = [_summed(held)]
                     size_held = len(held[0][0])
-                    if size_held > HELD // 2:
+                    if size_held > HELD:
                         yield from _out(held[0])
                         held, size_held = [], 0
         if held:
@@ -211,40 +211,47 @@ def _strings(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Array:
 def exact_counts(texts: DataFrame, bitmaps: list[Broadcast]) -> DataFrame:
     """(lang, size, phrase, n): occurrences in all texts of phrases in the bitmaps; size 0 has all words of a language."""
     shared = list(bitmaps)
-    schema = pa.schema([("lang", pa.string()), ("size", pa.int32()), ("phrase", pa.string()), ("n", pa.int64())])
 
     def summed(held: list[pa.Table]) -> pa.Table:
         found = pa.concat_tables(held).group_by(["lang", "size", "phrase"]).aggregate([("n", "sum")])
-        return found.rename_columns({"n_sum": "n"}).select(schema.names)
-
-    def rows(langs: np.ndarray, size: int, phrases: pa.Array, n: np.ndarray) -> pa.Table:
-        return pa.table([pa.array(langs, pa.string()), pa.array(np.full(len(n), size, np.int32)), phrases, pa.array(n.astype(np.int64))], schema=schema)
+        return found.rename_columns({"n_sum": "n"}).select(["lang", "size", "phrase", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers: dict[str, int] = {}  # of the task's languages
+
+        def rows(lang: np.ndarray, size: int, phrases: pa.Array, n: np.ndarray) -> pa.Table:
+            return pa.table({"lang": pa.array(lang.astype(np.int32)), "size": pa.array(np.full(len(n), size, np.int32)), "phrase": phrases, "n": pa.array(n.astype(np.int64))})
+
+        def out(found: pa.Table) -> Iterator[pa.RecordBatch]:
+            names = pa.array(list(numbers), pa.string())
+            for part in found.to_batches(100_000):
+                yield pa.RecordBatch.from_arrays([names.take(part.column(0)), *part.columns[1:]], names=part.schema.names)
+
         held, size_held = [], 0
         for batch in batches:
-            langs = np.array(batch.column(1).to_pylist(), object)
-            seeds = _seeds(langs.tolist())
+            langs = batch.column(1).to_pylist()
+            seeds = _seeds(langs)
+            number = np.array([numbers.setdefault(x, len(numbers)) for x in langs])
             for first, data, words in cut_texts(batch.column(0)):
                 if not len(words.row):
                     continue
                 own = slice(first, first + int(words.row[-1]) + 1)
                 row, n = np.unique(words.row, return_counts=True)
-                held.append(rows(langs[own][row], 0, pa.array([""] * len(row)), n))
+                found = [rows(number[own][row], 0, pa.array([""] * len(row)), n)]
                 for size, bitmap in enumerate(shared, 1):
                     value, at = _kept(words, size, seeds[own], [b.value for b in shared])
                     at = at[_has(bitmap.value, value)]
-                    ones = rows(langs[own][words.row[at]], size, _strings(data, words.start[at], words.end[at + size - 1]), np.ones(len(at), np.int64))
-                    held.append(summed([ones]))
-                    size_held += len(held[-1])
-            if size_held > HELD:
+                    found.append(rows(number[own][words.row[at]], size, _strings(data, words.start[at], words.end[at + size - 1]), np.ones(len(at))))
+                held.append(summed(found))
+                size_held += len(held[-1])
+            if size_held > 2 * HELD:
                 held = [summed(held)]
                 size_held = len(held[0])
-                if size_held > HELD // 2:
-                    yield from held[0].to_batches(100_000)
+                if size_held > HELD:
+                    yield from out(held[0])
                     held, size_held = [], 0
         if held:
-            yield from summed(held).to_batches(100_000)
+            yield from out(summed(held))
 
     return texts.mapInArrow(run, "lang string, size int, phrase string, n long").groupBy("lang", "size", "phrase").agg(F.sum("n").alias("n"))
 
