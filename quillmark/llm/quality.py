@@ -8,6 +8,11 @@ counts continuations of shorter ones from it, and makes discounts, back-off weig
 grouping and joining; no table of n-grams goes through the driver.  The discount of a count of 1 is 1, so
 what only one text has lends it no weight: a text isn't judged by itself.
 
+The model holds all orders: of each n-gram its log probability and its back-off weight as a context, by a key that has
+a 1 bit before the n-gram's symbols.  A text that the model wasn't made from takes at each symbol the longest n-gram
+that is known and the weights of the contexts above it; an unknown symbol takes a share of what all symbols leave.  A
+text that it was made from finds all of its longest n-grams, so `apply_rules` and the query use these alone.
+
 A model of at most SHARED_GRAMS n-grams is sent to all tasks as sorted arrays and looked up by binary search.
 A larger one stays a table: texts are packed into slices of one language and about SLICE_SYMBOLS symbols,
 each slice's distinct n-grams are joined to the model, and what is found comes back to the slice as such
@@ -170,30 +175,46 @@ def discounts(level: DataFrame) -> DataFrame:
     return level.groupBy("lang").agg(held(2 - 3 * y * n3 / one(n2), 2).alias("d2"), held(3 - 4 * y * n4 / one(n3), 3).alias("d3"), F.count("*").alias("size"))
 
 
-def train(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
-    """The model: (lang, gram, log), the log probability of each n-gram's last symbol after the others."""
-    return kneser_ney(count_ngrams(docs, text, lang))
+def train(docs: DataFrame, text: str = "text", lang: str = "lang", backoff: bool = True) -> DataFrame:
+    """The model: (lang, key, log, off), of each n-gram the log probability of its last symbol after the others (null of a
+    context that is no n-gram), and the log weight that it has as a context.  Without back-off only the longest n-grams."""
+    return kneser_ney(count_ngrams(docs, text, lang), backoff)
+
+
+def _mark(order: int) -> int:
+    return 1 << (BITS * order)
 
 
-def kneser_ney(counts: DataFrame) -> DataFrame:
+def kneser_ney(counts: DataFrame, backoff: bool = True) -> DataFrame:
     levels = [tk.cut(counts)]
     for k in range(ORDER - 1, 0, -1):  # how many different symbols stand before each shorter n-gram
-        shorter = F.col("gram").bitwiseAND((1 << (BITS * k)) - 1).alias("gram")
+        shorter = F.col("gram").bitwiseAND(_mark(k) - 1).alias("gram")
         levels.insert(0, tk.cut(levels[0].select("lang", shorter).groupBy("lang", "gram").agg(F.count("*").alias("n"))))
-    below = None
+    below, model = None, None
     for k, level in enumerate(levels, 1):
         rows = tk.join_few(level, discounts(level), ["lang"], "gram").withColumn("context", F.shiftright("gram", BITS))
         off = F.when(F.col("n") == 1, 1.0).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
         n1, n2 = F.count_if(F.col("n") == 1), F.count_if(F.col("n") == 2)
-        around = rows.groupBy("lang", "context").agg(F.sum("n").alias("total"), (n1 + n2 * F.first("d2") + (F.count("*") - n1 - n2) * F.first("d3")).alias("freed"))
-        rows = rows.withColumn("off", off).join(around, ["lang", "context"])
+        freed = n1 + n2 * F.first("d2") + (F.count("*") - n1 - n2) * F.first("d3")
+        around = rows.groupBy("lang", "context").agg(F.sum("n").alias("total"), freed.alias("freed"), F.first("size").alias("_size"))
+        if backoff:
+            around = tk.cut(around)
+            weight = F.ln(F.col("freed") / F.col("total")).cast("float")
+            contexts = around.select("lang", (F.col("context") + _mark(k - 1)).alias("key"), weight.alias("off"))
+            if below is None:  # a symbol that no text has
+                part = around.select("lang", F.lit(_mark(0)).cast("long").alias("key"), F.ln(F.col("freed") / F.col("total") / F.col("_size")).cast("float").alias("log"), F.lit(None).cast("float").alias("off"))
+            else:
+                part = below.select("lang", (F.col("gram") + _mark(k - 1)).alias("key"), F.ln("p").cast("float").alias("log")).join(contexts, ["lang", "key"], "full_outer")
+            model = part if model is None else model.unionByName(part)
+        rows = rows.withColumn("off", off).join(around.drop("_size"), ["lang", "context"])
         if below is None:
             lower = 1 / F.col("size")
         else:
-            rows = rows.withColumn("shorter", F.col("gram").bitwiseAND((1 << (BITS * (k - 1))) - 1)).join(below.select("lang", F.col("gram").alias("shorter"), F.col("p").alias("lower")), ["lang", "shorter"])
+            rows = rows.withColumn("shorter", F.col("gram").bitwiseAND(_mark(k - 1) - 1)).join(below.select("lang", F.col("gram").alias("shorter"), F.col("p").alias("lower")), ["lang", "shorter"])
             lower = F.col("lower")
         below = tk.cut(rows.select("lang", "gram", ((F.col("n") - F.col("off")) / F.col("total") + F.col("freed") / F.col("total") * lower).alias("p")))
-    return below.select("lang", "gram", F.ln("p").cast("float").alias("log"))
+    longest = below.select("lang", (F.col("gram") + _mark(ORDER)).alias("key"), F.ln("p").cast("float").alias("log"), F.lit(None).cast("float").alias("off"))
+    return longest if model is None else model.unionByName(longest)
 
 
 def _repeated(w: tk.Words, hashes: np.ndarray, rows: int) -> np.ndarray:
@@ -226,16 +247,42 @@ def _duplicate_lines(text: str | None) -> int:
 METRICS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, log_perplexity double"
 _STRUCT = f"struct<{METRICS.replace(' long', ':long').replace(' double', ':double')}>"
 
-#: A language's n-grams, sorted, and their log probabilities.
-Arrays = tuple[np.ndarray, np.ndarray]
+#: A language's keys, sorted, their log probabilities, and their log weights as contexts.
+Arrays = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def _found(key: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place, whether it is there) of each wanted key."""
+    at = np.minimum(np.searchsorted(key, wanted), len(key) - 1)
+    return at, key[at] == wanted
+
+
+def log_probabilities(gram: np.ndarray, arrays: Arrays) -> np.ndarray:
+    """Of each n-gram's last symbol: of the longest n-gram known, with the weights of the contexts above it."""
+    key, log, off = arrays
+    out = np.zeros(len(gram))
+    left = np.arange(len(gram))
+    for k in range(ORDER, -1, -1):
+        own = gram[left] & (_mark(k) - 1)
+        at, known = _found(key, own + _mark(k))
+        value = log[at]
+        known &= ~np.isnan(value)
+        out[left[known]] += value[known]
+        if known.all():
+            break
+        left, own = left[~known], own[~known]
+        if k > 1:  # the weight of order 0 is in its own log
+            at, known = _found(key, (own >> BITS) + _mark(k - 1))
+            out[left[known]] += np.nan_to_num(off[at[known]])
+    return out
 
 
 def _log_perplexity(gram: np.ndarray, arrays: Arrays | None) -> float | None:
-    if arrays is None or not len(gram):
+    if arrays is None or not len(gram) or not len(arrays[0]):
         return None
-    key, log = arrays
-    at = np.minimum(np.searchsorted(key, gram), len(key) - 1)
-    return -float(log[at].mean(dtype=np.float64)) if (key[at] == gram).all() else None
+    if not len(arrays[2]) and not _found(arrays[0], gram + _mark(ORDER))[1].all():
+        return None  # not a text that this model was made from
+    return -float(log_probabilities(gram, arrays).mean(dtype=np.float64))
 
 
 def metrics(column: pa.Array, lang: list[str | None], models: dict[str, Arrays]) -> pa.StructArray:
@@ -261,15 +308,16 @@ def metrics(column: pa.Array, lang: list[str | None], models: dict[str, Arrays])
 
 
 def with_metrics(docs: DataFrame, model: DataFrame, text: str = "text", lang: str = "lang", out: str = "quality", shared_grams: int = SHARED_GRAMS) -> DataFrame:
-    """docs with a struct `out` of the METRICS."""
+    """docs with a struct `out` of the METRICS.  A model without back-off serves the texts that it was made from only."""
     model = tk.cut(model)
     if model.count() > shared_grams:
         return _by_slices(docs, model, text, lang, out)
-    rows = model.orderBy("lang", "gram").toArrow().combine_chunks()
+    rows = model.orderBy("lang", "key").toArrow().combine_chunks()
     names = rows["lang"].to_numpy(zero_copy_only=False)
     edges = [0, *(np.flatnonzero(names[1:] != names[:-1]) + 1).tolist(), len(names)] if len(names) else [0]
-    key, log = rows["gram"].to_numpy(), rows["log"].to_numpy()
-    shared = docs.sparkSession.sparkContext.broadcast({names[a]: (key[a:b], log[a:b]) for a, b in zip(edges[:-1], edges[1:], strict=True)})
+    key, log, off = rows["key"].to_numpy(), *(rows[c].to_numpy().astype(np.float32) for c in ("log", "off"))
+    off = off if not np.isnan(off).all() else off[:0]  # without back-off
+    shared = docs.sparkSession.sparkContext.broadcast({names[a]: (key[a:b], log[a:b], off[a:b]) for a, b in zip(edges[:-1], edges[1:], strict=True)})
 
     @F.arrow_udf(_STRUCT)
     def measure(column: pa.Array, lang: pa.Array) -> pa.Array:
@@ -278,9 +326,20 @@ def with_metrics(docs: DataFrame, model: DataFrame, text: str = "text", lang: st
     return docs.withColumn(out, measure.asNondeterministic()(F.col(text), F.col(lang).cast("string")))
 
 
+def _keys(gram: np.ndarray, backoff: bool) -> np.ndarray:
+    """The keys that scoring these n-grams may look up."""
+    whole = np.unique(gram)
+    if not backoff:
+        return whole + _mark(ORDER)
+    shorter = [np.unique(whole & (_mark(k) - 1)) for k in range(ORDER + 1)]
+    contexts = [np.unique(x >> BITS) + _mark(k - 1) for k, x in enumerate(shorter) if k > 1]
+    return np.unique(np.concatenate([x + _mark(k) for k, x in enumerate(shorter)] + contexts))
+
+
 def _by_slices(docs: DataFrame, model: DataFrame, text: str, lang: str, out: str) -> DataFrame:
     """The same by joining each slice's distinct n-grams to the model."""
     place, name = docs.columns.index(text), docs.columns.index(lang)
+    backoff = not model.filter(F.col("off").isNotNull()).isEmpty()
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -304,7 +363,7 @@ def _by_slices(docs: DataFrame, model: DataFrame, text: str, lang: str, out: str
             own = np.array([x or "" for x in batch.column(name).cast(pa.string()).to_pylist()], object)
             for key in dict.fromkeys(own.tolist()):
                 rows = batch.filter(pa.array(own == key))
-                found = [np.unique(grams(data, offsets)[0]) for _, data, offsets in tk.text_slices(rows.column(place))]
+                found = [_keys(grams(data, offsets)[0], backoff) for _, data, offsets in tk.text_slices(rows.column(place))]
                 held.setdefault(key, []).append((rows, np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)))
                 size += rows.nbytes
             if size > SLICE_SYMBOLS:
@@ -313,17 +372,17 @@ def _by_slices(docs: DataFrame, model: DataFrame, text: str, lang: str, out: str
         yield from sliced()
 
     packed = tk.cut(docs.mapInArrow(pack, "slice long, lang string, rows binary, grams array<long>"))
-    wanted = packed.select("slice", "lang", F.explode("grams").alias("gram"))
-    found = wanted.join(model, ["lang", "gram"]).groupBy("slice").agg(F.collect_list(F.struct("gram", "log")).alias("found"))
+    wanted = packed.select("slice", "lang", F.explode("grams").alias("key"))
+    found = wanted.join(model, ["lang", "key"]).groupBy("slice").agg(F.collect_list(F.struct("key", "log", "off")).alias("found"))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for own, raw, log in zip(*(batch.column(batch.schema.names.index(c)) for c in ("lang", "rows", "found")), strict=True):
                 known = {}
                 if log.is_valid and len(log.values):
-                    key, value = (log.values.field(c).to_numpy() for c in ("gram", "log"))
+                    key, value, off = (log.values.field(c).to_numpy(zero_copy_only=False) for c in ("key", "log", "off"))
                     order = np.argsort(key)
-                    known = {own.as_py(): (key[order], value[order])}
+                    known = {own.as_py(): (key[order], value[order].astype(np.float32), off[order].astype(np.float32) if backoff else off[:0])}
                 for rows in pa.ipc.open_stream(raw.as_buffer()):
                     struct = metrics(rows.column(place), rows.column(name).cast(pa.string()).to_pylist(), known)
                     yield pa.RecordBatch.from_arrays([*rows.columns, struct], names=[*rows.schema.names, out])
@@ -388,14 +447,14 @@ def judged(scored: DataFrame, limits: DataFrame, by: str, lang: str = "lang", q:
 def apply_rules(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
     """The rows of docs that the rules keep."""
     q, hashed, kept = tk.fresh(docs, "_quality", "_text_hash", "_keep")
-    scored = with_metrics(docs, train(docs, text, lang), text, lang, q).withColumn(hashed, F.xxhash64(text))
+    scored = with_metrics(docs, train(docs, text, lang, backoff=False), text, lang, q).withColumn(hashed, F.xxhash64(text))
     return judged(scored, bands(scored, lang, hashed, q=q), hashed, lang, q, kept).filter(kept).select(*docs.columns)
 
 
 def op9_quality(spark, sf_dir: str) -> DataFrame:
     tk.small_batches(spark)
     docs = tk.table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
-    scored = tk.cut(with_metrics(docs, train(docs)).withColumn("_text", F.xxhash64("text")).drop("text"))
+    scored = tk.cut(with_metrics(docs, train(docs, backoff=False)).withColumn("_text", F.xxhash64("text")).drop("text"))
     base = [F.col(f"quality.{x}").alias(x) for x in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
     done = judged(scored, bands(scored, text="_text"), "doc_id")
     return done.select("doc_id", *base, base_failed().alias("base_failed"), "kept", F.exp("quality.log_perplexity").alias("perplexity"))
