@@ -2,11 +2,14 @@
 
 A page is a sequence of words and tags.  Words score positive and tags negative, each by the log odds
 of standing inside the content, learned from labelled pages (a tag's first class name is part of the feature);
-one linear scan finds the contiguous region with the largest sum.  What that region holds of parts that are
+one linear scan finds the contiguous region with the largest sum.  A feature that no labelled page has counts as its
+tag without the class name, and a tag that none has costs little.  Where a page names its content element, that element
+is the least that the region holds: the scan may only add to it.  What the region holds of parts that are
 never content (menus, forms, scripts, adverts and the like) is left out, and its blocks are written in page order.
 
-Such parts are known by their element or role, or by a class or id name that as a whole says so: `sidebar`,
-`cookie-banner`, `related-posts`, but not `side-effects`, `social-science`, `has-sidebar` or `share-price`.
+Such parts are known by their element or role, or by a class or id name of a container all of whose parts say so: `sidebar`,
+`cookie-banner`, `related-posts`, `site-footer`, but not `side-effects`, `social-science`, `has-sidebar`, `share-price`,
+`study-cookies` or `dish-menu`, nor any name of a heading, a paragraph, a table or a figure.
 Neither covers an element that an `article` or `main` stands in, and on pages without these names don't cover
 most of a page's words.
 
@@ -34,7 +37,7 @@ from . import textkit as tk
 #: Pages from which weights are learned.
 SAMPLE = 2000
 #: Scores of tags of parts that are never content, and of tags that no labelled page has.
-UNWANTED_TAG, UNKNOWN_TAG = -0.05, -0.5
+UNWANTED_TAG, UNKNOWN_TAG = -0.05, -0.05
 
 # Elements by their part in a page.
 _NEVER = frozenset("script style noscript template head title svg math iframe object embed canvas audio video select option textarea button form input label nav footer aside menu dialog fieldset datalist".split())
@@ -52,6 +55,9 @@ _UNWANTED = frozenset(
     "popup popups modal modals overlay sharing social menu menus nav navbar navigation breadcrumb breadcrumbs footer masthead related recommended widget widgets toolbar paywall login pagination pager".split()
 )
 _FOLLOWING = frozenset("area articles bar block box buttons container content feed form icons inner item items link links list panel posts row section slot stories thread unit wrap wrapper".split())
+#: What may stand before such a name and leaves it what it is, and the elements that are containers.
+_PLACES = frozenset("site page global main primary secondary left right top bottom side header sticky fixed floating inline mobile desktop user users reader readers visitor post posts article entry blog email mail social share external google wp js the".split())
+_CONTAINERS = frozenset("div section ul ol li span center details table td tr aside header".split())
 _STATES = frozenset("has have with without no not is are open show shows hide hides".split())
 _UNWANTED_ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar alert dialog alertdialog".split())
 
@@ -60,12 +66,12 @@ _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"
 
 
 def _says_unwanted(names: str) -> bool:
-    """Whether a class or id name as a whole names a part that is no content."""
+    """Whether a class or id name as a whole names a part that is no content: each of its parts does, or says where or how."""
     for name in names.lower().split():
         parts = [x for x in re.split(r"[-_\d]+", name) if x]
         while len(parts) > 1 and parts[-1] in _FOLLOWING:
             parts.pop()
-        if parts and parts[-1] in _UNWANTED and parts[0] not in _STATES:
+        if parts and parts[-1] in _UNWANTED and parts[0] not in _STATES and all(x in _UNWANTED or x in _PLACES or x in _FOLLOWING for x in parts):
             return True
     return False
 
@@ -85,7 +91,7 @@ class Node:
         self.within = around | {tag} if tag in _LABELS and tag not in around else around
         self.block = self if tag in _BLOCK or outer is None else outer.block
         self.own = tag in _NEVER or (tag in _HEADER and "article" not in around) or said.get("role", "").lower() in _UNWANTED_ROLES or "hidden" in said or said.get("aria-hidden") == "true"
-        self.by_name = tag not in ("body", "html", *_LABELS) and bool(names) and _says_unwanted(names)
+        self.by_name = tag in _CONTAINERS and bool(names) and _says_unwanted(names)
         self.holds, self.words, self.started, self.unwanted = False, 0, 0, False
 
 
@@ -197,6 +203,10 @@ class Weights:
 
     def __init__(self, inside: Counter, outside: Counter) -> None:
         self.known = {}
+        for some in (inside, outside):  # a tag without its class name stands for classes that no page has
+            for x, n in list(some.items()):
+                if "." in x:
+                    some[x.partition(".")[0]] += n
         for x in {*inside, *outside}:
             odds = math.log((inside[x] + 0.5) / (outside[x] + 0.5))
             self.known[x] = max(-6.0, min(1.0, odds / 2)) if x.startswith("text") else max(-40.0, min(-0.02, 4 * odds))
@@ -205,7 +215,10 @@ class Weights:
         if node is not None and node.unwanted:
             # left out of the text in any case, so a region may span it
             return -0.01 * words if kind == "text" else UNWANTED_TAG
-        known = self.known.get(_feature(kind, value, node))
+        feature = _feature(kind, value, node)
+        known = self.known.get(feature)
+        if known is None and "." in feature:
+            known = self.known.get(feature.partition(".")[0])
         if kind == "text":
             return words * (known if known is not None else 0.5)
         return known if known is not None else UNKNOWN_TAG
@@ -246,13 +259,40 @@ def best_region(scores: list[float]) -> tuple[int, int]:
     return best_start, best_end
 
 
+def named_region(found: list[Token]) -> tuple[int, int] | None:
+    """Where the page's one content element is, with its tags; None if the page has none, or more than one of a kind."""
+    for tag in _LABELS:
+        opened = [i for i, (kind, _, node) in enumerate(found) if kind == "open" and node.tag == tag]
+        if len(opened) == 1 and not found[opened[0]][2].unwanted:
+            end = next(i for i, (kind, _, node) in enumerate(found) if kind == "close" and node is found[opened[0]][2])
+            return opened[0], end + 1
+    return None
+
+
+def extended(scores: list[float], start: int, end: int) -> tuple[int, int]:
+    """The region with the largest sum of those that hold start to end, the shortest of such."""
+    best = total = 0.0
+    first, last = start, end
+    for i in range(start - 1, -1, -1):
+        total += scores[i]
+        if total > best:
+            best, first = total, i
+    best = total = 0.0
+    for i in range(end, len(scores)):
+        total += scores[i]
+        if total > best:
+            best, last = total, i + 1
+    return first, last
+
+
 def extract(page: str | None, weights: Weights) -> str:
     if not page:
         return ""
     found = tokens(page)
     counts = [_words(value) if kind == "text" else 0 for kind, value, _ in found]
     scores = [0.0 if kind == "text" and not n else weights.score(kind, value, node, n) for (kind, value, node), n in zip(found, counts, strict=True)]
-    best_start, best_end = best_region(scores)
+    named = named_region(found)
+    best_start, best_end = extended(scores, *named) if named else best_region(scores)
     blocks: list[list[str]] = [[]]
     for kind, value, node in found[best_start:best_end]:
         if kind == "text":
