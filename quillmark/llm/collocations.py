@@ -37,9 +37,9 @@ SCALE = 1_000_000
 #: Bits of a bitmap: 16 for each phrase, and at most 32 MB.
 BITS_A_PHRASE, LEAST_BITS, MAX_BITS = 16, 1 << 16, 1 << 28
 #: Different phrases that a task holds while it counts; beyond that it sends on what it has.
-HELD = 1_500_000
+HELD = 1_000_000
 #: Bytes of texts that are cut into words at a time.
-PIECE_BYTES = 1 << 20
+PIECE_BYTES = 1 << 19
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -155,10 +155,10 @@ def local_counts(texts: DataFrame, size: int, bitmaps: list[Broadcast]) -> DataF
                 key = (value & ~np.uint64(SHARDS - 1)) | shards[rows].astype(np.uint64)[words.row[at]]
                 held.append(np.unique(key, return_counts=True))
                 size_held += len(held[-1][0])
-                if size_held > 2 * HELD:
+                if size_held > HELD:
                     held = [_summed(held)]
                     size_held = len(held[0][0])
-                    if size_held > HELD:
+                    if size_held > HELD // 2:
                         yield from _out(held[0])
                         held, size_held = [], 0
         if held:
@@ -217,6 +217,7 @@ def exact_counts(texts: DataFrame, bitmaps: list[Broadcast]) -> DataFrame:
         return found.rename_columns({"n_sum": "n"}).select(["lang", "size", "phrase", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pa.set_memory_pool(pa.system_memory_pool())  # the default one keeps what was freed
         numbers: dict[str, int] = {}  # of the task's languages
 
         def rows(lang: np.ndarray, size: int, phrases: pa.Array, n: np.ndarray) -> pa.Table:
@@ -244,10 +245,10 @@ def exact_counts(texts: DataFrame, bitmaps: list[Broadcast]) -> DataFrame:
                     found.append(rows(number[own][words.row[at]], size, _strings(data, words.start[at], words.end[at + size - 1]), np.ones(len(at))))
                 held.append(summed(found))
                 size_held += len(held[-1])
-            if size_held > 2 * HELD:
+            if size_held > HELD:
                 held = [summed(held)]
                 size_held = len(held[0])
-                if size_held > HELD:
+                if size_held > 3 * HELD // 4:
                     yield from out(held[0])
                     held, size_held = [], 0
         if held:
