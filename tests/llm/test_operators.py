@@ -358,24 +358,25 @@ def brute_scores(pages, rules=url_filter.RULES):
     said, links = defaultdict(list), Counter()
     for url, html in pages:
         host, path = place(url)
-        said[host].append(verdict(host, path))
+        said[host].append(verdict(host, path or "/"))
         for to in re.findall(r"""href\s*=\s*["']?(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//([^/?#"'<> \t\r\n]+)""", html or "", re.I):
             if host and to.lower() != host:
                 links[host, to.lower()] += 1
     hosts = set(said) | {h for e in links for h in e}
-    start = {h: [sum(v == x for v in said[h]) / len(said[h]) if said[h] else 0.0 for x in ("allow", "block")] for h in hosts}
-    out, into = Counter(), Counter()
-    for (a, b), n in links.items():
+    crawled = {h for h in said if said[h]}
+    whole = lambda h: max([(len(x), v) for x, p, v in rules if p == "/" and (h == x or h.endswith("." + x))], default=(0, None))[1]
+    start = {h: [sum(v == x for v in said[h]) / len(said[h]) if h in crawled else float(whole(h) == x) for x in ("allow", "block")] for h in hosts}
+    out = Counter()
+    for (a, _), n in links.items():
         out[a] += n
-        into[b] += n
     now, brought = dict(start), {}
     for _ in range(url_filter.ROUNDS):
         t, d = Counter(), Counter()
         for (a, b), n in links.items():
             t[b] += n / out[a] * now[a][0]
-            d[a] += n / into[b] * now[b][1]
+            d[a] += n / out[a] * now[b][1]
         brought = {h: 0.85 * d[h] for h in hosts}
-        now = {h: [start[h][0] + 0.85 * t[h], start[h][1] + brought[h]] for h in hosts}
+        now = {h: [start[h][0] + 0.85 * t[h], start[h][1] + (1 - start[h][1]) * brought[h]] for h in hosts}
     return {h: (now[h][0], brought[h]) for h in hosts}, place, verdict
 
 
@@ -410,6 +411,25 @@ def test_urls_of_linked_pages_against_brute_force_and_sql(spark, tmp_path, monke
     assert {x for x in found if x[0] is not None} == {k for k in want if k[0] is not None}
 
 
+def test_urls_by_the_share_of_bad_links(spark, tmp_path):
+    import duckdb
+
+    link = lambda h: f'<a href="http://{h}/">'
+    rows = [(i, f"http://big.com/{i}", link("good.com") * 20) for i in range(200)] + [(200, "http://big.com/x", link("bad.net"))]
+    rows += [(300 + i, f"http://farm{i}.com/", link("bad2.net")) for i in range(5)]
+    rows += [(400, "http://next.com/", link("farm0.com") + link("farm1.com")), (401, "http://mild.com/", link("bad2.net") + link("good.com")), (402, "http://good.com/", ""), (403, "http://shop.org/", link("bad2.net"))]
+    # pages of a host that a rule allows link to it, so it is trusted above its distrust
+    rows += [(500 + i, f"http://w{i}.org/fr/", link("shop.org")) for i in range(3)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["verdict"] for r in url_filter.judge_urls(pages).collect()}
+    assert all(got[i] == "allow" for i in range(201)) and all(got[300 + i] == "block" for i in range(5))
+    assert got[400] == "block" and got[401] == got[402] == got[403] == "allow"
+    pages.write.parquet(str(tmp_path / "pages"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages/*.parquet'")
+    assert dict(con.execute(f"SELECT page_id, verdict FROM ({url_filter.op6_sql()})").fetchall()) == got
+
+
 def test_jaccard_join(spark):
     base = prose(20, 300)
     w = base.split(" ")
@@ -598,6 +618,60 @@ def test_perplexity_against_brute_force_and_by_slices(spark, monkeypatch):
     assert quality.with_metrics(docs.limit(0), model, shared_grams=0).count() == 0
 
 
+def brute_backoff(texts, new):
+    """Of each new text, from plain counts: the probability of a symbol by recursion over shorter contexts."""
+    n = quality.ORDER
+    runs = [[32] * (n - 1) + symbols_of(t) for t in texts]
+    levels = {n: Counter(g for r in runs for g in {tuple(r[i : i + n]) for i in range(len(r) - n + 1)})}
+    for k in range(n - 1, 0, -1):
+        levels[k] = Counter(g[1:] for g in levels[k + 1])
+    off, around = {}, {}
+    for k, level in levels.items():
+        of = Counter(level.values())
+        d2 = d3 = 0.5
+        if of[1] and of[2] and of[3]:
+            y = of[1] / (of[1] + 2 * of[2])
+            d2, d3 = min(max(2 - 3 * y * of[3] / of[2], 0.1), 1.8), min(max(3 - 4 * y * of[4] / of[3], 0.1), 2.7)
+        off[k] = lambda c, d2=d2, d3=d3: 1.0 if c == 1 else d2 if c == 2 else d3
+        for g, c in level.items():
+            total, freed = around.get(g[:-1], (0, 0))
+            around[g[:-1]] = total + c, freed + off[k](c)
+
+    def p(g):
+        if not g:
+            return 1 / len(levels[1])
+        if g[:-1] not in around or len(g[:-1]) != len(g) - 1:
+            return p(g[1:])
+        total, freed = around[g[:-1]]
+        c = levels[len(g)].get(g, 0)
+        return (c - off[len(g)](c) if c else 0) / total + freed / total * p(g[1:])
+
+    out = []
+    for t in new:
+        r = [32] * (n - 1) + symbols_of(t)
+        out.append(-float(np.mean([np.log(p(tuple(r[i : i + n]))) for i in range(len(r) - n + 1)])))
+    return out
+
+
+def test_unseen_texts_have_a_perplexity(spark, monkeypatch):
+    texts = [prose(i, 30) for i in range(20)]
+    # a word in new places, new words, letters that no text has, and one of the texts again
+    new = [prose(50, 40), " ".join(f"zxqj{i}kkw" for i in range(30)), " ".join(chr(0x4E00 + i) + chr(0x1F600 + i) for i in range(25)), texts[3], "w1 " + " ".join(f"w{i}" for i in range(400, 440))]
+    model = quality.train(made(spark, texts))
+    want = brute_backoff(texts, new)
+    assert want[3] == pytest.approx(brute_log_perplexity(texts)[3], abs=1e-9)
+    monkeypatch.setattr(quality, "SLICE_SYMBOLS", 200)
+    docs = made(spark, [*new, ""])
+    for shared in (quality.SHARED_GRAMS, 0):
+        got = {r["doc_id"]: r["quality"]["log_perplexity"] for r in quality.with_metrics(docs, model, shared_grams=shared).collect()}
+        assert [got[i] for i in range(len(new))] == pytest.approx(want, abs=1e-4) and got[len(new)] is None
+    # what was never seen is far outside the band
+    limits = quality.bands(quality.with_metrics(made(spark, texts), model))
+    judged = quality.judged(quality.with_metrics(docs, model), limits, "doc_id")
+    kept = {r["doc_id"] for r in judged.filter("kept").collect()}
+    assert 3 in kept and not kept & {1, 2}
+
+
 def test_quality_bands_with_a_third_of_junk(spark):
     rng = np.random.default_rng(3)
     clean, junk = rng.normal(2.0, 0.05, 660), rng.normal(3.5, 0.1, 340)
