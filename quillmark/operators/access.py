@@ -14,23 +14,40 @@ from quillmark.storage import cut, few
 MAX_DEPTH = 16
 
 
-def granted_spaces(users: DataFrame, grants: dict[str, DataFrame], memberships: dict[str, DataFrame], units: dict[str, DataFrame], as_of: Column) -> DataFrame:
-    """(organization_id, user_id, knowledge_space_id) by the four kinds of grant: organization, department, team, user.
+_GRANT = ["organization_id", "user_id", "knowledge_space_id"]
+
+
+def tenant_grants(grant: DataFrame, as_of: Column) -> DataFrame:
+    """(organization_id, knowledge_space_id) granted to all active users of the organization."""
+    return grant.filter(is_effective("granted_at", "expires_at", "revoked_at", as_of)).select("organization_id", "knowledge_space_id").distinct()
+
+
+def named_grants(users: DataFrame, grants: dict[str, DataFrame], memberships: dict[str, DataFrame], units: dict[str, DataFrame], as_of: Column) -> DataFrame:
+    """(organization_id, user_id, knowledge_space_id) by the kinds of grant that name users or units: department, team, user.
 
     Parents of departments don't count, and any level of permission reads.
     """
     people = users.filter(is_live()).select("organization_id", F.col("id").alias("user_id"))
     valid = {k: g.filter(is_effective("granted_at", "expires_at", "revoked_at", as_of)) for k, g in grants.items()}
-    columns = ["organization_id", "user_id", "knowledge_space_id"]
-    paths = [valid["organization"].join(people, "organization_id").select(columns), valid["user"].join(people, ["organization_id", "user_id"]).select(columns)]
+    paths = [valid["user"].join(people, ["organization_id", "user_id"]).select(_GRANT)]
     for kind in ("department", "team"):
         unit = f"{kind}_id"
         held = memberships[kind].filter(is_live() & is_effective("effective_from", "expires_at", "revoked_at", as_of)).select("organization_id", unit, "user_id")
         live = units[kind].filter(is_live()).select("organization_id", F.col("id").alias(unit))
-        paths.append(valid[kind].select("organization_id", unit, "knowledge_space_id").join(live, ["organization_id", unit]).join(held, ["organization_id", unit]).join(people, ["organization_id", "user_id"]).select(columns))
+        # a unit's grants of one space are one before its members meet them
+        spaces = valid[kind].select("organization_id", unit, "knowledge_space_id").distinct().join(live, ["organization_id", unit])
+        paths.append(spaces.join(held, ["organization_id", unit]).join(people, ["organization_id", "user_id"]).select(_GRANT))
     return union_grants(*paths)
 
 
+def granted_spaces(users: DataFrame, grants: dict[str, DataFrame], memberships: dict[str, DataFrame], units: dict[str, DataFrame], as_of: Column) -> DataFrame:
+    """The same with the organization's grants given to each active user; `permissions` keeps these as flags of spaces."""
+    people = users.filter(is_live()).select("organization_id", F.col("id").alias("user_id"))
+    open_ = tenant_grants(grants["organization"], as_of)
+    named = named_grants(users, grants, memberships, units, as_of).join(open_, ["organization_id", "knowledge_space_id"], "left_anti").select(_GRANT)
+    return named.unionByName(open_.join(people, "organization_id").select(_GRANT))
+
+
 def union_grants(*paths: DataFrame) -> DataFrame:
     """All rows of the paths, each once."""
     out = paths[0]
@@ -102,18 +119,29 @@ def domain_principals(identities: DataFrame, principals: DataFrame) -> DataFrame
     return mail.join(domains, ["organization_id", "connector_id", "domain"]).select("organization_id", "user_id", "connector_id", F.col("domain_id").alias("principal_id"))
 
 
+def everyone_principals(principals: DataFrame) -> DataFrame:
+    """(organization_id, connector_id, principal_id) that every active user of the tenant is; no identity is needed."""
+    return principals.filter((F.col("principal_type") == "anyone") & is_live("lifecycle")).select("organization_id", "connector_id", F.col("id").alias("principal_id"))
+
+
 def anyone_principals(users: DataFrame, principals: DataFrame) -> DataFrame:
-    """Everyone in the tenant is `anyone`; no identity is needed."""
+    """Everyone in the tenant is `anyone`: a row for each user, as a list for people; access is judged by the flag."""
     people = users.filter(is_live()).select("organization_id", F.col("id").alias("user_id"))
-    return principals.filter((F.col("principal_type") == "anyone") & is_live("lifecycle")).select("organization_id", "connector_id", F.col("id").alias("principal_id")).join(people, "organization_id")
+    return everyone_principals(principals).join(people, "organization_id")
 
 
-def resolved_principals(users: DataFrame, links: DataFrame, principals: DataFrame, directories: DataFrame, edges: DataFrame, depth: int = MAX_DEPTH) -> DataFrame:
-    """(organization_id, user_id, connector_id, principal_id): all that a user counts as."""
+def named_principals(users: DataFrame, links: DataFrame, principals: DataFrame, directories: DataFrame, edges: DataFrame, depth: int = MAX_DEPTH) -> DataFrame:
+    """(organization_id, user_id, connector_id, principal_id): all that a user counts as, without `anyone`."""
     keys = ["organization_id", "user_id", "connector_id", "principal_id"]
     own = verified_identities(users, links, principals)
     groups = group_closure(own, edges_at_generation(edges, usable_directories(directories)), principals, depth)
-    return union_principals(own.select(keys), groups.select(keys), domain_principals(own, principals).select(keys), anyone_principals(users, principals).select(keys))
+    return union_principals(own.select(keys), groups.select(keys), domain_principals(own, principals).select(keys))
+
+
+def resolved_principals(users: DataFrame, links: DataFrame, principals: DataFrame, directories: DataFrame, edges: DataFrame, depth: int = MAX_DEPTH) -> DataFrame:
+    """The same with `anyone` of each user's tenant; these are of another type than all others, so no row comes twice."""
+    keys = ["organization_id", "user_id", "connector_id", "principal_id"]
+    return named_principals(users, links, principals, directories, edges, depth).unionByName(anyone_principals(users, principals).select(keys))
 
 
 union_principals = union_grants
@@ -133,33 +161,10 @@ def scope_paths(memberships: DataFrame, scopes: DataFrame, connectors: DataFrame
 eligible_scope_paths = scope_paths
 
 
-def _current_entries(snapshots: DataFrame, entries: DataFrame, as_of: Column) -> DataFrame:
-    good = F.col("is_current") & (F.col("status") == "complete") & (F.col("inheritance_completeness") == "complete") & F.col("completed_at").isNotNull() & F.col("captured_at").isNotNull()
-    keys = ["organization_id", "connector_id", "source_item_id", "acl_snapshot_id"]
-    whole = snapshots.filter(good).select(*keys[:3], F.col("id").alias("acl_snapshot_id"))
-    return entries.filter(F.col("expires_at").isNull() | (F.col("expires_at") > as_of)).join(whole, keys)
-
-
-def _named_items(entries: DataFrame, principals: DataFrame) -> DataFrame:
-    who = principals.withColumnRenamed("principal_id", "external_principal_id")
-    return entries.join(who, ["organization_id", "connector_id", "external_principal_id"]).select("organization_id", "connector_id", "source_item_id", "user_id").distinct()
-
-
-def acl_allowed(snapshots: DataFrame, entries: DataFrame, principals: DataFrame, as_of: Column) -> DataFrame:
-    """(organization_id, connector_id, source_item_id, user_id) that a complete current list lets read."""
-    reads = (F.col("effect") == "allow") & F.col("grants_read") & (F.col("permission_level") != "unknown")
-    return _named_items(_current_entries(snapshots, entries, as_of).filter(reads), principals)
-
-
-def acl_denied(snapshots: DataFrame, entries: DataFrame, principals: DataFrame, as_of: Column) -> DataFrame:
-    """The same of denials; what they deny doesn't matter."""
-    return _named_items(_current_entries(snapshots, entries, as_of).filter(F.col("effect") == "deny"), principals)
-
-
 def authorized_paths(paths: DataFrame, granted: DataFrame, allowed: DataFrame, denied: DataFrame) -> DataFrame:
-    """paths with user_id, where the path's access mode lets the user read.
+    """paths with user_id, where the path's access mode lets the user read, of pairs of users and items.
 
-    Users come from grants and allowances, never from pairing all users with all paths.
+    For a few users, as in a check of one; `permissions.class_access` judges all of them by classes.
     """
     by_grant = paths.join(granted, ["organization_id", "knowledge_space_id"])
     item = ["organization_id", "connector_id", "source_item_id", "user_id"]

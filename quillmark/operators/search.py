@@ -8,11 +8,13 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, Window, functions as F
 
 from quillmark.functions.predicates import check_limit
-from quillmark.functions.scalars import cosine_distance
-from quillmark.storage import few
+from quillmark.operators.permissions import ClassAccess
+from quillmark.storage import cut, few
 
 #: Vectors of a tenant's chunks and of its requests that meet in one matrix product.
 CHUNK_BLOCK, REQUEST_BLOCK = 8192, 1024
+#: Requests of a block that are multiplied at a time.
+REQUEST_ROWS = 256
 #: Distances this near the k-th are computed again, row by row, so that equal vectors tie exactly.
 TIE = 1e-9
 
@@ -20,8 +22,13 @@ TIE = 1e-9
 def vector_topk(chunks: DataFrame, query: list[float], k: int, vector: str = "embedding", key: str = "id") -> DataFrame:
     """The k nearest chunks; ties by key, vectors without a distance last."""
     check_limit(k, 1, 100)
-    q = F.array(*[F.lit(float(x)) for x in query])
-    return chunks.withColumn("distance", cosine_distance(F.col(vector), q)).withColumn("similarity", 1.0 - F.col("distance")).orderBy(F.asc_nulls_last("distance"), key).limit(k)
+    asked = pa.array([[float(x) for x in query]], pa.list_(pa.float64()))
+
+    def distances(vectors: pa.Array) -> pa.Array:
+        return _pair_distance(vectors, asked.take(pa.array(np.zeros(len(vectors), np.int64))))
+
+    away = chunks.withColumn("distance", F.arrow_udf(distances, "double")(vector))
+    return away.withColumn("similarity", 1.0 - F.col("distance")).orderBy(F.asc_nulls_last("distance"), key).limit(k)
 
 
 def _nearest(rows: DataFrame, by: list[str], k: int, key: str) -> DataFrame:
@@ -68,6 +75,35 @@ def _blocks(rows: DataFrame, sizes: DataFrame, own: str, other: str, key: str) -
     return joined.withColumn(own, F.pmod(F.xxhash64(key), f"n_{own}").cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), (F.col(f"n_{other}") - 1).cast("int")))).drop(f"n_{own}", f"n_{other}")
 
 
+def _best(left: pa.Table, right: pa.Table, k: int, permitted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(request, chunk, distance; infinite where there is none) of the k nearest chunks of left for each request of right.
+
+    permitted: [request, chunk], all if it isn't given.  A block's distances are matrix products.
+    """
+    rows, columns, distances = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+    queries, embeddings = right["query"].combine_chunks(), left["embedding"].combine_chunks()
+    order = pa.compute.rank(left["chunk_id"].combine_chunks(), tiebreaker="first").to_numpy()
+    widths = queries.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    for width in np.unique(widths):
+        q, asks = _matrix(queries, int(width))
+        c, has = _matrix(embeddings, int(width))
+        for some in np.split(mine := np.flatnonzero(widths == width), range(REQUEST_ROWS, len(mine), REQUEST_ROWS)):
+            all_ = 1.0 - q[some] @ c.T
+            all_[:, ~has] = np.inf
+            all_[~asks[some]] = np.inf
+            for i, d in zip(some, all_, strict=True):
+                near = np.arange(len(d)) if permitted is None else np.flatnonzero(permitted[i])
+                if len(near) > k:
+                    limit = np.partition(d[near], k - 1)[k - 1]
+                    near = near[d[near] <= limit + TIE] if np.isfinite(limit) else near
+                sure = np.where(np.isfinite(d[near]), 1.0 - (c[near] * q[i]).sum(axis=1), np.inf)
+                best = np.lexsort((order[near], sure))[:k]
+                rows.append(np.full(len(best), i))
+                columns.append(near[best])
+                distances.append(sure[best])
+    return np.concatenate(rows), np.concatenate(columns), np.concatenate(distances)
+
+
 def vector_topk_batch(chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """The k nearest of the tenant's chunks for each request.  queries: organization_id, user_id, query, embedding_model.
 
@@ -84,29 +120,9 @@ def vector_topk_batch(chunks: DataFrame, queries: DataFrame, k: int) -> DataFram
     ids = {c: chunks.schema["id"].dataType if c == "chunk_id" else queries.schema[c].dataType for c in ("organization_id", "user_id", "chunk_id")}
 
     def product(left: pa.Table, right: pa.Table) -> pa.Table:
-        rows, columns, distances = [], [], []
-        queries_, embeddings = right["query"].combine_chunks(), left["embedding"].combine_chunks()
-        order = pa.compute.rank(left["chunk_id"].combine_chunks(), tiebreaker="first").to_numpy()
-        for width in np.unique(queries_.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)):
-            q, asks = _matrix(queries_, int(width))
-            c, has = _matrix(embeddings, int(width))
-            mine = np.flatnonzero(queries_.value_lengths().fill_null(0).to_numpy(zero_copy_only=False) == width)
-            all_ = 1.0 - q[mine] @ c.T
-            all_[:, ~has] = np.inf
-            all_[~asks[mine]] = np.inf
-            for i, d in zip(mine, all_, strict=True):
-                near = np.arange(len(d))
-                if len(d) > k:
-                    limit = np.partition(d, k - 1)[k - 1]
-                    near = np.flatnonzero(d <= limit + TIE) if np.isfinite(limit) else near
-                sure = np.where(np.isfinite(d[near]), 1.0 - (c[near] * q[i]).sum(axis=1), np.inf)
-                best = np.lexsort((order[near], sure))[:k]
-                rows.append(np.full(len(best), i))
-                columns.append(near[best])
-                distances.append(sure[best])
-        at, of, d = (np.concatenate(x) if x else np.zeros(0) for x in (rows, columns, distances))
-        at, of = pa.array(at.astype(np.int64)), pa.array(of.astype(np.int64))
-        return pa.table({"organization_id": right["organization_id"].take(at), "user_id": right["user_id"].take(at), "chunk_id": left["chunk_id"].take(of), "embedding_model": right["embedding_model"].take(at), "distance": pa.array(d, pa.float64(), mask=~np.isfinite(d))})
+        at, of, d = _best(left, right, k)
+        at, of = pa.array(at), pa.array(of)
+        return pa.table({"organization_id": right["organization_id"].take(at), "user_id": right["user_id"].take(at), "chunk_id": left["chunk_id"].take(of), "embedding_model": right["embedding_model"].take(at), "distance": pa.array(d, mask=~np.isfinite(d))})
 
     at = [*keys, "cb", "rb"]
     schema = ", ".join(f"{c} {t.simpleString()}" for c, t in ids.items()) + ", embedding_model string, distance double"
@@ -136,9 +152,97 @@ def with_current_index(df: DataFrame, states: DataFrame, dimensions: int) -> Dat
     return df.join(states.filter(good).select(keys).distinct(), keys, "left_semi")
 
 
-def permitted_search(authorized: DataFrame, content: DataFrame, states: DataFrame, requests: DataFrame, k: int, dimensions: int) -> DataFrame:
-    """The k nearest chunks that each request's user may read; the distance is computed for those alone."""
+def _dealt(rows: DataFrame, klass: str, key: str, block: int, out: str) -> DataFrame:
+    """rows with the number of their block: a class stays in one, or is dealt over as many as it fills."""
+    keys = ["organization_id", "embedding_model"]
+    classes = cut(rows.groupBy(*keys, klass).agg(F.ceil(F.count("*") / block).alias("_parts"), F.count("*").alias("_n")))
+    blocks = few(classes.groupBy(*keys).agg(F.ceil(F.sum("_n") / block).alias("_blocks")))
+    joined = rows.join(few(classes.drop("_n")), [*keys, klass]).join(blocks, keys)
+    return joined.withColumn(out, F.pmod(F.xxhash64(klass, F.pmod(F.xxhash64(key), "_parts")), "_blocks").cast("int")).drop("_parts", "_blocks")
+
+
+def permission_blocks(granted: ClassAccess, chunks: DataFrame, asked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(organization_id, embedding_model, cb, rb, user_class, yes, no) and (organization_id, embedding_model, cb, place, path).
+
+    The paths of a block of chunks are numbered by class of items and scope.  `yes` are the paths that a class of
+    users of a block of requests may use (a class of null is everyone), `no` those of everyone's that it may not.
+    """
+    keys = ["organization_id", "embedding_model"]
+    held = chunks.select(*keys, "cb", "item_class").distinct()
+    asking = cut(asked.select(*keys, "rb", "user_class").distinct())
+    columns = ["connector_scope_id", "knowledge_space_id"]
+    used = granted.access.select("organization_id", "item_class", *columns).distinct()
+    number = F.row_number().over(Window.partitionBy(*keys, "cb").orderBy("item_class", "connector_scope_id")) - 1
+    paths = cut(held.join(used, ["organization_id", "item_class"]).withColumn("place", number))
+    rules = paths.join(granted.access.select("organization_id", "user_class", "item_class", "connector_scope_id", "permitted"), ["organization_id", "item_class", "connector_scope_id"])
+    named = rules.filter("user_class is not null").join(asking, [*keys, "user_class"])
+    everyone = rules.filter("user_class is null").join(asking.select(*keys, "rb").distinct(), keys)
+    places = lambda yes: F.collect_list(F.when(F.col("permitted") == yes, F.col("place")))
+    rows = named.select(*keys, "cb", "rb", "user_class", "permitted", "place").unionByName(everyone.select(*keys, "cb", "rb", "user_class", "permitted", "place"))
+    # at most the paths of a block for each class
+    return rows.groupBy(*keys, "cb", "rb", "user_class").agg(places(True).alias("yes"), places(False).alias("no")), paths
+
+
+def _permitted(right: pa.Table, n_paths: int) -> tuple[dict[str, int], np.ndarray]:
+    """The classes of users of the mask's rows by number, and [class, path]; the first class has what everyone may."""
+    rows = list(zip(right["user_class"].to_pylist(), right["yes"].to_pylist(), right["no"].to_pylist(), strict=True))
+    number = {c: i for i, c in enumerate([None, *dict.fromkeys(c for c, yes, _ in rows if yes is not None and c is not None)])}
+    out = np.zeros((len(number), n_paths), bool)
+    for c, yes, _ in rows:
+        if c is None and yes is not None:
+            out[:, yes] = True
+    for c, yes, no in rows:
+        if c is not None and yes is not None:
+            out[number[c], yes] = True
+            out[number[c], no] = False
+    return number, out
+
+
+def permitted_search(granted: ClassAccess, content: DataFrame, states: DataFrame, requests: DataFrame, k: int, dimensions: int) -> DataFrame:
+    """The k nearest chunks that each request's user may read, with the first path that lets the user.
+
+    Chunks and requests meet in blocks whose classes of items and users have some permission, and in no others; the
+    block's product is masked by the classes' permissions.  A vector goes once to each such block, and neither users and
+    items nor users and chunks are paired but for the k nearest.  requests: organization_id, user_id, query, embedding_model.
+    """
+    check_limit(k, 1, 100)
+    keys = ["organization_id", "embedding_model"]
     ready = with_current_index(content, states, dimensions)
-    own = authorized.select("organization_id", "user_id", "source_item_id", "knowledge_space_id", "connector_scope_id")
-    pairs = own.join(ready, ["organization_id", "source_item_id"]).join(requests, ["organization_id", "user_id", "embedding_model"])
-    return rank_by_distance(pairs, ["organization_id", "user_id"], k)
+    # chunks without any permitted path, and requests of users who aren't active, drop out before any vector moves
+    items = granted.items.join(granted.access.filter("permitted").select("organization_id", "item_class").distinct(), ["organization_id", "item_class"], "left_semi")
+    own = cut(_dealt(ready.join(items, ["organization_id", "source_item_id"]).select(*keys, "chunk_id", "source_item_id", "item_class", "embedding"), "item_class", "chunk_id", CHUNK_BLOCK, "cb"))
+    asked = cut(_dealt(requests.select(*keys, "user_id", "query").join(granted.users, ["organization_id", "user_id"]), "user_class", "user_id", REQUEST_BLOCK, "rb"))
+    mask, paths = permission_blocks(granted, own, asked)
+    mask = cut(mask)
+    at = [*keys, "cb", "rb"]
+    live = few(mask.filter(F.size("yes") > 0).select(at).distinct())
+    first = paths.groupBy(*keys, "cb", "item_class").agg(F.min("place").alias("first"), F.count("*").alias("paths"))
+    ids = {c: t.dataType for c, t in (("organization_id", requests.schema["organization_id"]), ("user_id", requests.schema["user_id"]), ("chunk_id", content.schema["chunk_id"]), ("source_item_id", content.schema["source_item_id"]))}
+
+    def product(left: pa.Table, right: pa.Table) -> pa.Table:
+        is_mask = right["user_id"].is_null()
+        mask, right = right.filter(is_mask), right.filter(pa.compute.invert(is_mask))
+        place, width = left["first"].to_numpy(), left["paths"].to_numpy()
+        number, allowed = _permitted(mask, int((place + width).max(initial=0)))
+        klass = np.array([number.get(c, 0) for c in right["user_class"].to_pylist()], np.int64)
+        starts, item = np.unique(place, return_inverse=True)
+        counts = np.zeros(len(starts), np.int64)
+        counts[item] = width
+        # [class of users, class of items]: the first path that lets it, or -1
+        way = np.full((len(allowed), len(starts)), -1)
+        for j in range(int(counts.max(initial=0))):
+            some = np.flatnonzero(counts > j)
+            way[:, some] = np.where((way[:, some] < 0) & allowed[:, starts[some] + j], starts[some] + j, way[:, some])
+        of_chunk = way[klass][:, item]
+        who, what, d = _best(left, right, k, of_chunk >= 0)
+        i, j = pa.array(who), pa.array(what)
+        return pa.table({"organization_id": right["organization_id"].take(i), "user_id": right["user_id"].take(i), "chunk_id": left["chunk_id"].take(j), "source_item_id": left["source_item_id"].take(j), "embedding_model": right["embedding_model"].take(i), "cb": left["cb"].take(j), "place": pa.array(of_chunk[who, what], pa.int32()), "distance": pa.array(d, mask=~np.isfinite(d))})
+
+    none = lambda *names: [F.lit(None).cast({"yes": "array<int>", "no": "array<int>"}.get(c) or asked.schema[c].dataType).alias(c) for c in names]
+    left = own.join(live, [*keys, "cb"]).join(first, [*keys, "cb", "item_class"]).select(*at, "chunk_id", "source_item_id", "embedding", "first", "paths")
+    right = asked.join(live, [*keys, "rb"]).select(*at, "user_id", "user_class", "query", *none("yes", "no")).unionByName(mask.join(live, at, "left_semi").select(*at, *none("user_id"), "user_class", *none("query"), "yes", "no"))
+    schema = ", ".join(f"{c} {t.simpleString()}" for c, t in ids.items()) + ", embedding_model string, cb int, place int, distance double"
+    near = _nearest(left.groupBy(*at).cogroup(right.groupBy(*at)).applyInArrow(product, schema), ["organization_id", "user_id"], k, "chunk_id")
+    shown = [c for c in content.columns if c not in ("embedding", "embedding_model", "organization_id")]
+    found = near.join(paths.select(*keys, "cb", "place", "connector_scope_id", "knowledge_space_id"), [*keys, "cb", "place"]).drop("cb", "place")
+    return found.join(ready.select("organization_id", *shown), ["organization_id", "chunk_id", "source_item_id"])

@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from quillmark.functions import predicates as P
-from quillmark.operators import access as A, search as S
+from quillmark.operators import access as A, permissions as R, search as S
 from quillmark.plans.fixtures import AS_OF, Tables
-from quillmark.storage import cut
 
 DIMENSIONS, K = 64, 10
 _VALID = f"granted_at <= {AS_OF} AND (expires_at IS NULL OR expires_at > {AS_OF}) AND revoked_at IS NULL"
@@ -66,14 +65,16 @@ def _distance(a: str, b: str) -> str:
     return f"round(1.0 - list_cosine_similarity(CAST({a} AS DOUBLE[]), CAST({b} AS DOUBLE[])), 6)"
 
 
+def _units(t: Tables) -> tuple[dict, dict]:
+    return {"department": t["department_memberships"], "team": t["team_memberships"]}, {"department": t["departments"], "team": t["teams"]}
+
+
+def _grants(t: Tables) -> dict[str, DataFrame]:
+    return {"organization": t["organization_grants"], "department": t["department_grants"], "team": t["team_grants"], "user": t["user_grants"]}
+
+
 def _granted(t: Tables) -> DataFrame:
-    return A.granted_spaces(
-        t["users"],
-        {"organization": t["organization_grants"], "department": t["department_grants"], "team": t["team_grants"], "user": t["user_grants"]},
-        {"department": t["department_memberships"], "team": t["team_memberships"]},
-        {"department": t["departments"], "team": t["teams"]},
-        now(),
-    )
+    return A.granted_spaces(t["users"], _grants(t), *_units(t), now())
 
 
 def _identities(t: Tables) -> DataFrame:
@@ -92,11 +93,27 @@ def _paths(t: Tables) -> DataFrame:
     return A.scope_paths(t["memberships"], t["scopes"], t["connectors"], t["spaces"], t["items"])
 
 
+def _named(t: Tables) -> DataFrame:
+    return A.named_principals(t["users"], t["links"], t["principals"], t["directories"], t["edges"])
+
+
+def _lists(t: Tables) -> R.AccessLists:
+    return R.access_lists(t["snapshots"], t["acl_entries"], A.everyone_principals(t["principals"]), now())
+
+
+def _access(t: Tables) -> R.ClassAccess:
+    named = A.named_grants(t["users"], _grants(t), *_units(t), now())
+    return R.class_access(_paths(t), t["users"], A.tenant_grants(t["organization_grants"], now()), named, _named(t), _lists(t))
+
+
 def _authorized(t: Tables) -> DataFrame:
-    who = cut(_principals(t))
-    allowed = A.acl_allowed(t["snapshots"], t["acl_entries"], who, now())
-    denied = A.acl_denied(t["snapshots"], t["acl_entries"], who, now())
-    return A.authorized_paths(_paths(t), _granted(t), allowed, denied)
+    access = _access(t)
+    return R.expand(R.by_user_class(access), access)
+
+
+def _first_paths(t: Tables) -> DataFrame:
+    access = _access(t)
+    return R.expand(R.first_path_per_class(R.by_user_class(access)), access)
 
 
 _PATH = ["organization_id", "user_id", "source_item_id", "connector_scope_id", "knowledge_space_id", "connector_id", "access_mode"]
@@ -108,7 +125,7 @@ def _content(t: Tables) -> DataFrame:
 
 
 def permitted_search(t: Tables) -> DataFrame:
-    found = S.permitted_search(A.first_path_per_item(_authorized(t)), _content(t), t["index_states"], t["requests"], K, DIMENSIONS)
+    found = S.permitted_search(_access(t), _content(t), t["index_states"], t["requests"], K, DIMENSIONS)
     return found.select(*_HIT, F.round("distance", 6).alias("distance"), F.round("similarity", 6).alias("similarity"))
 
 
@@ -158,10 +175,10 @@ QUERIES = {
     "resolved_principals": (_principals, "SELECT * FROM {v_principals}"),
     "scope_paths": (_paths, "SELECT * FROM {v_paths}"),
     "optional_filters": (optional_filters, "SELECT source_item_id, connector_scope_id, source_item_type FROM {v_paths} WHERE organization_id = 1 AND source_item_type IN ('file', 'page')"),
-    "acl_allowed": (lambda t: A.acl_allowed(t["snapshots"], t["acl_entries"], _principals(t), now()), "SELECT * FROM {v_allowed}"),
-    "acl_denied": (lambda t: A.acl_denied(t["snapshots"], t["acl_entries"], _principals(t), now()), "SELECT * FROM {v_denied}"),
+    "acl_allowed": (lambda t: R.acl_allowed(t["users"], _named(t), _lists(t)), "SELECT * FROM {v_allowed}"),
+    "acl_denied": (lambda t: R.acl_denied(t["users"], _named(t), _lists(t)), "SELECT * FROM {v_denied}"),
     "authorized_paths": (lambda t: _authorized(t).select(_PATH), "SELECT * FROM {v_authorized}"),
-    "first_path_per_item": (lambda t: A.first_path_per_item(_authorized(t)).select(_PATH), "SELECT * FROM {v_first}"),
+    "first_path_per_item": (lambda t: _first_paths(t).select(_PATH), "SELECT * FROM {v_first}"),
     "indexable_content": (lambda t: _content(t).drop("embedding"), "SELECT * EXCLUDE (embedding) FROM {v_content}"),
     "with_current_index": (lambda t: S.with_current_index(_content(t), t["index_states"], DIMENSIONS).select("chunk_id", "document_version_id"), "SELECT chunk_id, document_version_id FROM {v_indexed}"),
     "is_org_admin": (

@@ -33,14 +33,14 @@ DERIVED: dict[str, str] = {
         CASE WHEN id % 13 = 0 THEN DATE '1997-01-01' END AS revoked_at FROM {users}""",
     "spaces": "SELECT s_suppkey AS id, n_regionkey AS organization_id, CASE WHEN s_suppkey % 10 = 3 THEN 'archived' ELSE 'active' END AS status FROM {supplier} JOIN {nation} ON s_nationkey = n_nationkey",
     "numbered_spaces": "SELECT id, organization_id, row_number() OVER (PARTITION BY organization_id ORDER BY id) - 1 AS place, count(*) OVER (PARTITION BY organization_id) AS total FROM {spaces}",
-    "all_grants": """SELECT u.organization_id, u.id AS user_id, u.department_id, u.team_id, s.id AS knowledge_space_id, o.o_orderkey AS grant_id, o.o_orderkey % 4 AS kind,
+    "all_grants": """SELECT u.organization_id, u.id AS user_id, u.department_id, u.team_id, s.id AS knowledge_space_id, CASE WHEN o.o_orderkey % 1000 = 3 THEN 'organization' WHEN o.o_orderkey % 20 = 1 THEN 'department' WHEN o.o_orderkey % 20 = 2 THEN 'team' ELSE 'user' END AS kind,
         CAST(o.o_orderdate AS DATE) AS granted_at, CASE WHEN o.o_orderkey % 3 = 0 THEN CAST(o.o_orderdate AS DATE) + CAST(o.o_orderkey % 400 AS INT) END AS expires_at,
         CASE WHEN o.o_orderstatus = 'F' THEN CAST(o.o_orderdate AS DATE) + 30 END AS revoked_at
         FROM {orders} o JOIN {users} u ON o.o_custkey = u.id JOIN {numbered_spaces} s ON s.organization_id = u.organization_id AND s.place = o.o_orderkey % s.total""",
-    "user_grants": "SELECT organization_id, user_id, knowledge_space_id, granted_at, expires_at, revoked_at FROM {all_grants} WHERE kind = 0",
-    "department_grants": "SELECT organization_id, department_id, knowledge_space_id, granted_at, expires_at, revoked_at FROM {all_grants} WHERE kind = 1 AND grant_id % 20 = 1",
-    "team_grants": "SELECT organization_id, team_id, knowledge_space_id, granted_at, expires_at, revoked_at FROM {all_grants} WHERE kind = 2 AND grant_id % 20 = 2",
-    "organization_grants": "SELECT organization_id, knowledge_space_id, granted_at, expires_at, revoked_at FROM {all_grants} WHERE kind = 3 AND grant_id % 1000 = 3",
+    "user_grants": "SELECT organization_id, user_id, knowledge_space_id, granted_at, expires_at, revoked_at FROM {all_grants} WHERE kind = 'user'",
+    "department_grants": "SELECT organization_id, department_id, knowledge_space_id, granted_at, expires_at, revoked_at FROM {all_grants} WHERE kind = 'department'",
+    "team_grants": "SELECT organization_id, team_id, knowledge_space_id, granted_at, expires_at, revoked_at FROM {all_grants} WHERE kind = 'team'",
+    "organization_grants": "SELECT organization_id, knowledge_space_id, granted_at, expires_at, revoked_at FROM {all_grants} WHERE kind = 'organization'",
     "placed_documents": "SELECT doc_id, text, source, n_chars, CAST(substr(source, 4) AS INT) AS n, CAST(doc_id % 5 AS INT) AS organization_id FROM {documents}",
     "connectors": """SELECT DISTINCT concat(source, '/', CAST(organization_id AS STRING)) AS id, organization_id, n, CASE WHEN n % 2 = 0 THEN 'local_folder' ELSE 'github' END AS connector_type,
         CASE WHEN n % 7 = 6 THEN 'disabled' ELSE 'active' END AS status FROM {placed_documents}""",
