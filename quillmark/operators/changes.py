@@ -8,20 +8,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from quillmark.functions.scalars import json_field, matches, numeric_id
+from quillmark.functions.scalars import json_field, matches, numeric_id, row_id
+from quillmark.sources.snapshots import BUCKETS, Catalogue, upsert_snapshot  # noqa: F401
 
 ITEM = ["organization_id", "connector_id", "source_item_key"]
 
 
-def upsert_snapshot(current: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFrame:
-    """current with the rows of incoming in place of those with equal keys; columns that incoming lacks are kept."""
-    new = incoming.select(*[F.col(c).alias(f"_new_{c}") for c in incoming.columns], F.lit(True).alias("_is_new"))
-    on = [current[k].eqNullSafe(new[f"_new_{k}"]) for k in keys]
-    joined = current.join(new, on, "full_outer")
-    values = [F.when(F.col("_is_new"), F.col(f"_new_{c}")).otherwise(current[c]).alias(c) if c in incoming.columns else current[c] for c in current.columns]
-    return joined.select(*values)
-
-
 def diff_catalog(manifest: DataFrame, catalog: DataFrame, keys: list[str] = ITEM) -> DataFrame:
     """All keys of both sides with `seen` and `known`."""
     return manifest.select(*keys).distinct().withColumn("seen", F.lit(True)).join(catalog.select(*keys).distinct().withColumn("known", F.lit(True)), keys, "full_outer").fillna(False, ["seen", "known"])
@@ -67,6 +59,32 @@ def classify_changes(manifest: DataFrame, state: DataFrame) -> DataFrame:
     return joined.withColumn("change_type", kind).withColumn("outcome", outcome).select(*ITEM, "change_type", "outcome")
 
 
+#: Stands for the checksum of what can't be unchanged, and differs on the two sides.
+_STALE, _UNSUPPORTED = "stale", "unsupported"
+
+
+def _indexed_checksum(state: DataFrame) -> Column:
+    """The checksum under which a seen file counts as unchanged, or a mark if there is none."""
+    good = (F.col("source_checksum") == F.col("content_checksum")) & (F.col("index_status") == "indexed") & (F.col("indexed_generation") == F.col("desired_generation")) & (F.col("item_status") == "active")
+    return F.when(F.coalesce(good, F.lit(False)), F.concat(F.lit("="), F.col("source_checksum"))).otherwise(F.lit(_STALE))
+
+
+def keep_state(catalogue: Catalogue, state: DataFrame, name: str = "item_state", buckets: int = BUCKETS) -> int:
+    """Commit what `item_state` gives, with digests of keys and the checksums under which they are unchanged."""
+    return catalogue.replace(name, state.withColumn("_indexed", _indexed_checksum(state)), ITEM, ["_indexed"], buckets)
+
+
+def classify_by_digests(catalogue: Catalogue, manifest: DataFrame, name: str = "item_state") -> tuple[DataFrame, DataFrame]:
+    """(what `classify_changes` gives, the part of the kept state that was read for it).
+
+    Where the digests of a part of the keys agree, its files are all unchanged, and the state isn't read there.
+    """
+    mark = F.when(F.coalesce(F.col("unsupported"), F.lit(False)), F.lit(_UNSUPPORTED)).otherwise(F.concat(F.lit("="), F.coalesce("source_checksum", F.lit("\0"))))
+    same, differ, known = catalogue.changed(name, manifest.select(*ITEM, "source_checksum", "unsupported", mark.alias("_indexed")))
+    unchanged = same.select(*ITEM, F.lit("unchanged").alias("change_type"), F.lit("unchanged").alias("outcome"))
+    return classify_changes(differ, known).unionByName(unchanged), known
+
+
 def upsert_items(manifest: DataFrame, items: DataFrame, now: Column) -> DataFrame:
     """Items after a crawl, with items' columns and `restored`: seen ones are active as of now, with what the manifest says
     of them; new ones have an id made of their key and are first seen now; others stay."""
@@ -79,12 +97,26 @@ def upsert_items(manifest: DataFrame, items: DataFrame, now: Column) -> DataFram
     return joined.select(*[values.get(c, F.col(c)).alias(c) for c in items.columns], (seen & known & (F.col("status") != "active")).alias("restored"))
 
 
+def _once(rows: DataFrame, keys: list[str], told: list[str]) -> DataFrame:
+    """The rows' keys, each once, with the columns told as _name and _seen; of equal keys the greatest values."""
+    if not told:
+        return rows.select(*keys).distinct().withColumn("_seen", F.lit(True))
+    return rows.groupBy(*keys).agg(F.max(F.struct(*told)).alias("_t")).select(*keys, *[F.col(f"_t.{c}").alias(f"_{c}") for c in told], F.lit(True).alias("_seen"))
+
+
 def upsert_memberships(seen: DataFrame, memberships: DataFrame, now: Column) -> DataFrame:
-    """Memberships after a crawl: seen ones are live as of now.  seen: organization_id, source_item_id, connector_scope_id."""
+    """The next memberships after a crawl, with all columns: seen ones are live as of now, new ones have an id made of their key.
+
+    seen: organization_id, source_item_id, connector_scope_id, and what else memberships have, connector_id above all,
+    which new ones take and known ones keep."""
     keys = ["organization_id", "source_item_id", "connector_scope_id"]
-    joined = memberships.join(seen.select(*keys).distinct().withColumn("_seen", F.lit(True)), keys, "full_outer")
+    told = [c for c in seen.columns if c in memberships.columns and c not in keys]
+    joined = memberships.join(_once(seen, keys, told), keys, "full_outer")
     hit = F.col("_seen").isNotNull()
-    return joined.select(*keys, F.when(hit, "active").otherwise(F.col("status")).alias("status"), F.when(~hit, F.col("removed_at")).alias("removed_at"), F.coalesce("first_discovered_at", now).alias("first_discovered_at"), F.when(hit, now).otherwise(F.col("last_seen_at")).alias("last_seen_at"))
+    values = {c: F.coalesce(c, f"_{c}") for c in told}
+    values |= {"id": F.coalesce("id", numeric_id(*map(F.col, keys)))} if "id" in memberships.columns else {}
+    values |= {"status": F.when(hit, "active").otherwise(F.col("status")), "removed_at": F.when(~hit, F.col("removed_at")), "first_discovered_at": F.coalesce("first_discovered_at", now), "last_seen_at": F.when(hit, now).otherwise(F.col("last_seen_at"))}
+    return _like(joined, memberships, **values)
 
 
 def items_in_scope(items: DataFrame, memberships: DataFrame, scope_id: str | None = None) -> DataFrame:
@@ -246,11 +278,13 @@ def replace_chunks(existing: DataFrame, new: DataFrame) -> DataFrame:
     return existing.join(touched, ["organization_id", "document_id"], "left_anti").unionByName(new.select(*existing.columns))
 
 
-def ensure_index_state(versions: DataFrame, states: DataFrame, profile: str) -> DataFrame:
-    """The states that versions still lack under the profile."""
+def ensure_index_state(versions: DataFrame, states: DataFrame, profile: str, model: str, dimensions: int, reason: str = "new_version") -> DataFrame:
+    """The next states, with all columns: current versions without one under the profile have a pending one, whose id is made of both."""
     have = states.filter(F.col("profile_fingerprint") == profile).select("organization_id", "document_version_id")
-    need = versions.filter("is_current").select("organization_id", F.col("id").alias("document_version_id"))
-    return need.join(have, ["organization_id", "document_version_id"], "left_anti").select("organization_id", "document_version_id", F.lit(profile).alias("profile_fingerprint"), F.lit(1).alias("desired_generation"), F.lit("pending").alias("status"), F.lit(0).alias("attempt_count"))
+    need = versions.filter("is_current").select("organization_id", F.col("id").alias("document_version_id")).join(have, ["organization_id", "document_version_id"], "left_anti")
+    values = {"id": numeric_id(F.col("document_version_id"), F.lit(profile)), "profile_fingerprint": F.lit(profile), "embedding_model": F.lit(model), "embedding_dimensions": F.lit(dimensions), "reason": F.lit(reason)}
+    values |= {"desired_generation": F.lit(1), "indexed_generation": F.lit(0), "status": F.lit("pending"), "attempt_count": F.lit(0)}
+    return states.unionByName(_like(need, states, **values))
 
 
 def advance_index_state(states: DataFrame, requests: DataFrame) -> DataFrame:
@@ -317,16 +351,30 @@ def log_errors(failures: DataFrame) -> DataFrame:
     return failures.withColumn("accepted", F.coalesce(good, F.lit(False)))
 
 
-def upsert_scopes(incoming: DataFrame, scopes: DataFrame) -> DataFrame:
-    """Scopes after a selection with `outcome`: created, kept, restored, removed (no longer chosen), or conflict (in another space).
+def upsert_scopes(incoming: DataFrame, scopes: DataFrame, now: Column | None = None) -> DataFrame:
+    """The next scopes after a selection, with all columns and `outcome`: created, kept, restored, removed (no longer chosen),
+    conflict (chosen in another space: the scope stays as it is), or untouched.
 
-    incoming: organization_id, connector_id, external_scope_key, knowledge_space_id; connectors that it doesn't name are untouched."""
+    incoming: organization_id, connector_id, external_scope_key, knowledge_space_id, and what else scopes have, which created
+    ones take, and kept and restored ones where it isn't null.  Ids are made of the key.  Connectors that incoming doesn't
+    name are untouched.  `removed_at`, where scopes have it, is set to now or cleared."""
     keys = ["organization_id", "connector_id", "external_scope_key"]
-    new = incoming.select(*keys, F.col("knowledge_space_id").alias("_space"), F.lit(True).alias("_seen"))
+    told = [c for c in incoming.columns if c in scopes.columns and c not in keys]
     touched = incoming.select("organization_id", "connector_id").distinct().withColumn("_touched", F.lit(True))
-    joined = scopes.withColumn("_known", F.lit(True)).join(new, keys, "full_outer").join(touched, ["organization_id", "connector_id"], "left")
-    outcome = F.when(F.col("_known").isNull(), "created").when(F.col("_seen").isNull() & F.col("_touched").isNull(), "untouched").when(F.col("_seen").isNull(), F.when(F.col("status") == "active", "removed").otherwise("untouched")).when(F.col("_space") != F.col("knowledge_space_id"), "conflict").when(F.col("status") != "active", "restored").otherwise("kept")
-    return joined.withColumn("outcome", outcome).select(*keys, F.coalesce("knowledge_space_id", "_space").alias("knowledge_space_id"), F.when(F.col("outcome").isin("created", "restored", "kept"), "active").when(F.col("outcome") == "removed", "removed").otherwise(F.col("status")).alias("status"), "outcome")
+    joined = scopes.withColumn("_known", F.lit(True)).join(_once(incoming, keys, told), keys, "full_outer").join(touched, ["organization_id", "connector_id"], "left")
+    gone = F.when(F.col("_touched").isNotNull() & (F.col("status") == "active"), "removed").otherwise("untouched")
+    moved = F.col("_knowledge_space_id") != F.col("knowledge_space_id")
+    outcome = F.when(F.col("_known").isNull(), "created").when(F.col("_seen").isNull(), gone).when(moved, "conflict").when(F.col("status") != "active", "restored").otherwise("kept")
+    joined = joined.withColumn("outcome", outcome)
+    taken, removed = F.col("outcome").isin("created", "restored", "kept"), F.col("outcome") == "removed"
+    values = {c: F.when(taken, F.coalesce(f"_{c}", c)).otherwise(F.col(c)) for c in told}
+    if "id" in scopes.columns:
+        made = row_id if scopes.schema["id"].dataType.simpleString() == "string" else numeric_id
+        values["id"] = F.coalesce("id", made(*map(F.col, keys)))
+    values["status"] = F.when(taken, "active").when(removed, "removed").otherwise(F.col("status"))
+    if "removed_at" in scopes.columns:
+        values["removed_at"] = F.when(removed, now if now is not None else F.col("removed_at")).when(~taken, F.col("removed_at"))
+    return _like(joined, scopes.withColumn("outcome", F.lit("")), **values)
 
 
 STATUS_TIMES = {"archived": "archived_at", "removed": "removed_at", "deleted": "deleted_at"}

@@ -39,23 +39,32 @@ def markdown_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 section_ids = markdown_lines
 
 
+#: A heading as a line of a text, its marks and its words; line ends are line feeds only.
+_HEADING_LINE = r"(?md)^[ \t\x0B\f]*(#{1,6}) +(\S.*?)[ \t\x0B\f]*$"
+#: Put before and behind a heading's words while a row is cut; code points that no text may have.
+_BEFORE, _BEHIND = "\ufdd0\ufdd1", "\ufdd2\ufdd3"
+
+
 def markdown_sections(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, section_index, heading, text): bodies under headings, empty ones left out; fences aren't special.
 
-    A text of nothing but headings is one section, the whole of it; a blank one has none."""
-    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("level").isNull(), F.struct("line_number", "line")))), lambda x: x["line"]), "\n")
-    each = markdown_lines(docs, key, text).groupBy(key, "section").agg(F.max("heading").alias("heading"), _trim(body).alias("text"))
-    found = each.filter("text <> ''")
-    numbered = found.withColumn("section_index", F.row_number().over(Window.partitionBy(key).orderBy("section")) - 1).select(key, "section_index", "heading", "text")
-    bare = each.groupBy(key).agg(F.max("text").alias("_longest")).filter("_longest = ''").select(key)
-    whole = docs.select(key, _trim(normalize_newlines(F.col(text))).alias("text")).join(bare, key, "left_semi").filter("text <> ''")
-    return numbered.unionByName(whole.select(key, F.lit(0).alias("section_index"), F.lit(None).cast("string").alias("heading"), "text"))
+    A text of nothing but headings is one section, the whole of it; a blank one has none.  A text is cut in its row."""
+    clean = normalize_newlines(F.col(text))
+    parts = F.split(F.regexp_replace(clean, _HEADING_LINE, f"{_BEFORE}$2{_BEHIND}"), _BEFORE)
+    has = lambda x: F.contains(x, F.lit(_BEHIND))
+    body = lambda x: _trim(F.when(has(x), F.substring_index(x, _BEHIND, -1)).otherwise(x))
+    cut = F.transform(parts, lambda x: F.struct(F.when(has(x), F.substring_index(x, _BEHIND, 1)).alias("heading"), body(x).alias("text")))
+    whole = F.filter(F.array(F.struct(F.lit(None).cast("string").alias("heading"), _trim(clean).alias("text"))), lambda x: x["text"] != "")
+    rows = docs.select(key, F.filter(cut, lambda x: x["text"] != "").alias("_sections"), whole.alias("_whole"))
+    rows = rows.select(key, F.posexplode(F.when(F.size("_sections") > 0, F.col("_sections")).otherwise(F.col("_whole"))).alias("section_index", "_s"))
+    return rows.select(key, "section_index", "_s.heading", "_s.text")
 
 
 def markdown_titles(docs: DataFrame, key: str = "doc_id", text: str = "text", name: str = "stem") -> DataFrame:
     """(key, title, heading_count): the first heading of level 1, else the file's stem."""
-    heads = markdown_lines(docs, key, text).filter("level is not null").groupBy(key).agg(F.count("*").alias("heading_count"), F.min(F.when(F.col("level") == 1, F.struct("line_number", "heading"))).alias("_h"))
-    return docs.select(key, name).join(heads, key, "left").select(key, F.coalesce("_h.heading", name).alias("title"), F.coalesce("heading_count", F.lit(0)).alias("heading_count"))
+    clean = F.coalesce(normalize_newlines(F.col(text)), F.lit(""))
+    first = F.nullif(F.regexp_extract(clean, _HEADING_LINE.replace("(#{1,6})", "(#)"), 2), F.lit(""))
+    return docs.select(key, F.coalesce(first, name).alias("title"), F.regexp_count(clean, F.lit(_HEADING_LINE)).cast("long").alias("heading_count"))
 
 
 def assemble_pages(pages: DataFrame, page_cap: int = PAGE_CAP, character_cap: int = CHARACTER_CAP) -> DataFrame:
@@ -81,8 +90,10 @@ def assemble_blocks(blocks: DataFrame) -> DataFrame:
     A table's cells are an array of structs (row, cell, text): a merged cell stands in several places under one
     `cell` and counts once in its row; blank cells, and tables of nothing else, are left out."""
     clean = F.filter(F.transform("cells", lambda c: F.struct(c["row"].alias("row"), c["cell"].alias("cell"), F.btrim(normalize_newlines(c["text"]), F.lit(" \t\n")).alias("text"))), lambda c: c["text"] != "")
-    first = lambda c, i: F.size(F.filter(F.slice("_cells", F.lit(1), i), lambda x: (x["row"] == c["row"]) & (x["cell"] == c["cell"]))) == 0
-    rows = blocks.withColumn("_cells", clean).withColumn("_cells", F.filter("_cells", first))
+    # the first of each cell of a row: where its key stands first
+    keys = F.transform("_cells", lambda c: F.struct(c["row"], c["cell"]))
+    rows = blocks.withColumn("_cells", clean).withColumn("_keys", keys)
+    rows = rows.withColumn("_cells", F.filter("_cells", lambda c, i: F.array_position("_keys", F.struct(c["row"], c["cell"])) == i + 1)).drop("_keys")
     lines = F.transform(F.array_distinct(F.transform("_cells", lambda c: c["row"])), lambda r: F.array_join(F.transform(F.filter("_cells", lambda c: c["row"] == r), lambda c: c["text"]), " | "))
     part = F.when(F.col("kind") == "table", F.array_join(lines, "\n")).otherwise(F.btrim("text"))
     rows = rows.withColumn("_part", part)
@@ -91,6 +102,7 @@ def assemble_blocks(blocks: DataFrame) -> DataFrame:
     return rows.groupBy("document_id").agg(F.array_join(F.transform(parts, lambda x: x["_part"]), "\n\n").alias("text"), F.count_if(heading).alias("n_headings"), F.count_if((F.col("kind") == "table") & (F.col("_part") != "")).alias("n_tables"))
 
 
+_SPACE = re.compile(r"\s*")
 _BREAKS = (re.compile(r"\n[^\S\n]*\n\s*"), re.compile(r"\n"), re.compile(r"[.!?]+(?=\s)"), re.compile(r"\s"))
 
 
@@ -110,7 +122,7 @@ def chunk_text(text: str, size: int = MAX_CHUNK, overlap: int = OVERLAP) -> Iter
     """(start, end) of each chunk in code points of the normalised text."""
     n, at = len(text), 0
     while at < n:
-        start = at + len(text[at:]) - len(text[at:].lstrip()) if text[at].isspace() else at
+        start = _SPACE.match(text, at).end()
         if start >= n:
             return
         end = start + size

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from quillmark.functions.predicates import check_limit
 from quillmark.functions.scalars import next_run, retry_delay
+from quillmark.storage import cut, few
 
 TERMINAL = ("succeeded", "failed", "cancelled")
 CEILINGS = {"entries": 100_000, "files": 10_000, "bytes": 10 * 1024**3, "chunks": 500_000}
@@ -185,6 +186,14 @@ def work_order(jobs: DataFrame) -> DataFrame:
     return jobs.orderBy(F.asc("priority"), F.asc_nulls_first("next_attempt_at"), "created_at", "id")
 
 
+def numbered(ordered: DataFrame, name: str = "place") -> DataFrame:
+    """The rows of a sorted df with their numbers from 1: of each partition first, then by the sizes of those before it."""
+    own = cut(ordered.withColumn("_part", F.spark_partition_id()).withColumn("_nth", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)))
+    sizes = own.groupBy("_part").agg(F.count("*").alias("_n"))  # a row for each partition
+    before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    return own.join(few(before.drop("_n")), "_part").withColumn(name, F.col("_before") + F.col("_nth") + 1).drop("_part", "_nth", "_before")
+
+
 def job_history(jobs: DataFrame, page: int, size: int, **filters) -> DataFrame:
     for column, value in filters.items():
         jobs = jobs.filter(F.col(column) == value)

@@ -11,8 +11,10 @@ from quillmark.functions import predicates as P, scalars as X
 from quillmark.operators import changes as M, content as C, history as H, quality as Q, rules as R
 from quillmark.plans.fixtures import AS_OF, RUN_START, Tables
 from quillmark.sources import files as S
+from quillmark.sources.snapshots import Catalogue
 from quillmark.storage import shared_folder
 from quillmark.streaming import streams as ST
+from quillmark.streaming.log import DocumentLog
 
 _JOBS_AT = "DATE '2024-01-20'"
 
@@ -39,7 +41,11 @@ def _state(t: Tables) -> DataFrame:
 
 
 def _seen(t: Tables) -> DataFrame:
-    return t["memberships"].filter("source_item_id % 3 = 0").select("organization_id", "source_item_id", "connector_scope_id")
+    """Known memberships of every third item, some twice, and new ones in another scope."""
+    columns = ["organization_id", "connector_id", "source_item_id", "connector_scope_id"]
+    known = t["memberships"].filter("source_item_id % 3 = 0").select(columns)
+    new = t["items"].filter("id % 5 = 1").select("organization_id", "connector_id", F.col("id").alias("source_item_id"), F.concat(F.lit("new-"), "connector_id").alias("connector_scope_id"))
+    return known.unionByName(known.filter("source_item_id % 2 = 0")).unionByName(new)
 
 
 def upsert_items(t: Tables) -> DataFrame:
@@ -48,7 +54,7 @@ def upsert_items(t: Tables) -> DataFrame:
 
 
 def upsert_memberships(t: Tables) -> DataFrame:
-    return M.upsert_memberships(_seen(t), t["memberships"], now()).select("organization_id", "source_item_id", "connector_scope_id", "status", *_text("removed_at", "first_discovered_at", "last_seen_at"))
+    return M.upsert_memberships(_seen(t), t["memberships"], now()).select("organization_id", "connector_id", "source_item_id", "connector_scope_id", "status", *_text("removed_at", "first_discovered_at", "last_seen_at"))
 
 
 def retire_missing_folder(t: Tables) -> DataFrame:
@@ -171,7 +177,8 @@ def log_errors(t: Tables) -> DataFrame:
 
 def upsert_scopes(t: Tables) -> DataFrame:
     s = t["scopes"]
-    incoming = s.filter("connector_id not like 'src1%' and id like '%:a'").select("organization_id", "connector_id", "external_scope_key", (F.col("knowledge_space_id") + F.when(F.col("connector_id").like("src2%"), 1).otherwise(0)).alias("knowledge_space_id"))
+    space = (F.col("knowledge_space_id") + F.when(F.col("connector_id").like("src2%"), 1).otherwise(0)).alias("knowledge_space_id")
+    incoming = s.filter("connector_id not like 'src1%' and id like '%:a'").select("organization_id", "connector_id", "external_scope_key", space, "scope_type", F.lit("hybrid").alias("access_mode"))
     more = incoming.withColumn("external_scope_key", F.concat(F.lit("more-"), "external_scope_key"))
     return M.upsert_scopes(incoming.unionByName(more), s)
 
@@ -397,8 +404,7 @@ def expired_leases(t: Tables) -> DataFrame:
 
 def work_order(t: Tables) -> DataFrame:
     """The order itself, as numbers."""
-    ordered = H.work_order(t["jobs"].filter("status = 'queued'")).limit(500)
-    return ordered.select("id", "priority", (F.monotonically_increasing_id() + 1).alias("place"))
+    return H.numbered(H.work_order(t["jobs"].filter("status = 'queued'"))).select("id", "priority", "place")
 
 
 def references(t: Tables) -> DataFrame:
@@ -436,6 +442,41 @@ def append_history(t: Tables) -> DataFrame:
     return t.spark.read.parquet(place)
 
 
+def _catalogue(t: Tables) -> Catalogue:
+    return Catalogue(t.spark, f"{shared_folder(t.spark)}/{uuid.uuid4().hex}")
+
+
+def classify_by_digests(t: Tables) -> DataFrame:
+    """Against a committed state, of which the parts that differ are read."""
+    kept = _catalogue(t)
+    M.keep_state(kept, _state(t), buckets=16)
+    return M.classify_by_digests(kept, t["manifest"])[0]
+
+
+def committed_items(t: Tables) -> DataFrame:
+    """Items after three commits: all, an upsert of some, and a removal of others."""
+    kept, items = _catalogue(t), t["items"].select("id", "organization_id", "source_item_key", "status", "size_bytes")
+    kept.replace("items", items, ["organization_id", "source_item_key"], buckets=8)
+    kept.upsert("items", items.filter("id % 7 = 0").withColumn("status", F.lit("reviewed")))
+    kept.upsert("items", items.limit(0), deleted=items.filter("id % 10 = 3"))
+    return kept.read("items")
+
+
+def ingested_log(t: Tables) -> DataFrame:
+    """Documents and chunk counts of a log of three batches, the first two folded into the tables."""
+    log = DocumentLog(t.spark, f"{shared_folder(t.spark)}/{uuid.uuid4().hex}", buckets=4)
+    texts = t["documents"].select((F.col("doc_id") % 5).cast("int").alias("organization_id"), F.lit("local_folder").alias("source_type"), F.concat("source", F.lit("/"), F.col("doc_id").cast("string")).alias("source_document_key"), "doc_id", "text")
+    for number, some in enumerate(("doc_id % 2 = 0", "doc_id % 3 = 0", "doc_id % 4 = 1")):
+        found = texts.filter(some).withColumn("text", F.concat(F.lit(f"batch {number} of "), "text"))
+        key = ["organization_id", "source_type", "source_document_key"]
+        chunks = C.chunk_documents(found.withColumn("row", F.struct(*key)), key="row").select("row.*", "chunk_index", F.col("content").alias("chunk_text"))
+        log.append(number, found.select(*key, F.lit(f"title {number}").alias("title"), F.md5("text").alias("checksum_latest")), chunks, F.expr(f"DATE '2024-01-01' + {number}"))
+        if number == 1:
+            log.compact()
+    parts = log.chunks().groupBy("organization_id", F.col("document_id").alias("id")).agg(F.min(F.when(F.col("chunk_index") == 0, F.substring("chunk_text", 1, 10))).alias("begins"))
+    return log.documents().join(parts, ["organization_id", "id"]).select("organization_id", "source_document_key", "title", "checksum_latest", "status", F.col("created_at").cast("date").cast("string").alias("created_at"), "begins")
+
+
 def chunk_documents(t: Tables) -> DataFrame:
     return C.chunk_documents(t["documents"])
 
@@ -471,16 +512,32 @@ VIEWS = {
     "w_live_jobs": "SELECT *, first_value(id) OVER (PARTITION BY organization_id, connector_scope_id ORDER BY created_at, id) AS job_id FROM {jobs} WHERE status NOT IN ('succeeded', 'failed', 'cancelled')",
 }
 
+_CLASSIFIED = """SELECT organization_id, connector_id, source_item_key, change_type, CASE WHEN change_type = 'deleted' THEN 'retired' WHEN unsupported THEN 'unsupported' WHEN change_type = 'unchanged' THEN 'unchanged' ELSE 'indexed' END AS outcome FROM (
+  SELECT coalesce(m.organization_id, s.organization_id) AS organization_id, coalesce(m.connector_id, s.connector_id) AS connector_id, coalesce(m.source_item_key, s.source_item_key) AS source_item_key, m.unsupported,
+    CASE WHEN m.source_item_key IS NULL THEN 'deleted' WHEN s.source_item_key IS NULL THEN 'new' WHEN m.unsupported THEN 'changed' WHEN s.source_checksum = m.source_checksum AND s.content_checksum = m.source_checksum AND s.index_status = 'indexed' AND s.indexed_generation = s.desired_generation AND s.item_status = 'active' THEN 'unchanged' ELSE 'changed' END AS change_type
+  FROM {manifest} m FULL JOIN {w_state} s ON s.organization_id = m.organization_id AND s.connector_id = m.connector_id AND s.source_item_key = m.source_item_key)"""
+
 QUERIES = {
     # changes
     "diff_catalog": (lambda t: M.diff_catalog(t["manifest"], t["items"]), f"SELECT organization_id, connector_id, source_item_key, seen, known FROM ({_ITEMS_AFTER})"),
     "item_state": (_state, "SELECT * FROM {w_state}"),
     "classify_changes": (
         lambda t: M.classify_changes(t["manifest"], _state(t)),
-        """SELECT organization_id, connector_id, source_item_key, change_type, CASE WHEN change_type = 'deleted' THEN 'retired' WHEN unsupported THEN 'unsupported' WHEN change_type = 'unchanged' THEN 'unchanged' ELSE 'indexed' END AS outcome FROM (
-  SELECT coalesce(m.organization_id, s.organization_id) AS organization_id, coalesce(m.connector_id, s.connector_id) AS connector_id, coalesce(m.source_item_key, s.source_item_key) AS source_item_key, m.unsupported,
-    CASE WHEN m.source_item_key IS NULL THEN 'deleted' WHEN s.source_item_key IS NULL THEN 'new' WHEN m.unsupported THEN 'changed' WHEN s.source_checksum = m.source_checksum AND s.content_checksum = m.source_checksum AND s.index_status = 'indexed' AND s.indexed_generation = s.desired_generation AND s.item_status = 'active' THEN 'unchanged' ELSE 'changed' END AS change_type
-  FROM {manifest} m FULL JOIN {w_state} s ON s.organization_id = m.organization_id AND s.connector_id = m.connector_id AND s.source_item_key = m.source_item_key)""",
+        _CLASSIFIED,
+    ),
+    "classify_by_digests": (
+        classify_by_digests,
+        _CLASSIFIED,
+    ),
+    "committed_items": (
+        committed_items,
+        "SELECT id, organization_id, source_item_key, CASE WHEN id % 7 = 0 THEN 'reviewed' ELSE status END AS status, size_bytes FROM {items} WHERE id % 10 <> 3",
+    ),
+    "ingested_log": (
+        ingested_log,
+        """SELECT CAST(doc_id % 5 AS INT) AS organization_id, concat(source, '/', CAST(doc_id AS VARCHAR)) AS source_document_key, concat('title ', CAST(newest AS VARCHAR)) AS title, md5(concat('batch ', CAST(newest AS VARCHAR), ' of ', text)) AS checksum_latest, 'ready' AS status,
+  CAST(DATE '2024-01-01' + first AS VARCHAR) AS created_at, concat('batch ', CAST(newest AS VARCHAR), ' of') AS begins FROM (SELECT *, CASE WHEN doc_id % 4 = 1 THEN 2 WHEN doc_id % 3 = 0 THEN 1 ELSE 0 END AS newest, CASE WHEN doc_id % 2 = 0 THEN 0 WHEN doc_id % 3 = 0 THEN 1 ELSE 2 END AS first
+  FROM {documents} WHERE doc_id % 2 = 0 OR doc_id % 3 = 0 OR doc_id % 4 = 1)""",
     ),
     "classify_run": (
         lambda t: M.classify_changes(t["manifest"], M.item_state(t["items"], t["versions"], t["index_states"], None, t["folder_run"])),
@@ -493,8 +550,9 @@ QUERIES = {
   CAST(coalesce(first_seen_at, {AS_OF}) AS VARCHAR) AS first_seen_at, CAST(CASE WHEN seen THEN {AS_OF} ELSE last_seen_at END AS VARCHAR) AS last_seen_at, CAST(CASE WHEN NOT seen THEN deleted_at END AS VARCHAR) AS deleted_at FROM ({_ITEMS_AFTER})"""),
     "upsert_memberships": (
         upsert_memberships,
-        f"""SELECT organization_id, source_item_id, connector_scope_id, CASE WHEN source_item_id % 3 = 0 THEN 'active' ELSE status END AS status, CAST(CASE WHEN source_item_id % 3 <> 0 THEN removed_at END AS VARCHAR) AS removed_at, CAST(first_discovered_at AS VARCHAR) AS first_discovered_at,
-  CAST(CASE WHEN source_item_id % 3 = 0 THEN {AS_OF} ELSE last_seen_at END AS VARCHAR) AS last_seen_at FROM {{memberships}}""",
+        f"""SELECT organization_id, connector_id, source_item_id, connector_scope_id, CASE WHEN source_item_id % 3 = 0 THEN 'active' ELSE status END AS status, CAST(CASE WHEN source_item_id % 3 <> 0 THEN removed_at END AS VARCHAR) AS removed_at, CAST(first_discovered_at AS VARCHAR) AS first_discovered_at,
+  CAST(CASE WHEN source_item_id % 3 = 0 THEN {AS_OF} ELSE last_seen_at END AS VARCHAR) AS last_seen_at FROM {{memberships}}
+  UNION ALL SELECT organization_id, connector_id, id, concat('new-', connector_id), 'active', NULL, CAST({AS_OF} AS VARCHAR), CAST({AS_OF} AS VARCHAR) FROM {{items}} WHERE id % 5 = 1""",
     ),
     "items_in_scope": (lambda t: M.items_in_scope(t["items"], t["memberships"].filter("connector_scope_id like '%:b'")).select("organization_id", "id"), "SELECT organization_id, id FROM {items} i WHERE EXISTS (SELECT 1 FROM {memberships} m WHERE m.source_item_id = i.id AND m.organization_id = i.organization_id AND m.connector_scope_id LIKE '%:b')"),
     "without_active_membership": (lambda t: M.without_active_membership(t["items"], t["memberships"]).select("organization_id", "id"), "SELECT organization_id, id FROM {items} i WHERE NOT EXISTS (SELECT 1 FROM {memberships} m WHERE m.source_item_id = i.id AND m.status = 'active' AND m.removed_at IS NULL)"),
@@ -573,8 +631,9 @@ WHERE m.document_version_id NOT IN (SELECT document_version_id FROM fresh) AND N
     ),
     "replace_chunks": (replace_chunks, "SELECT organization_id, document_id, id, chunk_index, CASE WHEN document_id % 4 = 0 THEN concat('new ', chunk_text) ELSE chunk_text END AS chunk_text FROM {chunks} WHERE document_id % 4 <> 0 OR chunk_index = 0"),
     "ensure_index_state": (
-        lambda t: M.ensure_index_state(t["versions"], t["index_states"], "profile-1"),
-        "SELECT organization_id, id AS document_version_id, 'profile-1' AS profile_fingerprint, 1 AS desired_generation, 'pending' AS status, 0 AS attempt_count FROM {versions} v WHERE is_current AND NOT EXISTS (SELECT 1 FROM {index_states} s WHERE s.document_version_id = v.id AND s.profile_fingerprint = 'profile-1')",
+        lambda t: M.ensure_index_state(t["versions"], t["index_states"], "profile-1", "m2", 128, "profile_changed").withColumn("next_retry_at", F.col("next_retry_at").cast("string")),
+        """SELECT * REPLACE (CAST(next_retry_at AS VARCHAR) AS next_retry_at) FROM {index_states} UNION ALL SELECT CAST('0x' || substr(sha256(concat_ws('|', id, 'profile-1')), 1, 15) AS BIGINT), organization_id, id, 'profile-1', 'm2', 128, 1, 0, 'pending', 'profile_changed', 0, NULL
+  FROM {versions} v WHERE is_current AND NOT EXISTS (SELECT 1 FROM {index_states} s WHERE s.document_version_id = v.id AND s.profile_fingerprint = 'profile-1')""",
     ),
     "advance_index_state": (advance_index_state, "SELECT id, CAST(greatest(desired_generation, id % 4) AS BIGINT) AS desired_generation, CASE WHEN id % 4 > desired_generation THEN 'pending' ELSE status END AS status, CASE WHEN id % 4 > desired_generation THEN 0 ELSE attempt_count END AS attempt_count, CAST(CASE WHEN id % 4 <= desired_generation THEN next_retry_at END AS VARCHAR) AS next_retry_at FROM {index_states}"),
     "complete_attempts": (
@@ -599,9 +658,11 @@ WHERE m.document_version_id NOT IN (SELECT document_version_id FROM fresh) AND N
     ),
     "upsert_scopes": (
         upsert_scopes,
-        """SELECT organization_id, connector_id, external_scope_key, coalesce(os, ns) AS knowledge_space_id, CASE WHEN outcome IN ('created', 'restored', 'kept') THEN 'active' WHEN outcome = 'removed' THEN 'removed' ELSE status END AS status, outcome FROM (SELECT *, CASE WHEN os IS NULL THEN 'created' WHEN ns IS NULL AND connector_id LIKE 'src1%' THEN 'untouched' WHEN ns IS NULL THEN CASE WHEN status = 'active' THEN 'removed' ELSE 'untouched' END WHEN ns <> os THEN 'conflict' WHEN status <> 'active' THEN 'restored' ELSE 'kept' END AS outcome
-  FROM (SELECT organization_id, connector_id, external_scope_key, max(os) AS os, max(ns) AS ns, max(status) AS status FROM (SELECT organization_id, connector_id, external_scope_key, knowledge_space_id AS os, NULL AS ns, status FROM {scopes}
-    UNION ALL SELECT organization_id, connector_id, concat(p.p, external_scope_key), NULL, knowledge_space_id + CASE WHEN connector_id LIKE 'src2%' THEN 1 ELSE 0 END, NULL FROM {scopes} CROSS JOIN (SELECT '' AS p UNION ALL SELECT 'more-') p WHERE connector_id NOT LIKE 'src1%' AND id LIKE '%:a') GROUP BY 1, 2, 3))""",
+        """SELECT coalesce(id, sha256(concat_ws('|', concat(strlen(CAST(organization_id AS VARCHAR)), ':', organization_id), concat(strlen(connector_id), ':', connector_id), concat(strlen(external_scope_key), ':', external_scope_key)))) AS id, organization_id, connector_id, external_scope_key,
+  coalesce(os, ns) AS knowledge_space_id, coalesce(ot, nt) AS scope_type, CASE WHEN outcome IN ('created', 'restored', 'kept') THEN 'hybrid' ELSE mode END AS access_mode, CASE WHEN outcome IN ('created', 'restored', 'kept') THEN 'active' WHEN outcome = 'removed' THEN 'removed' ELSE status END AS status, outcome
+  FROM (SELECT *, CASE WHEN os IS NULL THEN 'created' WHEN ns IS NULL AND connector_id LIKE 'src1%' THEN 'untouched' WHEN ns IS NULL THEN CASE WHEN status = 'active' THEN 'removed' ELSE 'untouched' END WHEN ns <> os THEN 'conflict' WHEN status <> 'active' THEN 'restored' ELSE 'kept' END AS outcome
+  FROM (SELECT organization_id, connector_id, external_scope_key, max(id) AS id, max(os) AS os, max(ns) AS ns, max(ot) AS ot, max(nt) AS nt, max(mode) AS mode, max(status) AS status FROM (SELECT organization_id, connector_id, external_scope_key, id, knowledge_space_id AS os, NULL AS ns, scope_type AS ot, NULL AS nt, access_mode AS mode, status FROM {scopes}
+    UNION ALL SELECT organization_id, connector_id, concat(p.p, external_scope_key), NULL, NULL, knowledge_space_id + CASE WHEN connector_id LIKE 'src2%' THEN 1 ELSE 0 END, NULL, scope_type, NULL, NULL FROM {scopes} CROSS JOIN (SELECT '' AS p UNION ALL SELECT 'more-') p WHERE connector_id NOT LIKE 'src1%' AND id LIKE '%:a') GROUP BY 1, 2, 3))""",
     ),
     "set_status": (
         lambda t: M.set_status(t["items"], "deleted", now()).select("id", "status", *_text("deleted_at")),
@@ -670,7 +731,7 @@ SELECT run_id, place, CASE WHEN refused IS NULL THEN CAST(nth AS INT) END AS bat
     "newest": (lambda t: H.newest(t["docs"], [F.desc("created_at"), F.desc("id")], 500, 100).select("id", "title"), "SELECT id, title FROM {docs} ORDER BY created_at DESC, id DESC LIMIT 100"),
     "work_order": (
         work_order,
-        """SELECT id, priority, row_number() OVER (ORDER BY priority, next_attempt_at NULLS FIRST, created_at, id) AS place FROM {jobs} WHERE status = 'queued' ORDER BY place LIMIT 500""",
+        """SELECT id, priority, row_number() OVER (ORDER BY priority, next_attempt_at NULLS FIRST, created_at, id) AS place FROM {jobs} WHERE status = 'queued'""",
     ),
     "job_history": (lambda t: H.job_history(t["jobs"], 1, 50, status="failed").select("id"), "SELECT id FROM {jobs} WHERE status = 'failed' ORDER BY created_at DESC, id DESC LIMIT 50"),
     "runs_of_job": (lambda t: H.runs_of_job(t["events"].select(F.col("event_id").alias("id"), F.col("user_id").alias("job_id"), F.col("ts").alias("started_at")), 5).select("id", "job_id", "place"), "SELECT event_id AS id, user_id AS job_id, place FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS place FROM {events}) WHERE place <= 5"),
@@ -744,7 +805,17 @@ UNION ALL SELECT doc_id, 0, NULL, regexp_replace(text, '\\s+$', '') FROM texts W
         backlog,
         """SELECT id, (embedding IS NULL) <> (embedding_model IS NULL OR id % 7 = 0) AS broken FROM {chunks} WHERE embedding IS NULL OR embedding_model <> 'm1' OR id % 7 = 0""",
     ),
-    "chunk_documents": (chunk_documents, None),
+    "chunk_documents": (
+        chunk_documents,
+        r"""WITH base AS (SELECT *, length(t) AS n FROM (SELECT doc_id, replace(replace(coalesce(text, ''), concat(chr(13), chr(10)), chr(10)), chr(13), chr(10)) AS t FROM {documents})),
+  steps AS (SELECT doc_id, -1 AS i, CAST(0 AS BIGINT) AS at, CAST(0 AS BIGINT) AS s, CAST(0 AS BIGINT) AS e, n = 0 AS ended FROM base
+    UNION ALL SELECT doc_id, i, greatest(e - 200, s + 1, before + 1), s, e, e >= n FROM
+      (SELECT *, s + length(rtrim(substr(w, 1, wide), concat(' ', chr(9), chr(10)))) AS e FROM
+        (SELECT *, CASE WHEN s + 2000 >= n THEN n - s WHEN length(paragraph) > 0 THEN length(paragraph) WHEN length(line) > 0 THEN length(line) WHEN length(sentence) > 0 THEN length(sentence) WHEN length(blank) > 0 THEN length(blank) ELSE 2000 END AS wide FROM
+          (SELECT *, regexp_extract(w, '(?s)^(.*\n[ \t]*\n\s*)', 1) AS paragraph, regexp_extract(w, '(?s)^(.*\n)', 1) AS line, regexp_extract(w, '(?s)^(.*[.!?])\s', 1) AS sentence, regexp_extract(w, '(?s)^(.+)\s', 1) AS blank FROM
+            (SELECT *, substr(t, s + 1, 2000) AS w FROM (SELECT x.doc_id, x.i + 1 AS i, x.at AS before, b.t, b.n, x.at + length(regexp_extract(substr(b.t, x.at + 1), '^\s*')) AS s FROM steps x JOIN base b USING (doc_id) WHERE NOT x.ended) WHERE s < n)))))
+SELECT doc_id, i AS chunk_index, substr(t, s + 1, e - s) AS content, e - s AS character_count, s AS start_offset, e AS end_offset, sha256(substr(t, s + 1, e - s)) AS content_hash FROM steps JOIN base USING (doc_id) WHERE i >= 0""",
+    ),
     "within_chunk_ceiling": (
         lambda t: C.within_chunk_ceiling(t["docs"], t["chunks"].union(t["chunks"].filter("id % 3 = 0")), 1),
         """SELECT d.id AS document_id, count(c.id) AS n_chunks, count(c.id) = 1 AS accepted FROM {docs} d LEFT JOIN (SELECT id, document_id FROM {chunks} UNION ALL SELECT id, document_id FROM {chunks} WHERE id % 3 = 0) c ON c.document_id = d.id GROUP BY 1""",

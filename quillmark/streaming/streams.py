@@ -9,9 +9,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from quillmark.functions.scalars import normalize_newlines, numeric_id
-from quillmark.operators.changes import replace_chunks, upsert_documents
+from quillmark.functions.scalars import normalize_newlines
 from quillmark.operators.content import chunk_documents, read_text
+from quillmark.streaming.log import DocumentLog
 
 
 def ingest_stream(spark: SparkSession, root: str, checkpoint: str, sink: Callable[[DataFrame, int], None], pattern: str = "*.{txt,md}") -> StreamingQuery:
@@ -27,30 +27,15 @@ def ingest_stream(spark: SparkSession, root: str, checkpoint: str, sink: Callabl
     return files.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-_DOCUMENTS = "id long, organization_id int, source_type string, source_document_key string, title string, checksum_latest string, status string, deleted_at timestamp, created_at timestamp"
-_CHUNKS = "id long, organization_id int, document_id long, chunk_index int, chunk_text string"
-
-
-def catalog_sink(place: str, organization_id: int, source_type: str, now: Column) -> Callable[[DataFrame, int], None]:
-    """A sink for `ingest_stream` that brings the catalogue's documents and chunks up to date.
-
-    Batch n reads the snapshot of batch n - 1 and writes its own, place/documents/n and place/chunks/n; a batch
-    that is run again writes the same snapshot again."""
+def delta_sink(log: DocumentLog, organization_id: int, source_type: str, now: Column) -> Callable[[DataFrame, int], None]:
+    """A sink for `ingest_stream` that appends what a batch found to the log, and nothing else."""
 
     def sink(found: DataFrame, number: int) -> None:
-        spark = found.sparkSession
-
-        def before(name: str, schema: str) -> DataFrame:
-            return spark.read.schema(schema).parquet(f"{place}/{name}/{number - 1}") if number else spark.createDataFrame([], schema)
-
-        documents, chunks = before("documents", _DOCUMENTS), before("chunks", _CHUNKS)
         of_file = [F.lit(organization_id).alias("organization_id"), F.lit(source_type).alias("source_type"), F.col("path").alias("source_document_key")]
-        incoming = found.select(*of_file, "title", F.col("checksum").alias("checksum_latest")).distinct()
-        after = upsert_documents(incoming, documents, now)
-        after.drop("outcome").write.mode("overwrite").parquet(f"{place}/documents/{number}")
-        known = spark.read.schema(_DOCUMENTS).parquet(f"{place}/documents/{number}").select(F.col("id").alias("document_id"), "organization_id", F.col("source_document_key").alias("path"))
-        new = found.join(known, "path").select(numeric_id(F.col("document_id"), F.col("chunk_index")).alias("id"), "organization_id", "document_id", "chunk_index", F.col("content").alias("chunk_text"))
-        replace_chunks(chunks, new).write.mode("overwrite").parquet(f"{place}/chunks/{number}")
+        kept = found.persist()
+        documents = kept.select(*of_file, "title", F.col("checksum").alias("checksum_latest")).distinct()
+        log.append(number, documents, kept.select(*of_file, "chunk_index", F.col("content").alias("chunk_text")), now)
+        kept.unpersist()
 
     return sink
 

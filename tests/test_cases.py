@@ -9,6 +9,7 @@ from quillmark.functions import predicates as P, scalars as X
 from quillmark.operators import access as A, content as C, history as H, quality as Q
 from quillmark.sources import files as S
 from quillmark.streaming import streams as ST
+from quillmark.streaming.log import DocumentLog
 
 
 def test_chunks_break_at_the_strongest_boundary():
@@ -227,15 +228,22 @@ def test_scan_files_and_stream(spark, tmp_path):
 def test_stream_into_the_catalogue(spark, tmp_path):
     root, place, at = tmp_path / "files", str(tmp_path / "catalogue"), F.expr("TIMESTAMP '2024-01-01 00:00:00'")
     root.mkdir()
-    run = lambda: ST.ingest_stream(spark, str(root), str(tmp_path / "checkpoint"), ST.catalog_sink(place, 3, "local_folder", at), "*.txt").awaitTermination(90)
+    log = DocumentLog(spark, place, buckets=2)
+    run = lambda: ST.ingest_stream(spark, str(root), str(tmp_path / "checkpoint"), ST.delta_sink(log, 3, "local_folder", at), "*.txt").awaitTermination(90)
     (root / "a.txt").write_text("first words")
     run()
     (root / "b.txt").write_text("more words")
     run()
-    documents = spark.read.parquet(f"{place}/documents/1")
+    # a restart goes on where the stream was, with another log over the same folder
+    log = DocumentLog(spark, place)
+    documents, chunks = log.documents(), log.chunks()
     assert {(r["title"], r["status"], r["organization_id"]) for r in documents.collect()} == {("a", "ready", 3), ("b", "ready", 3)}
-    chunks = spark.read.parquet(f"{place}/chunks/1")
     assert {r["chunk_text"] for r in chunks.collect()} == {"first words", "more words"} and chunks.join(documents, chunks["document_id"] == documents["id"]).count() == 2
+    log.compact()
+    (root / "c.txt").write_text("last words")
+    run()
+    assert log.documents().count() == log.chunks().count() == 3 and log.catalogue.read("documents").count() == 2
+    assert sorted(p.name for p in (tmp_path / "catalogue" / "log" / "documents").glob("batch*")) == ["batch=0", "batch=1", "batch=2"]
 
 
 def test_silent_workers_stream(spark, tmp_path):
