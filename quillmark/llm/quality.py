@@ -280,9 +280,10 @@ def log_probabilities(gram: np.ndarray, arrays: Arrays) -> np.ndarray:
 def _log_perplexity(gram: np.ndarray, arrays: Arrays | None) -> float | None:
     if arrays is None or not len(gram) or not len(arrays[0]):
         return None
-    if not len(arrays[2]) and not _found(arrays[0], gram + _mark(ORDER))[1].all():
-        return None  # not a text that this model was made from
-    return -float(log_probabilities(gram, arrays).mean(dtype=np.float64))
+    at, known = _found(arrays[0], gram + _mark(ORDER))
+    if known.all():  # as in every text that the model was made from
+        return -float(arrays[1][at].mean(dtype=np.float64))
+    return -float(log_probabilities(gram, arrays).mean(dtype=np.float64)) if len(arrays[2]) else None
 
 
 def metrics(column: pa.Array, lang: list[str | None], models: dict[str, Arrays]) -> pa.StructArray:
