@@ -442,6 +442,29 @@ def append_history(t: Tables) -> DataFrame:
     return t.spark.read.parquet(place)
 
 
+def scanned_texts(t: Tables) -> DataFrame:
+    """A text file for each source, a line for each of its documents, scanned and read."""
+    place = f"{shared_folder(t.spark)}/{uuid.uuid4().hex}"
+    lines = t["documents"].select("source", "doc_id", F.concat(F.col("doc_id").cast("string"), F.lit(" "), F.md5("text")).alias("value"))
+    lines.repartition("source").sortWithinPartitions("source", "doc_id").select("source", "value").write.partitionBy("source").text(place)
+    files = S.scan_files(t.spark, place, [".TXT"])
+    read = C.read_text(files).select("path", "text", "rejected")
+    return files.join(read, "path").select(F.regexp_extract("key", "^source=([^/]+)/", 1).alias("source"), "size_bytes", "checksum", F.md5("text").alias("text_md5"), "rejected")
+
+
+def silent_workers(t: Tables) -> DataFrame:
+    """Of a stream of heartbeats in three batches: the silences that another heartbeat ended."""
+    place, beats = f"{shared_folder(t.spark)}/{uuid.uuid4().hex}", t["events"].select(F.col("user_id").alias("worker"), F.col("ts").cast("timestamp").alias("ts"))
+    for n, (low, high) in enumerate((("2000-01-01", "2024-01-10"), ("2024-01-10", "2024-01-20"), ("2024-01-20", "2100-01-01"))):
+        beats.filter(f"ts >= timestamp '{low}' and ts < timestamp '{high}'").coalesce(1).write.parquet(f"{place}/in/{n}")
+    stream = t.spark.readStream.schema(beats.schema).option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").option("maxFilesPerTrigger", 1).parquet(f"{place}/in")
+    query = ST.silent_workers(stream, 36 * 3600).writeStream.format("parquet").option("checkpointLocation", f"{place}/state").trigger(availableNow=True).start(f"{place}/out")
+    query.awaitTermination()
+    last = beats.groupBy("worker").agg(F.max("ts").alias("_last"))
+    told = t.spark.read.schema("worker long, last_seen timestamp, silent_from timestamp").parquet(f"{place}/out")
+    return told.join(last, "worker").filter("last_seen < _last").groupBy("worker").agg(F.count("*").alias("n_silences"), F.min(F.date_trunc("second", "last_seen").cast("string")).alias("first_seen"))
+
+
 def _catalogue(t: Tables) -> Catalogue:
     return Catalogue(t.spark, f"{shared_folder(t.spark)}/{uuid.uuid4().hex}")
 
@@ -831,6 +854,14 @@ SELECT doc_id, i AS chunk_index, substr(t, s + 1, e - s) AS content, e - s AS ch
         "WITH walk(path, depth, object_id, object_type) AS (SELECT name, 1, object_id, object_type FROM {tree} WHERE parent_tree_id = 0 UNION ALL SELECT concat(w.path, '/', t.name), w.depth + 1, t.object_id, t.object_type FROM walk w JOIN {tree} t ON t.parent_tree_id = w.object_id WHERE w.object_type = 'tree') SELECT path, CAST(depth AS BIGINT) AS depth, object_id, object_type FROM walk",
     ),
     "scan_files": (lambda t: S.scan_files(t.spark, t.sf_dir, [".PARQUET"]).select("key", "size_bytes"), None),
+    "scan_texts": (
+        scanned_texts,
+        """SELECT source, strlen(content) AS size_bytes, sha256(content) AS checksum, md5(content) AS text_md5, NULL AS rejected FROM (SELECT source, string_agg(concat(CAST(doc_id AS VARCHAR), ' ', md5(text), chr(10)), '' ORDER BY doc_id) AS content FROM {documents} GROUP BY source)""",
+    ),
+    "silent_workers": (
+        silent_workers,
+        """SELECT worker, count(*) AS n_silences, min(strftime(ts, '%Y-%m-%d %H:%M:%S')) AS first_seen FROM (SELECT user_id AS worker, ts, lead(ts) OVER (PARTITION BY user_id ORDER BY ts) AS after FROM {events}) WHERE epoch_ms(after) - epoch_ms(ts) > 129600000 GROUP BY worker""",
+    ),
     "append_history": (
         append_history,
         """SELECT run_id, item_id, status, n FROM {run_items} CROSS JOIN (SELECT 1 AS n UNION ALL SELECT 2 AS n)""",
