@@ -217,7 +217,6 @@ def exact_counts(texts: DataFrame, bitmaps: list[Broadcast]) -> DataFrame:
         return found.rename_columns({"n_sum": "n"}).select(["lang", "size", "phrase", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pa.set_memory_pool(pa.system_memory_pool())  # the default one keeps what was freed
         numbers: dict[str, int] = {}  # of the task's languages
 
         def rows(lang: np.ndarray, size: int, phrases: pa.Array, n: np.ndarray) -> pa.Table:
@@ -228,7 +227,9 @@ def exact_counts(texts: DataFrame, bitmaps: list[Broadcast]) -> DataFrame:
             for part in found.to_batches(100_000):
                 yield pa.RecordBatch.from_arrays([names.take(part.column(0)), *part.columns[1:]], names=part.schema.names)
 
-        held, size_held = [], 0
+        # words and longer phrases are held apart: words are few, and soon all known
+        held: list[list[pa.Table]] = [[] for _ in shared]
+        rows_held = [0 for _ in shared]
         for batch in batches:
             langs = batch.column(1).to_pylist()
             seeds = _seeds(langs)
@@ -238,21 +239,21 @@ def exact_counts(texts: DataFrame, bitmaps: list[Broadcast]) -> DataFrame:
                     continue
                 own = slice(first, first + int(words.row[-1]) + 1)
                 row, n = np.unique(words.row, return_counts=True)
-                found = [rows(number[own][row], 0, pa.array([""] * len(row)), n)]
-                for size, bitmap in enumerate(shared, 1):
-                    value, at = _kept(words, size, seeds[own], [b.value for b in shared])
+                held[0].append(rows(number[own][row], 0, pa.array([""] * len(row)), n))
+                for i, bitmap in enumerate(shared):
+                    value, at = _kept(words, i + 1, seeds[own], [b.value for b in shared])
                     at = at[_has(bitmap.value, value)]
-                    found.append(rows(number[own][words.row[at]], size, _strings(data, words.start[at], words.end[at + size - 1]), np.ones(len(at))))
-                held.append(summed(found))
-                size_held += len(held[-1])
-            if size_held > HELD:
-                held = [summed(held)]
-                size_held = len(held[0])
-                if size_held > 3 * HELD // 4:
-                    yield from out(held[0])
-                    held, size_held = [], 0
-        if held:
-            yield from out(summed(held))
+                    held[i].append(summed([rows(number[own][words.row[at]], i + 1, _strings(data, words.start[at], words.end[at + i]), np.ones(len(at)))]))
+                    rows_held[i] += len(held[i][-1])
+                    if rows_held[i] > HELD // 2:
+                        held[i] = [summed(held[i])]
+                        rows_held[i] = len(held[i][0])
+                        if rows_held[i] > HELD // 4:
+                            yield from out(held[i][0])
+                            held[i], rows_held[i] = [], 0
+        for some in held:
+            if some:
+                yield from out(summed(some))
 
     return texts.mapInArrow(run, "lang string, size int, phrase string, n long").groupBy("lang", "size", "phrase").agg(F.sum("n").alias("n"))
 
