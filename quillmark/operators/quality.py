@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window, functions as F
 
 from quillmark.functions.scalars import collision_key
+from quillmark.storage import cut
 
 TREE_ENTRIES = 1000
 # Keys and shapes that must not stand in stored metadata.
@@ -66,6 +67,38 @@ def scan_unsafe_json(df: DataFrame, column: str) -> DataFrame:
     return df.withColumn("unsafe", c.rlike(_KEYS) | c.rlike(_VALUES))
 
 
+#: The shapes of a string by itself.
+_SHAPES = r"(?i:bearer |password=|secret=|api_key=)|-----BEGIN |Traceback \(most recent call last\)|^(/|[A-Za-z]:(\\|/))"
+MAX_JSON_DEPTH = 64
+
+
+def json_faults(df: DataFrame, key: str, column: str) -> DataFrame:
+    """(key, path, fault) of each forbidden key and each string of a forbidden shape, at any depth.
+
+    Values are walked as variants, a level in each round; only objects and arrays go on to the next.  What isn't JSON has
+    no path, and is `text` if `scan_unsafe_json` finds it unsafe."""
+    spark = df.sparkSession
+    parsed = df.select(F.col(key).alias("_row"), F.col(column).alias("_text"), F.try_parse_json(F.col(column)).alias("_v"))
+    raw = scan_unsafe_json(parsed.filter("_v is null and _text is not null"), "_text").filter("unsafe").select("_row", F.lit(None).cast("string").alias("path"), F.lit("text").alias("fault"))
+    is_text = lambda c: F.schema_of_variant(c) == "STRING"
+    shape = lambda c: is_text(c) & F.try_variant_get(c, "$", "string").rlike(_SHAPES)
+    out = raw.unionByName(parsed.filter(shape(F.col("_v"))).select("_row", F.lit("$").alias("path"), F.lit("value").alias("fault")))
+    level = parsed.filter("_v is not null").select("_row", F.lit("$").alias("path"), F.to_json("_v").alias("_json"))
+    for _ in range(MAX_JSON_DEPTH):
+        nodes = level.withColumn("_v", F.parse_json("_json")).select("_row", "path", "_v")
+        parts = nodes.lateralJoin(spark.tvf.variant_explode(F.col("_v").outer()))
+        at = F.concat("path", F.when(F.col("key").isNull(), F.concat(F.lit("["), F.col("pos").cast("string"), F.lit("]"))).otherwise(F.concat(F.lit("."), F.col("key"))))
+        names = F.when(F.lower("key").isin(*FORBIDDEN_KEYS), F.lit("key"))
+        faults = F.array_compact(F.array(names, F.when(shape(F.col("value")), F.lit("value"))))
+        kind = F.schema_of_variant("value")
+        found = cut(parts.select("_row", at.alias("path"), faults.alias("faults"), F.when(kind.startswith("OBJECT") | kind.startswith("ARRAY"), F.to_json("value")).alias("_json")).filter("size(faults) > 0 or _json is not null"))
+        out = out.unionByName(found.select("_row", "path", F.explode("faults").alias("fault")))
+        level = found.filter("_json is not null").select("_row", "path", "_json")
+        if level.isEmpty():
+            break
+    return out.withColumnRenamed("_row", key)
+
+
 def check_tree(entries: DataFrame) -> DataFrame:
     """(parent_tree_id, n_entries, n_duplicates, n_collisions, accepted) of each tree page."""
     keyed = entries.withColumn("_key", collision_key("name"))
