@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, functions as F
 
 from quillmark.functions import predicates as P
-from quillmark.operators import access as A, permissions as R, search as S
+from quillmark.operators import access as A, permissions as R, search as S, vector_index as V
 from quillmark.plans.fixtures import AS_OF, Tables
+from quillmark.storage import shared_folder
 
 DIMENSIONS, K = 64, 10
 _VALID = f"granted_at <= {AS_OF} AND (expires_at IS NULL OR expires_at > {AS_OF}) AND revoked_at IS NULL"
@@ -135,6 +138,15 @@ def vector_topk(t: Tables) -> DataFrame:
     return near.select("vec_id", F.round("distance", 6).alias("distance"), F.round("similarity", 6).alias("similarity"))
 
 
+def indexed_topk(t: Tables) -> DataFrame:
+    """The same by blocks around pivots."""
+    query = t["embeddings"].filter("vec_id = 0").first()["embedding"]
+    place = f"{shared_folder(t.spark)}/{uuid.uuid4().hex}"
+    V.build_index(t["embeddings"], place, key="vec_id")
+    near = V.indexed_topk(t.spark, place, query, K, key="vec_id").rows
+    return near.select("vec_id", F.round("distance", 6).alias("distance"), F.round("similarity", 6).alias("similarity"))
+
+
 def vector_topk_batch(t: Tables) -> DataFrame:
     return S.vector_topk_batch(t["chunks"], t["requests"], K).select("organization_id", "user_id", "chunk_id", "rank", F.round("distance", 6).alias("distance"))
 
@@ -149,8 +161,11 @@ def owned_ids(t: Tables) -> DataFrame:
     return A.owned_ids(t["spaces"], wanted)
 
 
+_NEAREST = f"SELECT vec_id, {_distance('embedding', 'q')} AS distance, round(1 - {_distance('embedding', 'q')}, 6) AS similarity FROM {{embeddings}} CROSS JOIN (SELECT embedding AS q FROM {{embeddings}} WHERE vec_id = 0) ORDER BY 1.0 - list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(q AS DOUBLE[])), vec_id LIMIT {K}"
+
 QUERIES = {
-    "vector_topk": (vector_topk, f"SELECT vec_id, {_distance('embedding', 'q')} AS distance, round(1 - {_distance('embedding', 'q')}, 6) AS similarity FROM {{embeddings}} CROSS JOIN (SELECT embedding AS q FROM {{embeddings}} WHERE vec_id = 0) ORDER BY 1.0 - list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(q AS DOUBLE[])), vec_id LIMIT {K}"),
+    "vector_topk": (vector_topk, _NEAREST),
+    "indexed_topk": (indexed_topk, _NEAREST),
     "vector_topk_batch": (
         vector_topk_batch,
         f"""SELECT organization_id, user_id, chunk_id, rank, round(d, 6) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY organization_id, user_id ORDER BY d, chunk_id) AS rank FROM

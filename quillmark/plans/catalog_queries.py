@@ -358,10 +358,13 @@ def embedding_results(t: Tables) -> DataFrame:
     return Q.check_embedding_results(asked, got.unionByName(again), 64, "m1")
 
 
-def unsafe_json(t: Tables) -> DataFrame:
+def _odd_json(t: Tables) -> DataFrame:
     n = F.col("event_id")
-    odd = t["events"].select("event_id", F.when(n % 6 == 0, F.concat(F.lit('{"a": {"Token" : 1}, "b": '), "props", F.lit("}"))).when(n % 10 == 1, F.lit('{"note": "uses password=x"}')).when(n % 10 == 3, F.lit('{"where": ["x", "/etc/hosts"]}')).when(n % 10 == 5, F.lit('{"tok\\u0065n": 1}')).when(n % 10 == 7, F.lit('{"note": "no traceback (most recent call last) here, nor -----begin "}')).when(n % 10 == 9, F.lit('["C:\\\\x"]')).otherwise(F.col("props")).alias("props"))
-    return Q.scan_unsafe_json(odd, "props").select("event_id", "unsafe")
+    return t["events"].select("event_id", F.when(n % 6 == 0, F.concat(F.lit('{"a": {"Token" : 1}, "b": '), "props", F.lit("}"))).when(n % 10 == 1, F.lit('{"note": "uses password=x"}')).when(n % 10 == 3, F.lit('{"where": ["x", "/etc/hosts"]}')).when(n % 10 == 5, F.lit('{"tok\\u0065n": 1}')).when(n % 10 == 7, F.lit('{"note": "no traceback (most recent call last) here, nor -----begin "}')).when(n % 10 == 9, F.lit('["C:\\\\x"]')).otherwise(F.col("props")).alias("props"))
+
+
+def unsafe_json(t: Tables) -> DataFrame:
+    return Q.scan_unsafe_json(_odd_json(t), "props").select("event_id", "unsafe")
 
 
 def heartbeats(t: Tables) -> DataFrame:
@@ -885,6 +888,10 @@ SELECT doc_id, i AS chunk_index, substr(t, s + 1, e - s) AS content, e - s AS ch
         unsafe_json,
         """SELECT event_id, event_id % 6 = 0 OR event_id % 10 IN (1, 3, 5, 9) AS unsafe FROM {events}""",
     ),
+    "json_faults": (
+        lambda t: Q.json_faults(_odd_json(t), "event_id", "props"),
+        """SELECT event_id, CASE WHEN event_id % 6 = 0 THEN '$.a.Token' WHEN event_id % 10 = 1 THEN '$.note' WHEN event_id % 10 = 3 THEN '$.where[1]' WHEN event_id % 10 = 5 THEN '$.token' ELSE '$[0]' END AS path, CASE WHEN event_id % 6 = 0 OR event_id % 10 = 5 THEN 'key' ELSE 'value' END AS fault FROM {events} WHERE event_id % 6 = 0 OR event_id % 10 IN (1, 3, 5, 9)""",
+    ),
     "check_tree": (
         lambda t: Q.check_tree(t["tree_names"]),
         """SELECT parent_tree_id, CAST(sum(n) AS BIGINT) AS n_entries, CAST(sum(n - d) AS BIGINT) AS n_duplicates, CAST(sum(d - 1) AS BIGINT) AS n_collisions, sum(n - d) = 0 AND sum(d - 1) = 0 AND sum(n) <= 1000 AS accepted FROM (SELECT parent_tree_id, lower(name) AS k, count(*) AS n, count(DISTINCT name) AS d FROM {tree_names} GROUP BY 1, 2) GROUP BY 1""",
