@@ -3,7 +3,8 @@
 A text's canonical form is in lower case, without copyright lines (those about holders, with or without
 comment marks before them), with runs of punctuation and blanks as one space, and with equivalent spellings
 made one; line breaks don't matter to the whole.  The digest of a whole text is joined to the digests of
-known licences.  The digests of its short lines are looked up in the row, which finds licence notices of one
+known licences, and so are those of the text without its first one and two lines, where these are short and name
+a licence, as titles do.  The digests of its short lines are looked up in the row, which finds licence notices of one
 line.  The known licences are a fixed list: that is the bound of what is broadcast.
 
 Null and empty texts, and texts of nothing but copyright lines, match nothing.  Each row is judged by itself,
@@ -181,14 +182,25 @@ def _lines(form: Column) -> Column:
     return F.filter(F.transform(F.split(form, "\n"), lambda x: F.btrim(x)), lambda x: x != "")
 
 
-def wordings(known=KNOWN, texts=TEXTS) -> list[tuple[str, str]]:
-    """(license, text) of notices and of entire licences with and without their titles."""
-    return [*known, *((k, x) for k, title, text in texts for x in (text, f"{title}\n\n{text}"))]
+def identifiers(known=KNOWN, texts=TEXTS, digests=DIGESTS) -> list[str]:
+    """The names of all known licences, and of those of the GNU family their two kinds."""
+    names = {x[0].removesuffix("-only") for x in (*known, *texts, *digests)}
+    return sorted(names | {f"{x}-{kind}" for x in names if "GPL" in x for kind in ("only", "or-later")})
+
+
+def wordings(known=KNOWN, texts=TEXTS, digests=DIGESTS) -> list[tuple[str, str]]:
+    """(license, text) of notices, of identifiers as they stand in sources, and of entire licences with and without their titles."""
+    tagged = [(x, f"SPDX-License-Identifier: {x}") for x in identifiers(known, texts, digests)] if known else []
+    return list(dict.fromkeys([*known, *tagged, *((k, x) for k, title, text in texts for x in (text, f"{title}\n\n{text}"))]))
+
+
+#: The most canonical characters of a title line, and the most of such lines.
+TITLE, TITLES = 80, 2
 
 
 def known_digests(spark, known=KNOWN, texts=TEXTS, digests=DIGESTS) -> DataFrame:
     """(digest, license, length): a row for each distinct wording; length is that of its canonical form."""
-    rows = F.explode(F.array(*[F.struct(F.lit(k).alias("license"), F.lit(v).alias("text")) for k, v in wordings(known, texts)])).alias("k")
+    rows = F.explode(F.array(*[F.struct(F.lit(k).alias("license"), F.lit(v).alias("text")) for k, v in wordings(known, texts, digests)])).alias("k")
     form = F.array_join(_lines(canonical(F.col("k.text"))), " ")
     out = spark.range(1).select(rows).select(F.sha2(form, 256).alias("digest"), F.col("k.license").alias("license"), F.char_length(form).alias("length"))
     if digests:
@@ -209,11 +221,16 @@ def scan_licenses(docs: DataFrame, known=KNOWN, texts=TEXTS, digests=DIGESTS) ->
     lines = docs.select("doc_id", _lines(canonical(F.col("text"))).alias("lines"))
     short = F.filter("lines", lambda x: F.char_length(x) <= NOTICE)
     found = F.filter(F.transform(short, lambda x: F.sha2(x, 256)), lambda h: h.isin(list(listed))) if listed else F.array().cast("array<string>")
-    hashed = lines.select("doc_id", F.sha2(F.array_join("lines", " "), 256).alias("digest"), found.alias("found"))
+    # the whole, and what follows the first titles
+    titled = lambda n: F.forall(F.slice("lines", 1, n), lambda x: (F.char_length(x) <= TITLE) & F.contains(x, F.lit("license"))) & (F.size("lines") > n)
+    whole = [F.when(titled(n), F.sha2(F.array_join(F.slice("lines", n + 1, 1 << 30), " "), 256)).alias(f"digest{n}") for n in range(1, TITLES + 1)]
+    hashed = lines.select("doc_id", F.sha2(F.array_join("lines", " "), 256).alias("digest0"), *whole, found.alias("found"))
     names = F.create_map(*[F.lit(x) for pair in listed.items() for x in pair]) if listed else F.create_map(F.lit(""), F.lit(""))
     notices = F.array_join(F.array_sort(F.array_distinct(F.transform("found", lambda h: F.element_at(names, h)))), ",")
-    out = hashed.join(F.broadcast(digests_.select("digest", "license")), "digest", "left")
-    return out.select("doc_id", "license", F.size("found").cast("long").alias("n_notices"), notices.alias("notices"))
+    out = hashed
+    for n in range(TITLES + 1):
+        out = out.join(F.broadcast(digests_.select(F.col("digest").alias(f"digest{n}"), F.col("license").alias(f"license{n}"))), f"digest{n}", "left")
+    return out.select("doc_id", F.coalesce(*[f"license{n}" for n in range(TITLES + 1)]).alias("license"), F.size("found").cast("long").alias("n_notices"), notices.alias("notices"))
 
 
 def op2_licenses(spark, sf_dir: str) -> DataFrame:
@@ -248,6 +265,8 @@ each AS (SELECT r, unnest(lines) AS line FROM lines),
 notices AS (
   SELECT r, count(*) AS n_notices, array_to_string(list_sort(list_distinct(list(license))), ',') AS notices
   FROM each JOIN known ON sha256(line) = digest AND n BETWEEN 1 AND {NOTICE} GROUP BY r)
-SELECT l.doc_id, k.license, CAST(coalesce(n.n_notices, 0) AS BIGINT) AS n_notices, coalesce(n.notices, '') AS notices
+SELECT l.doc_id, coalesce(k.license, k1.license, k2.license) AS license, CAST(coalesce(n.n_notices, 0) AS BIGINT) AS n_notices, coalesce(n.notices, '') AS notices
 FROM lines l LEFT JOIN known k ON sha256(array_to_string(l.lines, ' ')) = k.digest LEFT JOIN notices n ON n.r = l.r
+LEFT JOIN known k1 ON len(l.lines) > 1 AND len(list_filter(l.lines[1:1], lambda x: length(x) <= {TITLE} AND contains(x, 'license'))) = 1 AND sha256(array_to_string(l.lines[2:], ' ')) = k1.digest
+LEFT JOIN known k2 ON len(l.lines) > 2 AND len(list_filter(l.lines[1:2], lambda x: length(x) <= {TITLE} AND contains(x, 'license'))) = 2 AND sha256(array_to_string(l.lines[3:], ' ')) = k2.digest
 """

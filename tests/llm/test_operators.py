@@ -114,6 +114,29 @@ def test_licenses_judge_each_row(spark):
     assert got == sorted([(1, 0, ""), (1, 1, "MIT"), (None, 1, "MIT"), (None, 0, ""), (2, 2, "CC0-1.0"), (2, 2, "CC0-1.0")], key=repr)
 
 
+def test_licenses_in_the_forms_people_ship(spark, tmp_path):
+    import duckdb
+
+    forms, want = [], []
+    for name, title, text in licenses.TEXTS:
+        holder = "Copyright (c) 2019-2024, Somebody Else and others. All rights reserved."
+        for form in (text, f"{title}\n\n{holder}\n\n{text}", f"The {title} ({name})\n\n{holder}\n\n{text}", f"License\n=======\n\nThe {title}\n{holder}\n{text}", f"/*\n * {title}\n *\n * {holder}\n *\n" + "\n".join(f" * {x}" for x in text.split("\n")) + "\n */", text.replace("\n", "\r\n"), text.replace(" ", "  ")):
+            forms.append(form)
+            want.append(name)
+    named = [f"code();\n// SPDX-License-Identifier: {x}\nmore();" for x in licenses.identifiers()]
+    rows = [(i, x, "c") for i, x in enumerate([*forms, *named, "License\nThe MIT License\nbut not its text", "License", "MIT License"])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, digest0 string")
+    got = {r["doc_id"]: (r["license"], r["n_notices"], r["notices"]) for r in licenses.scan_licenses(docs).collect()}
+    assert [got[i][0] for i in range(len(forms))] == want
+    assert [got[len(forms) + i] for i in range(len(named))] == [(None, 1, x) for x in licenses.identifiers()]
+    assert {"GPL-3.0-only", "GPL-2.0-or-later", "BSD-3-Clause", "MIT", "MPL-2.0"} <= set(licenses.identifiers())
+    assert all(got[len(rows) - i][0] is None for i in (1, 2, 3))
+    docs.write.parquet(str(tmp_path / "documents"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents/*.parquet'")
+    assert {r[0]: r[1:] for r in con.execute(f"SELECT doc_id, license, n_notices, notices FROM ({licenses.op2_sql()})").fetchall()} == got
+
+
 def test_licenses_against_published_texts(spark):
     known = {"GPL-3": "GPL-3.0", "MPL-2.0": "MPL-2.0", "Apache-2.0": "Apache-2.0", "CC0-1.0": "CC0-1.0"}
     place = Path("/usr/share/common-licenses")
