@@ -17,7 +17,7 @@ from quillmark.operators.quality import check_rows
 _JOB_ENDS = ("succeeded", "failed", "cancelled")
 
 # What is stated of each table.  filled: not blank; codes, slugs, profiles: of these forms; one_of: of these
-# values; positive, natural: numbers; ordered: the first not after the second; timed: set if and only if the status is the
+# values; positive, natural: numbers; ordered: the first not after the second; before: the first before the second; timed: set if and only if the status is the
 # named one; paired: both null or neither; needs: set only if the other is.
 STATED: dict[str, dict] = {
     "organizations": {"filled": ["name"], "one_of": {"status": ("active", "suspended", "archived")}},
@@ -67,6 +67,27 @@ STATED: dict[str, dict] = {
     "snapshots": {"one_of": {"status": ("building", "complete", "stale", "failed"), "inheritance_completeness": ("unknown", "partial", "complete")}, "ordered": [("captured_at", "completed_at")], "more": {"complete_has_time": "status <> 'complete' or completed_at is not null"}},
     "acl_entries": {"one_of": {"effect": ("allow", "deny"), "permission_level": ("unknown", "read", "write", "owner")}, "more": {"deny_grants_nothing": "effect <> 'deny' or not grants_read"}},
     "docs": {"filled": ["title", "source_type", "source_document_key", "checksum_latest"], "one_of": {"status": ("pending", "processing", "ready", "failed")}, "ordered": [("created_at", "deleted_at")]},
+    "departments": {"filled": ["name"], "codes": ["code"], "slugs": ["slug"], "one_of": {"status": ("active", "inactive", "archived")}, "timed": {"archived_at": "archived"}, "more": {"no_own_parent": "parent_department_id <> id"}},
+    "teams": {"filled": ["name"], "slugs": ["slug"], "one_of": {"status": ("active", "inactive", "archived")}, "timed": {"archived_at": "archived"}},
+    "spaces": {"filled": ["name"], "slugs": ["slug"], "one_of": {"status": ("draft", "active", "archived")}, "timed": {"archived_at": "archived"}},
+    **{f"{kind}_grants": {"one_of": {"permission_level": ("viewer", "contributor", "manager")}, "before": [("granted_at", "expires_at")], "ordered": [("granted_at", "revoked_at")]} for kind in ("organization", "department", "team", "user")},
+    **{f"{kind}_memberships": {"one_of": {"status": ("active", "suspended", "revoked")}, "before": [("effective_from", "expires_at")], "ordered": [("effective_from", "revoked_at")], "timed": {"revoked_at": "revoked"}} for kind in ("department", "team")},
+    "settings": {"between": {"retention_days": (1, 3650)}, "filled": ["ai_model_name"]},
+    "roles": {"filled": ["name"]},
+    "runs": {
+        "one_of": {"mode": ("initial", "incremental", "retry", "reconciliation"), "trigger_type": ("manual", "scheduled", "webhook", "retry", "system"), "status": ("queued", "running", "cancelling", "cancelled", "completed", "completed_with_errors", "failed")},
+        "ordered": [("started_at", "finished_at"), ("started_at", "heartbeat_at"), ("started_at", "cancel_requested_at")], "filled": ["error_summary"], "paired": [("sync_job_id", "job_attempt_number")], "positive": ["job_attempt_number"], "needs": [("cancel_requested_at", "started_at")],
+        "natural": [f"items_{x}" for x in ("discovered", "new", "changed", "unchanged", "deleted", "skipped", "succeeded", "failed")],
+        "more": {
+            "queued_is_new": "status <> 'queued' or (started_at is null and finished_at is null)", "open_has_begun": "status not in ('running', 'cancelling') or (started_at is not null and finished_at is null)",
+            "ended_has_times": "status in ('queued', 'running', 'cancelling') or (started_at is not null and finished_at is not null)", "cancelling_was_asked": "status <> 'cancelling' or cancel_requested_at is not null", "no_own_parent": "parent_run_id <> id",
+        },
+    },
+    "errors": {"filled": ["message"], "codes": ["error_code"], "positive": ["attempt_number"], "ordered": [("occurred_at", "retry_after_at"), ("occurred_at", "resolved_at")]},
+    "audit_events": {
+        "one_of": {"actor_type": ("user", "system", "service"), "outcome": ("success", "failure", "denied")}, "filled": ["action", "resource_type", "reason", "request_id", "actor_reference"], "positive": ["schema_version"],
+        "more": {"user_is_named": "(actor_type = 'user') = (actor_user_id is not null)", "other_has_reference": "actor_type = 'user' or actor_reference is not null"},
+    },
     "chunks": {"natural": ["chunk_index", "token_count"], "filled": ["chunk_text", "embedding_model"], "paired": [("embedding", "embedding_model")]},
 }
 
@@ -99,6 +120,8 @@ def rules_of(table: str, columns: Sequence[str]) -> dict[str, str]:
         rule(f"{c}_in_range", f"{c} between {low} and {high}", c)
     for a, b in stated.get("ordered", ()):
         rule(f"{a}_then_{b}", f"{a} <= {b}", a, b)
+    for a, b in stated.get("before", ()):
+        rule(f"{a}_before_{b}", f"{a} < {b}", a, b)
     for c, status in stated.get("timed", {}).items():
         rule(f"{c}_if_{status}", f"(status = '{status}') = ({c} is not null)", c, "status")
     for a, b in stated.get("paired", ()):

@@ -324,6 +324,12 @@ _RULED = {
     "index_states": ["profile_fingerprint", "embedding_model", "embedding_dimensions", "desired_generation", "indexed_generation", "status", "reason", "attempt_count", "next_retry_at"],
     "attempts": ["attempt_number", "trigger_type", "status", "started_at", "completed_at", "error_category", "error_code"],
     "acl_entries": ["effect", "permission_level", "grants_read"],
+    "departments": ["id", "status"],
+    "teams": ["status"],
+    "spaces": ["status"],
+    **{f"{kind}_grants": ["granted_at", "expires_at", "revoked_at"] for kind in ("organization", "department", "team", "user")},
+    **{f"{kind}_memberships": ["status", "effective_from", "expires_at", "revoked_at"] for kind in ("department", "team")},
+    "roles": ["name"],
     "edges": ["lifecycle", "first_seen_generation", "last_seen_generation", "group_principal_id", "member_principal_id"],
     "docs": ["title", "source_type", "source_document_key", "checksum_latest", "status", "deleted_at", "created_at"],
     "chunks": ["chunk_index", "chunk_text", "embedding", "embedding_model"],
