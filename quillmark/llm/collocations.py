@@ -37,7 +37,7 @@ SCALE = 1_000_000
 #: Bits of a bitmap: 16 for each phrase, and at most 32 MB.
 BITS_A_PHRASE, LEAST_BITS, MAX_BITS = 16, 1 << 16, 1 << 28
 #: Different phrases that a task holds while it counts; beyond that it sends on what it has.
-HELD = 1_000_000
+HELD = 600_000
 #: Bytes of texts that are cut into words at a time.
 PIECE_BYTES = 1 << 19
 
