@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from quillmark.functions import predicates as P
 from quillmark.operators import access as A, permissions as R, search as S, vector_index as V
 from quillmark.plans.fixtures import AS_OF, Tables
-from quillmark.storage import shared_folder
+from quillmark.storage import cut, few, shared_folder
 
 DIMENSIONS, K = 64, 10
 _VALID = f"granted_at <= {AS_OF} AND (expires_at IS NULL OR expires_at > {AS_OF}) AND revoked_at IS NULL"
@@ -105,8 +105,10 @@ def _lists(t: Tables) -> R.AccessLists:
 
 
 def _access(t: Tables) -> R.ClassAccess:
-    named = A.named_grants(t["users"], _grants(t), *_units(t), now())
-    return R.class_access(_paths(t), t["users"], A.tenant_grants(t["organization_grants"], now()), named, _named(t), _lists(t))
+    paths = cut(_paths(t))
+    spaces = few(paths.select("organization_id", "knowledge_space_id").distinct())
+    named = A.named_grants(t["users"], _grants(t), *_units(t), now(), spaces)
+    return R.class_access(paths, t["users"], A.tenant_grants(t["organization_grants"], now()), named, _named(t), _lists(t))
 
 
 def _authorized(t: Tables) -> DataFrame:
