@@ -44,30 +44,31 @@ def silent_workers(heartbeats: DataFrame, ttl_seconds: int, delay: str = "1 minu
     """(worker, last_seen, silent_from) of every stretch in which a worker sent nothing for the time to live.
 
     heartbeats: worker, ts.  State is one time for each worker.  A stretch is told when the watermark has passed it,
-    or when the worker's next heartbeat comes before that."""
+    or when the worker's next heartbeat comes before that.  Times are told to the microsecond and compared in whole
+    milliseconds, as watermarks are; they are numbers in the state, so that no session's time zone matters."""
+    ttl = ttl_seconds * 1000
 
     def silences(worker: int, times: list[int]) -> pd.DataFrame:
-        seen = pd.to_datetime(pd.Series(times, dtype="int64"), unit="ms")
-        return pd.DataFrame({"worker": [worker] * len(times), "last_seen": seen, "silent_from": seen + pd.Timedelta(seconds=ttl_seconds)})
+        return pd.DataFrame({"worker": [worker] * len(times), "last_seen": pd.Series(times, dtype="int64")})
 
     def watch(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        ttl = ttl_seconds * 1000
         if state.hasTimedOut:
             (last,) = state.get
             state.remove()
             yield silences(key[0], [last])
             return
-        times = sorted(int(x.timestamp() * 1000) for pdf in batches for x in pdf["ts"])
+        times = sorted(int(x) for pdf in batches for x in pdf["us"])
         if state.exists:
             times = [state.get[0], *[x for x in times if x > state.get[0]]]
-        over = [a for a, b in zip(times[:-1], times[1:], strict=True) if b - a > ttl]
+        over = [a for a, b in zip(times[:-1], times[1:], strict=True) if b // 1000 - a // 1000 > ttl]
         if over:
             yield silences(key[0], over)
         state.update((times[-1],))
-        state.setTimeoutTimestamp(max(times[-1] + ttl, state.getCurrentWatermarkMs() + 1))
+        state.setTimeoutTimestamp(max(times[-1] // 1000 + ttl, state.getCurrentWatermarkMs() + 1))
 
-    marked = heartbeats.select("worker", F.col("ts").cast("timestamp").alias("ts")).withWatermark("ts", delay)
-    return marked.groupBy("worker").applyInPandasWithState(watch, "worker long, last_seen timestamp, silent_from timestamp", "last long", "append", GroupStateTimeout.EventTimeTimeout)
+    marked = heartbeats.select("worker", F.col("ts").cast("timestamp").alias("ts")).withWatermark("ts", delay).withColumn("us", F.unix_micros("ts"))
+    told = marked.groupBy("worker").applyInPandasWithState(watch, "worker long, last_seen long", "last long", "append", GroupStateTimeout.EventTimeTimeout)
+    return told.select("worker", F.timestamp_micros("last_seen").alias("last_seen"), F.timestamp_micros(F.col("last_seen") + ttl * 1000).alias("silent_from"))
 
 
 def silence_gaps(heartbeats: DataFrame, ttl_seconds: int) -> DataFrame:
