@@ -43,7 +43,7 @@ class DocumentLog:
 
         Chunks are written first: a batch counts when its documents are whole."""
         chunks.write.mode("overwrite").parquet(f"{self.root}/log/chunks/batch={number}")
-        documents.withColumn("created_at", now.cast("timestamp")).coalesce(1).write.mode("overwrite").parquet(f"{self.root}/log/documents/batch={number}")
+        documents.withColumn("created_at", now.cast("timestamp")).write.mode("overwrite").parquet(f"{self.root}/log/documents/batch={number}")
 
     def folded(self, number: int | None = None) -> int:
         return self.catalogue.read("folded", number).first()["batch"]

@@ -74,3 +74,12 @@ def test_half_a_batch_is_not_read(spark, tmp_path):
     assert log.folded() == 0
     batch(spark, log, 1, {"a": ("later", ["z"])})
     assert seen(log)[1] == [("a", 0, "z")]
+
+
+def test_texts_of_a_batch_are_read_by_many_tasks(spark, tmp_path):
+    log = DocumentLog(spark, str(tmp_path), buckets=2)
+    rows = spark.range(0, 400, 1, 4).select(F.lit(1).alias("organization_id"), F.lit("local_folder").alias("source_type"), F.concat(F.lit("k"), "id").alias("source_document_key"))
+    documents = rows.select("*", F.lit("t").alias("title"), F.md5("source_document_key").alias("checksum_latest"))
+    log.append(0, documents, rows.select("*", F.lit(0).alias("chunk_index"), F.lit("x").alias("chunk_text")), F.expr("TIMESTAMP '2024-01-01 00:00:00'"))
+    assert len(list((Path(tmp_path) / "log" / "documents" / "batch=0").glob("*.parquet"))) == 4
+    assert log.documents().count() == 400
