@@ -13,7 +13,11 @@ from quillmark.storage import cut, few
 
 #: Vectors of a tenant's chunks and of its requests that meet in one matrix product.
 CHUNK_BLOCK, REQUEST_BLOCK = 8192, 1024
-#: Requests of a block that are multiplied at a time.
+#: Bytes of a block's vectors where all requests meet all chunks of a tenant: the larger the blocks, the fewer copies.
+BLOCK_BYTES = 32 << 20
+#: A large tenant's requests are in so many blocks at least, so that tasks share them.
+LEAST_BLOCKS = 4
+#: Requests of a block that are multiplied at a time, with CHUNK_BLOCK chunks; fewer with more.
 REQUEST_ROWS = 256
 #: Distances this near the k-th are computed again, row by row, so that equal vectors tie exactly.
 TIE = 1e-9
@@ -84,10 +88,11 @@ def _best(left: pa.Table, right: pa.Table, k: int, permitted: np.ndarray | None
     queries, embeddings = right["query"].combine_chunks(), left["embedding"].combine_chunks()
     order = pa.compute.rank(left["chunk_id"].combine_chunks(), tiebreaker="first").to_numpy()
     widths = queries.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    step = max(1, REQUEST_ROWS * CHUNK_BLOCK // max(len(embeddings), CHUNK_BLOCK))
     for width in np.unique(widths):
         q, asks = _matrix(queries, int(width))
         c, has = _matrix(embeddings, int(width))
-        for some in np.split(mine := np.flatnonzero(widths == width), range(REQUEST_ROWS, len(mine), REQUEST_ROWS)):
+        for some in np.split(mine := np.flatnonzero(widths == width), range(step, len(mine), step)):
             all_ = 1.0 - q[some] @ c.T
             all_[:, ~has] = np.inf
             all_[~asks[some]] = np.inf
@@ -109,14 +114,18 @@ def vector_topk_batch(chunks: DataFrame, queries: DataFrame, k: int) -> DataFram
 
     Every request meets every chunk of its tenant, as exact search must; they meet in blocks, whose distances are
     one matrix product, and only each block's k nearest leave it.  A large tenant has many blocks, so it isn't one
-    task's.  Sizes are a row for each tenant and model, broadcast if they are few.
+    task's.  A vector goes to each block of the other side, so blocks are as large as BLOCK_BYTES lets them be.
+    Sizes are a row for each tenant and model, broadcast if they are few.
     """
     check_limit(k, 1, 100)
     keys = ["organization_id", "embedding_model"]
     own = chunks.filter(F.col("embedding").isNotNull()).select(*keys, F.col("id").alias("chunk_id"), "embedding")
     asked = queries.select(*keys, "user_id", "query")
-    count = lambda df, block, name: df.groupBy(*keys).agg(F.ceil(F.count("*") / block).alias(name))
-    sizes = few(count(own, CHUNK_BLOCK, "n_cb").join(count(asked, REQUEST_BLOCK, "n_rb"), keys))
+    held = lambda df, vector, n, width: df.groupBy(*keys).agg(F.count("*").alias(n), F.max(F.size(vector)).alias(width))
+    sizes = held(own, "embedding", "_nc", "_wc").join(held(asked, "query", "_nr", "_wr"), keys)
+    block = F.greatest(F.lit(1), F.floor(F.lit(BLOCK_BYTES) / 8 / F.greatest("_wc", "_wr", F.lit(1))))
+    shared = F.least(F.ceil(F.col("_nr") / REQUEST_BLOCK), F.lit(LEAST_BLOCKS))
+    sizes = few(sizes.select(*keys, F.ceil(F.col("_nc") / block).alias("n_cb"), F.greatest(F.ceil(F.col("_nr") / block), shared).alias("n_rb")))
     ids = {c: chunks.schema["id"].dataType if c == "chunk_id" else queries.schema[c].dataType for c in ("organization_id", "user_id", "chunk_id")}
 
     def product(left: pa.Table, right: pa.Table) -> pa.Table:
