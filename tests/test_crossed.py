@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillmark import storage
-from quillmark.operators import permissions as R
+from quillmark.operators import access as A, permissions as R
 
 
 @pytest.fixture
@@ -59,6 +59,17 @@ def _people(spark, n):
     return spark.range(n).select(F.lit(1).alias("organization_id"), F.col("id").cast("int").alias("id"), F.lit("active").alias("status"))
 
 
+def _granted(spark, n):
+    """n users and n spaces granted to their organization."""
+    columns = "organization_id int, {}knowledge_space_id int, granted_at date, expires_at date, revoked_at date"
+    empty = lambda schema: spark.createDataFrame([], schema)
+    open_ = spark.range(n).select(F.lit(1).alias("organization_id"), F.col("id").cast("int").alias("knowledge_space_id"), F.expr("date'2020-01-01'").alias("granted_at"), F.expr("cast(null as date)").alias("expires_at"), F.expr("cast(null as date)").alias("revoked_at"))
+    grants = {"organization": open_} | {k: empty(columns.format(f"{k}_id int, ")) for k in ("department", "team", "user")}
+    held = {k: empty(f"organization_id int, {k}_id int, user_id int, status string, effective_from date, expires_at date, revoked_at date") for k in ("department", "team")}
+    units = {k: empty("organization_id int, id int, status string") for k in ("department", "team")}
+    return A.granted_spaces(_people(spark, n), grants, held, units, F.expr("date'2021-01-01'"))
+
+
 def _allowed(spark, n):
     """n users and n items whose lists are open to everyone."""
     at = "organization_id int, connector_id string, "
@@ -67,7 +78,7 @@ def _allowed(spark, n):
     return R.acl_allowed(_people(spark, n), spark.createDataFrame([], "organization_id int, user_id int, connector_id string, principal_id string"), lists)
 
 
-@pytest.mark.parametrize("made", [_allowed])
+@pytest.mark.parametrize("made", [_granted, _allowed])
 def test_what_travels_is_less_than_the_members(spark, small_cells, made):
     """Before, members travelled to each cell by themselves: copies grew as the pairs."""
     out = made(spark, 300)
