@@ -78,7 +78,15 @@ def _allowed(spark, n):
     return R.acl_allowed(_people(spark, n), spark.createDataFrame([], "organization_id int, user_id int, connector_id string, principal_id string"), lists)
 
 
-@pytest.mark.parametrize("made", [_granted, _allowed])
+def _expanded(spark, n):
+    """n users of one class and n items of another, of which the first may use the second."""
+    users = spark.range(n).select(F.lit(1).alias("organization_id"), F.col("id").alias("user_id"), F.lit("u").alias("user_class"))
+    items = spark.range(n).select(F.lit(1).alias("organization_id"), F.col("id").alias("source_item_id"), F.lit("i").alias("item_class"))
+    rows = spark.createDataFrame([(1, "u", "i", "s")], "organization_id int, user_class string, item_class string, connector_scope_id string")
+    return R.expand(rows, R.ClassAccess(users, items, rows))
+
+
+@pytest.mark.parametrize("made", [_granted, _allowed, _expanded])
 def test_what_travels_is_less_than_the_members(spark, small_cells, made):
     """Before, members travelled to each cell by themselves: copies grew as the pairs."""
     out = made(spark, 300)
